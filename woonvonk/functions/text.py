@@ -228,7 +228,7 @@ def city_after_postcode(text: str | Column) -> Column:
 
 
 def last_comma_part(address: str | Column) -> Column:
-    parts = F.filter(F.transform(F.split(col(address), ","), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(col(address), ","), lambda p: F.trim(p)), lambda p: p != "")
     return F.get(parts, F.size(parts) - 1)
 
 

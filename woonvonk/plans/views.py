@@ -230,5 +230,5 @@ def with_views(names: str, body: str) -> str:
 
 
 def r2(expression: str, decimals: int = 2) -> str:
-    """Half-up rounding on the decimal value, as Spark rounds doubles."""
-    return f"cast(round(cast({expression} as decimal(30, 8)), {decimals}) as double)"
+    """Half-up rounding on the shortest decimal form of a double, as Spark rounds."""
+    return f"cast(round(cast({expression} as decimal(38, 12)), {decimals}) as double)"
