@@ -31,12 +31,14 @@ def first_digits(value: str | Column) -> Column:
 
 
 def clamp_score(value: Column) -> Column:
-    """Half-even rounding to an integer in 0..100."""
-    return F.greatest(F.lit(0), F.least(F.lit(100), F.bround(value).cast("int")))
+    """Half-even rounding to an integer in 0..100; NULL stays NULL."""
+    whole = F.bround(value).cast("int")
+    return F.when(whole < 0, 0).when(whole > 100, 100).otherwise(whole)
 
 
 def clamped(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(low), F.least(F.lit(high), value))
+    """Within the bounds; NULL stays NULL (``least`` and ``greatest`` would skip it)."""
+    return F.when(value < low, low).when(value > high, high).otherwise(value)
 
 
 def non_zero(value: str | Column) -> Column:

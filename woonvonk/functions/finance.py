@@ -104,7 +104,7 @@ def discount_ratio(asking_ppm2, market_ppm2) -> Column:
 
 
 def market_discount_score(discount: Column) -> Column:
-    return F.when(discount.isNotNull(), clamp_score(discount * 100.0))
+    return clamp_score(discount * 100.0)
 
 
 # The discount from which a row is highlighted, and placeholder valuation factors.

@@ -76,8 +76,8 @@ def group_median(df: DataFrame, keys: list[str], value: str, alias: str = "media
     return medians_from_ranks(value_ranks(df, keys, value), keys, value, alias)
 
 
-def percentile_from_top(ranks: DataFrame) -> Column:
-    """``100 - 100 * (rows at or below) / rows``, between 0 and 100."""
+def percentile_from_top() -> Column:
+    """Over ``value_ranks``: ``100 - 100 * (rows at or below) / rows``, between 0 and 100."""
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("upto") / F.col("total") * 100.0))
 
 

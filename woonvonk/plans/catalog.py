@@ -6,7 +6,7 @@ import importlib
 
 from woonvonk.plans.registry import JOBS, SQL, Job
 
-MODULES = ["history_queries", "normalize_queries"]
+MODULES = ["history_queries", "normalize_queries", "score_queries"]
 
 for _name in MODULES:
     importlib.import_module(f"woonvonk.plans.{_name}")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from woonvonk.functions import bands, casts, dates, finance, numbers, text
 from woonvonk.operators import columns
 from woonvonk.plans.registry import query
-from woonvonk.plans.views import read, view, with_views
+from woonvonk.plans.views import r2, read, view, with_views
 
 URL = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)"
 
@@ -755,11 +755,11 @@ def normalize_type(spark, sf_dir):
     "estimate_local_prices",
     with_views(
         "listings",
-        """WITH hoods AS (SELECT regexp_extract(address, '(\\d{4}) AB$', 1) AS hood, avg(asking_price / nullif(surface_m2, 0)) AS hood_ppm2 FROM listings GROUP BY 1)
-        SELECT l.listing_id, cast(round(cast(coalesce(nullif(asking_price, 0), surface_m2 * 4500) * 0.95e0 as decimal(38, 12)), 2) as double) AS street_estimate,
-          cast(round(cast(coalesce(nullif(asking_price, 0), surface_m2 * 4500) * 0.88e0 as decimal(38, 12)), 2) as double) AS neighbourhood_estimate,
-          round(h.hood_ppm2, 4) AS neighbourhood_ppm2
-        FROM listings l LEFT JOIN hoods h ON h.hood = regexp_extract(l.address, '(\\d{4}) AB$', 1)""",
+        f"""WITH hoods AS (SELECT regexp_extract(address, '(\\d{{4}}) AB$', 1) AS hood, avg(asking_price / nullif(surface_m2, 0)) AS hood_ppm2 FROM listings GROUP BY 1)
+        SELECT l.listing_id, {r2('coalesce(nullif(asking_price, 0), surface_m2 * 4500) * 0.95e0')} AS street_estimate,
+          {r2('coalesce(nullif(asking_price, 0), surface_m2 * 4500) * 0.88e0')} AS neighbourhood_estimate,
+          {r2('h.hood_ppm2', 4)} AS neighbourhood_ppm2
+        FROM listings l LEFT JOIN hoods h ON h.hood = regexp_extract(l.address, '(\\d{{4}}) AB$', 1)""",
     ),
 )
 def estimate_local_prices(spark, sf_dir):

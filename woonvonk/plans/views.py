@@ -231,4 +231,4 @@ def with_views(names: str, body: str) -> str:
 
 def r2(expression: str, decimals: int = 2) -> str:
     """Half-up rounding on the shortest decimal form of a double, as Spark rounds."""
-    return f"cast(round(cast({expression} as decimal(38, 12)), {decimals}) as double)"
+    return f"cast(round(cast(cast(cast({expression} as double) as varchar) as decimal(38, 14)), {decimals}) as double)"
