@@ -254,7 +254,7 @@ def opportunity_rules(spark, sf_dir):
 
 @query(
     "sort_findings",
-    with_views("listings", f"WITH {_plain()}, {SIGNALS_SQL}, {RULES_SQL} SELECT o.listing_id, coalesce(string_agg(concat(opportunity_type, '=', cast(confidence as varchar)), '|' ORDER BY no), '') AS findings FROM o LEFT JOIN numbered ON numbered.listing_id = o.listing_id GROUP BY o.listing_id"),
+    with_views("listings", f"WITH {_plain()}, {SIGNALS_SQL}, {RULES_SQL} SELECT o.listing_id, coalesce(string_agg(concat(opportunity_type, '=', cast(confidence as varchar)), '|' ORDER BY no) FILTER (numbered.listing_id IS NOT NULL), '') AS findings FROM o LEFT JOIN numbered ON numbered.listing_id = o.listing_id GROUP BY o.listing_id"),
 )
 def sort_findings(spark, sf_dir):
     shown = F.transform("findings", lambda f: F.concat(f["opportunity_type"], F.lit("="), f["confidence"].cast("string")))
