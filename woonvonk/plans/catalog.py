@@ -6,7 +6,7 @@ import importlib
 
 from woonvonk.plans.registry import JOBS, SQL, Job
 
-MODULES = ["history_queries", "normalize_queries", "score_queries", "report_queries", "engine_queries", "register_queries", "source_queries"]
+MODULES = ["history_queries", "normalize_queries", "score_queries", "report_queries", "engine_queries", "register_queries", "source_queries", "page_queries", "stream_queries"]
 
 for _name in MODULES:
     importlib.import_module(f"woonvonk.plans.{_name}")

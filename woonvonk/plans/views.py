@@ -207,6 +207,50 @@ _view(
 )
 
 
+# Portal pages made from the listings, in four kinds: structured data, detail list, broken structured data
+# with share tags, and plain classes.
+_view(
+    "portal_pages",
+    "part",
+    f"""
+    SELECT listing_id AS page_id, concat('https://portal', cast(source_id as varchar(20)), '.example/detail/koop/object-', cast(10000 + listing_id as varchar(20)), '/') AS url,
+      listing_id % 4 AS kind, title, price, price_nl, price_nl_high, area, city, street, postcode,
+      concat('<!DOCTYPE html><html><head><title>', title, ' | Portaal</title>',
+        CASE listing_id % 4
+          WHEN 0 THEN concat('<script type="application/ld+json">{{"@context":"x","@graph":[{{"@type":"WebPage"}},{{"@type":"Residence","name":"', title, ' te koop","description":"Mooie woning","address":{{"streetAddress":"', street, '","postalCode":"', postcode, '","addressLocality":"', city, '"}},"offers":{{"price":', price, ',"priceCurrency":"EUR"}},"floorSize":{{"value":"', area, ' m2"}},"numberOfBedrooms":', beds, ',"image":["/foto/a.jpg","data:image/png;base64,xx","https://img.example/b.jpg"],"datePosted":"2001-02-03"}}]}}</script>')
+          WHEN 2 THEN concat('<script type="application/ld+json">{{"name": "kapot", </script><meta property="og:title" content="', street, '"><meta content="Deel ', title, '" property="og:description"><meta property="og:image" content="https://img.example/og.jpg"><link rel="canonical" href="https://m.example/x/', cast(listing_id as varchar(20)), '">')
+          ELSE '' END,
+        '</head><body><script>var x = "<p>weg</p>";</script><nav><a href="/">Home</a><a href="/detail/koop/object-', cast(10001 + listing_id as varchar(20)), '/?a=1#foto">Volgende</a><a href="mailto:x@example">Mail</a></nav>',
+        CASE listing_id % 4
+          WHEN 1 THEN concat('<h1>', street, '</h1><dl><dt>Vraagprijs</dt><dd>&euro; ', price_nl, ' k.k.</dd><dt>Adres</dt><dd>', street, ' ', postcode, '</dd><dt>Plaats</dt><dd>', city, '</dd><dt>Woonoppervlakte:</dt><dd><span>', area, '</span> m&sup2;</dd><dt>Aantal slaapkamers</dt><dd>', beds, ' kamers</dd><dt>Energielabel</dt><dd>Klasse ', label, '</dd><dt>Aangeboden sinds</dt><dd>3 maart 2001</dd><dt>Oorspronkelijke vraagprijs</dt><dd>&euro; ', price_nl_high, '</dd><dt>Soort woonhuis</dt><dd>', kind_text, '</dd><dt>Bouwjaar</dt><dd>1975</dd><dt>Makelaar</dt><dd>Janssen</dd></dl><img src="/foto/1.jpg"><img data-src="/foto/2.jpg"><img src="data:abc">')
+          WHEN 3 THEN concat('<div class="page"><div class="breadcrumb">Home</div><h2 class="single__title">', street, '</h2><div class="object-address"><div>', street, '</div>, ', postcode, ' ', city, '</div><span class="vraagprijs">&euro; ', price_nl, '</span><div class="specs"><div>Woonoppervlakte ', area, ' m&sup2;</div></div><div class="omschrijving">Ruime woning met <b>tuin</b>.</div></div>')
+          ELSE concat('<h1>', title, '</h1><p>Vrij uitzicht</p>') END,
+        '</body></html>') AS html
+    FROM (
+      SELECT listing_id, source_id, title, coalesce(city, 'Onbekend') AS city, concat('Straat ', cast(1 + listing_id % 200 as varchar(20))) AS street,
+        concat(cast(1000 + listing_id % 9000 as varchar(20)), ' AB') AS postcode,
+        cast(cast(floor(coalesce(asking_price, 250000)) as bigint) as varchar(20)) AS price,
+        concat(cast(100 + listing_id % 900 as varchar(20)), '.', cast(100 + listing_id % 800 as varchar(20))) AS price_nl,
+        concat('1.', cast(100 + listing_id % 900 as varchar(20)), '.000') AS price_nl_high,
+        cast(cast(coalesce(surface_m2, 75) as int) as varchar(20)) AS area, cast(coalesce(bedrooms, 3) as varchar(20)) AS beds, coalesce(energy_label, 'C') AS label, property_type AS kind_text
+      FROM ({VIEWS["listings"][1].strip()}) base) fields""",
+)
+
+# Overview pages of a second portal: cards and links per city.
+_view(
+    "card_pages",
+    "part",
+    f"""
+    SELECT listing_id AS page_id, 'https://klus.example/zoeken' AS url, source_id, asking_price, city,
+      concat('<div class="grid">', '<a href="/pand/', cast(listing_id as varchar(20)), '"><div class="listing-card"><strong class="mobile-title">', coalesce(city, ''), '</strong><span class="min-h-40p">', title,
+        '</span><img class="listing-thumb" src="//img.example/', cast(listing_id as varchar(20)), '.jpg" alt="Woonhuis, 3 kamers in X"><div class="kvg-metrics-row"><span class="kvg-metric"><span class="v">4</span></span><span class="kvg-metric"><span class="v">', cast(coalesce(cast(surface_m2 as int), 0) as varchar(20)),
+        ' m²</span></span><span class="kvg-metric"><span class="v">', cast(coalesce(cast(plot_size_m2 as int), 0) as varchar(20)), ' m²</span></span></div><span class="kvg-price-now">€ ', cast(100 + listing_id % 900 as varchar(20)), '.500</span></div></a>',
+        '<a href="/info/', cast(listing_id as varchar(20)), '"><div class="listing-card"><strong class="mobile-title">Elders</strong></div></a></div>',
+        '<ul><li><a href="/kluswoning-breda">', cast(1 + listing_id % 30 as varchar(20)), ' kluswoningen Breda Noord-Brabant</a></li><li><a href="/kluswoning-den-haag">Den Haag ', cast(1 + listing_id % 20 as varchar(20)), '</a></li><li><a href="/kluswoning-bergen-op-zoom"></a></li></ul>') AS html
+    FROM ({VIEWS["listings"][1].strip()}) base""",
+)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -214,7 +258,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view of this module over the tables in ``sf_dir``."""
     table, select = VIEWS[name]
-    body = select.replace("varchar(20)", "string").strip()
+    body = select.replace("varchar(20)", "string").replace("{", "{{").replace("}", "}}").strip()
     return spark.sql(body.replace(f"FROM {table}", "FROM {" + table + "}"), **{table: read(spark, sf_dir, table)})
 
 

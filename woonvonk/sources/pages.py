@@ -1,11 +1,458 @@
-"""Landed web pages to listing records."""
+"""Landed web pages to listing records.
+
+Tags, attributes, structured data and detail lists are column expressions. Only the text of elements that
+are chosen by class or attribute needs a parser, because elements of one name can be nested; that part is a
+``mapInPandas`` step with the standard library's parser.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Iterator
+from html.parser import HTMLParser
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import col
+from woonvonk.functions import dates, finance, numbers, text
+from woonvonk.functions.casts import col, first_digits
+from woonvonk.functions.text import squash
+from woonvonk.operators.columns import any_of
+
+# Named characters in pages.
+ENTITIES = {
+    "&nbsp;": " ", "&euro;": "€", "&sup2;": "²", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
+    "&eacute;": "é", "&euml;": "ë", "&iuml;": "ï", "&amp;": "&",
+}
+NOISE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>"
+TAG = r"(?s)<[^>]*>"
+LD_JSON = r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
+
+
+def unescape(value: Column) -> Column:
+    for name, sign in ENTITIES.items():
+        value = F.replace(value, F.lit(name), F.lit(sign))
+    return value
+
+
+def inner_text(fragment: Column) -> Column:
+    """Text of a fragment of HTML, single-spaced."""
+    return squash(unescape(F.regexp_replace(fragment, TAG, " ")))
+
+
+def visible_text(html: str | Column) -> Column:
+    """Text of a page without scripts, styles and comments."""
+    return F.nullif(inner_text(F.regexp_replace(col(html), NOISE, " ")), F.lit(""))
+
+
+def text_lines(html: str | Column) -> Column:
+    """The pieces of text between tags, in order."""
+    pieces = F.split(F.regexp_replace(col(html), NOISE, "<x>"), TAG)
+    return F.filter(F.transform(pieces, lambda p: squash(unescape(p))), lambda p: p != "")
+
+
+def element_text(html: str | Column, tag: str) -> Column:
+    """Text of the first element with that name (for elements that do not nest)."""
+    inner = F.regexp_extract(F.regexp_replace(col(html), NOISE, ""), rf"(?is)<{tag}\b[^>]*>(.*?)</{tag}\s*>", 1)
+    return F.nullif(inner_text(inner), F.lit(""))
+
+
+def attribute(tag_text: Column, name: str) -> Column:
+    value = F.regexp_extract(tag_text, rf'(?is)\b{name}\s*=\s*"([^"]*)"', 1)
+    other = F.regexp_extract(tag_text, rf"(?is)\b{name}\s*=\s*'([^']*)'", 1)
+    return F.nullif(squash(unescape(F.coalesce(F.nullif(value, F.lit("")), other))), F.lit(""))
+
+
+def meta_content(html: str | Column, key: str) -> Column:
+    """Content of a meta tag, by property first, then by name."""
+
+    def by(name: str) -> Column:
+        tag = F.regexp_extract(col(html), rf"""(?is)<meta\b[^>]*\b{name}=["']{key}["'][^>]*>""", 0)
+        return attribute(tag, "content")
+
+    return F.coalesce(by("property"), by("name"))
+
+
+def link_href(html: str | Column, rel: str) -> Column:
+    return attribute(F.regexp_extract(col(html), rf"""(?is)<link\b[^>]*\brel=["']{rel}["'][^>]*>""", 0), "href")
+
+
+# --- structured data ---------------------------------------------------------------------------
+
+
+def ld_blocks(html: str | Column) -> Column:
+    """Raw structured-data blocks of a page."""
+    return F.filter(F.transform(F.regexp_extract_all(col(html), F.lit(LD_JSON), F.lit(1)), lambda b: F.trim(b)), lambda b: b != "")
+
+
+def ld_warnings(blocks: Column) -> Column:
+    broken = F.filter(blocks, lambda b: F.try_parse_json(b).isNull())
+    return F.transform(broken, lambda b: F.lit("Malformed JSON-LD block ignored."))
+
+
+def ld_nodes(blocks: Column) -> Column:
+    """Objects of the blocks as JSON texts: list items and each object followed by its graph."""
+
+    def items(block: Column) -> Column:
+        listed = F.from_json(block, "array<string>")
+        objects = F.when(F.startswith(block, F.lit("[")), listed).otherwise(F.array(block))
+        graph = F.from_json(F.get_json_object(block, "$['@graph']"), "array<string>")
+        return F.concat(F.coalesce(objects, F.array().cast("array<string>")), F.coalesce(graph, F.array().cast("array<string>")))
+
+    sound = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
+    return F.filter(F.flatten(F.transform(sound, items)), lambda n: F.startswith(n, F.lit("{")))
+
+
+def node_value(node: Column, *paths: str) -> Column:
+    return F.coalesce(*[F.nullif(F.get_json_object(node, p), F.lit("")) for p in paths])
+
+
+def first_value(nodes: Column, *paths: str) -> Column:
+    """First non-empty value over the nodes; per node the paths in order."""
+    return F.get(F.filter(F.transform(nodes, lambda n: node_value(n, *paths)), lambda v: v.isNotNull()), F.lit(0))
+
+
+def node_fields(node: Column) -> Column:
+    """Listing fields of one node."""
+    street = node_value(node, "$.address.streetAddress")
+    postal_code = node_value(node, "$.address.postalCode")
+    city = node_value(node, "$.address.addressLocality")
+    image = F.get_json_object(node, "$.image")
+    images = F.when(F.startswith(image, F.lit("[")), F.from_json(image, "array<string>")).when(image.isNotNull(), F.array(image))
+    return F.struct(
+        node_value(node, "$.name", "$.headline").alias("title"),
+        text.compose_address(street, postal_code, city).alias("address"),
+        postal_code.alias("postal_code"),
+        city.alias("city"),
+        numbers.parse_number_eu(node_value(node, "$.offers.price", "$.offers[0].price")).alias("asking_price"),
+        numbers.parse_number_eu(node_value(node, "$.floorSize.value", "$.floorSize")).alias("surface_m2"),
+        node_value(node, "$['@type']").alias("property_type"),
+        node_value(node, "$.description").alias("description"),
+        F.coalesce(images, F.array().cast("array<string>")).alias("images"),
+    )
+
+
+CORE_FIELDS = ["title", "address", "city", "asking_price", "surface_m2", "description"]
+
+
+def best_node(nodes: Column) -> Column:
+    """Fields of the node that fills most core fields; the first one wins a tie."""
+
+    def scored(node: Column, i: Column) -> Column:
+        fields = node_fields(node)
+        score = sum((F.when(fields[f].isNotNull(), 1).otherwise(0) for f in CORE_FIELDS), F.lit(0))
+        return F.struct(score.alias("score"), (-i).alias("place"), fields.alias("fields"))
+
+    best = F.array_max(F.transform(nodes, scored))
+    return F.when(best["score"] > 0, best["fields"])
+
+
+def extract_jsonld(pages: DataFrame) -> DataFrame:
+    """Add ``ld`` (fields of the best node) and ``ld_warnings``."""
+    return (
+        pages.withColumn("_blocks", ld_blocks("html"))
+        .withColumns({"ld": best_node(ld_nodes(F.col("_blocks"))), "ld_warnings": ld_warnings(F.col("_blocks"))})
+        .drop("_blocks")
+    )
+
+
+def extract_open_graph(pages: DataFrame) -> DataFrame:
+    """Add ``og``: share tags and the canonical address."""
+    image = meta_content("html", "og:image")
+    return pages.withColumn(
+        "og",
+        F.struct(
+            meta_content("html", "og:title").alias("title"),
+            meta_content("html", "og:description").alias("description"),
+            F.array_compact(F.array(image)).alias("images"),
+            F.coalesce(link_href("html", "canonical"), F.col("url")).alias("canonical_url"),
+        ),
+    )
+
+
+# --- elements by class or attribute --------------------------------------------------------------
+
+# Where each field is looked for, in order. "=" is a tag, "." a class, "~" part of a class,
+# "@" an itemprop.
+SELECTORS = {
+    "heading": [".single__title", "=h1", "=h2", "=h3"],
+    "address": ["@streetAddress", "=address", ".address", ".adres", ".street-address", "~address", "~adres", "~street", "~location"],
+    "city": ["@addressLocality", ".city", "~plaats", "~city"],
+    "price": ["@price", ".price", "~price", "~vraagprijs", "~asking", "~koopsom"],
+    "surface": ["@floorSize", ".surface", "~oppervlakte", "~surface", "~m2"],
+    "description": ["@description", ".description", "~omschrijving", ".summary", "~intro"],
+    "breadcrumb": [".breadcrumb", "~breadcrumb"],
+}
+VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
+
+
+class _Picker(HTMLParser):
+    """Collects the text of the first element that each selector hits."""
+
+    def __init__(self) -> None:
+        super().__init__(convert_charrefs=True)
+        self.open: list[tuple[str, list[str]]] = []
+        self.found: dict[str, list[str]] = {}
+        self.silent = 0
+
+    def _hits(self, tag: str, attrs: list[tuple[str, str | None]]) -> list[str]:
+        given = {k: v or "" for k, v in attrs}
+        classes, item = given.get("class", ""), given.get("itemprop", "")
+        words = classes.split()
+        hits = []
+        for selectors in SELECTORS.values():
+            for s in selectors:
+                kind, name = s[0], s[1:]
+                if (
+                    (kind == "=" and tag == name)
+                    or (kind == "." and name in words)
+                    or (kind == "~" and name in classes)
+                    or (kind == "@" and item == name)
+                ) and s not in self.found:
+                    hits.append(s)
+        return hits
+
+    def handle_starttag(self, tag, attrs):
+        if tag in ("script", "style"):
+            self.silent += 1
+        hits = self._hits(tag, attrs)
+        for hit in hits:
+            self.found[hit] = []
+        if tag not in VOID_TAGS:
+            self.open.append((tag, hits))
+
+    def handle_endtag(self, tag):
+        if tag in ("script", "style"):
+            self.silent = max(0, self.silent - 1)
+        if any(t == tag for t, _ in self.open):
+            while self.open and self.open.pop()[0] != tag:
+                pass
+
+    def handle_data(self, data):
+        words = " ".join(data.split())
+        if words and not self.silent:
+            for hit in {h for _, hits in self.open for h in hits}:
+                self.found[hit].append(words)
+
+
+def _pick(html: str | None) -> dict[str, str]:
+    picker = _Picker()
+    picker.feed(html or "")
+    picker.close()
+    texts = {s: " ".join(parts) for s, parts in picker.found.items()}
+    return {f: next((texts[s] for s in options if texts.get(s)), "") for f, options in SELECTORS.items()}
+
+
+def with_picked(pages: DataFrame) -> DataFrame:
+    """Add ``picked_<field>``: the text of the elements that the selectors choose, NULL when there is none."""
+    fields = list(SELECTORS)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + "".join(
+        f", picked_{f} string" for f in fields
+    )
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            picked = batch["html"].map(_pick)
+            yield batch.assign(**{f"picked_{f}": picked.map(lambda p, f=f: p[f] or None) for f in fields})
+
+    return pages.mapInPandas(run, schema)
+
+
+def looks_like_address(line: Column) -> Column:
+    short = F.size(F.split(line, " ")) <= 12
+    numbered = line.rlike(r"\b\d+[A-Za-z]?(?:-\d+[A-Za-z]?)?\b") & line.rlike(r"\b[A-Z][a-z]+\b")
+    return short & (text.has_postcode(line) | numbered)
+
+
+# Words that mark the living area.
+AREA_WORDS = ["woonoppervlakte", "gebruiksoppervlakte wonen", "gebruiksoppervlakte", "m² wonen", "m2 wonen", "oppervlakte"]
+
+
+def best_line(lines: Column, score) -> Column:
+    """Line with the highest score (NULL scores are out); the first one wins a tie."""
+    rated = F.transform(lines, lambda x, i: F.when(score(x).isNotNull(), F.struct(score(x).alias("score"), (-i).alias("place"), x.alias("line"))))
+    return F.array_max(F.array_compact(rated))["line"]
+
+
+def area_score(line: Column) -> Column:
+    lowered = F.lower(line)
+    named = text.contains_any(lowered, AREA_WORDS)
+    usable = line.rlike(r"\d") & (F.size(F.split(line, " ")) <= 12) & named
+    unit = lowered.rlike(r"\b\d+(?:[.,]\d+)?\s?(?:m2|m²|sqm)")
+    return F.when(usable, F.lit(5) + F.when(unit, 3).otherwise(0))
+
+
+def extract_html_fallback(pages: DataFrame) -> DataFrame:
+    """Add ``page``: title, heading, address, price, area and description by rules of thumb."""
+    picked = with_picked(pages).withColumns(
+        {"_lines": text_lines("html"), "_slug": text.slug_title("url"), "_doc_title": element_text("html", "title")}
+    )
+    heading = F.col("picked_heading")
+    address_line = best_line(F.col("_lines"), lambda x: F.when(looks_like_address(x), text.address_quality(x)))
+    address = F.coalesce("picked_address", F.when(looks_like_address(heading), heading), address_line, F.col("_slug.address"))
+    based = picked.withColumn("_address", address).withColumn(
+        "_postal_code", F.coalesce(text.spaced_postcode(F.coalesce("_address", heading)), text.spaced_postcode(visible_text("html")))
+    )
+    city = F.coalesce("picked_city", text.city_after_postcode(F.coalesce(heading, "_address", "picked_breadcrumb")), text.city_after_postcode("_address"))
+    placed = based.withColumn("_city", city)
+    full = F.when(
+        F.col("_address").isNotNull() & F.col("_postal_code").isNotNull() & F.col("_city").isNotNull(),
+        text.compose_address(text.street_part("_address"), F.col("_postal_code"), F.col("_city")),
+    )
+    surface = F.coalesce(best_line(F.col("_lines"), area_score), F.when(F.col("picked_surface").rlike(r"\d"), F.col("picked_surface")))
+    title = F.coalesce("_doc_title", heading, F.col("_slug.title"))
+    return placed.withColumn(
+        "page",
+        F.struct(
+            F.coalesce(text.clean_title(title), title).alias("title"),
+            heading.alias("heading"),
+            F.coalesce(full, "_address").alias("address"),
+            F.col("_postal_code").alias("postal_code"),
+            F.col("_city").alias("city"),
+            numbers.parse_number_eu("picked_price").alias("asking_price"),
+            numbers.parse_number_eu(surface).alias("surface_m2"),
+            F.col("picked_description").alias("description"),
+        ),
+    ).drop("_lines", "_slug", "_doc_title", "_address", "_postal_code", "_city", *[f"picked_{f}" for f in SELECTORS])
+
+
+# Methods with their confidence, best first.
+METHODS = [("ld", "json_ld", 0.9), ("og", "open_graph", 0.7), ("page", "html_fallback", 0.5)]
+MERGED = {
+    "title": ["ld", "og", "page"], "address": ["ld", "page"], "postal_code": ["ld", "page"], "city": ["ld", "page"],
+    "asking_price": ["ld", "page"], "surface_m2": ["ld", "page"], "property_type": ["ld"], "description": ["ld", "og", "page"],
+}
+
+
+def merge_extractions(pages: DataFrame) -> DataFrame:
+    """One record per page out of structured data, share tags and the page itself, in that order.
+
+    The first of the three that gives anything names the method and the confidence.
+    """
+    full = extract_html_fallback(extract_open_graph(extract_jsonld(pages)))
+    values = {f: F.coalesce(*[F.col(f"{s}.{f}") for s in sources]) for f, sources in MERGED.items()}
+    images = F.array_distinct(F.concat(F.coalesce("ld.images", F.array().cast("array<string>")), F.col("og.images")))
+    gave = {
+        s: sum((F.when(F.col(f"{s}.{f}").isNotNull(), 1).otherwise(0) for f, sources in MERGED.items() if s in sources), F.lit(0))
+        + (F.coalesce(F.size(F.col(f"{s}.images")), F.lit(0)) if s != "page" else F.lit(0))
+        for s, _, _ in METHODS
+    }
+    method, trust = F.lit("none"), F.lit(0.0)
+    for s, name, confidence in reversed(METHODS):
+        method = F.when(gave[s] > 0, name).otherwise(method)
+        trust = F.when(gave[s] > 0, confidence).otherwise(trust)
+    merged = full.withColumns({**values, "images": images, "extraction_method": method, "confidence": trust})
+    better = text.clean_title(
+        text.best_text([(F.col("title"), 90), (F.col("ld.title"), 85), (F.col("og.title"), 80), (F.col("page.heading"), 88), (F.col("page.title"), 76)])
+    )
+    use_better = text.title_quality(better) > text.title_quality("title")
+    titled = merged.withColumn("title", F.when(use_better, better).otherwise(F.col("title")))
+    filled = [F.col(c).isNotNull() for c in ("title", "address", "city", "asking_price", "surface_m2", "description")]
+    success = any_of([*filled, F.size("images") > 0])
+    none = F.array(F.lit("No useful metadata could be extracted."))
+    return titled.withColumn("success", success).withColumn(
+        "warnings", F.when(F.col("success"), F.col("ld_warnings")).otherwise(F.concat("ld_warnings", none))
+    )
+
+
+# --- detail lists, links, images -----------------------------------------------------------------
+
+DETAIL_PAIR = r"(?is)<dt\b[^>]*>(.*?)</dt\s*>\s*<dd\b[^>]*>(.*?)</dd\s*>"
+
+
+def details(html: str | Column) -> Column:
+    """Label-value pairs of definition lists, in order."""
+    labels = F.regexp_extract_all(col(html), F.lit(DETAIL_PAIR), F.lit(1))
+    values = F.regexp_extract_all(col(html), F.lit(DETAIL_PAIR), F.lit(2))
+    pairs = F.zip_with(labels, values, lambda k, v: F.struct(text.label_key(inner_text(k)).alias("label"), inner_text(v).alias("value")))
+    return F.filter(pairs, lambda p: (p["label"] != "") & (p["value"] != ""))
+
+
+def detail(pairs: Column, labels: list[str]) -> Column:
+    """Value under the first exact label, else under the first label that contains one of them."""
+
+    def exact(label: str) -> Column:
+        hits = F.filter(pairs, lambda p: p["label"] == label)
+        return F.when(F.size(hits) > 0, F.get(hits, F.size(hits) - 1)["value"])
+
+    part = F.get(F.filter(pairs, lambda p: text.contains_any(p["label"], labels)), F.lit(0))["value"]
+    return F.coalesce(*[exact(label) for label in labels], part)
+
+
+def resolve(base: str | Column, href: Column) -> Column:
+    """Absolute address of a link without its fragment; NULL for links that are not pages."""
+    link = F.trim(href)
+    root = F.regexp_extract(col(base), r"^\s*([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
+    folder = F.regexp_extract(col(base), r"^\s*([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/)[^/?#]*", 1)
+    whole = (
+        F.when(link.rlike(r"(?i)^(#|$|mailto:|javascript:|tel:|data:)"), F.lit(None))
+        .when(link.rlike(r"(?i)^https?://"), link)
+        .when(link.startswith("//"), F.concat(F.regexp_extract(root, r"^[^:]+:", 0), link))
+        .when(link.startswith("/"), F.concat(F.lower(root), link))
+        .when(link.startswith("?"), F.concat(F.lower(root), text.url_path(base), link))
+        .when(F.length(folder) > F.length(root) + 1, F.concat(folder, link))
+        .otherwise(F.concat(F.lower(root), F.lit("/"), link))
+    )
+    return F.regexp_replace(whole, r"#.*$", "")
+
+
+HREF = r"""(?is)<a\b[^>]*\bhref\s*=\s*["']([^"']*)["']"""
+
+
+def extract_links(pages: DataFrame, path_pattern: str | None = None, host_pattern: str | None = None) -> DataFrame:
+    """Distinct links per page, resolved; optionally only listing addresses."""
+    hrefs = pages.select("page_id", "url", F.explode(F.regexp_extract_all("html", F.lit(HREF), F.lit(1))).alias("href"))
+    links = hrefs.select("page_id", resolve("url", unescape(F.col("href"))).alias("link")).where(F.col("link").isNotNull())
+    if path_pattern:
+        links = links.where(F.lower(text.url_path("link")).rlike(path_pattern))
+    if host_pattern:
+        links = links.where(text.url_host("link").rlike(host_pattern))
+    return links.distinct()
+
+
+def next_page(html: str | Column, base: str | Column) -> Column:
+    """Link to the following page."""
+    rel = attribute(F.regexp_extract(col(html), r"""(?is)<a\b[^>]*\brel=["']next["'][^>]*>""", 0), "href")
+    label = attribute(F.regexp_extract(col(html), r"""(?is)<a\b[^>]*\baria-label=["'][^"']*(?:volgende|next)[^"']*["'][^>]*>""", 0), "href")
+    return resolve(base, F.coalesce(rel, label))
+
+
+def images(pages: DataFrame) -> DataFrame:
+    """Add ``photos``: share image, page images and structured-data images, resolved, each once."""
+    tags = F.regexp_extract_all("html", F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
+    sources = F.transform(tags, lambda t: F.coalesce(attribute(t, "src"), attribute(t, "data-src")))
+    nodes = ld_nodes(ld_blocks("html"))
+    listed = F.flatten(
+        F.transform(nodes, lambda n: node_fields(n)["images"])
+    )
+    every = F.concat(F.array(meta_content("html", "og:image")), sources, listed)
+    kept = F.filter(every, lambda u: u.isNotNull() & ~F.startswith(u, F.lit("data:")))
+    return pages.withColumn("photos", F.array_distinct(F.transform(kept, lambda u: resolve("url", u))))
+
+
+# --- portal records -----------------------------------------------------------------------------
+
+# Labels under which a portal lists each field.
+LABELS = {
+    "price": ["vraagprijs", "asking price", "koopprijs"],
+    "address": ["adres", "address"],
+    "city": ["plaats", "city"],
+    "area": ["woonoppervlakte", "living area", "gebruiksoppervlakte wonen", "oppervlakte"],
+    "plot": ["perceeloppervlakte", "plot size", "perceel", "grondoppervlakte"],
+    "type": ["soort woonhuis", "soort woning", "woningtype", "property type"],
+    "bedrooms": ["slaapkamers", "aantal slaapkamers", "bedrooms", "aantal kamers"],
+    "label": ["energielabel", "energie label", "energy label"],
+    "year": ["bouwjaar", "construction year"],
+    "broker": ["makelaar", "aanbieder", "broker"],
+    "since": ["sinds", "aangeboden sinds", "te koop sinds", "listed since", "placed since", "publicatiedatum"],
+    "changes": ["prijswijzigingen", "aantal prijswijzigingen", "prijsverlagingen", "price changes", "price reductions"],
+    "original": ["oorspronkelijke vraagprijs", "originele vraagprijs", "original asking price", "eerste vraagprijs"],
+    "description": ["omschrijving", "description"],
+}
+RECORD_FIELDS = [
+    "title", "description", "address", "city", "asking_price", "living_area", "plot_size", "property_type", "bedrooms",
+    "energy_label", "construction_year", "broker", "listed_since",
+]
 
 
 def history_confidence(listed_since, reductions, original) -> Column:
@@ -13,3 +460,201 @@ def history_confidence(listed_since, reductions, original) -> Column:
     dated = col(listed_since).isNotNull()
     cut = F.coalesce(col(reductions) > 0, F.lit(False)) | col(original).isNotNull()
     return F.when(dated & cut, "high").when(dated | cut, "medium").otherwise("unknown")
+
+
+def portal_record(pages: DataFrame) -> DataFrame:
+    """Listing record of a portal page: share tags and headings, structured data, then the detail list."""
+    read = images(pages).withColumns({"_n": ld_nodes(ld_blocks("html")), "_d": details("html")})
+    n, d = F.col("_n"), F.col("_d")
+
+    def listed(field: str) -> Column:
+        return detail(d, LABELS[field])
+
+    street = first_value(n, "$.address.streetAddress")
+    whole = F.nullif(
+        F.concat_ws(" ", street, first_value(n, "$.address.postalCode"), first_value(n, "$.address.addressLocality")), F.lit("")
+    )
+    price_text = F.coalesce(first_value(n, "$.price", "$.offers.price", "$.offers[0].price"), listed("price"), meta_content("html", "product:price:amount"))
+    address = F.coalesce(whole, listed("address"))
+    price = numbers.parse_price(price_text)
+    staged = read.withColumns(
+        {
+            "title": F.coalesce(meta_content("html", "og:title"), element_text("html", "h1"), first_value(n, "$.name", "$.headline")),
+            "description": F.coalesce(meta_content("html", "og:description"), meta_content("html", "description"), listed("description"), first_value(n, "$.description")),
+            "address": address,
+            "city": F.coalesce(first_value(n, "$.address.addressLocality"), text.city_from_tail(address), listed("city")),
+            "_price": price,
+            "living_area": numbers.parse_area(F.coalesce(first_value(n, "$.floorSize.value", "$.floorSize", "$.livingArea"), listed("area"))),
+            "plot_size": numbers.parse_area(F.coalesce(first_value(n, "$.lotSize.value", "$.lotSize", "$.plotArea"), listed("plot"))),
+            "property_type": F.coalesce(first_value(n, "$.propertyType", "$.additionalType", "$['@type']"), listed("type")),
+            "bedrooms": first_digits(F.coalesce(listed("bedrooms"), first_value(n, "$.numberOfBedrooms", "$.numberOfRooms"))),
+            "energy_label": text.energy_label(F.coalesce(listed("label"), first_value(n, "$.energyLabel"))),
+            "construction_year": first_digits(F.coalesce(listed("year"), first_value(n, "$.yearBuilt", "$.constructionYear"))),
+            "broker": F.coalesce(listed("broker"), meta_content("html", "author")),
+            "listed_since": F.coalesce(dates.parse_date(listed("since")), dates.parse_date(first_value(n, "$.datePosted", "$.datePublished"))),
+            "price_reduction_count": F.coalesce(first_digits(listed("changes")), F.lit(0)),
+            "original_asking_price": numbers.parse_number_nl(listed("original")),
+            "listing_id": text.digits_in_url("url"),
+        }
+    ).withColumns({"asking_price": F.col("_price.amount"), "asking_price_status": F.col("_price.status")})
+    drop = finance.price_reduction("original_asking_price", "asking_price")
+    return staged.withColumns(
+        {
+            "total_price_reduction_amount": drop["amount"],
+            "total_price_reduction_percentage": drop["percentage"],
+            "listing_history_confidence": history_confidence("listed_since", "price_reduction_count", "original_asking_price"),
+            "price_per_m2": finance.price_per_m2("asking_price", "living_area"),
+            "missing_fields": F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in RECORD_FIELDS])),
+        }
+    ).drop("_n", "_d", "_price")
+
+
+# Success rule and confidences of the generic record, by kind of host.
+MIN_WORDS = 35
+TEXT_LIMIT = 15000
+CONFIDENCES = {"portal": (0.75, 0.35), "business": (0.72, 0.32), "other": (0.70, 0.25)}
+
+
+def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: list[str]) -> DataFrame:
+    """Any public page: title, address, price, areas, features, images and whether it says enough.
+
+    Hosts are told apart by suffix. ``raw_text`` is the text kept for analysis, at most ``TEXT_LIMIT``
+    characters as the record format asks; the words are counted over the whole text.
+    """
+    nodes = ld_nodes(ld_blocks("html"))
+    items = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1)), inner_text)
+    host = text.url_host("url")
+
+    def suffix(hosts: list[str]) -> Column:
+        out = F.lit(False)
+        for h in hosts:
+            out = out | host.endswith(h)
+        return out
+
+    kind = F.when(suffix(portal_hosts), "portal").when(suffix(business_hosts), "business").otherwise("other")
+    address = F.nullif(
+        F.concat_ws(
+            " ",
+            first_value(nodes, "$.address.streetAddress"), first_value(nodes, "$.address.postalCode"),
+            first_value(nodes, "$.address.addressLocality"), first_value(nodes, "$.address.addressCountry"),
+        ),
+        F.lit(""),
+    )
+    description = F.coalesce(meta_content("html", "og:description"), meta_content("html", "description"))
+    given = F.coalesce(first_value(nodes, "$.price", "$.offers.price", "$.offers[0].price"), meta_content("html", "product:price:amount"))
+    read = pages.withColumns(
+        {
+            "host_kind": kind,
+            "title": F.coalesce(meta_content("html", "og:title"), element_text("html", "title")),
+            "address": address,
+            "description": description,
+            "_text": visible_text("html"),
+            "_price": numbers.parse_price(F.coalesce(given, description)),
+            "living_area": numbers.parse_area(first_value(nodes, "$.floorSize.value", "$.floorSize", "$.livingArea")),
+            "features": F.slice(F.filter(items, lambda x: F.length(x) >= 8), 1, 10),
+        }
+    ).withColumn("word_count", F.coalesce(text.word_count("_text"), F.lit(0)))
+    success = (F.col("word_count") >= MIN_WORDS) & (F.col("title").isNotNull() | F.col("address").isNotNull())
+    staged = read.withColumn("success", success)
+    trust = F.lit(0.0)
+    for name, (yes, no) in CONFIDENCES.items():
+        trust = F.when(F.col("host_kind") == name, F.when(F.col("success"), yes).otherwise(no)).otherwise(trust)
+    query = F.concat(F.coalesce(F.nullif(squash(F.coalesce("address", "title")), F.lit("")), F.lit("bedrijfspand te koop")), F.lit(" makelaar te koop"))
+    return staged.withColumns(
+        {
+            "confidence": trust,
+            "asking_price": F.col("_price.amount"),
+            "price_status": F.coalesce("_price.status", F.lit("unknown")),
+            "raw_text": F.substring("_text", 1, TEXT_LIMIT),
+            "broker_search_query": F.when(~F.col("success") & (F.col("host_kind") != "other"), query),
+        }
+    ).drop("_text", "_price")
+
+
+# --- cards of a second portal ---------------------------------------------------------------------
+
+CARD = r"""(?is)(<a\b[^>]*href=["'][^"']+["'][^>]*>\s*<div[^>]*class=["'][^"']*\blisting-card\b[^"']*["'].*?</a>)"""
+# Provinces at the end of city labels.
+PROVINCES = [
+    "Drenthe", "Flevoland", "Friesland", "Gelderland", "Groningen", "Limburg", "Noord-Brabant", "Noord-Holland", "Overijssel",
+    "Utrecht", "Zeeland", "Zuid-Holland",
+]
+CARD_PATHS = r"^(https?://[^/]+)?/(pand|koop)/"
+
+
+def _by_class(fragment: Column, tag: str, name: str) -> Column:
+    inner = F.regexp_extract(fragment, rf"""(?is)<{tag}\b[^>]*class=["'][^"']*{name}[^"']*["'][^>]*>(.*?)</{tag}\s*>""", 1)
+    return F.nullif(inner_text(inner), F.lit(""))
+
+
+def listing_cards(pages: DataFrame) -> DataFrame:
+    """One row per card of an overview page that leads to a listing."""
+    found = F.transform(
+        F.regexp_extract_all("html", F.lit(CARD), F.lit(1)),
+        lambda c: F.struct(F.regexp_extract(c, r"""(?is)^<a\b[^>]*href=["']([^"']*)["']""", 1).alias("href"), c.alias("card")),
+    )
+    cards = pages.select("page_id", "url", F.posexplode(found).alias("card_no", "x")).where(F.col("x.href").rlike(CARD_PATHS))
+    card = F.col("x.card")
+    metrics = F.transform(F.regexp_extract_all(card, F.lit(r"""(?is)<span class=["']v["']>(.*?)</span>"""), F.lit(1)), inner_text)
+    thumb = F.regexp_extract(card, r"""(?is)<img\b[^>]*class=["'][^"']*listing-thumb[^"']*["'][^>]*>""", 0)
+    head = F.trim(F.regexp_replace(attribute(thumb, "alt"), r" in .*$", ""))
+    kind = F.when(head.contains(","), F.trim(F.regexp_extract(head, r"^([^,]*),", 1))).when(
+        F.lower(head).endswith(" kluswoning te koop"), "kluswoning"
+    )
+    city, address = _by_class(card, "strong", "mobile-title"), _by_class(card, "span", "min-h-40p")
+    return cards.select(
+        "page_id",
+        "card_no",
+        resolve("url", F.col("x.href")).alias("source_url"),
+        F.nullif(F.concat_ws(" ", address, city), F.lit("")).alias("title"),
+        address.alias("address"),
+        city.alias("city"),
+        numbers.parse_number_nl(_by_class(card, "span", "kvg-price-now")).alias("asking_price"),
+        numbers.parse_number_nl(F.get(metrics, F.lit(1))).alias("living_area"),
+        numbers.parse_number_nl(F.get(metrics, F.lit(2))).alias("plot_area"),
+        resolve("url", attribute(thumb, "src")).alias("image_url"),
+        kind.alias("property_type"),
+    )
+
+
+CITY_LINK = r"""(?is)<a\b[^>]*href=["']([^"']*/kluswoning-[^"']*)["'][^>]*>(.*?)</a>"""
+
+
+def city_links(pages: DataFrame) -> DataFrame:
+    """Links to city pages with municipality, province and number of listings out of their label."""
+    hrefs = F.regexp_extract_all("html", F.lit(CITY_LINK), F.lit(1))
+    labels = F.regexp_extract_all("html", F.lit(CITY_LINK), F.lit(2))
+    rows = pages.select("page_id", F.explode(F.arrays_zip(hrefs.alias("href"), labels.alias("label"))).alias("x")).select(
+        "page_id", F.col("x.href").alias("href"), inner_text(F.col("x.label")).alias("label")
+    )
+    ends = r" (" + "|".join(PROVINCES) + r")$"
+    province = F.nullif(F.regexp_extract("label", ends, 1), F.lit(""))
+    rest = F.trim(F.regexp_replace("label", ends, ""))
+    counted = r"(?i)^(\d+)\s+kluswoning(?:en)?\s+(.*)$"
+    tail = r"^(.*?)(?:\s+(\d+))?$"
+    front = rest.rlike(counted)
+    slug = F.trim(F.regexp_replace(F.translate(F.regexp_extract("href", r"([^/]*)$", 1), "-", " "), r"(?i)\bkluswoning\b", ""))
+    words = F.array_join(F.transform(F.split(slug, r"\s+"), lambda w: F.when(w.isin("en", "van", "de", "den", "der", "het"), w).otherwise(F.initcap(w))), " ")
+    name = F.when(front, F.regexp_extract(rest, counted, 2)).otherwise(
+        F.trim(F.regexp_replace(F.regexp_extract(rest, tail, 1), r"kluswoning(en)?", ""))
+    )
+    count = F.when(front, F.regexp_extract(rest, counted, 1)).otherwise(F.regexp_extract(rest, tail, 2))
+    return rows.select(
+        "page_id",
+        "href",
+        F.coalesce(F.nullif(name, F.lit("")), words).alias("municipality"),
+        province.alias("province"),
+        count.try_cast("int").alias("listing_count"),
+    )
+
+
+def extraction_report(records: DataFrame, by: list[str]) -> DataFrame:
+    """How complete the records of each group are."""
+    short = F.size("missing_fields") > 0
+    return records.groupBy(*by).agg(
+        F.count_if(F.col("url").isNotNull()).alias("imported_listings"),
+        F.count_if(short).alias("listings_with_missing_fields"),
+        F.sum(F.size("missing_fields")).alias("missing_field_count"),
+        F.count_if(F.col("asking_price").isNull()).alias("without_price"),
+    )
+
