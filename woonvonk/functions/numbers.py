@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from woonvonk.functions.casts import col, text_or_null
+from woonvonk.functions.text import contains_any
 
 # Patterns.
 NUMBER_TOKEN = r"([-+]?\d[\d.,]*)"
@@ -64,23 +65,40 @@ def parse_price(value: str | Column) -> Column:
     )
 
 
-def infer_price(text: str | Column) -> Column:
-    """Price fields out of running text; the amount must follow a euro sign."""
+def infer_price_status(text: str | Column) -> Column:
+    """Price status of running text. Each pattern is tried only where one of its words occurs."""
     plain = F.trim(col(text))
     lowered = F.lower(plain)
-    amount = _dutch_number(F.regexp_extract(plain, EURO_NUMBER, 1))
-    on_request = r"\bprijs\s+op\s+aanvraag\b|\bpoa\b|\bop\s+aanvraag\b|\bprijs\s+te\s+bespreken\b|\bn\.v\.t\.?\b"
-    status = (
+
+    def found(words: list[str], pattern: str) -> Column:
+        return contains_any(lowered, words) & lowered.rlike(pattern)
+
+    return (
         F.when(F.coalesce(plain, F.lit("")) == "", "unknown")
-        .when(lowered.rlike(on_request), "on_request")
-        .when(lowered.rlike(r"\b(vanaf|starting from)\b"), "from_price")
-        .when(lowered.rlike(r"\b(veiling|auction)\b"), "auction")
-        .when(lowered.rlike(r"\b(tot|t/m|tot en met)\b") | plain.contains(" - "), "range")
-        .when(amount.isNotNull(), "known")
+        .when(
+            found(
+                ["aanvraag", "poa", "bespreken", "n.v.t"],
+                r"\bprijs\s+op\s+aanvraag\b|\bpoa\b|\bop\s+aanvraag\b|\bprijs\s+te\s+bespreken\b|\bn\.v\.t\.?\b",
+            ),
+            "on_request",
+        )
+        .when(found(["vanaf", "starting from"], r"\b(vanaf|starting from)\b"), "from_price")
+        .when(found(["veiling", "auction"], r"\b(veiling|auction)\b"), "auction")
+        .when(found(["tot", "t/m"], r"\b(tot|t/m|tot en met)\b") | plain.contains(" - "), "range")
+        .when(euro_amount(text).isNotNull(), "known")
         .otherwise("unknown")
     )
-    return F.struct(
-        F.when(status.isin("from_price", "auction", "known"), amount).alias("asking_price"),
-        status.alias("asking_price_status"),
-        F.when(status != "unknown", plain).alias("asking_price_text"),
+
+
+def euro_amount(text: str | Column) -> Column:
+    """Number right after the first euro sign that has one."""
+    return F.when(col(text).contains("€"), _dutch_number(F.regexp_extract(col(text), EURO_NUMBER, 1)))
+
+
+def with_inferred_price(df: DataFrame, text: str) -> DataFrame:
+    """Add ``asking_price``, ``asking_price_status`` and ``asking_price_text`` read from running text."""
+    amount = F.when(F.col("asking_price_status").isin("from_price", "auction", "known"), euro_amount(text))
+    shown = F.when(F.col("asking_price_status") != "unknown", F.trim(col(text)))
+    return df.withColumn("asking_price_status", infer_price_status(text)).withColumns(
+        {"asking_price": amount, "asking_price_text": shown}
     )

@@ -9,10 +9,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from woonvonk.session import materialise
+
 # A listing with more rows than this is worked on in slices of one hour.
 HOT_ROWS = 1_000_000
 # Number of value ranges a group is cut into for ranks and medians.
 RANK_SLICES = 64
+# Distinct values up to this many are ranked with plain windows: they fit one task even in one group.
+WINDOW_ROWS = 1_000_000
 
 
 def first_per_key(df: DataFrame, keys: list, order: list) -> DataFrame:
@@ -27,15 +31,23 @@ def top_n_per_key(df: DataFrame, keys: list, order: list, n: int, rank: str = "r
     return df.withColumn(rank, F.row_number().over(window)).where(F.col(rank) <= n)
 
 
-def value_ranks(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+def value_ranks(df: DataFrame, keys: list[str], value: str, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Per group and distinct value: how many rows have it (``n``), how many are at or below
     (``upto``) and how many values the group has (``total``). NULL values do not count.
 
-    Rows are first collapsed to distinct values with map-side counts. Each group is then cut at
-    approximate percentiles of its values, counted per range, and the ranges are chained through a
-    table of at most ``RANK_SLICES + 1`` rows per group. The counts are exact wherever the cuts lie.
+    Rows are first collapsed to distinct values with map-side counts; that table is computed once. When it
+    is small, one window per group does the rest. Beyond ``window_rows`` each group is cut at approximate
+    percentiles of its values, counted per range, and the ranges are chained through a table of at most
+    ``RANK_SLICES`` rows per group. The counts are exact wherever the cuts lie.
     """
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    counts = materialise(
+        df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("n"))
+    )
+    if counts.limit(window_rows + 1).count() <= window_rows:
+        group = Window.partitionBy(*keys)
+        upto = F.sum("n").over(group.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))
+        return counts.select(*keys, value, "n", upto.alias("upto"), F.sum("n").over(group).alias("total"))
+
     steps = [F.lit(i / RANK_SLICES) for i in range(1, RANK_SLICES)]
     cuts = counts.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, F.array(*steps), F.lit(2000))).alias("cuts")
@@ -81,22 +93,20 @@ def percentile_from_top() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("upto") / F.col("total") * 100.0))
 
 
-def time_sliced(df: DataFrame, key: str, ts: str, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add ``slice_no``: 0 for ordinary keys, the hour number for keys above ``hot_rows`` rows.
+def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, counted map-side first.
 
-    The list of hot keys is broadcast: it has fewer than (all rows / ``hot_rows``) entries, which is
-    at most a million for 10^12 rows at the default.
+    There are fewer than (all rows / ``hot_rows``) of them: at the default at most a million for 10^12 rows.
     """
-    hot = (
-        df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > hot_rows)
-        .select(key, F.lit(True).alias("_hot"))
-    )
+    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return materialise(counts.where(F.col("_rows") > hot_rows).select(key))
+
+
+def _by_hour(df: DataFrame, key: str, ts: str, hot: DataFrame) -> DataFrame:
+    """Add ``slice_no``: 0 for ordinary keys, the hour number for hot ones."""
     hours = F.expr(f"unix_seconds(cast({ts} as timestamp)) div 3600")
-    return (
-        df.join(F.broadcast(hot), key, "left")
-        .withColumn("slice_no", F.when(F.col("_hot"), hours).otherwise(F.lit(0)).cast("bigint"))
-        .drop("_hot")
-    )
+    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
+    return marked.withColumn("slice_no", F.when(F.col("_hot"), hours).otherwise(F.lit(0)).cast("bigint")).drop("_hot")
 
 
 def with_previous(
@@ -112,15 +122,25 @@ def with_previous(
 
     ``previous`` gives the value of the row before, ``previous_filled`` the last non-NULL value before
     the row; ``row_no`` is the 1-based position. ``order`` must be a total order that starts with the
-    time. Ordinary keys are one window partition. Keys above ``hot_rows`` are one partition per hour,
-    and what the hours before end with is carried over through a summary with one row per hour.
+    time. Rows per key are counted first. Ordinary keys are one window partition; keys above ``hot_rows``
+    are one partition per hour, and what the hours before end with is carried over through a summary with
+    one row per hour.
     """
     previous = previous or {}
     filled = previous_filled or {}
     values = {**previous, **filled}
-    sliced = time_sliced(
-        df.select("*", *[c.alias(f"_v_{name}") for name, c in values.items()]), key, ts, hot_rows
-    )
+    valued = df.select("*", *[c.alias(f"_v_{name}") for name, c in values.items()])
+    hot = hot_keys(df, key, hot_rows)
+    if hot.isEmpty():
+        window = Window.partitionBy(key).orderBy(*order)
+        back = window.rowsBetween(Window.unboundedPreceding, -1)
+        return valued.select(
+            *df.columns,
+            F.row_number().over(window).cast("bigint").alias("row_no"),
+            *[F.lag(f"_v_{n}").over(window).alias(n) for n in previous],
+            *[F.last(f"_v_{n}", ignorenulls=True).over(back).alias(n) for n in filled],
+        )
+    sliced = _by_hour(valued, key, ts, hot)
     window = Window.partitionBy(key, "slice_no").orderBy(*order)
     back = window.rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)

@@ -223,12 +223,9 @@ def parse_price_status(spark, sf_dir):
       status AS asking_price_status, CASE WHEN status <> 'unknown' THEN length(t) END AS text_length FROM s""",
 )
 def infer_price_from_text(spark, sf_dir):
-    found = read(spark, sf_dir, "documents").select("doc_id", numbers.infer_price("text").alias("p"))
+    found = numbers.with_inferred_price(read(spark, sf_dir, "documents").select("doc_id", "text"), "text")
     return found.select(
-        "doc_id",
-        "p.asking_price",
-        "p.asking_price_status",
-        F.length("p.asking_price_text").cast("bigint").alias("text_length"),
+        "doc_id", "asking_price", "asking_price_status", F.length("asking_price_text").cast("bigint").alias("text_length")
     )
 
 
@@ -247,9 +244,8 @@ def infer_price_from_text(spark, sf_dir):
     ),
 )
 def infer_price_fields(spark, sf_dir):
-    return view(spark, sf_dir, "raw_fields").select("row_id", numbers.infer_price("price_text").alias("p")).select(
-        "row_id", "p.*"
-    )
+    found = numbers.with_inferred_price(view(spark, sf_dir, "raw_fields").select("row_id", "price_text"), "price_text")
+    return found.select("row_id", "asking_price", "asking_price_status", "asking_price_text")
 
 
 @query(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from woonvonk.functions.casts import code_or, text_or_null
-from woonvonk.functions.numbers import infer_price
+from woonvonk.functions.numbers import with_inferred_price
 from woonvonk.operators.columns import TRANSACTION_TYPES
 
 # --- scan reports ------------------------------------------------------------------------------
@@ -110,7 +110,8 @@ def validate_analyses(documents: DataFrame, body: str = "body", source_text: str
     """Parsed analyses with ``error`` (NULL when fine) and the price fields repaired from the source text."""
     keys = F.json_object_keys(body)
     absent = F.array_except(F.array(*[F.lit(k) for k in REQUIRED_KEYS]), keys)
-    parsed = documents.withColumns({"doc": F.from_json(body, ANALYSIS_SCHEMA), "_keys": keys, "_absent": absent})
+    guessed = with_inferred_price(documents, source_text)
+    parsed = guessed.withColumns({"doc": F.from_json(body, ANALYSIS_SCHEMA), "_keys": keys, "_absent": absent})
 
     def whole(value: Column) -> Column:
         return F.coalesce(value.rlike(r"^-?\d+$"), F.lit(False))
@@ -127,17 +128,16 @@ def validate_analyses(documents: DataFrame, body: str = "body", source_text: str
         .when(F.col("doc.data_quality_warnings").isNull(), "data_quality_warnings is not a list")
     )
     present = F.json_object_keys(F.get_json_object(body, "$.extracted_data"))
-    guess = infer_price(source_text)
     price_given = F.coalesce(F.array_contains(present, "asking_price"), F.lit(False))
     status_given = F.coalesce(F.array_contains(present, "asking_price_status"), F.lit(False))
     return parsed.withColumns(
         {
             "error": error,
-            "asking_price": F.when(price_given, F.col("doc.extracted_data.asking_price").try_cast("double")).otherwise(guess["asking_price"]),
+            "asking_price": F.when(price_given, F.col("doc.extracted_data.asking_price").try_cast("double")).otherwise(F.col("asking_price")),
             "asking_price_status": F.when(
                 status_given, code_or("doc.extracted_data.asking_price_status", PRICE_STATUSES)
-            ).otherwise(guess["asking_price_status"]),
-            "asking_price_text": F.coalesce(F.nullif("doc.extracted_data.asking_price_text", F.lit("")), guess["asking_price_text"]),
+            ).otherwise(F.col("asking_price_status")),
+            "asking_price_text": F.coalesce(F.nullif("doc.extracted_data.asking_price_text", F.lit("")), F.col("asking_price_text")),
         }
     ).drop("_keys", "_absent")
 

@@ -285,9 +285,10 @@ def area_score(line: Column) -> Column:
 def extract_html_fallback(pages: DataFrame) -> DataFrame:
     """Add ``page``: title, heading, address, price, area and description by rules of thumb."""
     picked = with_picked(pages).withColumns(
-        {"_lines": text_lines("html"), "_slug": text.slug_title("url"), "_doc_title": element_text("html", "title")}
+        {"_lines": F.filter(text_lines("html"), lambda x: x.rlike("[0-9]")), "_slug": text.slug_title("url"), "_doc_title": element_text("html", "title")}
     )
     heading = F.col("picked_heading")
+    # Addresses and areas have a digit, which leaves few lines to look at.
     address_line = best_line(F.col("_lines"), lambda x: F.when(looks_like_address(x), text.address_quality(x)))
     address = F.coalesce("picked_address", F.when(looks_like_address(heading), heading), address_line, F.col("_slug.address"))
     based = picked.withColumn("_address", address).withColumn(
