@@ -85,7 +85,7 @@ def extract_jsonld(spark, sf_dir):
 )
 def extract_open_graph(spark, sf_dir):
     return pages.extract_open_graph(view(spark, sf_dir, "portal_pages").select("page_id", "url", "html")).select(
-        "page_id", "og.title", "og.description", F.size("og.images").alias("image_count"), "og.canonical_url"
+        "page_id", F.col("og_title").alias("title"), F.col("og_description").alias("description"), F.size("og_images").alias("image_count"), "canonical_url"
     )
 
 
@@ -101,9 +101,9 @@ def extract_html_fallback(spark, sf_dir):
     base = view(spark, sf_dir, "portal_pages").select("page_id", "url", "html", "kind")
     read_pages = pages.extract_html_fallback(base)
     picked = pages.with_picked(base.select("page_id", "html")).select("page_id", F.col("picked_address"))
-    area = F.when(F.col("kind") == 3, F.col("page.surface_m2"))
+    area = F.when(F.col("kind") == 3, F.col("page_surface_m2"))
     return read_pages.join(picked, "page_id").select(
-        "page_id", "page.heading", "picked_address", "page.asking_price", area.alias("surface_m2"), "page.description"
+        "page_id", F.col("page_heading").alias("heading"), "picked_address", F.col("page_asking_price").alias("asking_price"), area.alias("surface_m2"), F.col("page_description").alias("description")
     )
 
 

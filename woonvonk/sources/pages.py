@@ -157,16 +157,17 @@ def extract_jsonld(pages: DataFrame) -> DataFrame:
 
 
 def extract_open_graph(pages: DataFrame) -> DataFrame:
-    """Add ``og``: share tags and the canonical address."""
-    image = meta_content("html", "og:image")
-    return pages.withColumn(
-        "og",
-        F.struct(
-            meta_content("html", "og:title").alias("title"),
-            meta_content("html", "og:description").alias("description"),
-            F.array_compact(F.array(image)).alias("images"),
-            F.coalesce(link_href("html", "canonical"), F.col("url")).alias("canonical_url"),
-        ),
+    """Add ``og_title``, ``og_description``, ``og_images`` and ``canonical_url``.
+
+    Plain columns rather than a struct: Spark would work a struct's fields out again at every use.
+    """
+    return pages.withColumns(
+        {
+            "og_title": meta_content("html", "og:title"),
+            "og_description": meta_content("html", "og:description"),
+            "og_images": F.array_compact(F.array(meta_content("html", "og:image"))),
+            "canonical_url": F.coalesce(link_href("html", "canonical"), F.col("url")),
+        }
     )
 
 
@@ -283,14 +284,19 @@ def area_score(line: Column) -> Column:
 
 
 def extract_html_fallback(pages: DataFrame) -> DataFrame:
-    """Add ``page``: title, heading, address, price, area and description by rules of thumb."""
+    """Add ``page_<field>``: title, heading, address, price, area and description by rules of thumb."""
     picked = with_picked(pages).withColumns(
-        {"_lines": F.filter(text_lines("html"), lambda x: x.rlike("[0-9]")), "_slug": text.slug_title("url"), "_doc_title": element_text("html", "title")}
+        {
+            "_lines": F.filter(text_lines("html"), lambda x: x.rlike("[0-9]")),
+            "_slug_title": text.slug_title("url")["title"],
+            "_slug_address": text.slug_title("url")["address"],
+            "_doc_title": element_text("html", "title"),
+        }
     )
     heading = F.col("picked_heading")
     # Addresses and areas have a digit, which leaves few lines to look at.
     address_line = best_line(F.col("_lines"), lambda x: F.when(looks_like_address(x), text.address_quality(x)))
-    address = F.coalesce("picked_address", F.when(looks_like_address(heading), heading), address_line, F.col("_slug.address"))
+    address = F.coalesce("picked_address", F.when(looks_like_address(heading), heading), address_line, F.col("_slug_address"))
     based = picked.withColumn("_address", address).withColumn(
         "_postal_code", F.coalesce(text.spaced_postcode(F.coalesce("_address", heading)), text.spaced_postcode(visible_text("html")))
     )
@@ -301,27 +307,26 @@ def extract_html_fallback(pages: DataFrame) -> DataFrame:
         text.compose_address(text.street_part("_address"), F.col("_postal_code"), F.col("_city")),
     )
     surface = F.coalesce(best_line(F.col("_lines"), area_score), F.when(F.col("picked_surface").rlike(r"\d"), F.col("picked_surface")))
-    title = F.coalesce("_doc_title", heading, F.col("_slug.title"))
-    return placed.withColumn(
-        "page",
-        F.struct(
-            F.coalesce(text.clean_title(title), title).alias("title"),
-            heading.alias("heading"),
-            F.coalesce(full, "_address").alias("address"),
-            F.col("_postal_code").alias("postal_code"),
-            F.col("_city").alias("city"),
-            numbers.parse_number_eu("picked_price").alias("asking_price"),
-            numbers.parse_number_eu(surface).alias("surface_m2"),
-            F.col("picked_description").alias("description"),
-        ),
-    ).drop("_lines", "_slug", "_doc_title", "_address", "_postal_code", "_city", *[f"picked_{f}" for f in SELECTORS])
+    title = F.coalesce("_doc_title", heading, F.col("_slug_title"))
+    return placed.withColumns(
+        {
+            "page_title": F.coalesce(text.clean_title(title), title),
+            "page_heading": heading,
+            "page_address": F.coalesce(full, "_address"),
+            "page_postal_code": F.col("_postal_code"),
+            "page_city": F.col("_city"),
+            "page_asking_price": numbers.parse_number_eu("picked_price"),
+            "page_surface_m2": numbers.parse_number_eu(surface),
+            "page_description": F.col("picked_description"),
+        }
+    ).drop("_lines", "_slug_title", "_slug_address", "_doc_title", "_address", "_postal_code", "_city", *[f"picked_{f}" for f in SELECTORS])
 
 
 # Methods with their confidence, best first.
-METHODS = [("ld", "json_ld", 0.9), ("og", "open_graph", 0.7), ("page", "html_fallback", 0.5)]
+METHODS = [("ld.", "json_ld", 0.9), ("og_", "open_graph", 0.7), ("page_", "html_fallback", 0.5)]
 MERGED = {
-    "title": ["ld", "og", "page"], "address": ["ld", "page"], "postal_code": ["ld", "page"], "city": ["ld", "page"],
-    "asking_price": ["ld", "page"], "surface_m2": ["ld", "page"], "property_type": ["ld"], "description": ["ld", "og", "page"],
+    "title": ["ld.", "og_", "page_"], "address": ["ld.", "page_"], "postal_code": ["ld.", "page_"], "city": ["ld.", "page_"],
+    "asking_price": ["ld.", "page_"], "surface_m2": ["ld.", "page_"], "property_type": ["ld."], "description": ["ld.", "og_", "page_"],
 }
 
 
@@ -331,29 +336,34 @@ def merge_extractions(pages: DataFrame) -> DataFrame:
     The first of the three that gives anything names the method and the confidence.
     """
     full = extract_html_fallback(extract_open_graph(extract_jsonld(pages)))
-    values = {f: F.coalesce(*[F.col(f"{s}.{f}") for s in sources]) for f, sources in MERGED.items()}
-    images = F.array_distinct(F.concat(F.coalesce("ld.images", F.array().cast("array<string>")), F.col("og.images")))
-    gave = {
-        s: sum((F.when(F.col(f"{s}.{f}").isNotNull(), 1).otherwise(0) for f, sources in MERGED.items() if s in sources), F.lit(0))
-        + (F.coalesce(F.size(F.col(f"{s}.images")), F.lit(0)) if s != "page" else F.lit(0))
-        for s, _, _ in METHODS
-    }
+    values = {f: F.coalesce(*[F.col(f"{s}{f}") for s in sources]) for f, sources in MERGED.items()}
+    listed = F.coalesce("ld.images", F.array().cast("array<string>"))
+    gave = {s: any_of([F.col(f"{s}{f}").isNotNull() for f, sources in MERGED.items() if s in sources]) for s, _, _ in METHODS}
+    gave["ld."] = gave["ld."] | (F.size(listed) > 0)
+    gave["og_"] = gave["og_"] | (F.size("og_images") > 0)
     method, trust = F.lit("none"), F.lit(0.0)
     for s, name, confidence in reversed(METHODS):
-        method = F.when(gave[s] > 0, name).otherwise(method)
-        trust = F.when(gave[s] > 0, confidence).otherwise(trust)
-    merged = full.withColumns({**values, "images": images, "extraction_method": method, "confidence": trust})
-    better = text.clean_title(
-        text.best_text([(F.col("title"), 90), (F.col("ld.title"), 85), (F.col("og.title"), 80), (F.col("page.heading"), 88), (F.col("page.title"), 76)])
-    )
-    use_better = text.title_quality(better) > text.title_quality("title")
-    titled = merged.withColumn("title", F.when(use_better, better).otherwise(F.col("title")))
+        method = F.when(gave[s], name).otherwise(method)
+        trust = F.when(gave[s], confidence).otherwise(trust)
+    merged = full.withColumns(
+        {
+            **values,
+            "images": F.array_distinct(F.concat(listed, "og_images")),
+            "extraction_method": method,
+            "confidence": trust,
+            "_best_title": text.best_text(
+                [(values["title"], 90), (F.col("ld.title"), 85), (F.col("og_title"), 80), (F.col("page_heading"), 88), (F.col("page_title"), 76)]
+            ),
+        }
+    ).withColumn("_clean_title", text.clean_title("_best_title"))
+    better = text.title_quality("_clean_title") > text.title_quality("title")
+    titled = merged.withColumn("title", F.when(better, F.col("_clean_title")).otherwise(F.col("title")))
     filled = [F.col(c).isNotNull() for c in ("title", "address", "city", "asking_price", "surface_m2", "description")]
-    success = any_of([*filled, F.size("images") > 0])
     none = F.array(F.lit("No useful metadata could be extracted."))
-    return titled.withColumn("success", success).withColumn(
+    judged = titled.withColumn("success", any_of([*filled, F.size("images") > 0]))
+    return judged.withColumn(
         "warnings", F.when(F.col("success"), F.col("ld_warnings")).otherwise(F.concat("ld_warnings", none))
-    )
+    ).drop("_best_title", "_clean_title")
 
 
 # --- detail lists, links, images -----------------------------------------------------------------
@@ -477,14 +487,14 @@ def portal_record(pages: DataFrame) -> DataFrame:
     )
     price_text = F.coalesce(first_value(n, "$.price", "$.offers.price", "$.offers[0].price"), listed("price"), meta_content("html", "product:price:amount"))
     address = F.coalesce(whole, listed("address"))
-    price = numbers.parse_price(price_text)
-    staged = read.withColumns(
+    staged = read.withColumn("_price_text", price_text).withColumns(
         {
             "title": F.coalesce(meta_content("html", "og:title"), element_text("html", "h1"), first_value(n, "$.name", "$.headline")),
             "description": F.coalesce(meta_content("html", "og:description"), meta_content("html", "description"), listed("description"), first_value(n, "$.description")),
             "address": address,
             "city": F.coalesce(first_value(n, "$.address.addressLocality"), text.city_from_tail(address), listed("city")),
-            "_price": price,
+            "asking_price": numbers.parse_price("_price_text")["amount"],
+            "asking_price_status": numbers.parse_price("_price_text")["status"],
             "living_area": numbers.parse_area(F.coalesce(first_value(n, "$.floorSize.value", "$.floorSize", "$.livingArea"), listed("area"))),
             "plot_size": numbers.parse_area(F.coalesce(first_value(n, "$.lotSize.value", "$.lotSize", "$.plotArea"), listed("plot"))),
             "property_type": F.coalesce(first_value(n, "$.propertyType", "$.additionalType", "$['@type']"), listed("type")),
@@ -497,7 +507,7 @@ def portal_record(pages: DataFrame) -> DataFrame:
             "original_asking_price": numbers.parse_number_nl(listed("original")),
             "listing_id": text.digits_in_url("url"),
         }
-    ).withColumns({"asking_price": F.col("_price.amount"), "asking_price_status": F.col("_price.status")})
+    )
     drop = finance.price_reduction("original_asking_price", "asking_price")
     return staged.withColumns(
         {
@@ -507,7 +517,7 @@ def portal_record(pages: DataFrame) -> DataFrame:
             "price_per_m2": finance.price_per_m2("asking_price", "living_area"),
             "missing_fields": F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in RECORD_FIELDS])),
         }
-    ).drop("_n", "_d", "_price")
+    ).drop("_n", "_d", "_price_text")
 
 
 # Success rule and confidences of the generic record, by kind of host.
@@ -550,7 +560,7 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
             "address": address,
             "description": description,
             "_text": visible_text("html"),
-            "_price": numbers.parse_price(F.coalesce(given, description)),
+            "_price_text": F.coalesce(given, description),
             "living_area": numbers.parse_area(first_value(nodes, "$.floorSize.value", "$.floorSize", "$.livingArea")),
             "features": F.slice(F.filter(items, lambda x: F.length(x) >= 8), 1, 10),
         }
@@ -564,12 +574,12 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
     return staged.withColumns(
         {
             "confidence": trust,
-            "asking_price": F.col("_price.amount"),
-            "price_status": F.coalesce("_price.status", F.lit("unknown")),
+            "asking_price": numbers.parse_price("_price_text")["amount"],
+            "price_status": F.coalesce(numbers.parse_price("_price_text")["status"], F.lit("unknown")),
             "raw_text": F.substring("_text", 1, TEXT_LIMIT),
             "broker_search_query": F.when(~F.col("success") & (F.col("host_kind") != "other"), query),
         }
-    ).drop("_text", "_price")
+    ).drop("_text", "_price_text")
 
 
 # --- cards of a second portal ---------------------------------------------------------------------
