@@ -198,7 +198,7 @@ def slug_title(url: str | Column) -> Column:
 def digits_in_url(url: str | Column) -> Column:
     """Digits of the last path segment that has at least four of them."""
     segments = F.filter(F.split(url_path(url), "/"), lambda s: s.rlike(r"\d{4,}"))
-    return F.nullif(F.regexp_extract(F.element_at(F.reverse(segments), 1), r"(\d{4,})", 1), F.lit(""))
+    return F.nullif(F.regexp_extract(F.get(F.reverse(segments), F.lit(0)), r"(\d{4,})", 1), F.lit(""))
 
 
 def path_identifier(url: str | Column) -> Column:

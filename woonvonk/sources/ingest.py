@@ -102,11 +102,11 @@ def feed_items(documents: DataFrame, body: str = "body") -> DataFrame:
     Each item is a map from its field names to JSON text, so that presence of a field can be told from a
     field that is null.
     """
-    items_type = "array<map<string,string>>"
     trimmed = F.trim(body)
-    wrapped = [F.from_json(F.get_json_object(body, f"$.{w}"), items_type) for w in FEED_WRAPPERS]
-    items = F.when(trimmed.startswith("["), F.from_json(trimmed, items_type)).otherwise(F.coalesce(*wrapped))
-    return documents.select("*", F.posexplode(items).alias("item_no", "item")).where(F.col("item").isNotNull())
+    wrapped = [F.from_json(F.get_json_object(body, f"$.{w}"), "array<string>") for w in FEED_WRAPPERS]
+    texts = F.when(trimmed.startswith("["), F.from_json(trimmed, "array<string>")).otherwise(F.coalesce(*wrapped))
+    rows = documents.select("*", F.posexplode(texts).alias("item_no", "_text")).where(F.col("_text").startswith("{"))
+    return rows.withColumn("item", F.from_json("_text", "map<string,string>")).drop("_text")
 
 
 def first_present(item: str | Column, names: list[str]) -> Column:

@@ -93,11 +93,16 @@ def ld_warnings(blocks: Column) -> Column:
 def ld_nodes(blocks: Column) -> Column:
     """Objects of the blocks as JSON texts: list items and each object followed by its graph."""
 
+    none = F.array().cast("array<string>")
+
+    def with_graph(node: Column) -> Column:
+        graph = F.from_json(F.get_json_object(node, "$['@graph']"), "array<string>")
+        return F.concat(F.array(node), F.coalesce(graph, none))
+
     def items(block: Column) -> Column:
-        listed = F.from_json(block, "array<string>")
+        listed = F.coalesce(F.from_json(block, "array<string>"), none)
         objects = F.when(F.startswith(block, F.lit("[")), listed).otherwise(F.array(block))
-        graph = F.from_json(F.get_json_object(block, "$['@graph']"), "array<string>")
-        return F.concat(F.coalesce(objects, F.array().cast("array<string>")), F.coalesce(graph, F.array().cast("array<string>")))
+        return F.flatten(F.transform(objects, with_graph))
 
     sound = F.filter(blocks, lambda b: F.try_parse_json(b).isNotNull())
     return F.filter(F.flatten(F.transform(sound, items)), lambda n: F.startswith(n, F.lit("{")))
