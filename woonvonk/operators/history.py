@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -50,14 +52,13 @@ def snapshot_changes(
     Dropping runs of equal snapshots first or comparing with the direct predecessor is the same thing,
     so one look-back is enough.
     """
-    hashed = snapshots.withColumn("content_hash", content_hash(content))
-    fields = ["content_hash", "asking_price", "listing_status"] + ([description] if description else [])
-    looked = with_previous(
-        hashed, key, ts, order, previous={"_old": F.struct(*fields)}, hot_rows=hot_rows
-    )
-    changed = looked.where((F.col("row_no") == 1) | (F.col("_old.content_hash") != F.col("content_hash")))
+    compared = list(dict.fromkeys([*content, "asking_price", "listing_status", *([description] if description else [])]))
+    looked = with_previous(snapshots, key, ts, order, previous={"_old": F.struct(*compared)}, hot_rows=hot_rows)
+    same = [F.col(f"_old.{c}").eqNullSafe(F.col(c)) for c in content]
+    differs = ~reduce(lambda a, b: a & b, same)
+    kept = looked.where((F.col("row_no") == 1) | differs)
     kind = change_type(F.col("row_no") == 1, F.col("_old"), "asking_price", "listing_status", description)
-    return changed.withColumn("change_type", kind).drop("_old", "row_no")
+    return kept.withColumns({"content_hash": content_hash(content), "change_type": kind}).drop("_old", "row_no")
 
 
 def with_previous_price(

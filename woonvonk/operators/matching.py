@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from woonvonk.functions.casts import text_or_null
 from woonvonk.functions.text import address_components, normalize_source_url, normalize_url
 from woonvonk.operators.skew import first_per_key, top_n_per_key
+from woonvonk.session import broadcast_if_small
 
 # Match tiers, best first, with their confidence.
 TIERS = [
@@ -149,12 +150,12 @@ def two_miss_inactive(listings: DataFrame, sightings: DataFrame, runs: DataFrame
     per sighting; repeats are fine). Gives per listing ``evaluated`` (absent now) and ``mark_inactive``.
     Nothing happens for sources without a previous run, or one that saw nothing.
     """
-    recent = latest_two_runs(runs)
+    recent = broadcast_if_small(latest_two_runs(runs))
     seen = sightings.join(recent, ["source_id", "run_id"]).select("source_id", "listing_id", "run_rank")
     flags = seen.groupBy("source_id", "listing_id").agg(
         F.bool_or(F.col("run_rank") == 1).alias("_now"), F.bool_or(F.col("run_rank") == 2).alias("_before")
     )
-    usable = seen.where("run_rank = 2").select("source_id").distinct()
+    usable = broadcast_if_small(seen.where("run_rank = 2").select("source_id").distinct())
     judged = listings.join(usable, "source_id", "left_semi").join(flags, ["source_id", "listing_id"], "left")
     absent = ~F.coalesce("_now", F.lit(False))
     return judged.select(

@@ -23,7 +23,7 @@ SCAN_SCHEMA = (
 
 def write_scan_reports(reports: DataFrame, path: str) -> None:
     """One JSON document per run, in a folder per source."""
-    reports.write.mode("append").partitionBy("source").json(path)
+    reports.hint("rebalance", "source").write.mode("append").partitionBy("source").json(path)
 
 
 def read_scan_runs(spark: SparkSession, path: str) -> DataFrame:

@@ -1,13 +1,12 @@
 """Landed web pages to listing records.
 
 Tags, attributes, structured data and detail lists are column expressions. Only the text of elements that
-are chosen by class or attribute needs a parser, because elements of one name can be nested; that part is a
-``mapInPandas`` step with the standard library's parser.
+are chosen by class or attribute needs a parser, because elements of one name can be nested; that part is a pandas UDF
+around the standard library's parser.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -250,18 +249,20 @@ def _pick(html: str | None) -> dict[str, str]:
 
 
 def with_picked(pages: DataFrame) -> DataFrame:
-    """Add ``picked_<field>``: the text of the elements that the selectors choose, NULL when there is none."""
+    """Add ``picked_<field>``: the text of the elements that the selectors choose, NULL when there is none.
+
+    Only the page text goes to Python; the other columns stay where they are.
+    """
     fields = list(SELECTORS)
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema) + "".join(
-        f", picked_{f} string" for f in fields
-    )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            picked = batch["html"].map(_pick)
-            yield batch.assign(**{f"picked_{f}": picked.map(lambda p, f=f: p[f] or None) for f in fields})
+    @F.pandas_udf(", ".join(f"{f} string" for f in fields))
+    def pick(html: pd.Series) -> pd.DataFrame:
+        picked = html.map(_pick)
+        return pd.DataFrame({f: picked.map(lambda p, f=f: p[f] or None) for f in fields})
 
-    return pages.mapInPandas(run, schema)
+    return pages.withColumn("_picked", pick("html")).select(
+        *pages.columns, *[F.col(f"_picked.{f}").alias(f"picked_{f}") for f in fields]
+    )
 
 
 def looks_like_address(line: Column) -> Column:

@@ -19,10 +19,12 @@ def table_scan(
 
 
 def append_snapshots(changes: DataFrame, path: str) -> None:
-    """Append changed snapshots, laid out by month so that time ranges prune."""
-    changes.withColumn("observed_month", F.date_format("observed_at", "yyyy-MM")).write.mode("append").partitionBy(
-        "observed_month"
-    ).parquet(path)
+    """Append changed snapshots, laid out by month so that time ranges prune.
+
+    The rebalance keeps files of one month together, splits large months and joins small ones.
+    """
+    monthly = changes.withColumn("observed_month", F.date_format("observed_at", "yyyy-MM"))
+    monthly.hint("rebalance", "observed_month").write.mode("append").partitionBy("observed_month").parquet(path)
 
 
 def clean_enrichments(items: DataFrame) -> DataFrame:

@@ -22,12 +22,13 @@ OBSERVATION_SCHEMA = (
 SCAN_MINUTES = 15
 
 
-def read_observations(spark: SparkSession, path: str, max_files: int | None = None) -> DataFrame:
-    """Stream of landed observation files; ``max_files`` bounds a micro-batch."""
-    reader = spark.readStream.schema(OBSERVATION_SCHEMA)
-    if max_files:
-        reader = reader.option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path)
+def read_observations(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
+    """Stream of landed observation files.
+
+    ``max_bytes`` bounds a micro-batch, and with it what one listing can bring into one task even when it
+    holds a large share of all rows; a backlog is worked off in several micro-batches.
+    """
+    return spark.readStream.schema(OBSERVATION_SCHEMA).option("maxBytesPerTrigger", max_bytes).parquet(path)
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, mode: str = "append"):
@@ -71,7 +72,7 @@ def _kind(old: tuple | None, price, status: str) -> str | None:
 
 
 def _detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # One listing's rows of one micro-batch; the micro-batch is bounded by maxFilesPerTrigger.
+    # One listing's rows of one micro-batch, which the reader bounds by size.
     rows = pd.concat(list(batches)).sort_values(["observed_at", "seq"])
     old = tuple(state.get) if state.exists else None
     kinds = []
