@@ -406,3 +406,54 @@ def scan_report_by_city(results: DataFrame) -> DataFrame:
     )
     unchanged = F.greatest(F.lit(0), F.col("imported") - F.col("new") - F.col("changed"))
     return rolled.withColumn("unchanged", unchanged)
+
+
+# --- assembled details and whole pages ---------------------------------------------------------
+
+# How many child rows a detail shows.
+SHOWN_TRANSACTIONS, SHOWN_PERMITS, SHOWN_LABELS, SHOWN_PRICES = 200, 200, 50, 25
+
+
+def newest_children(rows: DataFrame, key: str, order: list[str], n: int, name: str, columns: list[str]) -> DataFrame:
+    """Newest ``n`` child rows per key as an array; older ones never reach the shuffle."""
+    newest = top_n_per_key(rows, [key], [F.col(c).desc() for c in order], n, "_no")
+    return newest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_no", *columns))).alias(name))
+
+
+def property_detail(properties: DataFrame, analyses: DataFrame, transactions: DataFrame, permits: DataFrame, labels: DataFrame, key: str) -> DataFrame:
+    """Property with its newest analysis and its newest transactions, permits and labels."""
+    latest = first_per_key(analyses, [key], [F.col("created_at").desc(), F.col("analysis_id").desc()])
+    return (
+        properties.join(latest.select(key, "analysis_id", "investment_score"), key, "left")
+        .join(newest_children(transactions, key, ["sale_date", "sale_id"], SHOWN_TRANSACTIONS, "transactions", ["sale_id", "sale_date", "price"]), key, "left")
+        .join(newest_children(permits, key, ["application_date", "permit_id"], SHOWN_PERMITS, "permits", ["permit_id", "status"]), key, "left")
+        .join(newest_children(labels, key, ["registered_on", "label_id"], SHOWN_LABELS, "energy_labels", ["label_id"]), key, "left")
+    )
+
+
+def dashboard_result(runs: DataFrame, sources: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Head row of the dashboard: newest completed run, its source, counters and average scores of the
+    candidates that were detected while it ran."""
+    head = latest_completed_run(runs).select("source_id", "run_id", "started_at", "completed_at", "items_found", "items_new", "items_changed")
+    named = head.join(sources.select("source_id", "source_name"), "source_id", "left")
+    window = head.select(F.struct("started_at", "completed_at").alias("w")).scalar()
+    seen = candidates.withColumn("_w", window)
+    shown = within_scan_window(seen, F.col("_w.started_at"), F.col("_w.completed_at"))
+    scores = shown.agg(
+        F.struct(
+            F.count(F.lit(1)).alias("rows"),
+            F.coalesce(F.round(F.avg("investment_score"), 2), F.lit(0.0)).alias("investment"),
+            F.coalesce(F.round(F.avg("hidden_value_score"), 2), F.lit(0.0)).alias("opportunity"),
+        ).alias("s")
+    ).scalar()
+    return named.withColumn("_s", scores).select(
+        "run_id",
+        F.coalesce("completed_at", "started_at").alias("scan_timestamp"),
+        F.array_distinct(F.array_compact(F.array("source_name"))).alias("source_names"),
+        "items_found",
+        "items_new",
+        "items_changed",
+        F.col("_s.rows").alias("property_count"),
+        F.col("_s.investment").alias("average_investment_score"),
+        F.col("_s.opportunity").alias("average_opportunity_score"),
+    )

@@ -245,3 +245,20 @@ def listing_cards(spark, sf_dir):
 )
 def city_overview(spark, sf_dir):
     return pages.city_links(view(spark, sf_dir, "card_pages")).select("page_id", "municipality", "province", "listing_count")
+
+
+@query(
+    "works_portal_record",
+    with_views(
+        "works_pages",
+        """SELECT page_id, concat('pand::', cast(page_id as varchar)) AS external_listing_id, concat('Straat ', cast(1 + page_id % 90 as varchar)) AS address, 'Breda' AS city, 'Utrecht' AS province,
+        CASE WHEN page_id % 3 = 0 THEN 100000e0 + page_id ELSE (100 + page_id % 900) * 1000e0 END AS asking_price, coalesce(surface_m2, 0) AS living_area, 1250e0 AS plot_size, bedrooms, CASE WHEN construction_year >= 1900 THEN construction_year END AS construction_year,
+        concat('2001-05-0', cast(1 + page_id % 9 as varchar)) AS listed_since, CASE WHEN page_id % 2 = 0 THEN lower(property_type) ELSE 'kluswoning' END AS property_type, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 1 END AS missing_count FROM works_pages""",
+    ),
+)
+def works_portal_record(spark, sf_dir):
+    records = pages.works_record(view(spark, sf_dir, "works_pages").select("page_id", "url", "html"))
+    return records.select(
+        "page_id", "external_listing_id", "address", "city", "province", "asking_price", "living_area", "plot_size", "bedrooms", "construction_year",
+        F.col("listed_since").cast("string").alias("listed_since"), "property_type", F.size("missing_fields").alias("missing_count"),
+    )

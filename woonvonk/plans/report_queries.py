@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from woonvonk.operators import benchmarks, matching, reports
+from woonvonk.operators import benchmarks, deals, matching, reports
 from woonvonk.operators.benchmarks import city_key
+from woonvonk.plans.history_queries import ORDER, ORDER_SQL
 from woonvonk.plans.normalize_queries import HOUSE, POSTCODE, _norm_text, _norm_url
 from woonvonk.plans.registry import query
 from woonvonk.plans.views import r2, read, view, with_views
@@ -751,3 +752,84 @@ def scan_report_by_city(spark, sf_dir):
     return reports.scan_report_by_city(rows)
 
 
+
+
+# --- whole pages --------------------------------------------------------------------------------
+
+
+@query(
+    "property_detail",
+    with_views(
+        "listings candidates sales permits",
+        """WITH a AS (SELECT * FROM candidates QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY detected_at DESC, candidate_id DESC) = 1),
+        t AS (SELECT property_id, count(*) AS n, arg_max(sale_id, (sale_date, sale_id)) AS newest FROM sales GROUP BY 1), p AS (SELECT property_id, count(*) AS n FROM permits GROUP BY 1)
+        SELECT l.listing_id AS property_id, a.candidate_id AS analysis_id, a.investment_score, cast(least(200, coalesce(t.n, 0)) as int) AS transaction_count, t.newest AS newest_sale, cast(least(200, coalesce(p.n, 0)) as int) AS permit_count, cast(least(50, coalesce(t.n, 0)) as int) AS label_count
+        FROM listings l LEFT JOIN a ON a.listing_id = l.listing_id LEFT JOIN t ON t.property_id = l.listing_id LEFT JOIN p ON p.property_id = l.listing_id""",
+    ),
+)
+def property_detail(spark, sf_dir):
+    sales = view(spark, sf_dir, "sales")
+    analyses = view(spark, sf_dir, "candidates").select(
+        F.col("listing_id").alias("property_id"), F.col("candidate_id").alias("analysis_id"), "investment_score", F.col("detected_at").alias("created_at")
+    )
+    labels = sales.select("property_id", F.col("sale_date").alias("registered_on"), F.col("sale_id").alias("label_id"))
+    properties = view(spark, sf_dir, "listings").select(F.col("listing_id").alias("property_id"))
+    detail = reports.property_detail(properties, analyses, sales, view(spark, sf_dir, "permits"), labels, "property_id")
+
+    def size(name):
+        return F.coalesce(F.size(name), F.lit(0))
+
+    return detail.select(
+        "property_id", "analysis_id", "investment_score", size("transactions").alias("transaction_count"),
+        F.get("transactions", F.lit(0))["sale_id"].alias("newest_sale"), size("permits").alias("permit_count"), size("energy_labels").alias("label_count"),
+    )
+
+
+@query(
+    "dashboard_result",
+    with_views(
+        "runs sources observations",
+        f"""WITH r AS (SELECT * FROM runs ORDER BY started_at DESC, run_id DESC LIMIT 1),
+        c AS (SELECT seq % 100 AS s, seq % 90 AS h FROM observations, r WHERE observed_at >= r.started_at AND observed_at <= r.completed_at)
+        SELECT run_id, cast(completed_at as varchar) AS scan_timestamp, source_name AS source_names, items_found, items_new, items_changed, (SELECT count(*) FROM c) AS property_count,
+          {r2('(SELECT avg(s) FROM c)')} AS average_investment_score, {r2('(SELECT avg(h) FROM c)')} AS average_opportunity_score FROM r JOIN sources ON sources.source_id = r.source_id""",
+    ),
+)
+def dashboard_result(spark, sf_dir):
+    found = view(spark, sf_dir, "observations").select(
+        F.col("observed_at").alias("detected_at"), (F.col("seq") % 100).alias("investment_score"), (F.col("seq") % 90).alias("hidden_value_score")
+    )
+    head = reports.dashboard_result(view(spark, sf_dir, "runs"), view(spark, sf_dir, "sources"), found)
+    return head.withColumns(
+        {"scan_timestamp": F.col("scan_timestamp").cast("string"), "source_names": F.array_join("source_names", ",")}
+    )
+
+
+@query(
+    "deal_rows",
+    with_views(
+        "candidates listings sources snapshots",
+        f"""WITH {JOINED_SQL},
+        numbered AS (SELECT *, row_number() OVER w AS rn, last_value(asking_price IGNORE NULLS) OVER (PARTITION BY listing_id ORDER BY {ORDER_SQL} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_price FROM snapshots WINDOW w AS (PARTITION BY listing_id ORDER BY {ORDER_SQL})),
+        counts AS (SELECT listing_id, count(CASE WHEN asking_price < prev_price THEN 1 END) AS drops, cast(min(observed_at) as date) AS oldest FROM numbered GROUP BY listing_id),
+        positive AS (SELECT listing_id, asking_price, row_number() OVER (PARTITION BY listing_id ORDER BY rn) AS rn, count(*) OVER (PARTITION BY listing_id) AS n FROM numbered WHERE asking_price > 0),
+        earlier AS (SELECT p.*, lag(p.asking_price) OVER (PARTITION BY p.listing_id ORDER BY p.rn) AS before FROM positive p LEFT JOIN listings l ON l.listing_id = p.listing_id WHERE p.rn < p.n AND (l.asking_price IS NULL OR abs(p.asking_price - l.asking_price) > 0.009)),
+        steps AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY rn DESC) AS back FROM earlier WHERE before IS NULL OR before <> asking_price),
+        paths AS (SELECT listing_id, string_agg(concat('€ ', replace(format('{{:,}}', cast(asking_price as bigint)), ',', '.')), ' -> ' ORDER BY rn) AS path FROM steps WHERE back <= 25 GROUP BY listing_id),
+        base AS (SELECT j.*, {r2('asking_price / nullif(surface_m2, 0)')} AS ppm2, lower(trim(coalesce(city, 'Onbekend'))) AS city_key FROM joined j),
+        bench AS (SELECT city_key, avg(ppm2) AS avg_ppm2 FROM base GROUP BY city_key)
+        SELECT b.candidate_id, b.listing_id, coalesce(p.path, 'Onbekend') AS vorige_vraagprijzen, coalesce(b.price_reduction_count, cast(c.drops as int), 0) AS price_reduction_count,
+          coalesce(b.days_on_market, CASE WHEN date '2001-08-01' >= c.oldest THEN cast(date '2001-08-01' - c.oldest as int) END) AS days_on_market, b.hidden_value_score AS deal_score, b.investment_score,
+          {r2('b.asking_price - b.latest_woz_value')} AS asking_price_minus_woz_value, {r2('avg_ppm2')} AS city_avg_price_per_m2, {r2('(ppm2 - avg_ppm2) / avg_ppm2 * 100e0')} AS difference_vs_city_avg_pct
+        FROM base b JOIN bench n ON n.city_key = b.city_key LEFT JOIN counts c ON c.listing_id = b.listing_id LEFT JOIN paths p ON p.listing_id = b.listing_id""",
+    ),
+)
+def deal_rows(spark, sf_dir):
+    rows = deals.deal_rows(
+        view(spark, sf_dir, "candidates"), view(spark, sf_dir, "listings"), view(spark, sf_dir, "sources"), view(spark, sf_dir, "snapshots"),
+        ORDER, F.lit("2001-08-01").cast("date"),
+    )
+    return rows.select(
+        "candidate_id", "listing_id", "vorige_vraagprijzen", "price_reduction_count", "days_on_market", "deal_score", "investment_score",
+        "asking_price_minus_woz_value", "city_avg_price_per_m2", "difference_vs_city_avg_pct",
+    )

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from woonvonk.operators import history, matching
+from woonvonk.operators import history
 from woonvonk.plans.registry import query
 from woonvonk.plans.report_queries import MATCH_SQL, _existing, _incoming
 from woonvonk.plans.views import read, view, with_views
 from woonvonk.session import scratch_path
-from woonvonk.sources import documents, ingest, tables
+from woonvonk.sources import documents, ingest, pages, pipeline, tables
 
 # A listing file with gaps: every ninth row lacks its source, every eleventh its URL.
 FILE_ROWS = """
@@ -279,22 +279,64 @@ def mark_candidate_reviewed(spark, sf_dir):
     "manual_ingest",
     with_views(
         "listings",
-        f"""WITH {MATCH_SQL}, fresh AS (SELECT record_id, coalesce(matched_listing_id, 1000000000 + record_id) AS listing_id, matched_listing_id, asking_price, surface_m2, city FROM matched),
-        changed AS (SELECT f.*, CASE WHEN matched_listing_id IS NULL THEN 'new_listing' WHEN l.asking_price + 0 IS DISTINCT FROM f.asking_price THEN 'asking_price_change' WHEN l.surface_m2 IS DISTINCT FROM f.surface_m2 THEN 'content_change' ELSE 'unchanged' END AS change_type
-          FROM fresh f LEFT JOIN listings l ON l.listing_id = f.matched_listing_id)
-        SELECT record_id, listing_id, change_type FROM changed""",
+        f"""WITH {MATCH_SQL}, fresh AS (SELECT coalesce(cast(matched_listing_id as varchar), sha256(regexp_replace(lower(trim(source_url)), '/+$', ''))) AS listing_key, matched_listing_id, record_id, asking_price, surface_m2 FROM matched
+          QUALIFY row_number() OVER (PARTITION BY coalesce(matched_listing_id, 1000000000 + record_id) ORDER BY record_id DESC) = 1)
+        SELECT f.record_id, f.listing_key, CASE WHEN matched_listing_id IS NULL THEN 'new_listing' WHEN l.asking_price IS DISTINCT FROM f.asking_price THEN 'asking_price_change' ELSE 'content_change' END AS change_type
+          FROM fresh f LEFT JOIN listings l ON l.listing_id = f.matched_listing_id
+          WHERE matched_listing_id IS NULL OR l.asking_price IS DISTINCT FROM f.asking_price OR l.surface_m2 IS DISTINCT FROM f.surface_m2""",
     ),
 )
 def manual_ingest(spark, sf_dir):
-    matched = matching.match_listings(_incoming(spark, sf_dir), _existing(spark, sf_dir), [])
-    identified = matched.withColumn("listing_id", F.coalesce("matched_listing_id", F.col("record_id") + F.lit(1000000000)))
-    stored = view(spark, sf_dir, "listings").select(
-        F.col("listing_id").alias("matched_listing_id"), F.struct("asking_price", "surface_m2", F.lit("active").alias("listing_status")).alias("_old")
+    records = _incoming(spark, sf_dir).withColumn("listing_status", F.lit("active"))
+    stored = _existing(spark, sf_dir).withColumn("listing_status", F.lit("active"))
+    # The stored state is also the newest snapshot.
+    snapshots = stored.select(
+        "listing_id", F.lit(1).alias("observed_at"), F.lit(1).alias("snapshot_seq"), "asking_price", "listing_status", "surface_m2"
     )
-    joined = identified.withColumn("listing_status", F.lit("active")).join(stored, "matched_listing_id", "left")
-    kind = history.change_type(F.col("_old").isNull(), F.col("_old"), "asking_price", "listing_status", None)
-    same = F.col("_old").isNotNull() & F.col("_old.asking_price").eqNullSafe(F.col("asking_price")) & F.col("_old.surface_m2").eqNullSafe(F.col("surface_m2"))
-    return joined.select("record_id", "listing_id", F.when(same, "unchanged").otherwise(kind).alias("change_type"))
+    shared = [c for c in stored.columns if c in records.columns]
+    batch = pipeline.ingest_batch(records, stored.select("listing_id", *shared), snapshots)
+    return batch["changes"].select("record_id", "listing_key", "change_type")
+
+
+@query(
+    "manual_ingest_listings",
+    with_views(
+        "listings",
+        f"""WITH {MATCH_SQL} SELECT (SELECT count(*) FROM listings) + (SELECT count(*) FROM matched WHERE matched_listing_id IS NULL) AS listing_count,
+        (SELECT count(*) FROM matched WHERE matched_listing_id IS NULL) AS new_count""",
+    ),
+)
+def manual_ingest_listings(spark, sf_dir):
+    records = _incoming(spark, sf_dir)
+    stored = _existing(spark, sf_dir)
+    shared = [c for c in stored.columns if c in records.columns]
+    status = F.lit("active")
+    snapshots = stored.select(
+        "listing_id", F.lit(1).alias("observed_at"), F.lit(1).alias("snapshot_seq"), "asking_price", status.alias("listing_status"), "surface_m2"
+    )
+    batch = pipeline.ingest_batch(
+        records.withColumn("listing_status", status), stored.select("listing_id", *shared).withColumn("listing_status", status), snapshots
+    )
+    return batch["listings"].agg(
+        F.count(F.lit(1)).alias("listing_count"), F.count_if(F.length("listing_key") == 64).alias("new_count")
+    )
+
+
+@query(
+    "refresh_listing_metadata",
+    with_views(
+        "listings portal_pages",
+        """SELECT l.listing_id, CASE WHEN p.kind = 0 THEN cast(p.price as double) WHEN p.kind = 3 THEN cast(replace(p.price_nl, '.', '') as double) ELSE l.asking_price END AS asking_price, coalesce(l.city, CASE WHEN p.kind = 0 THEN 'Onbekend' END) AS city_if_data
+        FROM listings l JOIN portal_pages p ON p.page_id = l.listing_id WHERE p.kind = 0""",
+    ),
+)
+def refresh_listing_metadata(spark, sf_dir):
+    records = pages.merge_extractions(view(spark, sf_dir, "portal_pages").where("kind = 0").select("page_id", "url", "html"))
+    found = records.select(F.col("page_id").alias("listing_id"), "title", "address", "city", "property_type", "asking_price", "surface_m2")
+    stored = view(spark, sf_dir, "listings").join(found.select("listing_id"), "listing_id", "left_semi")
+    # "Onbekend" on a page counts as missing, so a listing without a city stays without one.
+    merged = pipeline.refresh_metadata(stored, found, "portal")
+    return merged.select("listing_id", "asking_price", F.coalesce("city", F.lit("Onbekend")).alias("city_if_data"))
 
 
 @query(

@@ -251,6 +251,20 @@ _view(
 )
 
 
+# Detail pages of the second portal.
+_view(
+    "works_pages",
+    "part",
+    f"""
+    SELECT listing_id AS page_id, concat('https://klus.example/pand/', cast(listing_id as varchar(20))) AS url, surface_m2, bedrooms, asking_price, construction_year, property_type,
+      concat('<html><head><script type="application/ld+json">{{"@type":"RealEstateListing","datePublished":"2001-05-0', cast(1 + listing_id % 9 as varchar(20)), 'T08:00:00Z","address":{{"postalCode":"1234 AB","addressRegion":"Utrecht"}},"offers":{{"price":"', cast(100000 + listing_id as varchar(20)), '"}},"image":["//img.example/a.jpg"]}}</script></head><body><h1>Straat ', cast(1 + listing_id % 90 as varchar(20)), ' Breda kluswoning te koop</h1>',
+        CASE WHEN listing_id % 2 = 0 THEN concat('<p class="kz-intro">Deze ', lower(property_type), ' in Breda is ruim.</p>') ELSE '' END,
+        CASE WHEN listing_id % 3 = 0 THEN '' ELSE concat('<span class="kvg-price-now">€ ', cast(100 + listing_id % 900 as varchar(20)), '.000</span>') END,
+        '<div class="grid"><div><span>Leefruimte</span> ', cast(coalesce(cast(surface_m2 as int), 0) as varchar(20)), ' m²</div><div>Perceel <b>1.250</b> m²</div>',
+        CASE WHEN bedrooms IS NULL THEN '' ELSE concat('<div>', cast(bedrooms as varchar(20)), ' slaapkamers</div>') END, '<div>Gebouwd in ', cast(coalesce(construction_year, 1899) as varchar(20)), '</div></div></body></html>') AS html
+    FROM ({VIEWS["listings"][1].strip()}) base""",
+)
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -165,6 +165,7 @@ def normalize_records(records: DataFrame, default_source: str) -> DataFrame:
         url.isNotNull().alias("success"),
         F.when(url.isNull(), "ValueError: Missing required source_url").alias("error"),
         F.when(url.isNotNull(), listing).alias("listing"),
+        F.to_json(F.struct(*records.columns)).alias("raw_payload"),
     )
 
 

@@ -675,3 +675,63 @@ def extraction_report(records: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(F.col("asking_price").isNull()).alias("without_price"),
     )
 
+
+
+# --- detail pages of the second portal -------------------------------------------------------------
+
+# How this portal names a home and labels its measures.
+TITLE_PARTS = r"^(.*?)\s+([A-Z][A-Za-zÀ-ÿ' -]+)\s+kluswoning te koop$"
+INTRO_TYPE = r"(?i)^Deze\s+([a-zA-ZÀ-ÿ0-9\- ]+?)\s+in\s"
+LEAF_DIV = r"(?is)<div\b[^>]*>([^<]*(?:<(?!/?div\b)[^>]*>[^<]*)*)</div>"
+MEASURES = {"living_area": ["leefruimte", "woonoppervlakte"], "plot_size": ["perceel"], "bedrooms": ["slaapkamer"], "built": ["gebouwd in"]}
+WORKS_FIELDS = ["title", "address", "city", "asking_price", "living_area", "plot_size", "property_type", "description"]
+
+
+def works_record(pages: DataFrame) -> DataFrame:
+    """Listing record of a detail page of the second portal: headings, measures in boxes, structured data."""
+    nodes = ld_nodes(ld_blocks("html"))
+    listing = F.filter(nodes, lambda n: F.lower(F.get_json_object(n, "$['@type']")) == "realestatelisting")
+    boxes = F.transform(F.regexp_extract_all("html", F.lit(LEAF_DIV), F.lit(1)), inner_text)
+    read = images(pages).withColumns({"_n": listing, "_all": nodes, "_boxes": boxes})
+
+    def box(name: str) -> Column:
+        return F.get(F.filter("_boxes", lambda b: text.contains_any(F.lower(b), MEASURES[name])), F.lit(0))
+
+    n = F.col("_n")
+    heading = F.coalesce(element_text("html", "h1"), meta_content("html", "og:title"), element_text("html", "title"))
+    intro = F.nullif(inner_text(F.regexp_extract("html", r"""(?is)<p\b[^>]*class=["'][^"']*kz-intro[^"']*["'][^>]*>(.*?)</p>""", 1)), F.lit(""))
+    whole = F.concat_ws(", ", first_value(n, "$.address.streetAddress"), first_value(n, "$.address.postalCode"), first_value(n, "$.address.addressLocality"))
+    staged = read.withColumns({"title": heading, "_intro": intro})
+    canonical = F.coalesce(meta_content("html", "og:url"), link_href("html", "canonical"), F.col("url"))
+    filled = staged.withColumns(
+        {
+            "canonical_url": canonical,
+            "address": F.coalesce(F.nullif(F.regexp_extract("title", TITLE_PARTS, 1), F.lit("")), F.nullif(whole, F.lit(""))),
+            "city": F.coalesce(F.nullif(F.regexp_extract("title", TITLE_PARTS, 2), F.lit("")), first_value(n, "$.address.addressLocality")),
+            "province": first_value(n, "$.address.addressRegion"),
+            "postal_code": first_value(n, "$.address.postalCode"),
+            "asking_price": F.coalesce(
+                numbers.parse_price(_by_class(F.col("html"), "span", "kvg-price-now"))["amount"], first_value(n, "$.offers.price").try_cast("double")
+            ),
+            "living_area": numbers.parse_number_nl(box("living_area")),
+            "plot_size": numbers.parse_number_nl(box("plot_size")),
+            "bedrooms": numbers.parse_number_nl(box("bedrooms")).try_cast("int"),
+            "construction_year": F.regexp_extract(box("built"), r"\b((?:19|20)\d{2})\b", 1).try_cast("int"),
+            "listed_since": dates.zulu_date(F.coalesce(first_value(F.col("_all"), "$.datePublished", "$.dateCreated"), meta_content("html", "article:published_time"))),
+            "property_type": F.coalesce(
+                F.nullif(F.regexp_extract("_intro", INTRO_TYPE, 1), F.lit("")),
+                F.when(F.lower("title").contains("kluswoning"), "kluswoning"),
+                first_value(n, "$.additionalType", "$.propertyType", "$['@type']"),
+                F.lit("kluswoning"),
+            ),
+            "description": F.coalesce("_intro", meta_content("html", "og:description"), meta_content("html", "description")),
+        }
+    )
+    return filled.withColumns(
+        {
+            "external_listing_id": text.path_identifier("canonical_url"),
+            "asking_price_status": F.when(F.col("asking_price").isNotNull(), "known").otherwise("unknown"),
+            "listing_status": F.lit("active"),
+            "missing_fields": F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in WORKS_FIELDS])),
+        }
+    ).drop("_n", "_all", "_boxes", "_intro")
