@@ -15,6 +15,15 @@ def city_key(city: str = "city") -> Column:
     return F.lower(F.trim(F.coalesce(F.nullif(F.trim(city), F.lit("")), F.lit("Onbekend"))))
 
 
+def exact_sum(value: str, decimals: int = 2) -> Column:
+    """Sum of values with that many decimals, the same whatever the order of the rows."""
+    return F.sum(F.col(value).cast(f"decimal(20,{decimals})")).cast("double")
+
+
+def exact_mean(value: str, decimals: int = 2) -> Column:
+    return F.try_divide(exact_sum(value, decimals), F.count(value))
+
+
 def with_ppm2(df: DataFrame, name: str = "price_per_m2", area: str = "surface_m2") -> DataFrame:
     """Price per m², NULL without price or area."""
     return df.withColumn(name, F.round(finance.ratio("asking_price", area), 2))
@@ -23,7 +32,7 @@ def with_ppm2(df: DataFrame, name: str = "price_per_m2", area: str = "surface_m2
 def city_benchmarks(df: DataFrame, key: str = "city_key") -> DataFrame:
     """Per city the average price per m² and the exact median price; expects ``price_per_m2``."""
     averages = df.groupBy(key).agg(
-        F.avg("price_per_m2").alias("avg_price_per_m2"),
+        exact_mean("price_per_m2").alias("avg_price_per_m2"),
         F.count(F.lit(1)).alias("listing_count"),
         F.count("asking_price").alias("priced_count"),
     )
@@ -47,7 +56,7 @@ def portfolio_benchmarks(df: DataFrame, fallback: float | None = None) -> DataFr
     """One row: average and median price per m², and how many rows there are."""
     everything = df.withColumn("_all", F.lit(1))
     averages = everything.groupBy("_all").agg(
-        F.avg("price_per_m2").alias("average"), F.count(F.lit(1)).alias("sample_size")
+        exact_mean("price_per_m2").alias("average"), F.count(F.lit(1)).alias("sample_size")
     )
     medians = medians_from_ranks(
         value_ranks(everything, ["_all"], "price_per_m2"), ["_all"], "price_per_m2", "median"
@@ -60,9 +69,9 @@ def portfolio_benchmarks(df: DataFrame, fallback: float | None = None) -> DataFr
 
 
 def leave_one_out(df: DataFrame, value: str = "price_per_m2", name: str = "peer_average") -> DataFrame:
-    """Average of everybody else's value: the total without the own share. The total is one row."""
+    """Average of everybody else's value (two decimals): the total without the own share. The total is one row."""
     totals = df.agg(
-        F.struct(F.sum(value).alias("total"), F.count(value).alias("filled"), F.count(F.lit(1)).alias("rows")).alias("t")
+        F.struct(exact_sum(value).alias("total"), F.count(value).alias("filled"), F.count(F.lit(1)).alias("rows")).alias("t")
     ).scalar()
     own = F.coalesce(F.col(value), F.lit(0.0))
     others = F.col("_t.filled") - F.when(F.col(value).isNotNull(), 1).otherwise(0)
@@ -127,7 +136,7 @@ def comps_summary(comps: DataFrame, key: str = "subject_id", order: str = "comp_
     low = F.struct(F.col("price_per_m2"), F.col(order))
     high = F.struct(F.col("price_per_m2"), F.col(order))
     rolled = priced.groupBy(key).agg(
-        F.round(F.avg("price_per_m2"), 2).alias("average_price_per_m2"),
+        F.round(exact_mean("price_per_m2"), 2).alias("average_price_per_m2"),
         F.min(low)[order].alias("lowest_comparable"),
         F.max(high)[order].alias("highest_comparable"),
         F.min("price_per_m2").alias("lowest_price_per_m2"),

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from woonvonk.functions import bands, finance
 from woonvonk.functions.casts import clamp_score
 from woonvonk.functions.text import normalize_type, source_domain, squash
-from woonvonk.operators.benchmarks import leave_one_out
+from woonvonk.operators.benchmarks import exact_mean, leave_one_out
 from woonvonk.operators.scoring import total
 from woonvonk.session import broadcast_if_small
 
@@ -188,7 +188,7 @@ def with_peers(df: DataFrame, portfolio: DataFrame | None = None) -> DataFrame:
     if portfolio is None:
         return leave_one_out(df, "ppm2", "peer_average")
     rolled = portfolio.agg(
-        F.struct(F.round(F.avg("ppm2"), 2).alias("average"), F.count(F.lit(1)).alias("size")).alias("p")
+        F.struct(F.round(exact_mean("ppm2"), 2).alias("average"), F.count(F.lit(1)).alias("size")).alias("p")
     ).scalar()
     return df.withColumn("_p", rolled).select(
         *df.columns, F.col("_p.average").alias("peer_average"), F.col("_p.size").alias("peer_average_size")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from woonvonk.functions.casts import text_or_null
 from woonvonk.functions.text import address_key, municipality_slug, strip_accents
+from woonvonk.operators.benchmarks import exact_mean
 from woonvonk.operators.skew import first_per_key, top_n_per_key
 from woonvonk.session import broadcast_if_small
 
@@ -344,12 +345,13 @@ def selection_summary(places: Column, n: int = SHOWN_PLACES) -> Column:
 def scan_summary(items: DataFrame, by: list[str]) -> DataFrame:
     """Per run: full, partial and failed imports and the mean import time."""
     ok = F.col("import_status").isin("fully_imported", "partially_imported")
-    return items.groupBy(*by).agg(
+    timed = items.withColumn("_seconds", F.when(ok, F.col("import_seconds")))
+    return timed.groupBy(*by).agg(
         F.count(F.lit(1)).alias("listings_found"),
         F.count_if(F.col("import_status") == "fully_imported").alias("fully_imported"),
         F.count_if(F.col("import_status") == "partially_imported").alias("partially_imported"),
         F.count_if(~F.coalesce(ok, F.lit(False))).alias("listings_failed"),
-        F.coalesce(F.round(F.avg(F.when(ok, F.col("import_seconds"))), 3), F.lit(0.0)).alias("average_import_seconds"),
+        F.coalesce(F.round(exact_mean("_seconds", 3), 3), F.lit(0.0)).alias("average_import_seconds"),
     )
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from woonvonk.operators import investment, opportunity
 from woonvonk.plans.registry import query
-from woonvonk.plans.views import r2, view, with_views
+from woonvonk.plans.views import mean, r2, view, with_views
 
 YEAR = 2026
 
@@ -22,7 +22,7 @@ def _measures(peer: str) -> str:
     return f"""
 m AS (SELECT *, {r2('asking_price / nullif(surface_m2, 0)')} AS ppm2, construction_year AS building_year, {YEAR} - construction_year AS age,
     replace(replace(lower(trim(property_type)), '_', ' '), '-', ' ') AS kind, regexp_extract(lower(source_url), '(portal\\d+)\\.', 1) AS portal FROM listings),
-t AS (SELECT sum(ppm2) AS total, count(ppm2) AS filled, count(*) AS n, avg(ppm2) AS mean FROM m),
+t AS (SELECT cast(sum(cast(ppm2 as decimal(18, 2))) as double) AS total, count(ppm2) AS filled, count(*) AS n, {mean('ppm2')} AS mean FROM m),
 p AS (SELECT m.*, {peer} AS peer FROM m, t),
 q AS (SELECT *, coalesce(neighborhood_m2_price_average, peer) AS hood FROM p)"""
 

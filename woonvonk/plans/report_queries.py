@@ -9,7 +9,7 @@ from woonvonk.operators.benchmarks import city_key
 from woonvonk.plans.history_queries import ORDER, ORDER_SQL
 from woonvonk.plans.normalize_queries import HOUSE, POSTCODE, _norm_text, _norm_url
 from woonvonk.plans.registry import query
-from woonvonk.plans.views import r2, read, view, with_views
+from woonvonk.plans.views import mean, r2, read, view, with_views
 
 # Incoming records: every third listing again, disturbed so that each tier is needed.
 INCOMING = """
@@ -674,7 +674,7 @@ ITEMS_SQL = """items AS (SELECT user_id % 5 AS source_id, CASE WHEN event_type =
   cast(event_id % 700 as double) / 1000e0 AS import_seconds FROM events),
 summary AS (SELECT source_id, count(*) AS listings_found, count(CASE WHEN import_status = 'fully_imported' THEN 1 END) AS fully_imported, count(CASE WHEN import_status = 'partially_imported' THEN 1 END) AS partially_imported,
   count(CASE WHEN import_status = 'failed' THEN 1 END) AS listings_failed, {avg} AS average_import_seconds FROM items GROUP BY source_id)""".format(
-    avg=r2("avg(CASE WHEN import_status <> 'failed' THEN import_seconds END)", 3)
+    avg=r2(mean("CASE WHEN import_status <> 'failed' THEN import_seconds END", 3), 3)
 )
 
 
@@ -817,7 +817,7 @@ def dashboard_result(spark, sf_dir):
         steps AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY rn DESC) AS back FROM earlier WHERE before IS NULL OR before <> asking_price),
         paths AS (SELECT listing_id, string_agg(concat('€ ', replace(format('{{:,}}', cast(asking_price as bigint)), ',', '.')), ' -> ' ORDER BY rn) AS path FROM steps WHERE back <= 25 GROUP BY listing_id),
         base AS (SELECT j.*, {r2('asking_price / nullif(surface_m2, 0)')} AS ppm2, lower(trim(coalesce(city, 'Onbekend'))) AS city_key FROM joined j),
-        bench AS (SELECT city_key, avg(ppm2) AS avg_ppm2 FROM base GROUP BY city_key)
+        bench AS (SELECT city_key, {mean('ppm2')} AS avg_ppm2 FROM base GROUP BY city_key)
         SELECT b.candidate_id, b.listing_id, coalesce(p.path, 'Onbekend') AS vorige_vraagprijzen, coalesce(b.price_reduction_count, cast(c.drops as int), 0) AS price_reduction_count,
           coalesce(b.days_on_market, CASE WHEN date '2001-08-01' >= c.oldest THEN cast(date '2001-08-01' - c.oldest as int) END) AS days_on_market, b.hidden_value_score AS deal_score, b.investment_score,
           {r2('b.asking_price - b.latest_woz_value')} AS asking_price_minus_woz_value, {r2('avg_ppm2')} AS city_avg_price_per_m2, {r2('(ppm2 - avg_ppm2) / avg_ppm2 * 100e0')} AS difference_vs_city_avg_pct

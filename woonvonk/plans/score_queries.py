@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 from woonvonk.functions import bands, finance
 from woonvonk.operators import benchmarks, scoring
 from woonvonk.plans.registry import query
-from woonvonk.plans.views import r2, read, view, with_views
+from woonvonk.plans.views import mean, r2, read, view, with_views
 
 # Listings with price per m², city group, benchmarks and the quick investment score.
 BASE_SQL = f"""
 base AS (
   SELECT *, {r2('asking_price / nullif(surface_m2, 0)')} AS ppm2, lower(trim(coalesce(nullif(trim(city), ''), 'Onbekend'))) AS city_key
   FROM listings),
-bench AS (SELECT city_key, avg(ppm2) AS avg_ppm2, median(asking_price) AS median_price, count(*) AS listing_count,
+bench AS (SELECT city_key, {mean('ppm2')} AS avg_ppm2, median(asking_price) AS median_price, count(*) AS listing_count,
   count(asking_price) AS priced_count FROM base GROUP BY city_key)"""
 
 K2_SQL = """(CASE WHEN ppm2 < avg_ppm2 THEN 25 ELSE 0 END + CASE WHEN surface_m2 > 100 THEN 20 ELSE 0 END
@@ -204,7 +204,7 @@ def city_benchmark_join(spark, sf_dir):
     "portfolio_benchmarks",
     with_views(
         "listings",
-        f"""WITH {BASE_SQL} SELECT {r2('avg(ppm2)')} AS average_price_per_m2, {r2('median(ppm2)')} AS median_price_per_m2, count(*) AS sample_size FROM base""",
+        f"""WITH {BASE_SQL} SELECT {r2(mean('ppm2'))} AS average_price_per_m2, {r2('median(ppm2)')} AS median_price_per_m2, count(*) AS sample_size FROM base""",
     ),
 )
 def portfolio_benchmarks(spark, sf_dir):
@@ -215,7 +215,7 @@ def portfolio_benchmarks(spark, sf_dir):
     "leave_one_out_benchmark",
     with_views(
         "listings",
-        f"""WITH {BASE_SQL}, t AS (SELECT sum(ppm2) AS total, count(ppm2) AS filled, count(*) AS n FROM base)
+        f"""WITH {BASE_SQL}, t AS (SELECT cast(sum(cast(ppm2 as decimal(18, 2))) as double) AS total, count(ppm2) AS filled, count(*) AS n FROM base)
         SELECT listing_id, {r2('(total - coalesce(ppm2, 0)) / nullif(filled - CASE WHEN ppm2 IS NULL THEN 0 ELSE 1 END, 0)')} AS peer_average, n - 1 AS peer_average_size
         FROM base, t""",
     ),
@@ -270,8 +270,8 @@ def investment_score_quick(spark, sf_dir):
 
 PIPELINE_SQL = f"""
 base AS (SELECT *, {r2('nullif(asking_price, 0) / nullif(surface_m2, 0)')} AS ppm2, lower(trim(city)) AS city_key FROM listings),
-bench AS (SELECT city_key, {r2('avg(ppm2)')} AS avg_ppm2, {r2('median(asking_price)')} AS median_price FROM base WHERE city_key IS NOT NULL GROUP BY city_key
-  UNION ALL SELECT NULL, {r2('avg(ppm2)')}, {r2('median(asking_price)')} FROM base),
+bench AS (SELECT city_key, {r2(mean('ppm2'))} AS avg_ppm2, {r2('median(asking_price)')} AS median_price FROM base WHERE city_key IS NOT NULL GROUP BY city_key
+  UNION ALL SELECT NULL, {r2(mean('ppm2'))}, {r2('median(asking_price)')} FROM base),
 joined AS (SELECT b.*, n.avg_ppm2, n.median_price FROM base b JOIN bench n ON n.city_key IS NOT DISTINCT FROM b.city_key),
 inv AS (SELECT *, {K2_SQL} AS investment_score FROM joined),
 opp AS (SELECT *, greatest(0, least(100, cast(round_even(investment_score * 0.55e0
@@ -727,7 +727,7 @@ def comparables(spark, sf_dir):
     "comps_summary",
     with_views(
         "listings comps",
-        f"""WITH {COMPS_SQL} SELECT subject_id, {r2('avg(price_per_m2)')} AS average_price_per_m2, arg_min(comp_id, (price_per_m2, comp_id)) AS lowest_comparable,
+        f"""WITH {COMPS_SQL} SELECT subject_id, {r2(mean('price_per_m2'))} AS average_price_per_m2, arg_min(comp_id, (price_per_m2, comp_id)) AS lowest_comparable,
         arg_max(comp_id, (price_per_m2, comp_id)) AS highest_comparable, min(price_per_m2) AS lowest_price_per_m2, max(price_per_m2) AS highest_price_per_m2,
         {r2('median(price_per_m2)')} AS median_price_per_m2 FROM c WHERE price_per_m2 IS NOT NULL GROUP BY subject_id""",
     ),

@@ -290,3 +290,8 @@ def with_views(names: str, body: str) -> str:
 def r2(expression: str, decimals: int = 2) -> str:
     """Half-up rounding on the shortest decimal form of a double, as Spark rounds."""
     return f"cast(round(cast(cast(cast({expression} as double) as varchar) as decimal(38, 14)), {decimals}) as double)"
+
+
+def mean(expression: str, decimals: int = 2) -> str:
+    """Mean of values with that many decimals, the same whatever the order of the rows."""
+    return f"(cast(sum(cast({expression} as decimal(18, {decimals}))) as double) / nullif(count({expression}), 0))"
