@@ -270,7 +270,7 @@ def normalize_identifier(value: str | Column) -> Column:
     """Digits without leading zeros; text without digits in lower case."""
     text = F.trim(F.coalesce(col(value).cast("string"), F.lit("")))
     digits = F.regexp_replace(text, r"[^0-9]", "")
-    short = F.regexp_replace(digits, r"^0+(?=.)", "")
+    short = F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0"))
     return F.when(digits != "", short).otherwise(F.lower(text))
 
 

@@ -41,35 +41,65 @@ def with_expected(properties: DataFrame) -> DataFrame:
     return properties.withColumn("want", register_address("address", "postal_code"))
 
 
+def _prepared_properties(properties: DataFrame) -> DataFrame:
+    """Everything the scores compare on the property side, worked out once per property."""
+
+    def known_id(name: str) -> Column:
+        if name not in properties.columns:
+            return F.lit(None).cast("string")
+        return F.when(F.coalesce(F.trim(name), F.lit("")) != "", normalize_identifier(name))
+
+    return with_expected(properties).withColumns(
+        {
+            "_w_street": F.nullif(F.lower(squash(F.col("want.street_name"))), F.lit("")),
+            "_w_city": F.nullif(_text("city"), F.lit("")),
+            "_w_address_id": known_id("preferred_address_id"),
+            "_w_object_id": known_id("preferred_object_id"),
+        }
+    )
+
+
+def _prepared_records(records: DataFrame) -> DataFrame:
+    """The same on the record side, once per record."""
+    usage = text_or_null("usage_purpose")
+    return records.withColumns(
+        {
+            "_r_type": _text("doc_type"),
+            "_r_postcode": compact_postcode("doc_postcode", LOOSE_POSTCODE),
+            "_r_letter": _code("doc_letter"),
+            "_r_addition": _code("doc_addition"),
+            "_r_street": _text("doc_street"),
+            "_r_city": _text("doc_city"),
+            "_r_address_id": normalize_identifier("address_id"),
+            "_r_object_id": normalize_identifier("object_id"),
+            "_r_home": F.when(usage.isNotNull(), residential(usage)),
+        }
+    )
+
+
 def residential(usage: Column) -> Column:
     return F.coalesce(F.lower(usage).contains("woon"), F.lit(False))
 
 
 def candidate_score() -> Column:
-    """Additive agreement of a record with a property.
+    """Additive agreement of a record with a property, over the prepared columns of both.
 
     Record columns: doc_type, doc_postcode, doc_number, doc_letter, doc_addition, doc_street, doc_city,
     usage_purpose, official_area, address_id, object_id, relevance; the property's tax record may give
     preferred_address_id and preferred_object_id.
     """
-    usage = text_or_null("usage_purpose")
-
-    def preferred(name: str, other: str) -> Column:
-        known = F.coalesce(F.trim(name), F.lit("")) != ""
-        return known & (normalize_identifier(name) == normalize_identifier(other))
-
     return total(
-        points(_text("doc_type") == "adres", 35),
-        points(F.col("want.postcode") == compact_postcode("doc_postcode", LOOSE_POSTCODE), 20),
+        points(F.col("_r_type") == "adres", 35),
+        points(F.col("want.postcode") == F.col("_r_postcode"), 20),
         points(F.col("want.house_number") == F.col("doc_number"), 15),
-        _agreement(F.col("want.house_letter"), _code("doc_letter"), 14, 10),
-        _agreement(F.col("want.house_number_addition"), _code("doc_addition"), 14, 10),
-        points(_same(F.lower(squash(F.col("want.street_name"))), _text("doc_street")), 10),
-        points(_same(_text("city"), _text("doc_city")), 8),
-        F.when(usage.isNull(), 0).when(residential(usage), 22).otherwise(-12),
+        _agreement(F.col("want.house_letter"), F.col("_r_letter"), 14, 10),
+        _agreement(F.col("want.house_number_addition"), F.col("_r_addition"), 14, 10),
+        points(F.col("_w_street") == F.col("_r_street"), 10),
+        points(F.col("_w_city") == F.col("_r_city"), 8),
+        F.when(F.col("_r_home"), 22).when(~F.col("_r_home"), -12).otherwise(0),
         points(F.col("official_area") != 0, 8),
-        points(preferred("preferred_address_id", "address_id"), 10),
-        points(preferred("preferred_object_id", "object_id"), 12),
+        points(F.col("_w_address_id") == F.col("_r_address_id"), 10),
+        points(F.col("_w_object_id") == F.col("_r_object_id"), 12),
         F.coalesce(F.bround("relevance").cast("int"), F.lit(0)),
     )
 
@@ -77,14 +107,14 @@ def candidate_score() -> Column:
 def address_score() -> Column:
     """Agreement when only the address records are known (ties go to the higher relevance)."""
     return total(
-        points(_text("doc_type") == "adres", 40),
+        points(F.col("_r_type") == "adres", 40),
         points(F.col("want.postcode") == F.upper(F.translate("doc_postcode", " ", "")), 30),
         points(F.col("want.house_number") == F.col("doc_number"), 15),
-        points(_same(F.col("want.house_letter"), _code("doc_letter")), 8),
-        points(_same(F.col("want.house_number_addition"), _code("doc_addition")), 8),
-        points(_same(F.lower(squash(F.col("want.street_name"))), _text("doc_street")), 14),
-        points(residential(F.col("usage_purpose")), 8),
-        points(_same(_text("city"), _text("doc_city")), 8),
+        points(_same(F.col("want.house_letter"), F.col("_r_letter")), 8),
+        points(_same(F.col("want.house_number_addition"), F.col("_r_addition")), 8),
+        points(F.col("_w_street") == F.col("_r_street"), 14),
+        points(F.col("_r_home"), 8),
+        points(F.col("_w_city") == F.col("_r_city"), 8),
     )
 
 
@@ -94,7 +124,7 @@ def match_records(properties: DataFrame, records: DataFrame, key: str = "propert
     Records are landed per property, so this is an equi-join on the property; the winner is a mergeable
     maximum and the number of records a count, so no group is collected. Properties without a record stay.
     """
-    pairs = with_expected(properties).join(records, key)
+    pairs = _prepared_properties(properties).join(_prepared_records(records), key)
     doc_columns = [c for c in records.columns if c != key]
     scored = pairs.withColumn("match_score", candidate_score())
     best = scored.groupBy(key).agg(
@@ -108,10 +138,11 @@ def match_records(properties: DataFrame, records: DataFrame, key: str = "propert
 
 
 def best_address(properties: DataFrame, records: DataFrame, key: str = "property_id", order: str = "doc_no") -> DataFrame:
-    scored = with_expected(properties).join(records, key).withColumn("address_score", address_score())
-    return first_per_key(
+    scored = _prepared_properties(properties).join(_prepared_records(records), key).withColumn("address_score", address_score())
+    best = first_per_key(
         scored, [key], [F.col("address_score").desc(), F.coalesce("relevance", F.lit(0.0)).desc(), F.col(order)]
-    ).drop("want")
+    )
+    return best.select(*properties.columns, *[c for c in records.columns if c != key], "address_score")
 
 
 def confidence(found: str = "doc_no") -> Column:

@@ -17,6 +17,7 @@ from woonvonk.functions import dates, finance, numbers, text
 from woonvonk.functions.casts import col, first_digits
 from woonvonk.functions.text import squash
 from woonvonk.operators.columns import any_of
+from woonvonk.session import spread
 
 # Named characters in pages.
 ENTITIES = {
@@ -341,7 +342,7 @@ def merge_extractions(pages: DataFrame) -> DataFrame:
 
     The first of the three that gives anything names the method and the confidence.
     """
-    full = extract_html_fallback(extract_open_graph(extract_jsonld(pages)))
+    full = extract_html_fallback(extract_open_graph(extract_jsonld(spread(pages))))
     values = {f: F.coalesce(*[F.col(f"{s}{f}") for s in sources]) for f, sources in MERGED.items()}
     listed = F.coalesce("ld.images", F.array().cast("array<string>"))
     gave = {s: any_of([F.col(f"{s}{f}").isNotNull() for f, sources in MERGED.items() if s in sources]) for s, _, _ in METHODS}
@@ -481,7 +482,7 @@ def history_confidence(listed_since, reductions, original) -> Column:
 
 def portal_record(pages: DataFrame) -> DataFrame:
     """Listing record of a portal page: share tags and headings, structured data, then the detail list."""
-    read = images(pages).withColumns({"_n": ld_nodes(ld_blocks("html")), "_d": details("html")})
+    read = images(spread(pages)).withColumns({"_n": ld_nodes(ld_blocks("html")), "_d": details("html")})
     n, d = F.col("_n"), F.col("_d")
 
     def listed(field: str) -> Column:
@@ -559,7 +560,7 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
     )
     description = F.coalesce(meta_content("html", "og:description"), meta_content("html", "description"))
     given = F.coalesce(first_value(nodes, "$.price", "$.offers.price", "$.offers[0].price"), meta_content("html", "product:price:amount"))
-    read = pages.withColumns(
+    read = spread(pages).withColumns(
         {
             "host_kind": kind,
             "title": F.coalesce(meta_content("html", "og:title"), element_text("html", "title")),
@@ -692,7 +693,7 @@ def works_record(pages: DataFrame) -> DataFrame:
     nodes = ld_nodes(ld_blocks("html"))
     listing = F.filter(nodes, lambda n: F.lower(F.get_json_object(n, "$['@type']")) == "realestatelisting")
     boxes = F.transform(F.regexp_extract_all("html", F.lit(LEAF_DIV), F.lit(1)), inner_text)
-    read = images(pages).withColumns({"_n": listing, "_all": nodes, "_boxes": boxes})
+    read = images(spread(pages)).withColumns({"_n": listing, "_all": nodes, "_boxes": boxes})
 
     def box(name: str) -> Column:
         return F.get(F.filter("_boxes", lambda b: text.contains_any(F.lower(b), MEASURES[name])), F.lit(0))
