@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
+import zipfile
+from io import BytesIO
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,17 +30,42 @@ def build_session(app_name: str = "woonvonk", master: str | None = None, **conf:
         builder = builder.master(master)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
-    return builder.getOrCreate()
+    spark = builder.getOrCreate()
+    ship_package(spark)
+    return spark
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that their Python workers can import it."""
+    context = spark.sparkContext
+    if getattr(context, "_woonvonk_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    if root.is_dir():  # from a zip the package was shipped already
+        held = BytesIO()
+        with zipfile.ZipFile(held, "w", zipfile.ZIP_DEFLATED) as archive:
+            for path in sorted(root.rglob("*.py")):
+                archive.write(path, path.relative_to(root.parent))
+        made = Path(tempfile.mkdtemp(prefix="woonvonk-")) / "woonvonk.zip"
+        made.write_bytes(held.getvalue())
+        context.addPyFile(str(made))
+        atexit.register(shutil.rmtree, made.parent, ignore_errors=True)
+    context._woonvonk_shipped = True
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only when the cluster names none (local runs and tests) a folder of our own is made.
+    Only a session whose driver and executors are one machine (master ``local``) may go without: it gets a folder of
+    its own, removed when Python ends. Elsewhere a missing setting is an error, because executors would write to disks
+    that nobody else reads.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if not named:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         named = tempfile.mkdtemp(prefix="woonvonk-")
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", named)
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(named)
