@@ -6,16 +6,22 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from woonvonk.llm import bpe, line_dedup, packing, rules
+from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, packing, quotes, rules, surrogates, toxicity
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extraction": html_crf.op1,
     "op2_pack_sequences": packing.op2,
+    "op4_ngram_join": ngram_join.op4,
     "op5_byte_bpe": bpe.op5,
     "op6_line_dedup": line_dedup.op6,
+    "op7_quotation_linking": quotes.op7,
     "op8_rule_ledger": rules.op8,
+    "op9_surrogates": surrogates.op9,
+    "op10_toxicity": toxicity.op10,
 }
 
 SQL: dict[str, str] = {
+    "op4_ngram_join": ngram_join.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_rule_ledger": rules.OP8_SQL,
 }
