@@ -36,7 +36,7 @@ KINDS: list[tuple[str, str]] = [
     ("hex", r"(?<![A-Za-z0-9])(?=[a-f]*[0-9])[0-9a-f]{32,64}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("ip", r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})(?![0-9]|\.[0-9])"),
-    ("card", r"(?<![A-Za-z0-9])[3-6](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"),
+    ("card", r"(?<![A-Za-z0-9])[0-9](?:[ -]?[0-9]){12,18}(?![A-Za-z0-9])"),
     ("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"),
     ("phone", r"(?<![\p{L}\p{N}+])(?:\+[0-9]{1,3}[ .-]?)?\([0-9]{2,4}\)[ .-]?[0-9]{3,4}[ .-]?[0-9]{3,4}(?![0-9])"
               r"|(?<![\p{L}\p{N}+])\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9])"
@@ -61,7 +61,7 @@ def kind_of(value: Column) -> Column:
     """The first kind that matches the whole value (the context that a pattern looks at is not part of it)."""
     out = F.when(value.rlike("@"), "email").when(value.rlike(r"^(?:AKIA|ASIA)[A-Z0-9]{16}$"), "key")
     out = out.when(value.rlike(r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$"), "ip").when(value.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
-    out = out.when(value.rlike(r"^[3-6](?:[ -]?[0-9]){12,18}$"), "card").when(value.rlike(r"^[+(0-9][0-9 ().+-]{7,}$"), "phone")
+    out = out.when(value.rlike(r"^[0-9](?:[ -]?[0-9]){12,18}$"), "card").when(value.rlike(r"^[+(0-9][0-9 ().+-]{7,}$"), "phone")
     out = out.when(value.rlike(rf"^{TITLED}$"), "name").when(value.rlike("^[0-9a-f]+$"), "hex")
     return out.when(value.rlike(r"^[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3}"), "iban").otherwise("secret")
 
@@ -93,13 +93,17 @@ def _same_form(value: Column, digest: Column, hexadecimal: bool = False) -> Colu
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
+def _check_sum(card: Column) -> Column:
+    """The sum of a number's digits with every second one, from the last but one, doubled and its own digits added."""
+    digits = F.reverse(F.transform(F.split(F.regexp_replace(card, "[^0-9]", ""), ""), lambda c: c.cast("int")))
+    doubled = F.transform(digits, lambda d, i: F.when(i % 2 == 1, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
+    return F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
+
+
 def _with_check_digit(card: Column) -> Column:
-    """A card number whose last digit makes the usual check sum right."""
-    digits = F.transform(F.split(F.regexp_replace(card, "[^0-9]", ""), ""), lambda c: c.cast("int"))
-    body = F.reverse(F.slice(digits, 1, F.size(digits) - 1))
-    doubled = F.transform(body, lambda d, i: F.when(i % 2 == 0, F.when(d > 4, d * 2 - 9).otherwise(d * 2)).otherwise(d))
-    total = F.aggregate(doubled, F.lit(0), lambda a, x: a + x)
-    return F.concat(F.substr(card, F.lit(1), F.length(card) - 1), F.pmod(10 - total % 10, F.lit(10)).cast("string"))
+    """A number whose last digit makes the usual check sum right."""
+    zero = F.concat(F.substr(card, F.lit(1), F.length(card) - 1), F.lit("0"))
+    return F.concat(F.substr(card, F.lit(1), F.length(card) - 1), F.pmod(10 - _check_sum(zero) % 10, F.lit(10)).cast("string"))
 
 
 def surrogate(key: str) -> Column:
@@ -112,7 +116,8 @@ def surrogate(key: str) -> Column:
     email = F.concat(_same_form(local, digest), F.lit("@mail"), F.pmod(number("host"), F.lit(1000)).cast("string"), F.lit(".example.org"))
     ip = F.concat_ws(".", *[(F.pmod(number(f"o{i}"), F.lit(n)) + m).cast("string") for i, (n, m) in enumerate([(116, 11), (256, 0), (256, 0), (254, 1)])])
     formed = _same_form(value, digest)
-    card = _with_check_digit(F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(formed, F.lit(2))))
+    card = F.concat(F.substr(value, F.lit(1), F.lit(1)), F.substr(formed, F.lit(2)))
+    card = F.when(_check_sum(value) % 10 == 0, _with_check_digit(card)).otherwise(card)
     phone = F.when(value.rlike(r"^\+"), F.concat(F.regexp_extract(value, r"^\+[0-9]{1,3}", 0), F.regexp_replace(formed, r"^\+[0-9]{1,3}", ""))).otherwise(formed)
     # later attempts make longer names, so there are always more of them than values
     size = F.lit(1) + (attempt / 4).cast("int")
