@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, packing, quotes, rules, surrogates, toxicity
+from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, nn_descent, packing, quotes, rules, surrogates, toxicity
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_crf.op1,
     "op2_pack_sequences": packing.op2,
+    "op3_nn_descent": nn_descent.op3,
     "op4_ngram_join": ngram_join.op4,
     "op5_byte_bpe": bpe.op5,
     "op6_line_dedup": line_dedup.op6,
@@ -21,6 +22,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_nn_descent": nn_descent.OP3_SQL,
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op8_rule_ledger": rules.OP8_SQL,
