@@ -257,7 +257,8 @@ def apply(index: LineIndex, docs: DataFrame, keys: DataFrame | None = None) -> D
     per_doc = lost.groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list(F.struct(*KEY)).alias("__lost"))
     per_doc = written(per_doc, "line-lost")
     kept = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*kept).join(per_doc, F.col("doc_id") == F.col("__doc"), "left")
+    # dealt by document at every size; the lost keys are the small side, so the texts need no sort
+    joined = docs.select(*kept).join(per_doc.hint("shuffle_hash"), F.col("doc_id") == F.col("__doc"), "left")
 
     @F.pandas_udf("struct<text:string,n_lines:long,n_dropped:long>")
     def without(texts, lost_keys):
