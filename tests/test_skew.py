@@ -164,3 +164,34 @@ def test_top_n_is_trimmed_before_the_shuffle(spark):
     best = top_n_per_key(df, ["city"], [F.col("score").desc(), F.col("id")], 20)
     assert best.count() == 40
     assert "WindowGroupLimit" in best._jdf.queryExecution().executedPlan().toString()
+
+
+def test_look_back_of_null_and_early_times(spark):
+    """NULL keys and times, the epoch, times before it, and one instant that holds most rows."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(400):
+        t = rng.choice([None, 0, 0, -1, -3600, -7200, 3600, 1_700_000_000, 1_700_000_000, 1_700_000_000])
+        rows.append((rng.choice([None, 1, 1, 1, 2]), t, i, rng.choice([None, 10.0, 20.0]), "active"))
+    df = spark.createDataFrame(rows, "listing_id int, t bigint, seq int, asking_price double, listing_status string")
+    df = df.withColumn("observed_at", F.timestamp_seconds("t")).withColumn("surface_m2", F.lit(1.0))
+    for build in (
+        lambda h: with_previous(
+            df, "listing_id", "observed_at", ORDER, previous={"before": F.col("asking_price")},
+            previous_filled={"known": F.col("asking_price")}, hot_rows=h,
+        ),
+        lambda h: history.snapshot_changes(df, ORDER, ["asking_price"], hot_rows=h).drop("content_hash"),
+        lambda h: history.listing_history(df, ORDER, hot_rows=h),
+        lambda h: history.price_points(df, ORDER, hot_rows=h),
+        lambda h: history.previous_prices(
+            df, spark.createDataFrame([(1, 10.0), (None, 20.0)], "listing_id int, current_price double"), ORDER, hot_rows=h
+        ),
+    ):
+        plain, mixed, split = (sorted(map(repr, build(h).collect())) for h in (10**9, 100, 0))
+        assert plain == mixed == split and plain
+
+
+def test_ranks_of_the_null_group(spark):
+    df = spark.createDataFrame([(None, float(i % 7)) for i in range(50)] + [("a", float(i)) for i in range(30)], "city string, price double")
+    plain, sliced = (sorted(map(repr, value_ranks(df, ["city"], "price", window_rows=w).collect())) for w in (10**6, 0))
+    assert plain == sliced and any("city=None" in r for r in plain)

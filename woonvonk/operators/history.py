@@ -7,9 +7,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import to_int
+from woonvonk.functions.casts import to_double, to_int
 from woonvonk.functions.text import normalize_status
-from woonvonk.operators.skew import HOT_ROWS, first_per_key, with_previous
+from woonvonk.operators.skew import HOT_ROWS, first_per_key, hot_keys, null_safe_join, with_previous
 
 # Statuses that end a spell, and how far back a relisting counts.
 OFF_MARKET = ["withdrawn", "sold"]
@@ -58,16 +58,17 @@ def snapshot_changes(
     differs = ~reduce(lambda a, b: a & b, same)
     kept = looked.where((F.col("row_no") == 1) | differs)
     kind = change_type(F.col("row_no") == 1, F.col("_old"), "asking_price", "listing_status", description)
-    return kept.withColumns({"content_hash": content_hash(content), "change_type": kind}).drop("_old", "row_no")
+    return kept.withColumns({"content_hash": content_hash(content), "change_type": kind}).drop("_old", "row_no", "row_count")
 
 
 def with_previous_price(
     snapshots: DataFrame, order: list[str], key: str = "listing_id", ts: str = "observed_at", hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Add ``previous_price``: the last price known before this snapshot."""
-    return with_previous(
+    looked = with_previous(
         snapshots, key, ts, order, previous_filled={"previous_price": F.col("asking_price")}, hot_rows=hot_rows
     )
+    return looked.drop("row_count")
 
 
 def price_change_counts(snapshots: DataFrame, order: list[str], key: str = "listing_id", hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -80,50 +81,94 @@ def price_change_counts(snapshots: DataFrame, order: list[str], key: str = "list
     )
 
 
-def listing_history(snapshots: DataFrame, order: list[str], key: str = "listing_id", hot_rows: int = HOT_ROWS) -> DataFrame:
+def listing_history(
+    snapshots: DataFrame, order: list[str], key: str = "listing_id", hot_rows: int = HOT_ROWS, listings: DataFrame | None = None
+) -> DataFrame:
     """One row per listing: first and last day, first and last price, reduction, frequency, relisting.
 
-    Everything but the count of changes is a mergeable aggregate, so a listing with very many snapshots
-    costs one partial result per task.
+    Everything but the count of changes is a mergeable aggregate, so a listing with very many snapshots costs one
+    partial result per task. With ``listings`` (key, listing_status, original_asking_price, current_asking_price,
+    first_seen_date, latest_seen_date) every listing has a row: its own status wins over the last snapshot's and stands in
+    for snapshots without one, and its prices and days are taken where no dated snapshot has any. A listing without
+    snapshots has status and zero changes only. Without ``listings`` there is a row per listing with a dated snapshot.
     """
-    dated = snapshots.where(F.col("observed_at").isNotNull()).withColumn(
-        "_status", normalize_status("listing_status")
+    seen = F.col("observed_at").isNotNull()
+    rows = snapshots.withColumn("_price", F.when(seen, F.col("asking_price"))).withColumn(
+        "_given", F.nullif(F.trim("listing_status"), F.lit(""))
     )
-    priced = with_previous_price(dated, order, key, hot_rows=hot_rows)
-    position = F.struct(*order)
-    with_price = F.when(F.col("asking_price").isNotNull(), position)
-    off_market = F.when(F.col("_status").isin(OFF_MARKET), F.to_date("observed_at"))
-    rolled = priced.groupBy(key).agg(
-        F.to_date(F.min("observed_at")).alias("first_seen_date"),
-        F.to_date(F.max("observed_at")).alias("latest_seen_date"),
-        F.min_by("asking_price", with_price).alias("original_asking_price"),
-        F.max_by("asking_price", with_price).alias("current_asking_price"),
-        F.count_if(F.col("asking_price") != F.col("previous_price")).alias("price_change_count"),
-        F.count(F.lit(1)).alias("snapshot_count"),
-        F.max_by("_status", position).alias("listing_status"),
-        F.max(off_market).alias("_last_off"),
+    looked = with_previous(rows, key, "observed_at", order, previous_filled={"previous_price": F.col("_price")}, hot_rows=hot_rows)
+    position = F.when(seen, F.struct(*order))
+    with_price = F.when(F.col("_price").isNotNull(), position)
+    day = F.when(seen, F.to_date("observed_at"))
+    status = normalize_status("_given")
+    rolled = looked.groupBy(key).agg(
+        F.min(day).alias("_first"),
+        F.max(day).alias("_latest"),
+        F.min_by("_price", with_price).alias("_original"),
+        F.max_by("_price", with_price).alias("_current"),
+        F.count_if(F.col("_price") != F.col("previous_price")).alias("price_change_count"),
+        F.count_if(seen).alias("snapshot_count"),
+        F.max_by(F.struct(F.col("_given").alias("s")), position).alias("_last"),
+        F.max(F.when(F.col("_given").isNotNull() & status.isin(OFF_MARKET), day)).alias("_off"),
+        F.max(F.when(F.col("_given").isNull(), day)).alias("_open"),
+    )
+    if listings is None:
+        named = ["_l_status", "_l_original", "_l_current", "_l_first", "_l_latest"]
+        kinds = ["string", "double", "double", "date", "date"]
+        both = rolled.where("snapshot_count > 0").select("*", *[F.lit(None).cast(k).alias(n) for n, k in zip(named, kinds)])
+    else:
+        given = listings.select(
+            key,
+            F.nullif(F.trim("listing_status"), F.lit("")).alias("_l_status"),
+            to_double("original_asking_price").alias("_l_original"),
+            to_double("current_asking_price").alias("_l_current"),
+            F.to_date("first_seen_date").alias("_l_first"),
+            F.to_date("latest_seen_date").alias("_l_latest"),
+        )
+        # listings without key have no snapshots and the other way round, so NULLs need not meet
+        both = given.join(rolled, key, "full")
+    known = F.col("snapshot_count").isNotNull()
+    fallback = F.coalesce("_l_status", F.lit("active"))
+    last = F.when(F.col("snapshot_count") > 0, normalize_status(F.coalesce(F.col("_last.s"), fallback)))
+    both = both.select(
+        key,
+        F.when(known, F.coalesce("_first", "_l_first")).alias("first_seen_date"),
+        F.when(known, F.coalesce("_latest", "_l_latest")).alias("latest_seen_date"),
+        F.when(known, F.coalesce("_original", "_l_original")).alias("original_asking_price"),
+        F.when(known, F.coalesce("_current", "_l_current")).alias("current_asking_price"),
+        F.coalesce("price_change_count", F.lit(0)).cast("bigint").alias("price_change_count"),
+        F.coalesce("snapshot_count", F.lit(0)).cast("bigint").alias("snapshot_count"),
+        F.when(known, F.coalesce(F.when(F.col("_l_status").isNotNull(), normalize_status("_l_status")), last, F.lit("active")))
+        .otherwise(normalize_status(F.coalesce("_l_status", F.lit("unknown"))))
+        .alias("listing_status"),
+        last.alias("_last_status"),
+        F.greatest("_off", F.when(normalize_status(fallback).isin(OFF_MARKET), F.col("_open"))).alias("_last_off"),
+        "_latest",
     )
     days = F.datediff("latest_seen_date", "first_seen_date")
+    days = F.when(days >= 0, days)
     drop = F.greatest(F.lit(0.0), F.col("original_asking_price") - F.col("current_asking_price"))
-    relisted = (F.col("listing_status") == "active") & F.coalesce(
-        F.datediff("latest_seen_date", "_last_off") <= RELIST_WINDOW_DAYS, F.lit(False)
+    both_prices = F.col("original_asking_price").isNotNull() & F.col("current_asking_price").isNotNull()
+    relisted = F.coalesce(
+        (F.col("_last_status") == "active") & (F.datediff("_latest", "_last_off") <= RELIST_WINDOW_DAYS), F.lit(False)
     )
-    return rolled.select(
+    return both.select(
         key,
         "first_seen_date",
         "latest_seen_date",
         days.alias("days_on_market"),
         "original_asking_price",
         "current_asking_price",
-        F.round(F.when(F.col("original_asking_price").isNotNull(), drop), 2).alias("total_price_reduction"),
+        F.round(F.when(both_prices, drop), 2).alias("total_price_reduction"),
         F.when(
-            F.col("original_asking_price") > 0, F.round(drop / F.nullif("original_asking_price", F.lit(0.0)) * 100.0, 2)
+            both_prices & (F.col("original_asking_price") > 0),
+            F.round(drop / F.nullif("original_asking_price", F.lit(0.0)) * 100.0, 2),
         ).alias("total_price_reduction_percentage"),
         "price_change_count",
-        F.round(F.col("price_change_count") / F.greatest(days, F.lit(1)) * 30.0, 2).alias("reduction_frequency"),
+        F.when(days.isNotNull(), F.round(F.col("price_change_count") / F.greatest(days, F.lit(1)) * 30.0, 2)).alias("reduction_frequency"),
         "listing_status",
         relisted.alias("recently_relisted"),
-        F.when(relisted, F.col("latest_seen_date")).alias("relisted_date"),
+        F.when(relisted, F.col("_latest")).alias("relisted_date"),
         "snapshot_count",
     )
 
@@ -164,21 +209,18 @@ def previous_prices(
 ) -> DataFrame:
     """Earlier asking prices of a listing: positive, without the last one and without prices equal to
     the current price (``current``: key, current_price); repeats in a row are shown once."""
-    positive = snapshots.where(F.col("asking_price") > 0).withColumn("price", F.round("asking_price", 2))
-    position = F.struct(*order)
-    ends = positive.groupBy(key).agg(F.max(position).alias("_end"))
-    earlier = (
-        positive.withColumn("_pos", position)
-        .join(ends, key)
-        .where(F.col("_pos") < F.col("_end"))
-        .join(current, key, "left")
-        .where(F.col("current_price").isNull() | (F.abs(F.col("price") - F.col("current_price")) > PRICE_TOLERANCE))
-        .drop("_pos", "_end", "current_price")
-    )
-    looked = with_previous(earlier, key, "observed_at", order, previous={"_before": F.col("price")}, hot_rows=hot_rows)
-    kept = looked.where((F.col("row_no") == 1) | (F.abs(F.col("_before") - F.col("price")) > PRICE_TOLERANCE))
-    return with_previous(kept.drop("_before", "row_no"), key, "observed_at", order, hot_rows=hot_rows).select(
-        key, F.col("row_no").alias("step_no"), "observed_at", "price"
+    positive = null_safe_join(snapshots.where(F.col("asking_price") > 0), current, [key], "left")
+    positive = positive.withColumn("price", F.round("asking_price", 2)).drop("asking_price").withColumnRenamed("price", "asking_price")
+    hot = hot_keys(positive, key, hot_rows)
+    differs = F.col("current_price").isNull() | (F.abs(F.col("asking_price") - F.col("current_price")) > PRICE_TOLERANCE)
+    # the last price that counts before each row; rows equal to the current price are looked through
+    counted = F.when(differs, F.col("asking_price"))
+    looked = with_previous(positive, key, "observed_at", order, previous_filled={"_before": counted}, hot=hot)
+    changed = F.col("_before").isNull() | (F.abs(F.col("_before") - F.col("asking_price")) > PRICE_TOLERANCE)
+    kept = looked.where((F.col("row_no") < F.col("row_count")) & differs & changed).select(*positive.columns)
+    # kept rows are still dealt and sorted by key, so the numbering adds no shuffle
+    return with_previous(kept, key, "observed_at", order, hot=hot).select(
+        key, F.col("row_no").alias("step_no"), "observed_at", F.col("asking_price").alias("price")
     )
 
 

@@ -9,9 +9,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from woonvonk.session import materialise
+from woonvonk.session import broadcast_if_small, materialise
 
-# A listing with more rows than this is worked on in slices of one hour.
+# A listing with more rows than this is spread over tasks by ranges of its time line.
 HOT_ROWS = 1_000_000
 # Number of value ranges a group is cut into for ranks and medians.
 RANK_SLICES = 64
@@ -52,7 +52,7 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, window_rows: int = W
     cuts = counts.groupBy(*keys).agg(
         F.array_distinct(F.percentile_approx(value, F.array(*steps), F.lit(2000))).alias("cuts")
     )
-    placed = counts.join(cuts, keys).withColumn(
+    placed = null_safe_join(counts, cuts, keys).withColumn(
         "slice_no", F.size(F.filter("cuts", lambda c: c < F.col(value)))
     ).drop("cuts")
     totals = placed.groupBy(*keys, "slice_no").agg(F.sum("n").alias("slice_n"))
@@ -66,10 +66,9 @@ def value_ranks(df: DataFrame, keys: list[str], value: str, window_rows: int = W
         F.sum("slice_n").over(Window.partitionBy(*keys)).alias("total"),
     )
     running = Window.partitionBy(*keys, "slice_no").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    return (
-        placed.withColumn("within", F.sum("n").over(running))
-        .join(before, [*keys, "slice_no"])
-        .select(*keys, value, "n", (F.col("before_n") + F.col("within")).alias("upto"), "total")
+    within = placed.withColumn("within", F.sum("n").over(running))
+    return null_safe_join(within, before, [*keys, "slice_no"]).select(
+        *keys, value, "n", (F.col("before_n") + F.col("within")).alias("upto"), "total"
     )
 
 
@@ -93,22 +92,19 @@ def percentile_from_top() -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(100.0), 100.0 - F.col("upto") / F.col("total") * 100.0))
 
 
-def hot_keys(df: DataFrame, key: str, hot_rows: int) -> DataFrame:
-    """Keys with more than ``hot_rows`` rows, counted map-side first.
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet, as they do in groups and windows. Keys appear once, from the left."""
+    named = right.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    same = [left[k].eqNullSafe(named[f"_k_{k}"]) for k in keys]
+    return left.join(named, same, how).drop(*[f"_k_{k}" for k in keys])
 
-    There are fewer than (all rows / ``hot_rows``) of them: at the default at most a million for 10^12 rows.
-    """
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with more than ``hot_rows`` rows, counted map-side first."""
     counts = df.groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
     return materialise(counts.where(F.col("_rows") > hot_rows).select(key))
 
 
-def _by_hour(df: DataFrame, key: str, ts: str, hot: DataFrame) -> DataFrame:
-    """Add ``slice_no``: 0 for ordinary keys, the hour number for hot ones."""
-    hours = F.expr(f"unix_seconds(cast({ts} as timestamp)) div 3600")
-    marked = df.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    return marked.withColumn("slice_no", F.when(F.col("_hot"), hours).otherwise(F.lit(0)).cast("bigint")).drop("_hot")
-
-
 def with_previous(
     df: DataFrame,
     key: str,
@@ -117,35 +113,45 @@ def with_previous(
     previous: dict[str, Column] | None = None,
     previous_filled: dict[str, Column] | None = None,
     hot_rows: int = HOT_ROWS,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
-    """Look back along each key's time line.
-
-    ``previous`` gives the value of the row before, ``previous_filled`` the last non-NULL value before
-    the row; ``row_no`` is the 1-based position. ``order`` must be a total order that starts with the
-    time. Rows per key are counted first. Ordinary keys are one window partition; keys above ``hot_rows``
-    are one partition per hour, and what the hours before end with is carried over through a summary with
-    one row per hour.
+    """Look back along each key's time line, and tell its length.
+
+    ``previous`` gives the value of the row before, ``previous_filled`` the last non-NULL value before the row;
+    ``row_no`` is the 1-based position and ``row_count`` the number of rows of the key. ``order`` must be a total
+    order that starts with the time ``ts``; NULLs come first, and NULL is a key like any other. Rows per key are
+    counted first (or ``hot``, the keys found before, is given). Ordinary keys are one window partition. The rows of
+    keys above ``hot_rows`` are dealt by range of (key, order), so that even one instant is spread over tasks, and what
+    the ranges before end with is carried over through a summary with one row per key and range.
     """
     previous = previous or {}
     filled = previous_filled or {}
     values = {**previous, **filled}
     valued = df.select("*", *[c.alias(f"_v_{name}") for name, c in values.items()])
-    hot = hot_keys(df, key, hot_rows)
-    if hot.isEmpty():
+    hot = hot_keys(df, key, hot_rows) if hot is None else hot
+    names = [*df.columns, "row_no", "row_count", *values]
+
+    def plain(rows: DataFrame) -> DataFrame:
         window = Window.partitionBy(key).orderBy(*order)
         back = window.rowsBetween(Window.unboundedPreceding, -1)
-        return valued.select(
+        return rows.select(
             *df.columns,
             F.row_number().over(window).cast("bigint").alias("row_no"),
+            F.count(F.lit(1)).over(Window.partitionBy(key)).alias("row_count"),
             *[F.lag(f"_v_{n}").over(window).alias(n) for n in previous],
             *[F.last(f"_v_{n}", ignorenulls=True).over(back).alias(n) for n in filled],
         )
-    sliced = _by_hour(valued, key, ts, hot)
-    window = Window.partitionBy(key, "slice_no").orderBy(*order)
+
+    if hot.isEmpty():
+        return plain(valued)
+    marked = null_safe_join(valued, broadcast_if_small(hot.withColumn("_hot", F.lit(True))), [key], "left")
+    ordinary = plain(marked.where(F.col("_hot").isNull()).drop("_hot"))
+    dealt = marked.where("_hot").drop("_hot").repartitionByRange(key, *order)
+    sliced = materialise(dealt.withColumn("_slice", F.spark_partition_id()))
+    window = Window.partitionBy(key, "_slice").orderBy(*order)
     back = window.rowsBetween(Window.unboundedPreceding, -1)
     position = F.struct(*order)
-
-    summary = sliced.where("slice_no != 0").groupBy(key, "slice_no").agg(
+    summary = sliced.groupBy(key, "_slice").agg(
         F.count(F.lit(1)).alias("_n"),
         *[F.max_by(F.struct(f"_v_{n}"), position).alias(f"_e_{n}") for n in previous],
         *[
@@ -153,16 +159,15 @@ def with_previous(
             for n in filled
         ],
     )
-    chain = Window.partitionBy(key).orderBy("slice_no")
+    chain = Window.partitionBy(key).orderBy("_slice")
+    before = chain.rowsBetween(Window.unboundedPreceding, -1)
     carried = summary.select(
         key,
-        "slice_no",
-        F.sum("_n").over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        "_slice",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
+        F.sum("_n").over(Window.partitionBy(key)).alias("row_count"),
         *[F.lag(f"_e_{n}").over(chain).alias(f"_c_{n}") for n in previous],
-        *[
-            F.last(f"_e_{n}", ignorenulls=True).over(chain.rowsBetween(Window.unboundedPreceding, -1)).alias(f"_c_{n}")
-            for n in filled
-        ],
+        *[F.last(f"_e_{n}", ignorenulls=True).over(before).alias(f"_c_{n}") for n in filled],
     )
     looked = sliced.withColumns(
         {
@@ -170,11 +175,13 @@ def with_previous(
             **{f"_l_{n}": F.lag(f"_v_{n}").over(window) for n in previous},
             **{f"_l_{n}": F.last(f"_v_{n}", ignorenulls=True).over(back) for n in filled},
         }
-    ).join(carried, [key, "slice_no"], "left")
-    result = {"row_no": (F.col("_rn") + F.coalesce(F.col("_before"), F.lit(0))).cast("bigint")}
+    )
+    looked = null_safe_join(looked, carried, [key, "_slice"], "left")
+    result = {"row_no": (F.col("_rn") + F.col("_before")).cast("bigint")}
     for n in previous:
         carry = F.col(f"_c_{n}")[f"_v_{n}"]
         result[n] = F.when(F.col("_rn") == 1, carry).otherwise(F.col(f"_l_{n}"))
     for n in filled:
         result[n] = F.coalesce(F.col(f"_l_{n}"), F.col(f"_c_{n}")[f"_v_{n}"])
-    return looked.select(*df.columns, *[c.alias(n) for n, c in result.items()])
+    split = looked.select(*df.columns, "row_count", *[c.alias(n) for n, c in result.items()])
+    return ordinary.select(*names).union(split.select(*names))

@@ -22,9 +22,7 @@ WITH numbered AS (
 """
 
 
-@query(
-    "snapshot_changes",
-    with_views(
+CHANGES_SQL = with_views(
         "snapshots",
         f"""
         WITH looked AS (
@@ -40,14 +38,24 @@ WITH numbered AS (
         FROM looked
         WHERE rn = 1 OR old_price IS DISTINCT FROM asking_price OR old_status IS DISTINCT FROM listing_status
           OR old_area IS DISTINCT FROM surface_m2""",
-    ),
-)
+    )
+
+
+@query("snapshot_changes", CHANGES_SQL)
 def snapshot_changes(spark, sf_dir):
     return history.snapshot_changes(view(spark, sf_dir, "snapshots"), ORDER, CONTENT).select(
         "listing_id", "snapshot_seq", "asking_price", "listing_status", "change_type"
     )
 
 
+@query("snapshot_changes_hot", CHANGES_SQL)
+def snapshot_changes_hot(spark, sf_dir):
+    """Every listing on the path for hot ones."""
+    return history.snapshot_changes(view(spark, sf_dir, "snapshots"), ORDER, CONTENT, hot_rows=0).select(
+        "listing_id", "snapshot_seq", "asking_price", "listing_status", "change_type"
+    )
+
+
 @query(
     "price_change_count",
     with_views(
@@ -96,6 +104,64 @@ def listing_history(spark, sf_dir):
     return _dates_as_text(built, "first_seen_date", "latest_seen_date", "relisted_date")
 
 
+GIVEN = """
+  SELECT listing_id, CASE listing_id % 5 WHEN 0 THEN 'sold' WHEN 1 THEN 'active' WHEN 2 THEN '' ELSE NULL END AS listing_status,
+    CASE WHEN listing_id % 3 = 0 THEN NULL ELSE asking_price END AS original_asking_price,
+    CASE WHEN listing_id % 4 = 0 THEN NULL ELSE asking_price * 0.75 END AS current_asking_price,
+    cast('2000-03-04' as date) AS first_seen_date, cast('2000-05-06' as date) AS latest_seen_date
+  FROM listings"""
+# Seven in ten listings have snapshots here; of those, some have no day, price or status in some or all of them.
+WATCHED = """
+  SELECT listing_id, CASE WHEN listing_id % 10 = 7 OR snapshot_seq % 13 = 0 THEN NULL ELSE observed_at END AS observed_at,
+    snapshot_seq, CASE WHEN listing_id % 10 = 6 THEN NULL ELSE asking_price END AS asking_price,
+    CASE WHEN snapshot_seq % 5 = 0 THEN NULL ELSE listing_status END AS listing_status, surface_m2
+  FROM snapshots WHERE listing_id % 10 < 8"""
+WITH_LISTINGS_SQL = with_views(
+    "listings snapshots",
+    f"""
+    WITH given AS ({GIVEN}), watched AS ({WATCHED}),
+    numbered AS (
+      SELECT w.*, coalesce(w.listing_status, nullif(g.listing_status, ''), 'active') AS status,
+        row_number() OVER (PARTITION BY w.listing_id ORDER BY {ORDER_SQL.replace("listing_status", "w.listing_status NULLS FIRST")}) AS rn,
+        last_value(asking_price IGNORE NULLS) OVER (PARTITION BY w.listing_id
+          ORDER BY {ORDER_SQL.replace("listing_status", "w.listing_status NULLS FIRST")}
+          ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_price
+      FROM watched w LEFT JOIN given g ON g.listing_id = w.listing_id WHERE observed_at IS NOT NULL),
+    rolled AS (
+      SELECT listing_id, cast(min(observed_at) as date) AS a, cast(max(observed_at) as date) AS b,
+        arg_min(asking_price, rn) FILTER (asking_price IS NOT NULL) AS p, arg_max(asking_price, rn) FILTER (asking_price IS NOT NULL) AS q,
+        count(CASE WHEN asking_price <> prev_price THEN 1 END) AS changes, count(*) AS n, arg_max(status, rn) AS last_status,
+        max(CASE WHEN status IN ('withdrawn', 'sold') THEN cast(observed_at as date) END) AS off_day
+      FROM numbered GROUP BY listing_id),
+    filled AS (
+      SELECT g.listing_id, any_snapshot.listing_id IS NOT NULL AS known, nullif(g.listing_status, '') AS given_status, last_status,
+        coalesce(a, g.first_seen_date) AS a, coalesce(b, g.latest_seen_date) AS b, coalesce(p, g.original_asking_price) AS p,
+        coalesce(q, g.current_asking_price) AS q, coalesce(changes, 0) AS changes, coalesce(n, 0) AS n, b AS seen_b, off_day
+      FROM given g LEFT JOIN rolled r ON r.listing_id = g.listing_id
+      LEFT JOIN (SELECT DISTINCT listing_id FROM watched) any_snapshot ON any_snapshot.listing_id = g.listing_id)
+    SELECT listing_id, CASE WHEN known THEN cast(a as varchar) END AS first_seen_date,
+      CASE WHEN known THEN cast(b as varchar) END AS latest_seen_date, CASE WHEN known THEN cast(b - a as int) END AS days_on_market,
+      CASE WHEN known THEN p END AS original_asking_price, CASE WHEN known THEN q END AS current_asking_price,
+      CASE WHEN known AND p IS NOT NULL AND q IS NOT NULL THEN {r2('greatest(0, p - q)')} END AS total_price_reduction,
+      CASE WHEN known AND p > 0 AND q IS NOT NULL THEN {r2('greatest(0, p - q) / p * 100.0')} END AS total_price_reduction_percentage,
+      changes AS price_change_count,
+      CASE WHEN known THEN {r2('cast(changes as double) / greatest(b - a, 1) * 30.0')} END AS reduction_frequency,
+      coalesce(given_status, CASE WHEN n > 0 THEN last_status END, 'active') AS listing_status,
+      n > 0 AND last_status = 'active' AND coalesce(seen_b - off_day <= 180, false) AS recently_relisted,
+      CASE WHEN n > 0 AND last_status = 'active' AND coalesce(seen_b - off_day <= 180, false) THEN cast(seen_b as varchar) END AS relisted_date,
+      n AS snapshot_count
+    FROM filled""",
+)
+
+
+@query("listing_history_with_listings", WITH_LISTINGS_SQL)
+def listing_history_with_listings(spark, sf_dir):
+    given = spark.sql(GIVEN.replace("FROM listings", "FROM {listings}"), listings=view(spark, sf_dir, "listings"))
+    watched = spark.sql(WATCHED.replace("FROM snapshots", "FROM {snapshots}"), snapshots=view(spark, sf_dir, "snapshots"))
+    built = history.listing_history(watched, ORDER, listings=given)
+    return _dates_as_text(built, "first_seen_date", "latest_seen_date", "relisted_date")
+
+
 @query(
     "price_reductions",
     with_views(
