@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import col
+from woonvonk.functions.casts import col, strip
 
 
 def ladder(value: Column, steps: list[tuple[float, object]], otherwise, at_most: bool = False) -> Column:
@@ -65,7 +65,7 @@ def return_score(gross_yield_pct) -> Column:
 
 def label_score(label) -> Column:
     """Energy label as 10..100; any other label that starts with A counts as A."""
-    text = F.coalesce(F.upper(F.trim(col(label))), F.lit(""))
+    text = F.coalesce(F.upper(strip(col(label))), F.lit(""))
     out = F.when(F.lit(False), F.lit(0.0))
     for name, score in LABEL_SCORES.items():
         out = out.when(text == name, score)

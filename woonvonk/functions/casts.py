@@ -10,13 +10,40 @@ def col(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+# What Python's ``str.strip`` and ``\\s`` take as white space.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+BLANK_CLASS = "\\t-\\r\\x1C-\\x20\\x85\\xA0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000"
+
+
+def strip(value: str | Column) -> Column:
+    """Without white space at both ends, as Python has it: tabs, line ends and no-break blanks too."""
+    return F.btrim(col(value), F.lit(BLANKS))
+
+
+def rx(pattern: str) -> str:
+    """A pattern whose ``\\s`` covers the white space that Python's does."""
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two == "\\s":
+            out.append(BLANK_CLASS if inside else f"[{BLANK_CLASS}]")
+        elif two[0] == "\\":
+            out.append(two)
+        else:
+            inside = two[0] == "[" or (inside and two[0] != "]")
+            out.append(two[0])
+            k -= 1
+        k += 2
+    return "".join(out)
+
+
 def text_or_null(value: str | Column) -> Column:
     """Trimmed text, NULL when blank."""
-    return F.nullif(F.trim(col(value).cast("string")), F.lit(""))
+    return F.nullif(strip(col(value).cast("string")), F.lit(""))
 
 
 def to_double(value: str | Column) -> Column:
-    number = F.trim(col(value).cast("string")).try_cast("double")
+    number = strip(col(value).cast("string")).try_cast("double")
     return F.when(F.isnan(number), F.lit(None)).otherwise(number)
 
 
@@ -52,7 +79,7 @@ FALSE_WORDS = ["0", "false", "no", "nee", "disabled", "off"]
 
 
 def to_bool(value: str | Column, default: bool) -> Column:
-    word = F.lower(F.trim(col(value).cast("string")))
+    word = F.lower(strip(col(value).cast("string")))
     number = word.try_cast("double")
     return (
         F.when(word.isin(TRUE_WORDS), True)
@@ -65,7 +92,7 @@ def to_bool(value: str | Column, default: bool) -> Column:
 def to_string_array(value: str | Column) -> Column:
     """Trimmed, non-blank items of an array; a scalar becomes a one-element array."""
     items = col(value)
-    return F.filter(F.transform(items, lambda x: F.trim(x.cast("string"))), lambda x: x != "")
+    return F.filter(F.transform(items, lambda x: strip(x.cast("string"))), lambda x: x != "")
 
 
 def first_filled(*candidates: str | Column) -> Column:

@@ -5,19 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import col, text_or_null
+from woonvonk.functions.casts import col, rx, strip, text_or_null
 from woonvonk.functions.text import contains_any
 
 # Patterns.
 NUMBER_TOKEN = r"([-+]?\d[\d.,]*)"
-LOOSE_NUMBER = r"([0-9][0-9.,\s]*)"
+LOOSE_NUMBER = rx(r"([0-9][0-9.,\s]*)")
 THOUSANDS = r"^\d{1,3}(\.\d{3})+(,\d+)?$"
-EURO_NUMBER = r"€\s*([0-9][0-9.,\s]*)"
+EURO_NUMBER = rx(r"€\s*([0-9][0-9.,\s]*)")
 
 
 def parse_number_eu(value: str | Column) -> Column:
     """First numeric token; the later of comma and point is the decimal mark."""
-    token = F.regexp_extract(F.lower(F.trim(col(value))), NUMBER_TOKEN, 1)
+    token = F.regexp_extract(F.lower(strip(col(value))), NUMBER_TOKEN, 1)
     commas, points = token.contains(","), token.contains(".")
     comma_last = F.instr(F.reverse(token), ",") < F.instr(F.reverse(token), ".")
     dutch = F.translate(F.translate(token, ".", ""), ",", ".")
@@ -32,8 +32,8 @@ def parse_number_eu(value: str | Column) -> Column:
 
 
 def _dutch_number(matched: Column) -> Column:
-    text = F.translate(F.regexp_replace(matched, r"[. ]", ""), ",", ".")
-    return F.trim(text).try_cast("double")
+    text = F.translate(F.regexp_replace(matched, rx(r"[.\s]"), ""), ",", ".")
+    return strip(text).try_cast("double")
 
 
 def parse_number_nl(value: str | Column) -> Column:
@@ -43,13 +43,13 @@ def parse_number_nl(value: str | Column) -> Column:
 
 def parse_area(value: str | Column) -> Column:
     """Number before ``m2``/``m²``, otherwise the first number."""
-    before_unit = F.regexp_extract(F.lower(col(value)), LOOSE_NUMBER + r"\s*(m2|m²)", 1)
+    before_unit = F.regexp_extract(F.lower(col(value)), LOOSE_NUMBER + rx(r"\s*(m2|m²)"), 1)
     return F.when(before_unit != "", _dutch_number(before_unit)).otherwise(parse_number_nl(value))
 
 
 def parse_price(value: str | Column) -> Column:
     """Amount and status of a price text."""
-    lowered = F.lower(F.trim(col(value)))
+    lowered = F.lower(strip(col(value)))
     amount = parse_number_nl(value)
     status = (
         F.when(text_or_null(value).isNull() & (F.coalesce(col(value), F.lit("")) == ""), None)
@@ -67,7 +67,7 @@ def parse_price(value: str | Column) -> Column:
 
 def infer_price_status(text: str | Column) -> Column:
     """Price status of running text. Each pattern is tried only where one of its words occurs."""
-    plain = F.trim(col(text))
+    plain = strip(col(text))
     lowered = F.lower(plain)
 
     def found(words: list[str], pattern: str) -> Column:
@@ -78,7 +78,7 @@ def infer_price_status(text: str | Column) -> Column:
         .when(
             found(
                 ["aanvraag", "poa", "bespreken", "n.v.t"],
-                r"\bprijs\s+op\s+aanvraag\b|\bpoa\b|\bop\s+aanvraag\b|\bprijs\s+te\s+bespreken\b|\bn\.v\.t\.?\b",
+                rx(r"\bprijs\s+op\s+aanvraag\b|\bpoa\b|\bop\s+aanvraag\b|\bprijs\s+te\s+bespreken\b|\bn\.v\.t\.?\b"),
             ),
             "on_request",
         )
@@ -98,7 +98,7 @@ def euro_amount(text: str | Column) -> Column:
 def with_inferred_price(df: DataFrame, text: str) -> DataFrame:
     """Add ``asking_price``, ``asking_price_status`` and ``asking_price_text`` read from running text."""
     amount = F.when(F.col("asking_price_status").isin("from_price", "auction", "known"), euro_amount(text))
-    shown = F.when(F.col("asking_price_status") != "unknown", F.trim(col(text)))
+    shown = F.when(F.col("asking_price_status") != "unknown", strip(col(text)))
     return df.withColumn("asking_price_status", infer_price_status(text)).withColumns(
         {"asking_price": amount, "asking_price_text": shown}
     )

@@ -7,15 +7,15 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import col, text_or_null
+from woonvonk.functions.casts import col, rx, strip, text_or_null
 
 # Patterns.
 URL_PARTS = r"^([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]+)([^?#]*)"
-POSTCODE = r"\b([1-9][0-9]{3})\s*([A-Za-z]{2})\b"
-LOOSE_POSTCODE = r"(\d{4})\s*([A-Za-z]{2})"
-SPACED_POSTCODE = r"\b(\d{4})\s?([A-Za-z]{2})\b"
+POSTCODE = rx(r"\b([1-9][0-9]{3})\s*([A-Za-z]{2})\b")
+LOOSE_POSTCODE = rx(r"(\d{4})\s*([A-Za-z]{2})")
+SPACED_POSTCODE = rx(r"\b(\d{4})\s?([A-Za-z]{2})\b")
 HOUSE_NUMBER = r"\b(\d+)([A-Za-z0-9\-]*)\b"
-REGISTER_NUMBER = r"^(.*?)\b(\d{1,5})(?:\s*[-/]?\s*([A-Za-z]))?(?:\s*[-/]?\s*([A-Za-z0-9]{1,6}))?\b"
+REGISTER_NUMBER = rx(r"^(.*?)\b(\d{1,5})(?:\s*[-/]?\s*([A-Za-z]))?(?:\s*[-/]?\s*([A-Za-z0-9]{1,6}))?\b")
 ENERGY_LABEL = r"\b([A-G](?:\+{1,3})?)"
 PRIVATE_HOST = (
     r"^(localhost|127\.\d+\.\d+\.\d+|10\.\d+\.\d+\.\d+|192\.168\.\d+\.\d+|169\.254\.\d+\.\d+"
@@ -34,19 +34,19 @@ TITLE_WORDS = [
 
 def squash(value: str | Column) -> Column:
     """Trim and collapse runs of white space."""
-    return F.trim(F.regexp_replace(col(value), r"\s+", " "))
+    return strip(F.regexp_replace(col(value), rx(r"\s+"), " "))
 
 
 def url_scheme(value: str | Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(col(value)), URL_PARTS, 1))
+    return F.lower(F.regexp_extract(strip(col(value)), URL_PARTS, 1))
 
 
 def url_authority(value: str | Column) -> Column:
-    return F.lower(F.regexp_extract(F.trim(col(value)), URL_PARTS, 2))
+    return F.lower(F.regexp_extract(strip(col(value)), URL_PARTS, 2))
 
 
 def url_path(value: str | Column) -> Column:
-    return F.regexp_extract(F.trim(col(value)), URL_PARTS, 3)
+    return F.regexp_extract(strip(col(value)), URL_PARTS, 3)
 
 
 def url_host(value: str | Column) -> Column:
@@ -64,7 +64,7 @@ def normalize_url(value: str | Column) -> Column:
 
 def normalize_source_url(value: str | Column) -> Column:
     """Whole URL lower-cased without closing slashes; the query stays."""
-    return F.coalesce(F.regexp_replace(F.lower(F.trim(col(value))), r"/+$", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.lower(strip(col(value))), r"/+$", ""), F.lit(""))
 
 
 def stable_url(value: str | Column) -> Column:
@@ -73,8 +73,8 @@ def stable_url(value: str | Column) -> Column:
 
 def normalize_text(value: str | Column) -> Column:
     """Lower, single-spaced, only ``a-z 0-9 -`` kept."""
-    spaced = F.regexp_replace(F.lower(F.trim(col(value))), r"\s+", " ")
-    return F.coalesce(F.regexp_replace(spaced, r"[^a-z0-9\s-]", ""), F.lit(""))
+    spaced = F.regexp_replace(F.lower(strip(col(value))), rx(r"\s+"), " ")
+    return F.coalesce(F.regexp_replace(spaced, rx(r"[^a-z0-9\s-]"), ""), F.lit(""))
 
 
 def compact_postcode(value: str | Column, pattern: str = POSTCODE) -> Column:
@@ -94,7 +94,7 @@ def spaced_postcode(value: str | Column) -> Column:
 def postcode_token(value: str | Column) -> Column:
     """First blank-separated token that is exactly four digits and two letters."""
     tokens = F.filter(
-        F.split(F.upper(F.translate(col(value), "-", " ")), r"\s+"), lambda t: t.rlike(r"^\d{4}[A-Z]{2}$")
+        F.split(F.upper(F.translate(col(value), "-", " ")), rx(r"\s+")), lambda t: t.rlike(r"^\d{4}[A-Z]{2}$")
     )
     token = F.get(tokens, F.lit(0))
     return F.when(token.isNotNull(), F.concat_ws(" ", F.substring(token, 1, 4), F.substring(token, 5, 2)))
@@ -121,7 +121,7 @@ def register_address(address: str | Column, postal_code: str | Column) -> Column
         F.regexp_extract(text, REGISTER_NUMBER, 2).try_cast("int").alias("house_number"),
         letter.alias("house_letter"),
         F.when(addition == letter, "").otherwise(addition).alias("house_number_addition"),
-        F.coalesce(F.nullif(before, F.lit("")), F.trim(text)).alias("street_name"),
+        F.coalesce(F.nullif(before, F.lit("")), strip(text)).alias("street_name"),
     )
 
 
@@ -135,7 +135,7 @@ def normalize_type(value: str | Column) -> Column:
 
 
 def label_key(value: str | Column) -> Column:
-    return F.coalesce(F.regexp_replace(F.lower(squash(value)), r"[^a-z0-9\s]", ""), F.lit(""))
+    return F.coalesce(F.regexp_replace(F.lower(squash(value)), rx(r"[^a-z0-9\s]"), ""), F.lit(""))
 
 
 def energy_label(value: str | Column) -> Column:
@@ -149,8 +149,8 @@ def strip_accents(value: Column) -> Column:
 
 
 def place_slug(value: str | Column) -> Column:
-    plain = F.translate(strip_accents(F.lower(F.trim(col(value)))), "'", "")
-    dashed = F.regexp_replace(F.regexp_replace(plain, r"[^a-z0-9\-\s]", " "), r"[\s\-]+", "-")
+    plain = F.translate(strip_accents(F.lower(strip(col(value)))), "'", "")
+    dashed = F.regexp_replace(F.regexp_replace(plain, rx(r"[^a-z0-9\-\s]"), " "), rx(r"[\s\-]+"), "-")
     return F.coalesce(F.regexp_replace(dashed, r"^-+|-+$", ""), F.lit(""))
 
 
@@ -165,7 +165,7 @@ def last_segment(url: str | Column) -> Column:
 
 def title_words(value: Column) -> Column:
     """Capitalised words, particles after the first word in lower case."""
-    words = F.filter(F.split(value, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(value, rx(r"\s+")), lambda w: w != "")
     cased = F.transform(
         words,
         lambda w, i: F.when((i > 0) & F.lower(w).isin(LOWER_PARTICLES), F.lower(w)).otherwise(
@@ -182,13 +182,13 @@ SLUG_ADDRESS = r"^(.+?)-(\d+[a-z]?)(?:-(\d+[a-z]?))?$"
 
 def slug_title(url: str | Column) -> Column:
     """Title and address spelled out by the last path segment."""
-    slug = F.replace(F.lower(F.trim(last_segment(url))), F.lit("--"), F.lit("-"))
+    slug = F.replace(F.lower(strip(last_segment(url))), F.lit("--"), F.lit("-"))
     street = title_words(F.translate(F.regexp_extract(slug, SLUG_ADDRESS, 1), "-", " "))
     number = F.upper(F.regexp_extract(slug, SLUG_ADDRESS, 2))
     suffix = F.upper(F.regexp_extract(slug, SLUG_ADDRESS, 3))
     plain = title_words(F.translate(slug, "-", " "))
     base = F.when(slug.rlike(SLUG_ADDRESS), F.concat_ws(" ", street, number)).otherwise(plain)
-    usable = ~F.lower(F.trim(last_segment(url))).isin(EMPTY_SLUGS)
+    usable = ~F.lower(strip(last_segment(url))).isin(EMPTY_SLUGS)
     return F.struct(
         F.when(usable, base).alias("title"),
         F.when(usable, F.when(suffix != "", F.concat_ws("-", base, suffix)).otherwise(base)).alias("address"),
@@ -208,33 +208,33 @@ def path_identifier(url: str | Column) -> Column:
 
 def city_from_tail(address: str | Column) -> Column:
     """Last two words of an address without the postcode and country code."""
-    words = F.filter(F.split(F.trim(col(address)), r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(strip(col(address)), rx(r"\s+")), lambda w: w != "")
     tail = F.array_join(F.slice(words, F.greatest(F.size(words) - 1, F.lit(1)), F.lit(2)), " ")
-    no_code = F.trim(F.regexp_replace(tail, r"\b\d{4}\s?[A-Za-z]{2}\b", ""))
-    return F.nullif(F.trim(F.regexp_replace(no_code, r"\bNL\b", "")), F.lit(""))
+    no_code = strip(F.regexp_replace(tail, rx(r"\b\d{4}\s?[A-Za-z]{2}\b"), ""))
+    return F.nullif(strip(F.regexp_replace(no_code, r"\bNL\b", "")), F.lit(""))
 
 
 def city_after_postcode(text: str | Column) -> Column:
     """Words after a postcode; without one, the last comma part when it is only words."""
-    after = F.regexp_extract(col(text), r"\b\d{4}\s?[A-Za-z]{2}\s+([A-Za-z][A-Za-z\-\s]{1,60})\b", 1)
+    after = F.regexp_extract(col(text), rx(r"\b\d{4}\s?[A-Za-z]{2}\s+([A-Za-z][A-Za-z\-\s]{1,60})\b"), 1)
     chunks = F.filter(
         F.transform(F.split(col(text), ","), lambda c: F.regexp_replace(c, r"^[ ,.\-]+|[ ,.\-]+$", "")),
         lambda c: c != "",
     )
     tail = squash(F.get(chunks, F.size(chunks) - 1))
     return F.coalesce(
-        F.nullif(F.trim(after), F.lit("")), F.when(tail.rlike(r"^[\p{L}\-]+( [\p{L}\-]+)*$"), tail)
+        F.nullif(strip(after), F.lit("")), F.when(tail.rlike(r"^[\p{L}\-]+( [\p{L}\-]+)*$"), tail)
     )
 
 
 def last_comma_part(address: str | Column) -> Column:
-    parts = F.filter(F.transform(F.split(col(address), ","), lambda p: F.trim(p)), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(col(address), ","), lambda p: strip(p)), lambda p: p != "")
     return F.get(parts, F.size(parts) - 1)
 
 
 def source_domain(value: str | Column) -> Column:
     """Last two labels of the host, or of the bare text when it is no URL."""
-    text = F.lower(F.trim(col(value)))
+    text = F.lower(strip(col(value)))
     host = F.when(text.contains("://"), F.regexp_extract(text, r"://([^/?#]*)", 1)).otherwise(text)
     host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":.*$", ""), r"^www\.", "")
     labels = F.filter(F.split(host, r"\."), lambda p: p != "")
@@ -268,7 +268,7 @@ def matched_terms(text: Column, terms: list[str]) -> Column:
 
 def normalize_identifier(value: str | Column) -> Column:
     """Digits without leading zeros; text without digits in lower case."""
-    text = F.trim(F.coalesce(col(value).cast("string"), F.lit("")))
+    text = strip(F.coalesce(col(value).cast("string"), F.lit("")))
     digits = F.regexp_replace(text, r"[^0-9]", "")
     short = F.coalesce(F.nullif(F.ltrim(digits, F.lit("0")), F.lit("")), F.lit("0"))
     return F.when(digits != "", short).otherwise(F.lower(text))
@@ -276,7 +276,7 @@ def normalize_identifier(value: str | Column) -> Column:
 
 def point(value: str | Column, names: tuple[str, str], decimals: int) -> Column:
     """``POINT(x y)`` as a struct of two rounded numbers."""
-    pattern = r"POINT\(\s*(-?[0-9.]+)\s+(-?[0-9.]+)\s*\)"
+    pattern = rx(r"POINT\(\s*(-?[0-9.]+)\s+(-?[0-9.]+)\s*\)")
     first = F.regexp_extract(col(value), pattern, 1).try_cast("double")
     second = F.regexp_extract(col(value), pattern, 2).try_cast("double")
     return F.when(
@@ -308,7 +308,7 @@ def prefer_text(existing: str | Column, extracted: str | Column, replace_existin
 
 
 def has_postcode(text: Column) -> Column:
-    return text.rlike(r"\b\d{4}\s?[A-Za-z]{2}\b")
+    return text.rlike(rx(r"\b\d{4}\s?[A-Za-z]{2}\b"))
 
 
 def address_quality(value: str | Column) -> Column:
@@ -353,26 +353,26 @@ def clean_title(value: str | Column) -> Column:
     """Drop a trailing postcode-and-city part."""
     text = squash(value)
     for pattern in (
-        r"\s*,\s*\d{4}\s?[A-Za-z]{2}\s+[A-Za-z][A-Za-z\-\s]{1,60}$",
-        r"\s+\d{4}\s?[A-Za-z]{2}\s+[A-Za-z][A-Za-z\-\s]{1,60}$",
-        r"[,\s\-]+$",
+        rx(r"\s*,\s*\d{4}\s?[A-Za-z]{2}\s+[A-Za-z][A-Za-z\-\s]{1,60}$"),
+        rx(r"\s+\d{4}\s?[A-Za-z]{2}\s+[A-Za-z][A-Za-z\-\s]{1,60}$"),
+        rx(r"[,\s\-]+$"),
     ):
         text = F.regexp_replace(text, pattern, "")
     return F.nullif(text, F.lit(""))
 
 
 def clean_address(value: str | Column) -> Column:
-    text = F.regexp_replace(squash(value), r"\b(\d{4})\s?([A-Za-z]{2})\b", "$1 $2")
+    text = F.regexp_replace(squash(value), rx(r"\b(\d{4})\s?([A-Za-z]{2})\b"), "$1 $2")
     upper = F.when(
         has_postcode(text),
         F.regexp_replace(text, r"\b\d{4} [A-Za-z]{2}\b", F.coalesce(spaced_postcode(text), F.lit(""))),
     ).otherwise(text)
-    return F.nullif(F.regexp_replace(upper, r"[,\s\-]+$", ""), F.lit(""))
+    return F.nullif(F.regexp_replace(upper, rx(r"[,\s\-]+$"), ""), F.lit(""))
 
 
 def street_part(address: str | Column) -> Column:
     text = squash(address)
-    before = F.regexp_extract(text, r"^(.*?)\b\d{4}\s?[A-Za-z]{2}\b", 1)
+    before = F.regexp_extract(text, rx(r"^(.*?)\b\d{4}\s?[A-Za-z]{2}\b"), 1)
     return F.coalesce(F.nullif(F.regexp_replace(before, r"[, ]+$", ""), F.lit("")), F.nullif(text, F.lit("")))
 
 
@@ -415,4 +415,4 @@ def normalize_status(value: str | Column) -> Column:
 
 
 def word_count(value: str | Column) -> Column:
-    return F.size(F.filter(F.split(col(value), r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(col(value), rx(r"\s+")), lambda w: w != ""))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from woonvonk.functions.casts import strip
 from woonvonk.functions import finance
 from woonvonk.operators.skew import medians_from_ranks, percentile_from_top, top_n_per_key, value_ranks
 from woonvonk.session import broadcast_if_small
@@ -12,7 +13,7 @@ from woonvonk.session import broadcast_if_small
 
 def city_key(city: str = "city") -> Column:
     """Lower-cased city; missing cities form one group."""
-    return F.lower(F.trim(F.coalesce(F.nullif(F.trim(city), F.lit("")), F.lit("Onbekend"))))
+    return F.lower(strip(F.coalesce(F.nullif(strip(city), F.lit("")), F.lit("Onbekend"))))
 
 
 def exact_sum(value: str, decimals: int = 2) -> Column:
@@ -97,7 +98,7 @@ def average_scores(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def city_counts(df: DataFrame, city: str = "city") -> DataFrame:
-    name = F.coalesce(F.nullif(F.trim(city), F.lit("")), F.lit("Onbekend"))
+    name = F.coalesce(F.nullif(strip(city), F.lit("")), F.lit("Onbekend"))
     return df.groupBy(name.alias("city")).agg(F.count(F.lit(1)).alias("listing_count"))
 
 
@@ -171,7 +172,7 @@ def filter_bounds(df: DataFrame) -> DataFrame:
 
 
 def distinct_cities(df: DataFrame, city: str = "city") -> DataFrame:
-    name = F.trim(city)
+    name = strip(city)
     return df.select(name.alias("city")).where(F.col("city") != "").distinct().orderBy("city")
 
 
@@ -179,7 +180,7 @@ def geo_counts(df: DataFrame) -> DataFrame:
     """Distinct cities, municipalities (falling back to the city) and provinces."""
 
     def filled(name: str) -> Column:
-        return F.nullif(F.trim(name), F.lit(""))
+        return F.nullif(strip(name), F.lit(""))
 
     return df.agg(
         F.countDistinct(filled("city")).alias("cities_found"),

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from woonvonk.functions import finance, text
-from woonvonk.functions.casts import code_or, col, text_or_null
+from woonvonk.functions.casts import code_or, col, strip, text_or_null
 from woonvonk.session import broadcast_if_small
 
 # Fields that make a record complete, code sets, and word counts that make a text usable.
@@ -55,7 +55,7 @@ def _is_empty(df: DataFrame, name: str) -> Column:
     dtype = dict(df.dtypes)[name]
     blank = F.col(name).isNull()
     if dtype == "string":
-        return blank | (F.trim(F.col(name)) == "")
+        return blank | (strip(F.col(name)) == "")
     if dtype.startswith(("array", "map")):
         return blank | (F.size(name) == 0)
     return blank
@@ -68,7 +68,7 @@ def missing_fields(df: DataFrame, fields: list[str]) -> Column:
 
 def completeness(df: DataFrame, fields: list[str] = COMPLETENESS_FIELDS) -> DataFrame:
     """Missing fields and import status; a missing price counts only when its status is unknown too."""
-    status = F.coalesce(F.lower(F.trim("asking_price_status")), F.lit("unknown"))
+    status = F.coalesce(F.lower(strip("asking_price_status")), F.lit("unknown"))
     unpriced = F.col("asking_price").isNull() & status.isin("unknown", "")
     flags = [F.when(unpriced if f == "asking_price" else _is_empty(df, f), F.lit(f)) for f in fields]
     return df.withColumn("missing_fields", F.array_compact(F.array(*flags))).withColumn(

@@ -17,18 +17,19 @@ def deal_rows(
     snapshots: DataFrame,
     order: list[str],
     reference: Column,
+    shown_prices: int,
     hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Scored deal rows. The candidates given are the peer set for city averages and percentiles.
 
     Snapshots are looked at once for all listings. Earlier prices are shown for the newest
-    ``reports.SHOWN_PRICES`` steps; counts and days cover the whole history.
+    ``shown_prices`` steps; counts and days cover the whole history.
     """
     rows = reports.build_rows(reports.candidates_with_listing(candidates, listings, sources))
     counts = history.price_change_counts(snapshots, order, hot_rows=hot_rows)
     current = listings.select("listing_id", F.col("asking_price").alias("current_price"))
     steps = history.previous_prices(snapshots, current, order, hot_rows=hot_rows)
-    shown = reports.newest_children(steps.withColumn("step", F.col("step_no")), "listing_id", ["step_no"], reports.SHOWN_PRICES, "steps", ["step", "price"])
+    shown = reports.newest_children(steps.withColumn("step", F.col("step_no")), "listing_id", ["step_no"], shown_prices, "steps", ["step", "price"])
     oldest = snapshots.groupBy("listing_id").agg(F.to_date(F.min("observed_at")).alias("_oldest"))
     since = F.datediff(reference, F.col("_oldest"))
     path = F.transform(F.array_sort(F.transform("steps", lambda s: F.struct(s["step"].alias("step"), s["price"].alias("price")))), lambda s: s["price"])

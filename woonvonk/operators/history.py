@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import to_double, to_int
+from woonvonk.functions.casts import strip, to_double, to_int
 from woonvonk.functions.text import normalize_status
 from woonvonk.operators.skew import HOT_ROWS, first_per_key, hot_keys, null_safe_join, with_previous
 
@@ -94,7 +94,7 @@ def listing_history(
     """
     seen = F.col("observed_at").isNotNull()
     rows = snapshots.withColumn("_price", F.when(seen, F.col("asking_price"))).withColumn(
-        "_given", F.nullif(F.trim("listing_status"), F.lit(""))
+        "_given", F.nullif(strip("listing_status"), F.lit(""))
     )
     looked = with_previous(rows, key, "observed_at", order, previous_filled={"previous_price": F.col("_price")}, hot_rows=hot_rows)
     position = F.when(seen, F.struct(*order))
@@ -119,7 +119,7 @@ def listing_history(
     else:
         given = listings.select(
             key,
-            F.nullif(F.trim("listing_status"), F.lit("")).alias("_l_status"),
+            F.nullif(strip("listing_status"), F.lit("")).alias("_l_status"),
             to_double("original_asking_price").alias("_l_original"),
             to_double("current_asking_price").alias("_l_current"),
             F.to_date("first_seen_date").alias("_l_first"),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import text_or_null
+from woonvonk.functions.casts import strip, text_or_null
 from woonvonk.functions.text import address_components, normalize_source_url, normalize_url
 from woonvonk.operators.skew import first_per_key, top_n_per_key
 from woonvonk.session import broadcast_if_small
@@ -119,7 +119,8 @@ def upsert(current: DataFrame, incoming: DataFrame, key: Column, order: list[str
     """Insert or overwrite by natural key.
 
     The last incoming row per key wins and overwrites every column, NULLs included; columns in
-    ``keep_first`` keep the stored value. Rows with a NULL key are ignored.
+    ``keep_first`` keep the stored value. Incoming rows with a NULL key are ignored; stored ones stay and take no part in
+    the join, where they would all meet in one task.
     """
     latest = first_per_key(
         incoming.withColumn("_key", key).where(F.col("_key").isNotNull()),
@@ -127,6 +128,8 @@ def upsert(current: DataFrame, incoming: DataFrame, key: Column, order: list[str
         [F.col(c).desc_nulls_last() for c in order],
     )
     stored = current.withColumn("_key", key)
+    keyless = stored.where(F.col("_key").isNull()).select(*current.columns)
+    stored = stored.where(F.col("_key").isNotNull())
     arrivals = latest.withColumn("_present", F.lit(True))
     joined = stored.alias("o").join(arrivals.alias("n"), "_key", "full_outer")
     arrived = F.col("n._present").isNotNull()
@@ -134,7 +137,7 @@ def upsert(current: DataFrame, incoming: DataFrame, key: Column, order: list[str
         (F.coalesce(F.col(f"o.{c}"), F.col(f"n.{c}")) if c in keep_first else F.when(arrived, F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))).alias(c)
         for c in current.columns
     ]
-    return joined.select(*columns)
+    return joined.select(*columns).union(keyless)
 
 
 def upsert_listings(current: DataFrame, incoming: DataFrame, order: list[str]) -> DataFrame:
@@ -184,7 +187,7 @@ def missing_ids(listings: DataFrame, *seen: DataFrame) -> DataFrame:
 
 def keep_first(df: DataFrame, order: list[str], address: str = "address", city: str = "city") -> DataFrame:
     """One row per listing: keyed by id, else URL, else address and city; the first in order stays."""
-    place = F.concat_ws("::", F.lower(F.trim(F.coalesce(address, F.lit("")))), F.lower(F.trim(F.coalesce(city, F.lit("")))))
+    place = F.concat_ws("::", F.lower(strip(F.coalesce(address, F.lit("")))), F.lower(strip(F.coalesce(city, F.lit("")))))
     key = F.coalesce(text_or_null("listing_id"), text_or_null("source_url"), place)
     return first_per_key(df.withColumn("_key", key), ["_key"], [F.col(c) for c in order]).drop("_key")
 
@@ -213,7 +216,7 @@ def merge_places(*lists: DataFrame) -> DataFrame:
     """Places of several lists (columns ``place``, ``place_order``), each once whatever its case."""
     merged = None
     for i, places in enumerate(lists):
-        part = places.select(F.trim("place").alias("place"), "place_order", F.lit(i).alias("list_no"))
+        part = places.select(strip("place").alias("place"), "place_order", F.lit(i).alias("list_no"))
         merged = part if merged is None else merged.unionByName(part)
     named = merged.where(F.col("place") != "").withColumn("_key", F.lower("place"))
     return first_per_key(named, ["_key"], [F.col("list_no"), F.col("place_order"), F.col("place")]).select(

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from woonvonk.functions.casts import strip
 from woonvonk.functions import bands, finance
 from woonvonk.functions.text import contains_any, matched_terms, normalize_type, squash
 from woonvonk.operators import investment
@@ -38,7 +39,7 @@ BREADTH_BONUS = 5
 def with_signals(df: DataFrame, raw_text: str = "raw_text", description: str = "description") -> DataFrame:
     """Add the signals; needs ``ppm2``, ``peer_average`` and the listing columns."""
     raw = F.coalesce(F.lower(squash(raw_text)), F.lit(""))
-    combined = F.trim(F.concat_ws(" ", raw, F.coalesce(F.lower(squash(description)), F.lit(""))))
+    combined = strip(F.concat_ws(" ", raw, F.coalesce(F.lower(squash(description)), F.lit(""))))
     kind = normalize_type("property_type")
     area = F.coalesce(
         F.nullif(F.col("calculation_area_m2"), F.lit(0.0)) if "calculation_area_m2" in df.columns else F.lit(None).cast("double"),

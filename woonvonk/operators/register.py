@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from woonvonk.functions import finance
-from woonvonk.functions.casts import clamp_score, text_or_null
+from woonvonk.functions.casts import clamp_score, strip, text_or_null
 from woonvonk.functions.text import LOOSE_POSTCODE, compact_postcode, normalize_identifier, register_address, squash
 from woonvonk.operators.scoring import points, total
 from woonvonk.operators.skew import first_per_key
@@ -24,7 +24,7 @@ def _text(name: str) -> Column:
 
 
 def _code(name: str) -> Column:
-    return F.upper(F.trim(F.coalesce(name, F.lit(""))))
+    return F.upper(strip(F.coalesce(name, F.lit(""))))
 
 
 def _same(expected: Column, found: Column) -> Column:
@@ -47,7 +47,7 @@ def _prepared_properties(properties: DataFrame) -> DataFrame:
     def known_id(name: str) -> Column:
         if name not in properties.columns:
             return F.lit(None).cast("string")
-        return F.when(F.coalesce(F.trim(name), F.lit("")) != "", normalize_identifier(name))
+        return F.when(F.coalesce(strip(name), F.lit("")) != "", normalize_identifier(name))
 
     return with_expected(properties).withColumns(
         {
@@ -176,8 +176,8 @@ def quality_flags(found: str = "doc_no") -> Column:
 
 def id_candidates(address_id: Column, identification: Column) -> Column:
     """Ids to try in the tax register, in order: digits with a leading zero, other digits, else the rest."""
-    parts = F.transform(F.split(F.coalesce(identification, F.lit("")), "-"), lambda p: F.trim(p))
-    every = F.array_distinct(F.filter(F.concat(F.array(F.trim(F.coalesce(address_id, F.lit("")))), parts), lambda p: p != ""))
+    parts = F.transform(F.split(F.coalesce(identification, F.lit("")), "-"), lambda p: strip(p))
+    every = F.array_distinct(F.filter(F.concat(F.array(strip(F.coalesce(address_id, F.lit("")))), parts), lambda p: p != ""))
     digits = F.filter(every, lambda p: p.rlike(r"^\d+$"))
     leading = F.filter(digits, lambda p: p.startswith("0"))
     ordered = F.concat(leading, F.filter(digits, lambda p: ~p.startswith("0")))

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import text_or_null
+from woonvonk.functions.casts import strip, text_or_null
 from woonvonk.functions.text import address_key, municipality_slug, strip_accents
 from woonvonk.operators.benchmarks import exact_mean
 from woonvonk.operators.skew import first_per_key, top_n_per_key
@@ -36,7 +36,7 @@ def filter_rows(df: DataFrame, place=None, min_price=None, max_price=None, min_a
     """Rows without a value fail every bound that is set."""
     rules = []
     if place:
-        rules.append(F.trim("city") == place.strip())
+        rules.append(strip("city") == place.strip())
     if min_price is not None:
         rules.append(F.col("asking_price") >= min_price)
     if max_price is not None:
@@ -44,7 +44,7 @@ def filter_rows(df: DataFrame, place=None, min_price=None, max_price=None, min_a
     if min_area is not None:
         rules.append(F.col("surface_m2") >= min_area)
     if label:
-        rules.append(F.upper(F.trim("energy_label")) == label.strip().upper())
+        rules.append(F.upper(strip("energy_label")) == label.strip().upper())
     if min_score is not None:
         rules.append(F.col("opportunity_score") >= min_score)
     return df.where(_all(rules))
@@ -85,7 +85,7 @@ def filter_municipality(df: DataFrame, slug: str, city: str = "city") -> DataFra
 def source_selection(sources: DataFrame, order: list[str], types=("portal", "broker")) -> DataFrame:
     """Enabled sources of the given kinds, each name once whatever its case."""
     wanted = sources.where(F.col("is_enabled") & F.col("source_type").isin(list(types))).withColumn(
-        "_key", F.lower(F.trim("source_name"))
+        "_key", F.lower(strip("source_name"))
     )
     return first_per_key(wanted, ["_key"], [F.col(c) for c in order]).drop("_key")
 
@@ -161,7 +161,7 @@ def recent_runs(runs: DataFrame, n: int = 20) -> DataFrame:
     return runs.orderBy(F.col("started_at").desc(), "run_id").limit(n)
 
 
-def listing_detail(listings: DataFrame, sources: DataFrame, snapshots: DataFrame, candidates: DataFrame, order: list[str], n: int = 50) -> DataFrame:
+def listing_detail(listings: DataFrame, sources: DataFrame, snapshots: DataFrame, candidates: DataFrame, order: list[str], n: int) -> DataFrame:
     """Listing with source, its newest ``n`` snapshots as an array, the newest of them and its candidate.
 
     The array is bounded: rows beyond the newest ``n`` never reach the shuffle.
@@ -218,7 +218,7 @@ def ordered_union(*arrays: Column) -> Column:
 
 def places_in_use(places: DataFrame, rows: DataFrame) -> DataFrame:
     """Reference places that occur in the rows, in reference order."""
-    used = rows.select(F.trim("city").alias("place")).where(F.col("place") != "")
+    used = rows.select(strip("city").alias("place")).where(F.col("place") != "")
     return places.join(used, "place", "left_semi").orderBy("place_order")
 
 
@@ -321,7 +321,7 @@ def comparables_table(comps: DataFrame) -> DataFrame:
 
 def place_list(places: DataFrame, place: str = "place") -> DataFrame:
     """Places once whatever their case, sorted without regard to accents."""
-    name = F.trim(place)
+    name = strip(place)
     named = places.select(name.alias("place")).where(F.col("place") != "").withColumn("_key", F.lower("place"))
     kept = first_per_key(named, ["_key"], [F.col("place")])
     return kept.withColumn("sort_key", strip_accents(F.col("_key"))).orderBy("sort_key", "place").select("place", "sort_key")
@@ -412,24 +412,23 @@ def scan_report_by_city(results: DataFrame) -> DataFrame:
 
 # --- assembled details and whole pages ---------------------------------------------------------
 
-# How many child rows a detail shows.
-SHOWN_TRANSACTIONS, SHOWN_PERMITS, SHOWN_LABELS, SHOWN_PRICES = 200, 200, 50, 25
-
-
 def newest_children(rows: DataFrame, key: str, order: list[str], n: int, name: str, columns: list[str]) -> DataFrame:
     """Newest ``n`` child rows per key as an array; older ones never reach the shuffle."""
     newest = top_n_per_key(rows, [key], [F.col(c).desc() for c in order], n, "_no")
     return newest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_no", *columns))).alias(name))
 
 
-def property_detail(properties: DataFrame, analyses: DataFrame, transactions: DataFrame, permits: DataFrame, labels: DataFrame, key: str) -> DataFrame:
-    """Property with its newest analysis and its newest transactions, permits and labels."""
+def property_detail(
+    properties: DataFrame, analyses: DataFrame, transactions: DataFrame, permits: DataFrame, labels: DataFrame, key: str,
+    n_transactions: int, n_permits: int, n_labels: int,
+) -> DataFrame:
+    """Property with its newest analysis and as many of its newest transactions, permits and labels as are asked for."""
     latest = first_per_key(analyses, [key], [F.col("created_at").desc(), F.col("analysis_id").desc()])
     return (
         properties.join(latest.select(key, "analysis_id", "investment_score"), key, "left")
-        .join(newest_children(transactions, key, ["sale_date", "sale_id"], SHOWN_TRANSACTIONS, "transactions", ["sale_id", "sale_date", "price"]), key, "left")
-        .join(newest_children(permits, key, ["application_date", "permit_id"], SHOWN_PERMITS, "permits", ["permit_id", "status"]), key, "left")
-        .join(newest_children(labels, key, ["registered_on", "label_id"], SHOWN_LABELS, "energy_labels", ["label_id"]), key, "left")
+        .join(newest_children(transactions, key, ["sale_date", "sale_id"], n_transactions, "transactions", ["sale_id", "sale_date", "price"]), key, "left")
+        .join(newest_children(permits, key, ["application_date", "permit_id"], n_permits, "permits", ["permit_id", "status"]), key, "left")
+        .join(newest_children(labels, key, ["registered_on", "label_id"], n_labels, "energy_labels", ["label_id"]), key, "left")
     )
 
 

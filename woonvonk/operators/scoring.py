@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from woonvonk.functions import bands, finance
-from woonvonk.functions.casts import clamp_score, clamped, col, to_int
+from woonvonk.functions.casts import clamp_score, clamped, col, strip, to_int
 from woonvonk.operators.benchmarks import city_benchmarks, city_key, join_city_benchmarks, with_percentile, with_ppm2
 from woonvonk.session import broadcast_if_small
 
@@ -33,7 +33,7 @@ def total(*parts: Column) -> Column:
 
 
 def upper_label(label: str) -> Column:
-    return F.coalesce(F.upper(F.trim(label)), F.lit(""))
+    return F.coalesce(F.upper(strip(label)), F.lit(""))
 
 
 # --- ranking of one listing -------------------------------------------------------------------
@@ -155,7 +155,7 @@ def rank_pipeline(listings: DataFrame) -> DataFrame:
         "price_per_m2" if "price_per_m2" in listings.columns else F.lit(None).cast("double"),
         F.round(finance.ratio(F.nullif("asking_price", F.lit(0.0)), "surface_m2"), 2),
     )
-    city = F.lower(F.trim("city"))
+    city = F.lower(strip("city"))
     base = listings.withColumns(
         {"price_per_m2": ppm2, "city_key": F.nullif(city, F.lit("")), "yield_pct": F.lit(None).cast("double")}
     )
@@ -333,7 +333,7 @@ UNKNOWN_PRICE_DEDUCTION = 5
 
 def category_scores() -> dict[str, Column]:
     """Six categories of 0..20; needs ``discount_pct``, ``difference_pct``, ``advice``, ``gross_yield``."""
-    city = F.lower(F.trim(F.coalesce("city", F.lit(""))))
+    city = F.lower(strip(F.coalesce("city", F.lit(""))))
     area, diff = F.col("surface_m2"), F.col("difference_pct")
     discount = F.col("discount_pct")
     return {

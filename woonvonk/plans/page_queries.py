@@ -9,15 +9,22 @@ from woonvonk.plans.views import r2, read, view, with_views
 from woonvonk.sources import pages
 
 
+# The references that occur in the pages, the ampersand last.
+SIGNS = [
+    ("nbsp", " "), ("euro", "€"), ("#8364", "€"), ("#233", "é"), ("sup2", "²"), ("copy", "©"), ("middot", "·"), ("ndash", "–"),
+    ("quot", '"'), ("#39", "''"), ("lt", "<"), ("gt", ">"), ("eacute", "é"), ("uuml", "ü"), ("amp", "&"),
+]
+
+
 def _strip(html: str) -> str:
     """Visible text in the checking engine."""
     out = html
     for pattern in ("<!--.*?-->", "<script\\b[^>]*>.*?</script\\s*>", "<style\\b[^>]*>.*?</style\\s*>", "<noscript\\b[^>]*>.*?</noscript\\s*>"):
         out = f"regexp_replace({out}, '(?is){pattern}', ' ', 'g')"
     out = f"regexp_replace({out}, '(?s)<[^>]*>', ' ', 'g')"
-    for name, sign in pages.ENTITIES.items():
-        out = f"replace({out}, '{name}', '{sign if sign != chr(39) else chr(39) * 2}')"
-    return f"trim(regexp_replace({out}, '\\s+', ' ', 'g'))"
+    for name, sign in SIGNS:
+        out = f"regexp_replace({out}, '&{name}(;|\\b)', '{sign}', 'g')"
+    return f"trim(regexp_replace({out}, '[\\s\\x{{A0}}]+', ' ', 'g'))"
 
 
 VISIBLE = _strip("html")
@@ -201,11 +208,11 @@ def extraction_report(spark, sf_dir):
     "generic_record",
     f"""WITH t AS (SELECT page_id, {VISIBLE} AS txt, nullif({_strip("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)")}, '') AS title FROM pages),
     w AS (SELECT *, cast(len(list_filter(string_split(txt, ' '), lambda x: x <> '')) as int) AS word_count FROM t)
-    SELECT page_id, title, word_count, word_count >= 35 AND title IS NOT NULL AS success, CASE WHEN word_count >= 35 AND title IS NOT NULL THEN 0.70e0 ELSE 0.25e0 END AS confidence, cast(least(15000, length(txt)) as int) AS text_length FROM w""",
+    SELECT page_id, title, word_count, word_count >= 35 AND title IS NOT NULL AS success, CASE WHEN word_count >= 35 AND title IS NOT NULL THEN 0.70e0 ELSE 0.25e0 END AS confidence, md5(txt) AS text_md5 FROM w""",
 )
 def generic_record(spark, sf_dir):
     records = pages.generic_record(read(spark, sf_dir, "pages"), ["portal.example"], ["business.example"])
-    return records.select("page_id", "title", "word_count", "success", "confidence", F.length("raw_text").alias("text_length"))
+    return records.select("page_id", "title", "word_count", "success", "confidence", F.md5(F.col("raw_text").cast("binary")).alias("text_md5"))
 
 
 @query(

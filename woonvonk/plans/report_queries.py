@@ -514,6 +514,7 @@ def listing_detail(spark, sf_dir):
         view(spark, sf_dir, "snapshots"),
         view(spark, sf_dir, "candidates"),
         ["observed_at", "snapshot_seq"],
+        n=50,
     )
     prices = F.filter(F.col("snapshots.asking_price"), lambda p: p.isNotNull())
     total = F.aggregate(prices, F.lit(0.0), lambda a, p: a + p)
@@ -774,7 +775,7 @@ def property_detail(spark, sf_dir):
     )
     labels = sales.select("property_id", F.col("sale_date").alias("registered_on"), F.col("sale_id").alias("label_id"))
     properties = view(spark, sf_dir, "listings").select(F.col("listing_id").alias("property_id"))
-    detail = reports.property_detail(properties, analyses, sales, view(spark, sf_dir, "permits"), labels, "property_id")
+    detail = reports.property_detail(properties, analyses, sales, view(spark, sf_dir, "permits"), labels, "property_id", 200, 200, 50)
 
     def size(name):
         return F.coalesce(F.size(name), F.lit(0))
@@ -827,7 +828,7 @@ def dashboard_result(spark, sf_dir):
 def deal_rows(spark, sf_dir):
     rows = deals.deal_rows(
         view(spark, sf_dir, "candidates"), view(spark, sf_dir, "listings"), view(spark, sf_dir, "sources"), view(spark, sf_dir, "snapshots"),
-        ORDER, F.lit("2001-08-01").cast("date"),
+        ORDER, F.lit("2001-08-01").cast("date"), shown_prices=25,
     )
     return rows.select(
         "candidate_id", "listing_id", "vorige_vraagprijzen", "price_reduction_count", "days_on_market", "deal_score", "investment_score",

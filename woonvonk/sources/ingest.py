@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from woonvonk.functions.casts import text_or_null, to_double, to_int
+from woonvonk.functions.casts import strip, text_or_null, to_double, to_int
 from woonvonk.functions.text import normalize_url, url_authority, url_scheme
 
 # Required fields, canonical columns, feed wrappers and the fall-back names of feed fields.
@@ -85,7 +85,7 @@ def read_json(spark: SparkSession, path: str, multi_line: bool = False) -> DataF
 
 def read_urls(lines: DataFrame, source_name: str = "manual_url") -> DataFrame:
     """One URL per line (columns ``line_no``, ``value``); blank lines are skipped, bad ones get a warning."""
-    url = F.trim("value")
+    url = strip("value")
     fine = url_scheme(url).isin("http", "https") & (url_authority(url) != "")
     message = F.concat(F.lit("Line "), F.col("line_no").cast("string"), F.lit(": invalid URL '"), url, F.lit("'."))
     return lines.where(url != "").select(
@@ -102,7 +102,7 @@ def feed_items(documents: DataFrame, body: str = "body") -> DataFrame:
     Each item is a map from its field names to JSON text, so that presence of a field can be told from a
     field that is null.
     """
-    trimmed = F.trim(body)
+    trimmed = strip(body)
     wrapped = [F.from_json(F.get_json_object(body, f"$.{w}"), "array<string>") for w in FEED_WRAPPERS]
     texts = F.when(trimmed.startswith("["), F.from_json(trimmed, "array<string>")).otherwise(F.coalesce(*wrapped))
     rows = documents.select("*", F.posexplode(texts).alias("item_no", "_text")).where(F.col("_text").startswith("{"))
@@ -187,7 +187,7 @@ def to_property(listings: DataFrame, payload: str = "raw_payload") -> DataFrame:
     """Wide property row: listing columns over the JSON payload, with defaults."""
 
     def raw(name: str) -> Column:
-        return F.nullif(F.trim(F.get_json_object(payload, f"$.{name}")), F.lit(""))
+        return F.nullif(strip(F.get_json_object(payload, f"$.{name}")), F.lit(""))
 
     photos = F.from_json(F.coalesce(F.get_json_object(payload, "$.photos"), F.get_json_object(payload, "$.image_urls")), "array<string>")
     return listings.withColumns(
@@ -198,7 +198,7 @@ def to_property(listings: DataFrame, payload: str = "raw_payload") -> DataFrame:
             "asking_price_status": F.when(F.col("asking_price").isNotNull(), "known").otherwise("unknown"),
             "price_reduction_count": F.coalesce(to_int(raw("price_reduction_count")), F.lit(0)),
             "listing_history_confidence": F.coalesce(raw("listing_history_confidence"), F.lit("unknown")),
-            "photos": F.coalesce(F.filter(F.transform(photos, lambda p: F.trim(p)), lambda p: p != ""), F.array().cast("array<string>")),
+            "photos": F.coalesce(F.filter(F.transform(photos, lambda p: strip(p)), lambda p: p != ""), F.array().cast("array<string>")),
             "raw_text": F.coalesce(raw("raw_text"), "description"),
         }
     )

@@ -7,6 +7,9 @@ around the standard library's parser.
 
 from __future__ import annotations
 
+import json
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -14,25 +17,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from woonvonk.functions import dates, finance, numbers, text
-from woonvonk.functions.casts import col, first_digits
+from woonvonk.functions.casts import col, first_digits, strip
 from woonvonk.functions.text import squash
 from woonvonk.operators.columns import any_of
 from woonvonk.session import spread
 
-# Named characters in pages.
-ENTITIES = {
-    "&nbsp;": " ", "&euro;": "€", "&sup2;": "²", "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#39;": "'", "&apos;": "'",
-    "&eacute;": "é", "&euml;": "ë", "&iuml;": "ï", "&amp;": "&",
-}
+# A character reference; names (some old ones need no semicolon) and the codes that old pages mean as windows-1252
+# come from the standard tables.
+REFERENCE = r"&(#[0-9]{1,7};?|#[xX][0-9a-fA-F]{1,6};?|[A-Za-z][A-Za-z0-9]*;?)"
+OLD_CODES = {str(code): bytes([code]).decode("cp1252", "replace") for code in range(0x80, 0xA0)}
 NOISE = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>|<noscript\b[^>]*>.*?</noscript\s*>"
 TAG = r"(?s)<[^>]*>"
 LD_JSON = r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
 
 
 def unescape(value: Column) -> Column:
-    for name, sign in ENTITIES.items():
-        value = F.replace(value, F.lit(name), F.lit(sign))
-    return value
+    """Character references as characters, once each; unknown names stay as they are."""
+    named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    old = F.from_json(F.lit(json.dumps(OLD_CODES)), "map<string,string>")
+
+    def sign(name: Column) -> Column:
+        hexadecimal = name.rlike("^#[xX]")
+        digits = F.regexp_extract(name, "^#[xX]?([0-9a-fA-F]+)", 1)
+        code = F.when(hexadecimal, F.conv(digits, 16, 10)).when(name.startswith("#"), F.conv(digits, 10, 10))
+        number = code.cast("int")
+        whole = (number > 0) & (number <= 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        numeric = F.coalesce(old[code], F.when(whole, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")), F.lit("\ufffd"))
+        return F.when(code.isNotNull(), numeric).otherwise(F.coalesce(named[name], F.concat(F.lit("&"), name)))
+
+    between = F.split(value, REFERENCE, -1)
+    signs = F.transform(F.regexp_extract_all(value, F.lit(REFERENCE), F.lit(1)), sign)
+    decoded = F.array_join(F.zip_with(between, signs, lambda x, y: F.concat(x, F.coalesce(y, F.lit("")))), "")
+    return F.when(value.rlike(REFERENCE), decoded).otherwise(value)
 
 
 def inner_text(fragment: Column) -> Column:
@@ -82,7 +98,7 @@ def link_href(html: str | Column, rel: str) -> Column:
 
 def ld_blocks(html: str | Column) -> Column:
     """Raw structured-data blocks of a page."""
-    return F.filter(F.transform(F.regexp_extract_all(col(html), F.lit(LD_JSON), F.lit(1)), lambda b: F.trim(b)), lambda b: b != "")
+    return F.filter(F.transform(F.regexp_extract_all(col(html), F.lit(LD_JSON), F.lit(1)), lambda b: strip(b)), lambda b: b != "")
 
 
 def ld_warnings(blocks: Column) -> Column:
@@ -178,17 +194,36 @@ def extract_open_graph(pages: DataFrame) -> DataFrame:
 
 # --- elements by class or attribute --------------------------------------------------------------
 
-# Where each field is looked for, in order. "=" is a tag, "." a class, "~" part of a class,
-# "@" an itemprop.
+# Where each field is looked for, in order.
 SELECTORS = {
-    "heading": [".single__title", "=h1", "=h2", "=h3"],
-    "address": ["@streetAddress", "=address", ".address", ".adres", ".street-address", "~address", "~adres", "~street", "~location"],
-    "city": ["@addressLocality", ".city", "~plaats", "~city"],
-    "price": ["@price", ".price", "~price", "~vraagprijs", "~asking", "~koopsom"],
-    "surface": ["@floorSize", ".surface", "~oppervlakte", "~surface", "~m2"],
-    "description": ["@description", ".description", "~omschrijving", ".summary", "~intro"],
-    "breadcrumb": [".breadcrumb", "~breadcrumb"],
-}
+    "heading": ["h3.single__title", ".single__title", "h1", "h2", "h3"],
+    "address": [
+        "[itemprop='streetAddress']", "address", ".address", ".adres", ".street-address", "[class*='address']",
+        "[class*='adres']", "[class*='street']", "[class*='location']",
+    ],
+    "city": ["[itemprop='addressLocality']", ".city", "[class*='plaats']", "[class*='city']"],
+    "price": ["[itemprop='price']", ".price", "[class*='price']", "[class*='vraagprijs']", "[class*='asking']", "[class*='koopsom']"],
+    "surface": [
+        "[itemprop='floorSize']", ".surface", "[class*='oppervlakte']", "[class*='surface']", "[class*='m2']",
+        "[class*='woonoppervlakte']", "[class*='gebruiksoppervlakte']",
+    ],
+    "description": ["[itemprop='description']", ".description", "[class*='omschrijving']", "article p", ".summary", "[class*='intro']"],
+    "breadcrumb": ["nav.breadcrumb", ".breadcrumb", "[class*='breadcrumb']"],
+}
+SIMPLE = re.compile(r"^([a-z0-9]*)(?:\.([\w-]+))?(?:\[(\w+)(\*?)='([^']*)'\])?$")
+
+
+def _compiled() -> tuple[dict[str, list], list]:
+    """Selectors by the tag they need, and those for any tag: (selector, tag around, class, attribute, partly, value)."""
+    by_tag: dict[str, list] = {}
+    for selector in dict.fromkeys(s for options in SELECTORS.values() for s in options):
+        *around, last = selector.split()
+        tag, name, attribute_, part, value = SIMPLE.match(last).groups()
+        by_tag.setdefault(tag, []).append((selector, around[0] if around else "", name, attribute_, bool(part), value))
+    return by_tag, by_tag.pop("", [])
+
+
+BY_TAG, ANY_TAG = _compiled()
 VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
@@ -203,19 +238,20 @@ class _Picker(HTMLParser):
 
     def _hits(self, tag: str, attrs: list[tuple[str, str | None]]) -> list[str]:
         given = {k: v or "" for k, v in attrs}
-        classes, item = given.get("class", ""), given.get("itemprop", "")
-        words = classes.split()
+        looked = BY_TAG.get(tag, [])
+        if "class" in given or "itemprop" in given:
+            looked = [*looked, *ANY_TAG]
+        words = given.get("class", "").split()
         hits = []
-        for selectors in SELECTORS.values():
-            for s in selectors:
-                kind, name = s[0], s[1:]
-                if (
-                    (kind == "=" and tag == name)
-                    or (kind == "." and name in words)
-                    or (kind == "~" and name in classes)
-                    or (kind == "@" and item == name)
-                ) and s not in self.found:
-                    hits.append(s)
+        for selector, around, name, attribute_, part, value in looked:
+            held = given.get(attribute_, "") if attribute_ else ""
+            if (
+                selector not in self.found
+                and (not name or name in words)
+                and (not attribute_ or (value in held if part else value == held))
+                and (not around or any(t == around for t, _ in self.open))
+            ):
+                hits.append(selector)
         return hits
 
     def handle_starttag(self, tag, attrs):
@@ -290,16 +326,29 @@ def area_score(line: Column) -> Column:
     return F.when(usable, F.lit(5) + F.when(unit, 3).otherwise(0))
 
 
+def labelled_lines(lines: Column) -> Column:
+    """A label of the area together with the line after it, where the label's own line has no digit."""
+    after = F.slice(lines, 2, F.greatest(F.size(lines), F.lit(1)))
+    label = lambda x: text.contains_any(F.lower(x), AREA_WORDS) & ~x.rlike("[0-9]")
+    return F.array_compact(F.zip_with(lines, after, lambda x, y: F.when(label(x) & y.rlike("[0-9]"), F.concat_ws(" ", x, y))))
+
+
 def extract_html_fallback(pages: DataFrame) -> DataFrame:
     """Add ``page_<field>``: title, heading, address, price, area and description by rules of thumb."""
     picked = with_picked(pages).withColumns(
         {
-            "_lines": F.filter(text_lines("html"), lambda x: x.rlike("[0-9]")),
+            "_all_lines": text_lines("html"),
             "_slug_title": text.slug_title("url")["title"],
             "_slug_address": text.slug_title("url")["address"],
             "_doc_title": element_text("html", "title"),
         }
     )
+    picked = picked.withColumns(
+        {
+            "_lines": F.filter("_all_lines", lambda x: x.rlike("[0-9]")),
+            "_area_lines": F.concat(labelled_lines(F.col("_all_lines")), F.filter("_all_lines", lambda x: x.rlike("[0-9]"))),
+        }
+    ).drop("_all_lines")
     heading = F.col("picked_heading")
     # Addresses and areas have a digit, which leaves few lines to look at.
     address_line = best_line(F.col("_lines"), lambda x: F.when(looks_like_address(x), text.address_quality(x)))
@@ -313,7 +362,7 @@ def extract_html_fallback(pages: DataFrame) -> DataFrame:
         F.col("_address").isNotNull() & F.col("_postal_code").isNotNull() & F.col("_city").isNotNull(),
         text.compose_address(text.street_part("_address"), F.col("_postal_code"), F.col("_city")),
     )
-    surface = F.coalesce(best_line(F.col("_lines"), area_score), F.when(F.col("picked_surface").rlike(r"\d"), F.col("picked_surface")))
+    surface = F.coalesce(best_line(F.col("_area_lines"), area_score), F.when(F.col("picked_surface").rlike(r"\d"), F.col("picked_surface")))
     title = F.coalesce("_doc_title", heading, F.col("_slug_title"))
     return placed.withColumns(
         {
@@ -326,7 +375,7 @@ def extract_html_fallback(pages: DataFrame) -> DataFrame:
             "page_surface_m2": numbers.parse_number_eu(surface),
             "page_description": F.col("picked_description"),
         }
-    ).drop("_lines", "_slug_title", "_slug_address", "_doc_title", "_address", "_postal_code", "_city", *[f"picked_{f}" for f in SELECTORS])
+    ).drop("_lines", "_area_lines", "_slug_title", "_slug_address", "_doc_title", "_address", "_postal_code", "_city", *[f"picked_{f}" for f in SELECTORS])
 
 
 # Methods with their confidence, best first.
@@ -399,7 +448,7 @@ def detail(pairs: Column, labels: list[str]) -> Column:
 
 def resolve(base: str | Column, href: Column) -> Column:
     """Absolute address of a link without its fragment; NULL for links that are not pages."""
-    link = F.trim(href)
+    link = strip(href)
     root = F.regexp_extract(col(base), r"^\s*([A-Za-z][A-Za-z0-9+.\-]*://[^/?#]+)", 1)
     folder = F.regexp_extract(col(base), r"^\s*([A-Za-z][A-Za-z0-9+.\-]*://[^?#]*/)[^/?#]*", 1)
     whole = (
@@ -529,15 +578,13 @@ def portal_record(pages: DataFrame) -> DataFrame:
 
 # Success rule and confidences of the generic record, by kind of host.
 MIN_WORDS = 35
-TEXT_LIMIT = 15000
 CONFIDENCES = {"portal": (0.75, 0.35), "business": (0.72, 0.32), "other": (0.70, 0.25)}
 
 
 def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: list[str]) -> DataFrame:
     """Any public page: title, address, price, areas, features, images and whether it says enough.
 
-    Hosts are told apart by suffix. ``raw_text`` is the text kept for analysis, at most ``TEXT_LIMIT``
-    characters as the record format asks; the words are counted over the whole text.
+    Hosts are told apart by suffix. ``raw_text`` is the whole visible text, and all list items of some length are features.
     """
     nodes = ld_nodes(ld_blocks("html"))
     items = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1)), inner_text)
@@ -569,7 +616,7 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
             "_text": visible_text("html"),
             "_price_text": F.coalesce(given, description),
             "living_area": numbers.parse_area(first_value(nodes, "$.floorSize.value", "$.floorSize", "$.livingArea")),
-            "features": F.slice(F.filter(items, lambda x: F.length(x) >= 8), 1, 10),
+            "features": F.filter(items, lambda x: F.length(x) >= 8),
         }
     ).withColumn("word_count", F.coalesce(text.word_count("_text"), F.lit(0)))
     success = (F.col("word_count") >= MIN_WORDS) & (F.col("title").isNotNull() | F.col("address").isNotNull())
@@ -583,7 +630,7 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
             "confidence": trust,
             "asking_price": numbers.parse_price("_price_text")["amount"],
             "price_status": F.coalesce(numbers.parse_price("_price_text")["status"], F.lit("unknown")),
-            "raw_text": F.substring("_text", 1, TEXT_LIMIT),
+            "raw_text": F.coalesce("_text", F.lit("")),
             "broker_search_query": F.when(~F.col("success") & (F.col("host_kind") != "other"), query),
         }
     ).drop("_text", "_price_text")
@@ -615,8 +662,8 @@ def listing_cards(pages: DataFrame) -> DataFrame:
     card = F.col("x.card")
     metrics = F.transform(F.regexp_extract_all(card, F.lit(r"""(?is)<span class=["']v["']>(.*?)</span>"""), F.lit(1)), inner_text)
     thumb = F.regexp_extract(card, r"""(?is)<img\b[^>]*class=["'][^"']*listing-thumb[^"']*["'][^>]*>""", 0)
-    head = F.trim(F.regexp_replace(attribute(thumb, "alt"), r" in .*$", ""))
-    kind = F.when(head.contains(","), F.trim(F.regexp_extract(head, r"^([^,]*),", 1))).when(
+    head = strip(F.regexp_replace(attribute(thumb, "alt"), r" in .*$", ""))
+    kind = F.when(head.contains(","), strip(F.regexp_extract(head, r"^([^,]*),", 1))).when(
         F.lower(head).endswith(" kluswoning te koop"), "kluswoning"
     )
     city, address = _by_class(card, "strong", "mobile-title"), _by_class(card, "span", "min-h-40p")
@@ -647,14 +694,14 @@ def city_links(pages: DataFrame) -> DataFrame:
     )
     ends = r" (" + "|".join(PROVINCES) + r")$"
     province = F.nullif(F.regexp_extract("label", ends, 1), F.lit(""))
-    rest = F.trim(F.regexp_replace("label", ends, ""))
+    rest = strip(F.regexp_replace("label", ends, ""))
     counted = r"(?i)^(\d+)\s+kluswoning(?:en)?\s+(.*)$"
     tail = r"^(.*?)(?:\s+(\d+))?$"
     front = rest.rlike(counted)
-    slug = F.trim(F.regexp_replace(F.translate(F.regexp_extract("href", r"([^/]*)$", 1), "-", " "), r"(?i)\bkluswoning\b", ""))
+    slug = strip(F.regexp_replace(F.translate(F.regexp_extract("href", r"([^/]*)$", 1), "-", " "), r"(?i)\bkluswoning\b", ""))
     words = F.array_join(F.transform(F.split(slug, r"\s+"), lambda w: F.when(w.isin("en", "van", "de", "den", "der", "het"), w).otherwise(F.initcap(w))), " ")
     name = F.when(front, F.regexp_extract(rest, counted, 2)).otherwise(
-        F.trim(F.regexp_replace(F.regexp_extract(rest, tail, 1), r"kluswoning(en)?", ""))
+        strip(F.regexp_replace(F.regexp_extract(rest, tail, 1), r"kluswoning(en)?", ""))
     )
     count = F.when(front, F.regexp_extract(rest, counted, 1)).otherwise(F.regexp_extract(rest, tail, 2))
     return rows.select(

@@ -9,13 +9,14 @@ from woonvonk.functions.casts import clamped, text_or_null
 
 
 def table_scan(
-    df: DataFrame, filters: dict | None = None, order_column: str = "created_at", tiebreak: str = "id", ascending: bool = False, limit: int = 100
+    df: DataFrame, filters: dict | None = None, order_column: str = "created_at", tiebreak: str = "id", ascending: bool = False, limit: int | None = None
 ) -> DataFrame:
-    """Equality filters, newest first, at most ``limit`` rows."""
+    """Equality filters, newest first; all rows unless ``limit`` is given."""
     for name, wanted in (filters or {}).items():
         df = df.where(F.col(name) == wanted)
     by = F.col(order_column).asc() if ascending else F.col(order_column).desc()
-    return df.orderBy(by, tiebreak).limit(max(1, int(limit)))
+    ordered = df.orderBy(by, tiebreak)
+    return ordered if limit is None else ordered.limit(max(1, int(limit)))
 
 
 def append_snapshots(changes: DataFrame, path: str) -> None:
