@@ -39,3 +39,23 @@ def test_current_state_survives_replay_and_compaction(spark, tmp_path):
     assert current.count() == rows.select("listing_id").distinct().count()
     jobs.compact(spark, out, str(tmp_path / "folded"))
     assert sorted(map(repr, jobs.newest_rows(spark.read.parquet(str(tmp_path / "folded"))).collect())) == sorted(map(repr, current.collect()))
+
+
+def test_late_rows_are_set_apart_and_nothing_is_new_twice(spark, tmp_path):
+    landing, out, seen = (str(tmp_path / x) for x in ("landing", "changes", "seen"))
+    batches = [
+        [(1, 1, 100, 1, 10.0, "active"), (1, 1, 200, 2, 12.0, "active"), (2, 1, 100, 3, None, "sold")],
+        [(1, 1, 150, 4, 99.0, "active"), (1, 1, 300, 5, 12.0, "active"), (2, 1, 900, 6, None, "active"), (3, 1, 1, 7, 5.0, "active")],
+        [(3, 1, 1, 8, 5.0, "active"), (3, 1, 2, 9, 6.0, "active")],
+    ]
+    for rows in batches:
+        df = spark.createDataFrame(rows, "listing_id bigint, source_id int, t bigint, seq bigint, asking_price double, listing_status string")
+        df.withColumn("observed_at", F.timestamp_seconds("t")).drop("t").write.mode("append").parquet(landing)
+        jobs.change_detection(jobs.read_observations(spark, landing), out, str(tmp_path / "c1")).awaitTermination()
+        jobs.only_new(jobs.read_observations(spark, landing), seen, str(tmp_path / "c2")).awaitTermination()
+    changes = {(r.seq, r.change_type) for r in spark.read.parquet(out + "/changes").collect()}
+    assert changes == {
+        (1, "new_listing"), (2, "asking_price_change"), (3, "new_listing"), (6, "relisting_signal"), (7, "new_listing"), (9, "asking_price_change"),
+    }
+    assert [r.seq for r in spark.read.parquet(out + "/late").collect()] == [4]
+    assert sorted(r.seq for r in spark.read.parquet(seen).collect()) == [1, 3, 7]

@@ -33,16 +33,21 @@ def _halves(spark, sf_dir) -> list[DataFrame]:
     return [rows.where(F.col("observed_at") < split), rows.where(F.col("observed_at") >= split)]
 
 
-def _table(spark, sf_dir, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Run ``build`` as a stream over both landings and read the table it wrote."""
+def _paths(spark) -> tuple[str, str, str]:
     base = scratch_path(spark, "stream")
-    landing, out, mark = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
+    return f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
+
+
+def _table(spark, sf_dir, build: Callable[[DataFrame], DataFrame], open_keys: list[str] | None = None) -> DataFrame:
+    """Run ``build`` as a stream over both landings and read the table it wrote, with ``open_keys`` closed at the end."""
+    landing, out, mark = _paths(spark)
     _land(
         _halves(spark, sf_dir),
         landing,
         lambda: jobs.write_table(build(jobs.read_observations(spark, landing)), out, mark),
     )
-    return spark.read.parquet(out)
+    written = spark.read.parquet(out)
+    return jobs.with_open(written, spark.read.parquet(landing), build, open_keys) if open_keys else written
 
 
 @query(
@@ -56,10 +61,24 @@ def stream_ingest(spark, sf_dir):
     )
 
 
-@query("stream_only_new", with_views("observations", "SELECT listing_id, count(DISTINCT listing_id) AS arrivals FROM observations GROUP BY listing_id"))
+@query(
+    "stream_only_new",
+    with_views(
+        "observations",
+        f"""WITH gone AS (SELECT * FROM observations WHERE NOT (observed_at >= timestamp '{SPLIT}' AND listing_id % 7 = 0 AND seq % 2 = 0))
+        SELECT listing_id, seq, cast(observed_at as varchar) AS observed_at FROM gone
+        QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY observed_at >= timestamp '{SPLIT}', observed_at, seq) = 1""",
+    ),
+)
 def stream_only_new(spark, sf_dir):
-    table = _table(spark, sf_dir, lambda s: jobs.only_new(s, "60 days"))
-    return table.groupBy("listing_id").agg(F.count(F.lit(1)).alias("arrivals"))
+    """The second landing comes a year later in event time than any window would remember."""
+    landing, out, mark = _paths(spark)
+    first, second = _halves(spark, sf_dir)
+    second = second.where(~((F.col("listing_id") % 7 == 0) & (F.col("seq") % 2 == 0)))
+    late = second.withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 400 DAYS"))
+    _land([first, late], landing, lambda: jobs.only_new(jobs.read_observations(spark, landing), out, mark))
+    arrived = F.col("observed_at") - F.when(F.col("batch") > 0, F.expr("INTERVAL 400 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
+    return spark.read.parquet(out).select("listing_id", "seq", arrived.cast("string").alias("observed_at"))
 
 
 @query(
@@ -72,7 +91,9 @@ def stream_only_new(spark, sf_dir):
     ),
 )
 def stream_change_detection(spark, sf_dir):
-    return _table(spark, sf_dir, jobs.change_detection).select("listing_id", "seq", "change_type")
+    landing, out, mark = _paths(spark)
+    _land(_halves(spark, sf_dir), landing, lambda: jobs.change_detection(jobs.read_observations(spark, landing), out, mark))
+    return spark.read.parquet(f"{out}/changes").select("listing_id", "seq", "change_type")
 
 
 @query(
@@ -83,8 +104,7 @@ def stream_change_detection(spark, sf_dir):
     ),
 )
 def stream_upsert_current(spark, sf_dir):
-    base = scratch_path(spark, "stream")
-    landing, out, mark = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
+    landing, out, mark = _paths(spark)
     _land(_halves(spark, sf_dir), landing, lambda: jobs.upsert_current(jobs.read_observations(spark, landing), out, mark))
     current = jobs.current_state(spark, out)
     return current.select("listing_id", "seq", "asking_price", "listing_status", F.col("first_seen_at").cast("string").alias("first_seen_at"))
@@ -95,11 +115,11 @@ def stream_upsert_current(spark, sf_dir):
     with_views(
         "observations",
         """WITH w AS (SELECT time_bucket(INTERVAL '15 minutes', observed_at) AS s, source_id, count(*) AS observation_count, count(CASE WHEN listing_status = 'sold' THEN 1 END) AS sold_count, sum(asking_price) AS price_sum FROM observations GROUP BY 1, 2)
-        SELECT cast(s as varchar) AS window_start, source_id, observation_count, sold_count, price_sum FROM w WHERE s + INTERVAL '15 minutes' <= (SELECT date_trunc('milliseconds', max(observed_at)) - INTERVAL '30 minutes' FROM observations)""",
+        SELECT cast(s as varchar) AS window_start, source_id, observation_count, sold_count, price_sum FROM w""",
     ),
 )
 def stream_price_stats(spark, sf_dir):
-    table = _table(spark, sf_dir, lambda s: jobs.price_stats(s, "30 minutes"))
+    table = _table(spark, sf_dir, lambda s: jobs.price_stats(s, "30 minutes"), ["window_start", "source_id"])
     return table.select(F.col("window_start").cast("string").alias("window_start"), "source_id", "observation_count", "sold_count", "price_sum")
 
 
@@ -109,11 +129,11 @@ def stream_price_stats(spark, sf_dir):
         "observations",
         """WITH w AS (SELECT time_bucket(INTERVAL '1 hour', observed_at) - to_hours(k) AS s, source_id, asking_price FROM observations, range(24) AS r(k)),
         g AS (SELECT s, source_id, count(*) AS observation_count, sum(asking_price) AS price_sum FROM w GROUP BY 1, 2)
-        SELECT cast(s as varchar) AS window_start, source_id, observation_count, price_sum FROM g WHERE s + INTERVAL '24 hours' <= (SELECT date_trunc('milliseconds', max(observed_at)) - INTERVAL '30 minutes' FROM observations)""",
+        SELECT cast(s as varchar) AS window_start, source_id, observation_count, price_sum FROM g""",
     ),
 )
 def stream_price_stats_sliding(spark, sf_dir):
-    table = _table(spark, sf_dir, lambda s: jobs.price_stats(s, "30 minutes", "24 hours", "1 hour"))
+    table = _table(spark, sf_dir, lambda s: jobs.price_stats(s, "30 minutes", "24 hours", "1 hour"), ["window_start", "source_id"])
     return table.select(F.col("window_start").cast("string").alias("window_start"), "source_id", "observation_count", "price_sum")
 
 
@@ -124,11 +144,11 @@ def stream_price_stats_sliding(spark, sf_dir):
         """WITH g AS (SELECT *, CASE WHEN observed_at > lag(observed_at) OVER w + INTERVAL '6 hours' THEN 1 WHEN lag(observed_at) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM observations WINDOW w AS (PARTITION BY listing_id ORDER BY observed_at, seq)),
         n AS (SELECT *, sum(fresh) OVER (PARTITION BY listing_id ORDER BY observed_at, seq) AS no FROM g),
         s AS (SELECT listing_id, no, min(observed_at) AS a, max(observed_at) + INTERVAL '6 hours' AS b, count(*) AS observation_count FROM n GROUP BY 1, 2)
-        SELECT listing_id, cast(a as varchar) AS session_start, observation_count FROM s WHERE b <= (SELECT date_trunc('milliseconds', max(observed_at)) - INTERVAL '1 hour' FROM observations)""",
+        SELECT listing_id, cast(a as varchar) AS session_start, observation_count FROM s""",
     ),
 )
 def stream_market_sessions(spark, sf_dir):
-    table = _table(spark, sf_dir, lambda s: jobs.market_sessions(s, "1 hour", "6 hours"))
+    table = _table(spark, sf_dir, lambda s: jobs.market_sessions(s, "1 hour", "6 hours"), ["listing_id", "session_start"])
     return table.select("listing_id", F.col("session_start").cast("string").alias("session_start"), "observation_count")
 
 
@@ -159,8 +179,7 @@ def late_observation_policy(spark, sf_dir):
     rows = _observations(spark, sf_dir)
     early = F.col("observed_at") < F.lit(SPLIT).cast("timestamp")
     withheld = early & (F.col("seq") % 40 == 0)
-    base = scratch_path(spark, "stream")
-    landing, out, mark = f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
+    landing, out, mark = _paths(spark)
     _land(
         [rows.where(early & ~withheld), rows.where(~early | withheld)],
         landing,

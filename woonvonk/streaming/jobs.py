@@ -6,14 +6,15 @@ Every job takes a streaming DataFrame with ``listing_id``, ``source_id``, ``obse
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from woonvonk.functions import finance
+from woonvonk.operators.history import change_type
+from woonvonk.operators.skew import first_per_key, with_previous
+from woonvonk.session import materialise
 
 OBSERVATION_SCHEMA = (
     "listing_id bigint, source_id int, observed_at timestamp, seq bigint, asking_price double, listing_status string"
@@ -48,51 +49,66 @@ def stream_ingest(stream: DataFrame) -> DataFrame:
     return stream.where(F.col("listing_id").isNotNull() & F.col("observed_at").isNotNull()).withColumn("scan_started_at", scan)
 
 
-def only_new(stream: DataFrame, delay: str) -> DataFrame:
-    """First arrival of each listing; later arrivals within the delay are dropped, older state is let go."""
-    return stream.withWatermark("observed_at", delay).dropDuplicatesWithinWatermark(["listing_id"])
+def only_new(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """First arrival of each listing, under ``path/batch=n``; what has been written is what has been seen, for good.
 
+    A micro-batch is reduced to one row per listing before it meets the table. A batch that runs again looks only at the
+    batches before it and replaces its own files.
+    """
 
-CHANGE_SCHEMA = "listing_id bigint, seq bigint, observed_at timestamp, asking_price double, listing_status string, change_type string"
-STATE_SCHEMA = "asking_price double, listing_status string"
-
+    def work(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.where(F.col("listing_id").isNotNull())
+        fresh = first_per_key(rows, ["listing_id"], [F.col("observed_at"), F.col("seq")])
+        if batch_id > 0:
+            seen = batch.sparkSession.read.parquet(path).where(F.col("batch") < batch_id).select("listing_id")
+            fresh = fresh.join(seen, "listing_id", "left_anti")
+        fresh.select(*batch.columns).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
-def _same(a, b) -> bool:
-    return (pd.isna(a) and pd.isna(b)) or a == b
+    return each_batch(stream, work, checkpoint, every)
 
 
-def _kind(old: tuple | None, price, status: str) -> str | None:
-    if old is None:
-        return "new_listing"
-    if old[1] and old[1] != "active" and status == "active":
-        return "relisting_signal"
-    if not _same(old[0], price):
-        return "asking_price_change"
-    return None if old[1] == status else "listing_status_change"
+OBSERVED = ["observed_at", "seq", "asking_price", "listing_status"]
 
 
-def _detect(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    # One listing's rows of one micro-batch, which the reader bounds by size.
-    rows = pd.concat(list(batches)).sort_values(["observed_at", "seq"])
-    old = tuple(state.get) if state.exists else None
-    kinds = []
-    for price, status in zip(rows["asking_price"], rows["listing_status"]):
-        kinds.append(_kind(old, price, status))
-        old = (price, status)
-    state.update((None if pd.isna(old[0]) else float(old[0]), old[1]))
-    changed = rows.assign(change_type=kinds)
-    changed = changed[changed["change_type"].notna()]
-    yield changed[["listing_id", "seq", "observed_at", "asking_price", "listing_status", "change_type"]]
+def change_detection(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
+    """Observations that differ from the one before, with the kind of change, under ``path/changes``.
 
+    State is one row per listing and batch that touched it, under ``path/state``: a micro-batch is compared with the newest
+    row of its own listings. Rows at or before that row came late; they are set apart under ``path/late``, and their
+    listings are repaired by building their history again. The look-back spreads a listing that holds most of a batch.
+    """
 
-def change_detection(stream: DataFrame) -> DataFrame:
-    """Observations that differ from the one before, with the kind of change.
+    def work(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.where(F.col("listing_id").isNotNull()).select("listing_id", *OBSERVED).persist()
+        last = F.struct(*OBSERVED).alias("last")
+        if batch_id > 0:
+            stored = spark.read.parquet(f"{path}/state").where(F.col("batch") < batch_id)
+            touched = stored.join(rows.select("listing_id").distinct(), "listing_id", "left_semi")
+            known = touched.groupBy("listing_id").agg(F.max(F.struct(*OBSERVED)).alias("last"))
+            marked = rows.join(known, "listing_id", "left")
+        else:
+            marked = rows.withColumn("last", F.when(F.lit(False), last))
+        position = F.struct("observed_at", "seq")
+        late = F.coalesce(position <= F.struct(F.col("last.observed_at").alias("observed_at"), F.col("last.seq").alias("seq")), F.lit(False))
+        marked.where(late).drop("last").write.mode("overwrite").parquet(f"{path}/late/batch={batch_id}")
+        looked = with_previous(
+            marked.where(~late), "listing_id", "observed_at", OBSERVED,
+            previous={"before": F.struct("asking_price", "listing_status")},
+        )
+        carried = F.when(F.col("row_no") > 1, F.col("before")).when(
+            F.col("last").isNotNull(), F.struct(F.col("last.asking_price").alias("asking_price"), F.col("last.listing_status").alias("listing_status"))
+        )
+        looked = looked.withColumn("old", carried)
+        same = F.col("old.asking_price").eqNullSafe(F.col("asking_price")) & F.col("old.listing_status").eqNullSafe(F.col("listing_status"))
+        kind = change_type(F.col("old").isNull(), F.col("old"), "asking_price", "listing_status", None)
+        changed = looked.where(F.col("old").isNull() | ~same).withColumn("change_type", kind)
+        changed.select("listing_id", *OBSERVED, "change_type").write.mode("overwrite").parquet(f"{path}/changes/batch={batch_id}")
+        newest = marked.where(~late).groupBy("listing_id").agg(F.max(F.struct(*OBSERVED)).alias("r")).select("listing_id", "r.*")
+        newest.write.mode("overwrite").parquet(f"{path}/state/batch={batch_id}")
+        rows.unpersist()
 
-    State is one row per listing: the last price and status.
-    """
-    return stream.groupBy("listing_id").applyInPandasWithState(
-        _detect, CHANGE_SCHEMA, STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
-    )
+    return each_batch(stream, work, checkpoint, every)
 
 
 def upsert_current(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
@@ -149,6 +165,16 @@ def market_sessions(stream: DataFrame, delay: str, gap: str) -> DataFrame:
     )
 
 
+def with_open(written: DataFrame, landed: DataFrame, build: Callable[[DataFrame], DataFrame], keys: list[str]) -> DataFrame:
+    """The windows or spells a stream has written, and those still open when its data ended.
+
+    ``build`` is the stream's own aggregation, run over the landed rows; what has been written stays as it is.
+    """
+    # cut here: joined directly, an aggregate over session windows meets only part of its matches
+    whole = materialise(build(landed))
+    return written.union(whole.join(written.select(*keys), keys, "left_anti").select(*written.columns))
+
+
 def static_scoring(stream: DataFrame, benchmarks: DataFrame) -> DataFrame:
     """Observations against the benchmark of their source (``source_id``, ``avg_price``)."""
     delta = F.round(finance.ratio(F.col("asking_price") - F.col("avg_price"), "avg_price") * 100.0, 2)
