@@ -34,8 +34,10 @@ PERCENT = 80
 OFTEN = 64
 # So many such elements are sent to every task (8 bytes each), the most frequent first; which ones changes cost only.
 OFTEN_KEYS = 200_000
-# Pairs that a column may give before its documents are put as differences instead.
-COLUMN_PAIRS = 8_192
+# Pairs that a column may have, in either order, before its documents are put as differences instead; columns of
+# differences may have more, because nearly all of their pairs fall at once.
+COLUMN_PAIRS = 16_384
+DIFFERENCE_PAIRS = 1 << 20
 # Rows of one column that a task holds to find that out.
 COLUMN_ROWS = 100_000
 LEVELS = 6
@@ -180,25 +182,26 @@ def sketched(docs: DataFrame, last: np.ndarray) -> DataFrame:
     )
 
 
-ENTRY = "key long, d long, n long, m long, ask boolean, near boolean"
-
-
-def product(entries: DataFrame) -> DataFrame:
+def product(entries: DataFrame, column_pairs: int) -> DataFrame:
     """Multiply columns ``key`` of entries: rows (key null, a, b, na, nb, common) for pairs, (key, a, na) for full columns.
 
-    ``d`` is the document, ``n`` its set's size, ``m`` its difference's size (0 at the top), ``ask`` whether it only looks
-    for smaller differences, ``near`` whether it is connected with the centre already. Entries of one column come
-    together in one block, in order; a block holds one column at a time and at most COLUMN_ROWS of it.
+    ``d`` is the document, ``n`` its set's size; for differences ``m`` is their size, ``pos`` the element's place in them,
+    ``ask`` whether the entry only looks for smaller differences (at the top m and pos are 0). Documents of one ``g`` are
+    known to be connected and make no pairs. Entries of one column come together in one block, in order; a block
+    holds one column at a time and at most COLUMN_ROWS of it.
     """
 
-    def pairs_of(d, n, m, ask, near):
+    def pairs_of(d, n, m, pos, ask, g):
         order = np.lexsort((d, m))
-        d, n, m, ask, near = d[order], n[order], m[order], ask[order], near[order]
+        d, n, m, pos, ask, g = (x[order] for x in (d, n, m, pos, ask, g))
         a, b = np.triu_indices(len(d), 1)
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        fit = ~ask[a] & ~(near[a] & near[b]) & (100 * low >= PERCENT * high) & (d[a] != d[b])
+        fit = ~ask[a] & (g[a] != g[b]) & (100 * low >= PERCENT * high) & (d[a] != d[b])
         # |x - y| is at most (100 - t) / (100 + t) of both sizes together, and at least the differences' difference
-        fit &= (100 + PERCENT) * (m[b] - m[a]) <= (100 - PERCENT) * (n[a] + n[b])
+        most = (100 - PERCENT) * (n[a] + n[b])
+        fit &= (100 + PERCENT) * (m[b] - m[a]) <= most
+        # if this is their first common element, they have no more in common than what comes from here on
+        fit &= (100 + PERCENT) * (m[a] + m[b] - 2 * np.minimum(m[a] - pos[a], m[b] - pos[b])) <= most
         a, b = a[fit], b[fit]
         swap = d[a] > d[b]
         a, b = np.where(swap, b, a), np.where(swap, a, b)
@@ -212,11 +215,18 @@ def product(entries: DataFrame) -> DataFrame:
             """Pairs of a whole column, or None when there would be too many."""
             if rows.shape[1] < 2:
                 return np.zeros((4, 0), np.int64)
-            _, d, n, m, ask, near = rows
-            far = rows.shape[1] - int(near.sum())
-            if far * rows.shape[1] > 2 * COLUMN_PAIRS and rows.shape[1] > 2:
+            _, d, n, m, pos, ask, g = rows
+            sizes = np.unique(g, return_counts=True)[1]
+            if rows.shape[1] ** 2 - int((sizes**2).sum()) > column_pairs and rows.shape[1] > 2:
                 return None
-            return pairs_of(d, n, m, ask.astype(bool), near.astype(bool))
+            if len(sizes) == 1 or rows.shape[1] <= 2 * column_pairs**0.5:
+                return pairs_of(d, n, m, pos, ask.astype(bool), g) if len(sizes) > 1 else np.zeros((4, 0), np.int64)
+            # nearly all are of one group: only the others are held against all
+            most = np.unique(g)[np.argmax(sizes)]
+            rest, many = np.flatnonzero(g != most), np.flatnonzero(g == most)
+            parts = [np.concatenate([rest, many[k : k + len(rest) + 64]]) for k in range(0, len(many), len(rest) + 64)]
+            found = np.concatenate([pairs_of(d[x], n[x], m[x], pos[x], ask[x].astype(bool), g[x]) for x in parts], axis=1)
+            return np.unique(found, axis=1)
 
         def out(pairs: list[np.ndarray], lists: list[np.ndarray]):
             both = np.concatenate([np.zeros((4, 0), np.int64), *pairs], axis=1)
@@ -228,7 +238,7 @@ def product(entries: DataFrame) -> DataFrame:
                 both = np.concatenate([both[:, first], common[None]])
             else:
                 both = np.zeros((5, 0), np.int64)
-            more = np.concatenate([np.zeros((6, 0), np.int64), *lists], axis=1)
+            more = np.concatenate([np.zeros((7, 0), np.int64), *lists], axis=1)
             np_, nl = both.shape[1], more.shape[1]
             column = lambda x, y: pa.array(np.concatenate([x, y]))
             zero = np.zeros(nl, np.int64)
@@ -271,10 +281,10 @@ def product(entries: DataFrame) -> DataFrame:
             yield from out(pairs, lists)
 
         for batch in batches:
-            yield from work(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(6)]), False)
-        yield from work(np.zeros((6, 0), np.int64), True)
+            yield from work(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]), False)
+        yield from work(np.zeros((7, 0), np.int64), True)
 
-    dealt = entries.select("key", "d", "n", "m", "ask", "near").repartition("key").sortWithinPartitions("key")
+    dealt = entries.select("key", "d", "n", "m", "pos", "ask", "g").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "key long, a long, b long, na long, nb long, common long")
 
 
@@ -315,34 +325,41 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """For (a = centre, b = document): its difference's size, whether it links, and the elements it begins with.
-
-    ``give`` are the elements under which smaller differences are found, ``ask`` the further ones under which they are
-    looked for. Elements that the centre lacks come first, because those that it has are common.
-    """
+    """For (a = centre, b = document): (c, d, n, m, near, delta): the elements that one of them has, and whether they link."""
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("n", "m", "near", "give", "ask")}
+            out = {k: [] for k in ("n", "m", "near", "delta")}
             for c, x in zip(batch.column(2), batch.column(3)):
                 c, x = np.frombuffer(c.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64)
                 new, gone = x[~_member(c, x)], c[~_member(x, c)]
-                d, n = np.concatenate([new, gone]), len(x)
-                # both sizes together are at most n + 100 n / t, so differences of linked sets differ by at most ``most``
-                most = (100 - PERCENT) * (n + 100 * n // PERCENT + 1) // (100 + PERCENT)
-                out["n"].append(n)
-                out["m"].append(len(d))
-                out["near"].append(links(n - len(new), len(c), n))
-                out["give"].append(_longs(d[: most // 2 + 1]))
-                out["ask"].append(_longs(d[most // 2 + 1 : most + 1]))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+                out["n"].append(len(x))
+                out["m"].append(len(new) + len(gone))
+                out["near"].append(links(len(x) - len(new), len(c), len(x)))
+                out["delta"].append(_longs(np.concatenate([new, gone])))
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]],
-                names=["c", "d", *out],
+                [batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=["c", "d", *out]
             )
 
-    return _with_sets(members, sets).mapInArrow(
-        run, "c long, d long, n long, m long, near boolean, give array<long>, ask array<long>"
+    return _with_sets(members, sets).mapInArrow(run, "c long, d long, n long, m long, near boolean, delta array<long>")
+
+
+def entries_of(apart: DataFrame) -> DataFrame:
+    """Entries of the elements that differences begin with, the rarest of a centre first.
+
+    Elements of one document only match nothing, but take the first places. Linked sets have together at most
+    ``n + 100 n / t`` elements, so their differences differ by at most ``most``: under the first half of that many
+    elements smaller differences are found, under the rest they are looked for.
+    """
+    elements = apart.select("c", "d", F.explode("delta").alias("x"))
+    shared = elements.groupBy("c", "x").agg(F.count("*").alias("n_x")).where("n_x > 1")
+    own = elements.join(shared, ["c", "x"]).groupBy("c", "d").agg(F.sort_array(F.collect_list(F.struct("n_x", "x"))).alias("e"))
+    most = F.expr(f"{100 - PERCENT} * (n + 100 * n div {PERCENT} + 1) div {100 + PERCENT}")
+    placed = apart.drop("delta").join(own, ["c", "d"]).select("*", most.alias("most"), F.posexplode("e").alias("k", "v"))
+    placed = placed.withColumn("pos", F.col("m") - F.size("e") + F.col("k")).where("pos <= most")
+    return placed.select(
+        F.xxhash64("c", "v.x").alias("key"), "d", "n", "m", "pos", (F.col("pos") > F.expr("most div 2")).alias("ask"), "g"
     )
 
 
@@ -352,8 +369,8 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = written(sketched(docs, often(docs)), "ngram-rows")
     one = rows.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "cold", "hot")).alias("r"))
     one = one.select("f1", "f2", "r.*")
-    entry = [F.col("doc_id").alias("d"), "n", F.lit(0).cast("long").alias("m"), F.lit(False).alias("ask"), F.lit(False).alias("near")]
-    found = written(product(one.select(F.explode("cold").alias("key"), *entry)), "ngram-pairs")
+    entry = [F.col("doc_id").alias("d"), "n", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("pos"), F.lit(False).alias("ask"), F.col("doc_id").alias("g")]
+    found = written(product(one.select(F.explode("cold").alias("key"), *entry), COLUMN_PAIRS), "ngram-pairs")
     lists = written(
         one.select(F.explode("hot").alias("key"), F.col("doc_id").alias("d"))
         .union(found.where("key IS NOT NULL").select("key", F.col("a").alias("d"))),
@@ -374,25 +391,35 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     )
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).union(listed).distinct()
     sets = sets_of(docs, ids)
-    edges, level = written(checked(pairs, sets), "ngram-links"), 0
+    edges, done, level = written(checked(pairs, sets), "ngram-links"), pairs, 0
     while lists.limit(1).count():
         level += 1
         if level > LEVELS:
             # columns that stay full after so many differences: all their pairs, each once
             again = lists.join(lists.select("key", F.col("d").alias("e")), "key").where("d < e")
-            pairs = written(again.select(F.col("d").alias("a"), F.col("e").alias("b")).distinct(), "ngram-candidates")
+            again = again.select(F.col("d").alias("a"), F.col("e").alias("b")).distinct()
+            pairs = written(again.join(done, ["a", "b"], "left_anti"), "ngram-candidates")
             edges = edges.union(written(checked(pairs, sets), "ngram-links"))
             break
-        centres = lists.groupBy("key").agg(F.min("d").alias("c"))
-        members = lists.join(centres, "key").select(F.col("c").alias("a"), F.col("d").alias("b")).where("a <> b").distinct()
-        apart = written(differences(members, sets), "ngram-differences")
-        edges = edges.union(apart.where("near").select(F.col("c").alias("a"), F.col("d").alias("b")))
-        under = lambda name: F.explode(name).alias("x")
-        entries = apart.select("c", "d", "n", "m", "near", F.lit(False).alias("ask"), under("give")).union(
-            apart.select("c", "d", "n", "m", "near", F.lit(True).alias("ask"), under("ask"))
+        # columns whose documents are all connected by now are done
+        known = components(edges, "ngram-components")
+        lists = lists.join(known, F.col("d") == F.col("id"), "left").select("key", "d", F.coalesce("component", "d").alias("g"))
+        lists = written(lists, "ngram-grouped")
+        # the centre of a column is its document in most columns: it lacks least of what they share
+        often_in = lists.groupBy("d").agg(F.count("*").alias("n_in"))
+        centres = lists.join(often_in, "d").groupBy("key").agg(
+            F.max_by(F.struct("d", "g"), F.struct("n_in", -F.col("d"))).alias("c"), (F.min("g") < F.max("g")).alias("open")
         )
-        found = written(product(entries.withColumn("key", F.xxhash64("c", "x"))), "ngram-pairs")
-        pairs = written(found.where("key IS NULL").select("a", "b").distinct(), "ngram-candidates")
+        members = lists.join(centres.where("open"), "key").where("d <> c.d")
+        members = members.select(F.col("c.d").alias("a"), F.col("d").alias("b"), "g", F.col("c.g").alias("cg")).distinct()
+        members = written(members, "ngram-members")
+        apart = written(differences(members.select("a", "b"), sets), "ngram-differences")
+        edges = edges.union(apart.where("near").select(F.col("c").alias("a"), F.col("d").alias("b")))
+        groups = members.select(F.col("a").alias("c"), F.col("b").alias("d"), "g", "cg")
+        apart = apart.join(groups, ["c", "d"]).withColumn("g", F.when(F.col("near"), F.col("cg")).otherwise(F.col("g"))).drop("cg", "near")
+        found = written(product(entries_of(apart), DIFFERENCE_PAIRS), "ngram-pairs")
+        pairs = written(found.where("key IS NULL").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "ngram-candidates")
+        done = done.union(pairs)
         edges = edges.union(written(checked(pairs, sets), "ngram-links"))
         lists = written(found.where("key IS NOT NULL").select("key", F.col("a").alias("d")), "ngram-lists")
     rep = one.select("f1", "f2", F.col("doc_id").alias("rep"))
