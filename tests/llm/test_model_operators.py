@@ -193,7 +193,7 @@ def test_surrogates(spark):
     for gone in ("ann.b@", "555-0123", "10.20.30.40", "4111 1111", "4539578763621486", "24be6443", "b7db7aa4", "AKIASJ", "Weber", "Anna", "Smith", "Иванов", "078-05"):
         assert gone not in everything
     mails = re.findall(r"[a-z]{3}\.[a-z]@mail\d+\.example\.org", everything)
-    assert len(mails) == 4 and len(set(mails)) == 1
+    assert len(mails) == 3 and len(set(mails)) == 1
     assert re.search(r"call \+1 \(\d{3}\) \d{3}-\d{4}!", got[1])
     ip, first, second = re.match(r"ip (\d+\.\d+\.\d+\.\d+) card (4\d{3} \d{4} \d{4} \d{4}) and (4\d{15}),", got[2]).groups()
     assert luhn(first) and luhn(second)

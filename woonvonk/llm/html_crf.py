@@ -171,7 +171,7 @@ def text_features(block: Block, previous: Block | None) -> list[str]:
         "links:" + ("0" if share == 0 else "some" if share < 0.5 else "most"),
         "end:" + ("stop" if block.text[-1] in ".!?:;…\"”»" else "other"),
         "leaf:" + block.node.tag,
-        "sign:" + ("c" if "©" in block.text else "bar" if "|" in block.text or "·" in block.text or "»" in block.text else "none"),
+        "sign:" + ("c" if "©" in block.text else "none"),
         "first" if previous is None else "same" if previous.node.tag == block.node.tag else "other",
     ]
 
@@ -221,7 +221,7 @@ class Field:
         return "\n".join(b.text for b, keep in zip(found, self.decode(found)) if keep)
 
 
-def train(pages: list[tuple[str, str]], epochs: int = 250, ridge: float = 2e-3) -> Field:
+def train(pages: list[tuple[str, str]], epochs: int = 250, ridge: float = 1e-3) -> Field:
     """Fit a field to labelled pages (html, main text): blocks whose text is a line of the main text, in order, are article.
 
     All pages go through forward and backward sums together, padded to the longest; full-batch Adam on the likelihood.
@@ -320,6 +320,11 @@ class PageWriter:
             return "<ul>" + "".join(f"<li>{x}</li>" for x in items) + "</ul>"
         return " | ".join(items) if how < 0.8 else "".join(f"<div>{x}</div>" for x in items)
 
+    def odd(self) -> str:
+        """Text of an article that looks little like prose: columns, shouting, signs, a single word."""
+        row = lambda: " | ".join(self.words(1, 1) for _ in range(self.r.randint(2, 9)))
+        return self.some(row() + ".", row(), self.words(3, 20).upper() + "!!", self.words(4, 20).replace(" ", "%%% "), self.words(1, 1), self.words(1, 2).capitalize() + ".")
+
     def prose(self, paragraphs: int) -> str:
         return "".join(self.some("<p>{}</p>", "<p>{}</p>", "<div>{}</div>", "{}").format(self.sentences(1, 4)) for _ in range(paragraphs))
 
@@ -378,7 +383,7 @@ class PageWriter:
         for _ in range(self.r.choice((1, 2, 3, 4, 6, 9, 14))):
             how = self.r.random()
             if how < 0.72:
-                out.append(self.marked("p", kept(self.sentences(1, 6)), "", "", "", "", "text", "lead", "intro"))
+                out.append(self.marked("p", kept(self.odd() if self.chance(0.15) else self.sentences(1, 6)), "", "", "", "", "text", "lead", "intro"))
             elif how < 0.8:
                 out.append(f"<{(h := self.some('h2', 'h3', 'h4'))}>{kept(self.words(1, 6))}</{h}>")
             elif how < 0.86:
@@ -395,7 +400,16 @@ class PageWriter:
                 out.append(self.some(self.advert, self.advert, self.share, self.form, self.notice, self.sidebar, self.menu)())
         return "".join(out)
 
+    def bare(self) -> tuple[str, str]:
+        """A page that is its article and little else."""
+        lines = [self.sentences(1, 3) for _ in range(self.some(1, 1, 2, 3))]
+        inner = "".join(f"<p>{x}</p>" for x in lines)
+        around = self.some("<article>{}</article>", "<article>{}</article>", "{}", "<main>{}</main>", "<div class='content'>{}</div>").format(inner)
+        return self.some("{}", "<html><body>{}</body></html>").format(around + (self.footer() if self.chance(0.3) else "")), "\n".join(lines)
+
     def page(self) -> tuple[str, str]:
+        if self.chance(0.08):
+            return self.bare()
         lines: list[str] = []
         body = self.article(lines)
         tail = "".join(x() for x, p in ((self.share, 0.2), (self.advert, 0.1), (self.comments, 0.25), (self.form, 0.1)) if self.chance(p))
