@@ -339,6 +339,19 @@ def selection_summary(places: Column, n: int = SHOWN_PLACES) -> Column:
     return F.when(count == 0, head).when(count > n, rest).otherwise(shown)
 
 
+def selection_summaries(places: DataFrame, key: str, place: str, n: int = SHOWN_PLACES) -> DataFrame:
+    """``selection_summary`` per key of distinct (key, place): places are counted, and only the first ``n`` are gathered."""
+    counts = places.groupBy(key).agg(F.count(place).alias("_count"))
+    first = top_n_per_key(places.where(F.col(place).isNotNull()), [key], [F.col(place)], n, "_no")
+    named = first.groupBy(key).agg(F.sort_array(F.collect_list(place)).alias("_first"))
+    joined = counts.join(named, key, "left")
+    head = F.concat(F.col("_count").cast("string"), F.lit(" gemeenten geselecteerd"))
+    shown = F.concat(head, F.lit(": "), F.array_join("_first", ", "))
+    rest = F.concat(shown, F.lit(" en nog "), (F.col("_count") - n).cast("string"), F.lit(" gemeenten"))
+    summary = F.when(F.col("_count") == 0, head).when(F.col("_count") > n, rest).otherwise(shown)
+    return joined.select(key, summary.alias("summary"))
+
+
 # --- run counters ------------------------------------------------------------------------------
 
 

@@ -642,11 +642,11 @@ def format_labels(spark, sf_dir):
     with_views(
         "listings",
         """SELECT listing_id, 'woz' AS source, '2001-08-01' AS retrieved_at, 'unknown' AS confidence, cast(latest_woz_value as varchar) AS raw_value,
-          cast(floor(latest_woz_value) as bigint) AS normalized_value FROM (SELECT * FROM listings WHERE latest_woz_value IS NOT NULL)""",
+          cast(floor(latest_woz_value) as bigint) AS normalized_value FROM listings""",
     ),
 )
 def provenance_columns(spark, sf_dir):
-    rows = view(spark, sf_dir, "listings").where("latest_woz_value is not null")
+    rows = view(spark, sf_dir, "listings")
     record = columns.provenance(
         F.lit("woz"), F.lit(REFERENCE), F.lit("zeker"), F.col("latest_woz_value"), F.floor("latest_woz_value")
     )

@@ -101,16 +101,15 @@ def extract_open_graph(spark, sf_dir):
     with_views(
         "portal_pages",
         """SELECT page_id, CASE WHEN kind IN (1, 3) THEN street ELSE title END AS heading, CASE WHEN kind = 3 THEN concat(street, ' , ', postcode, ' ', city) END AS picked_address,
-        CASE WHEN kind = 3 THEN cast(replace(price_nl, '.', '') as double) END AS asking_price, CASE WHEN kind = 3 THEN cast(area as double) END AS surface_m2, CASE WHEN kind = 3 THEN 'Ruime woning met tuin .' END AS description FROM portal_pages""",
+        CASE WHEN kind = 3 THEN cast(replace(price_nl, '.', '') as double) END AS asking_price, CASE WHEN kind IN (1, 3) THEN cast(area as double) END AS surface_m2, CASE WHEN kind = 3 THEN 'Ruime woning met tuin .' END AS description FROM portal_pages""",
     ),
 )
 def extract_html_fallback(spark, sf_dir):
     base = view(spark, sf_dir, "portal_pages").select("page_id", "url", "html", "kind")
     read_pages = pages.extract_html_fallback(base)
     picked = pages.with_picked(base.select("page_id", "html")).select("page_id", F.col("picked_address"))
-    area = F.when(F.col("kind") == 3, F.col("page_surface_m2"))
     return read_pages.join(picked, "page_id").select(
-        "page_id", F.col("page_heading").alias("heading"), "picked_address", F.col("page_asking_price").alias("asking_price"), area.alias("surface_m2"), F.col("page_description").alias("description")
+        "page_id", F.col("page_heading").alias("heading"), "picked_address", F.col("page_asking_price").alias("asking_price"), F.col("page_surface_m2").alias("surface_m2"), F.col("page_description").alias("description")
     )
 
 

@@ -11,7 +11,7 @@ from woonvonk.plans.normalize_queries import HOUSE, POSTCODE, _norm_text, _norm_
 from woonvonk.plans.registry import query
 from woonvonk.plans.views import mean, r2, read, view, with_views
 
-# Incoming records: every third listing again, disturbed so that each tier is needed.
+# Incoming records: every listing again, disturbed so that each tier, and none of them, is needed.
 INCOMING = """
   SELECT listing_id AS record_id, concat('portal', cast(source_id as {text}), '.example') AS source_name,
     CASE WHEN listing_id % 15 = 0 THEN external_listing_id ELSE NULL END AS external_listing_id,
@@ -19,7 +19,7 @@ INCOMING = """
     CASE WHEN listing_id % 15 = 6 THEN upper(address) WHEN listing_id % 15 = 9 THEN concat('  ', replace(address, ', ', ' . '), ' ') WHEN listing_id % 15 = 12 THEN NULL
       ELSE concat('elders ', cast(listing_id as {text})) END AS address,
     surface_m2, asking_price, city
-  FROM listings WHERE listing_id % 3 = 0"""
+  FROM listings"""
 
 
 def _keys_sql(id: str, t: str) -> str:
@@ -176,14 +176,24 @@ def missing_ids(spark, sf_dir):
     "dedupe_keep_first",
     with_views(
         "snapshots",
-        """SELECT listing_id, snapshot_seq FROM snapshots QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY observed_at, snapshot_seq) = 1""",
+        """WITH s AS (SELECT *, CASE WHEN snapshot_seq % 3 <> 0 THEN cast(listing_id as varchar) END AS id, CASE WHEN snapshot_seq % 6 = 3 THEN concat('https://p.example/', cast(listing_id as varchar)) END AS url,
+          concat('Laan ', cast(listing_id % 50 as varchar)) AS address, concat('Plaats ', cast(listing_id % 4 as varchar)) AS city FROM snapshots)
+        SELECT listing_id, snapshot_seq FROM s QUALIFY row_number() OVER (PARTITION BY coalesce(id, url, lower(concat(address, '::', city))) ORDER BY observed_at, snapshot_seq) = 1""",
     ),
 )
 def dedupe_keep_first(spark, sf_dir):
-    rows = view(spark, sf_dir, "snapshots").withColumns(
-        {n: F.lit(None).cast("string") for n in ("source_url", "address", "city")}
+    """Two in three rows have an id, some of the rest a URL, all an address and a city."""
+    rows = view(spark, sf_dir, "snapshots").withColumn("seen_id", F.col("listing_id"))
+    number, seq = F.col("seen_id"), F.col("snapshot_seq")
+    keyed = rows.withColumns(
+        {
+            "listing_id": F.when(seq % 3 != 0, number.cast("string")),
+            "source_url": F.when(seq % 6 == 3, F.concat(F.lit("https://p.example/"), number.cast("string"))),
+            "address": F.concat(F.lit(" LAAN "), (number % 50).cast("string")),
+            "city": F.concat(F.lit("plaats "), (number % 4).cast("string")),
+        }
     )
-    return matching.keep_first(rows, ["observed_at", "snapshot_seq"]).select("listing_id", "snapshot_seq")
+    return matching.keep_first(keyed, ["observed_at", "snapshot_seq"]).select(F.col("seen_id").alias("listing_id"), "snapshot_seq")
 
 
 @query(
@@ -191,7 +201,7 @@ def dedupe_keep_first(spark, sf_dir):
     with_views(
         "listings",
         """WITH u AS (SELECT 0 AS source_order, source_url, address, city, listing_id AS seq FROM listings WHERE listing_id % 2 = 0
-          UNION ALL SELECT 1, CASE WHEN listing_id % 6 = 0 THEN NULL ELSE source_url END, upper(address), city, listing_id FROM listings WHERE listing_id % 3 = 0)
+          UNION ALL SELECT 1, CASE WHEN listing_id % 6 = 0 THEN NULL ELSE source_url END, upper(address), city, listing_id FROM listings WHERE listing_id % 3 = 0 OR listing_id % 2 = 1)
         SELECT source_order, seq FROM u QUALIFY row_number() OVER (PARTITION BY coalesce(source_url, concat(lower(trim(address)), '::', lower(coalesce(city, '')))) ORDER BY source_order, seq) = 1""",
     ),
 )
@@ -199,7 +209,7 @@ def union_sources(spark, sf_dir):
     rows = view(spark, sf_dir, "listings").select(
         F.lit("").alias("listing_id"), "source_url", "address", "city", F.col("listing_id").alias("seq")
     )
-    second = rows.where("seq % 3 = 0").select(
+    second = rows.where("seq % 3 = 0 OR seq % 2 = 1").select(
         F.when(F.col("seq") % 6 != 0, F.col("source_url")).alias("source_url"),
         F.upper("address").alias("address"),
         "city",
@@ -286,21 +296,18 @@ def place_list(spark, sf_dir):
     ),
 )
 def selection_summary(spark, sf_dir):
-    # Distinct place names per source: at most the number of municipalities.
-    cities = view(spark, sf_dir, "listings").where("city is not null").groupBy("source_id").agg(
-        F.array_sort(F.collect_set("city")).alias("places")
-    )
-    return cities.select("source_id", reports.selection_summary(F.col("places")).alias("summary"))
+    cities = view(spark, sf_dir, "listings").where("city is not null").select("source_id", "city").distinct()
+    return reports.selection_summaries(cities, "source_id", "city")
 
 
 @query(
     "places_in_use",
-    with_views("listings", "SELECT city AS place, min(listing_id) AS place_order FROM listings WHERE city IS NOT NULL AND city IN (SELECT city FROM listings WHERE listing_id % 40 = 1) GROUP BY city ORDER BY 2"),
+    with_views("listings", "SELECT city AS place, min(listing_id) AS place_order FROM listings WHERE city IS NOT NULL AND city IN (SELECT city FROM listings WHERE days_on_market >= 195 AND surface_m2 > 190) GROUP BY city ORDER BY 2"),
 )
 def places_in_use(spark, sf_dir):
     listings = view(spark, sf_dir, "listings")
     places = listings.where("city is not null").groupBy(F.col("city").alias("place")).agg(F.min("listing_id").alias("place_order"))
-    return reports.places_in_use(places, listings.where("listing_id % 40 = 1"))
+    return reports.places_in_use(places, listings.where("days_on_market >= 195 AND surface_m2 > 190"))
 
 
 # --- filters ------------------------------------------------------------------------------------
@@ -373,10 +380,19 @@ def filter_properties(spark, sf_dir):
 
 @query(
     "filter_exact_address",
-    with_views("listings", "SELECT listing_id, address FROM listings WHERE lower(trim(regexp_replace(address, '\\s+', ' ', 'g'))) = 'small widget 2, 1001 ab'"),
+    with_views(
+        "listings",
+        "SELECT listing_id, address FROM listings WHERE regexp_matches(lower(trim(regexp_replace(address, '\\s+', ' ', 'g'))), '^(small|red|hot) (widget|bolt) 2, 1001 ab$')",
+    ),
 )
 def filter_exact_address(spark, sf_dir):
-    return reports.filter_exact_address(view(spark, sf_dir, "listings"), " SMALL  widget 2, 1001 AB").select("listing_id", "address")
+    """Listing 1 is at one of these addresses at every size."""
+    listings = view(spark, sf_dir, "listings")
+    sought = [f" {a.upper()}  {b} 2, 1001 AB" for a in ("small", "red", "hot") for b in ("widget", "bolt")]
+    found = reports.filter_exact_address(listings, sought[0])
+    for address in sought[1:]:
+        found = found.union(reports.filter_exact_address(listings, address))
+    return found.select("listing_id", "address")
 
 
 @query(
