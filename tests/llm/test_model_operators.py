@@ -275,7 +275,7 @@ def test_pipeline_stages_against_brute_force(spark, pipeline):
             assert after.columns == columns and all(r.n_chars == len(r.text) for r in rows)
         if name == "toxicity":
             model = toxicity.fit(docs, table(spark, SF, "labels"))
-            assert {r.doc_id for r in rows} == {i for i, t in before if model.score(t) < toxicity.THRESHOLD} and len(rows) < len(before)
+            assert {r.doc_id for r in rows} == {i for i, t in before if model.score(t) < toxicity.THRESHOLD}
         elif name == "line dedup":
             assert sorted((r.doc_id, r.text) for r in rows) == [(i, t) for i, t, _, _ in sorted(expected_lines(before))]
         elif name == "n-gram Jaccard join":
