@@ -25,6 +25,7 @@ SQL: dict[str, str] = {
     "op3_nn_descent": nn_descent.OP3_SQL,
     "op4_ngram_join": ngram_join.OP4_SQL,
     "op6_line_dedup": line_dedup.OP6_SQL,
+    "op7_quotation_linking": quotes.OP7_SQL,
     "op8_rule_ledger": rules.OP8_SQL,
 }
 

@@ -126,3 +126,38 @@ def linked(messages: DataFrame) -> DataFrame:
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT conv_id, turn, pos, line, length(marks) - length(replace(marks, '>', '')) AS level,
+    lower(trim(regexp_replace(regexp_replace(line, '^[ \t]*(?:>[ \t]*)+', ''), '\s+', ' ', 'g'))) AS n
+  FROM (SELECT *, regexp_extract(line, '^[ \t]*(?:>[ \t]*)+') AS marks FROM (
+    SELECT conv_id, turn, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
+      unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM conversations))),
+q AS (SELECT conv_id, turn, n, min(level) AS level, count(*) AS times FROM l WHERE level > 0 AND n <> '' GROUP BY conv_id, turn, n),
+src AS (
+  SELECT q.conv_id, q.turn, q.n, any_value(q.level) AS level, any_value(q.times) AS times, max(o.turn) AS from_turn
+  FROM q LEFT JOIN l o ON o.level = 0 AND o.conv_id = q.conv_id AND o.n = q.n AND o.turn < q.turn GROUP BY q.conv_id, q.turn, q.n),
+per AS (
+  SELECT conv_id, turn, from_turn, sum(times) AS n, sum(CASE WHEN level = 1 THEN times ELSE 0 END) AS n1
+  FROM src GROUP BY conv_id, turn, from_turn),
+best AS (
+  SELECT conv_id, turn, arg_max(from_turn, (n1 > 0, n1, n, from_turn)) FILTER (WHERE from_turn IS NOT NULL) AS quoted_turn,
+    sum(n) AS n_quoted, sum(CASE WHEN from_turn IS NOT NULL THEN n ELSE 0 END) AS n_linked FROM per GROUP BY conv_id, turn),
+tree AS (
+  SELECT k.conv_id, k.turn, coalesce(b.quoted_turn, k.before) AS parent, coalesce(b.n_quoted, 0) AS n_quoted,
+    coalesce(b.n_linked, 0) AS n_linked
+  FROM (SELECT conv_id, turn, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations) k
+  LEFT JOIN best b ON b.conv_id = k.conv_id AND b.turn = k.turn),
+walk AS (
+  SELECT conv_id, turn, turn AS root, cast(0 AS bigint) AS depth FROM tree WHERE parent IS NULL
+  UNION ALL SELECT t.conv_id, t.turn, w.root, w.depth + 1 FROM tree t JOIN walk w ON w.conv_id = t.conv_id AND w.turn = t.parent),
+own AS (
+  SELECT conv_id, turn, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT lost), '') AS text FROM (
+    SELECT *, level > 0 OR (regexp_matches(line, '(?:wrote|schrieb|écrit|escribió) ?:[ \t]*$')
+      AND coalesce(lead(level) OVER (PARTITION BY conv_id, turn ORDER BY pos), 0) > 0) AS lost FROM l) GROUP BY conv_id, turn)
+SELECT m.conv_id, m.turn, m.role, regexp_replace(regexp_replace(o.text, '^(?:[ \t]*\n)+', ''), '\s+$', '') AS text, t.parent, w.root,
+  w.depth, cast(t.n_quoted AS bigint) AS n_quoted, cast(t.n_linked AS bigint) AS n_linked
+FROM conversations m JOIN own o ON o.conv_id = m.conv_id AND o.turn = m.turn
+JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn JOIN walk w ON w.conv_id = m.conv_id AND w.turn = m.turn"""
