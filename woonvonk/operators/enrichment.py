@@ -102,10 +102,21 @@ def public_items(df: DataFrame, confidence: str = "confidence_score") -> list[Co
     return out
 
 
-def fan_out(df: DataFrame, key: str) -> DataFrame:
-    """39 items per property; no shuffle."""
-    items = F.array(*public_items(df), *looked_up_items(df))
-    return df.select(key, F.posexplode(items).alias("item_no", "i")).select(key, "item_no", "i.*")
+LOOKED_UP_KEYS = [
+    "municipality", "postal_code", *DISTANCES, "neighborhood_m2_price_average", "street_m2_price_average", "monument_status",
+    "land_registry_information", "permit_information", "zoning",
+]
+
+
+def fan_out(df: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
+    """39 items per property, or those of ``keys``; no shuffle. Items that nobody asks for are not built."""
+    named = zip([*PUBLIC_KEYS, *LOOKED_UP_KEYS], [*public_items(df), *looked_up_items(df)])
+    wanted = [
+        F.struct(F.lit(no).alias("item_no"), built.alias("i"))
+        for no, (name, built) in enumerate(named)
+        if keys is None or name in keys
+    ]
+    return df.select(key, F.explode(F.array(*wanted)).alias("e")).select(key, "e.item_no", "e.i.*")
 
 
 def pivot(items: DataFrame, key: str, keys: list[str], order: str = "item_no") -> DataFrame:

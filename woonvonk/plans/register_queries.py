@@ -188,7 +188,7 @@ def area_price_metrics(spark, sf_dir):
 # --- enrichments --------------------------------------------------------------------------------
 
 
-def _items(spark, sf_dir):
+def _items(spark, sf_dir, keys=None):
     measured = _measured(spark, sf_dir).withColumns(
         {
             "bag_id": F.col("object_id"),
@@ -200,7 +200,7 @@ def _items(spark, sf_dir):
             "funda_living_area_m2": F.col("surface_m2"),
         }
     )
-    return enrichment.fan_out(measured, "property_id")
+    return enrichment.fan_out(measured, "property_id", keys)
 
 
 ITEM_SQL = f"""
@@ -227,7 +227,7 @@ ITEM_KEYS = [
     with_views("listings register_docs", f"WITH {SCORE_SQL}, {AREA_SQL}, {ITEM_SQL} SELECT * FROM items"),
 )
 def enrichment_fanout(spark, sf_dir):
-    return _items(spark, sf_dir).where(F.col("enrichment_key").isin(ITEM_KEYS)).select(
+    return _items(spark, sf_dir, ITEM_KEYS).select(
         "property_id", "enrichment_key", "value", "success", "confidence_score"
     )
 
@@ -242,7 +242,8 @@ def enrichment_fanout(spark, sf_dir):
     ),
 )
 def enrichment_pivot(spark, sf_dir):
-    wide = enrichment.pivot(_items(spark, sf_dir), "property_id", ["bag_id", "bag_usage_purpose", "bag_building_year", "municipality"])
+    keys = ["bag_id", "bag_usage_purpose", "bag_building_year", "municipality"]
+    wide = enrichment.pivot(_items(spark, sf_dir, keys), "property_id", keys)
     return enrichment.with_aliases(wide)
 
 
@@ -267,7 +268,7 @@ def append_enrichments(spark, sf_dir):
     from woonvonk.session import scratch_path
 
     path = scratch_path(spark, "enrichments")
-    items = _items(spark, sf_dir).where(F.col("enrichment_key").isin(ITEM_KEYS))
+    items = _items(spark, sf_dir, ITEM_KEYS)
     tables.append_enrichments(items.where("property_id % 2 = 0"), path)
     tables.append_enrichments(items.where("property_id % 2 = 1"), path)
     return spark.read.parquet(path).groupBy("enrichment_key").agg(
