@@ -134,19 +134,29 @@ def _member(sorted_keys: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_keys[at] == x
 
 
-def often(docs: DataFrame) -> np.ndarray:
-    """Elements that more than OFTEN documents begin with, in ascending order; a bounded number."""
+def _frequent(counts: DataFrame) -> np.ndarray:
+    """The keys of (h, n) in more than OFTEN rows, ascending; the most frequent first, a bounded number."""
+    total = counts.groupBy("h").agg(F.sum("n").alias("n"))
+    top = total.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "h").limit(OFTEN_KEYS).select("h").toArrow()
+    return np.sort(top.column("h").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _counted(parts: list[np.ndarray]) -> pa.RecordBatch:
+    keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
+    return pa.RecordBatch.from_arrays([pa.array(_longs(keys)), pa.array(n.astype(np.int32))], names=["h", "n"])
+
+
+def often(docs: DataFrame, last: np.ndarray) -> np.ndarray:
+    """Elements that more than OFTEN documents begin with when ``last`` come last; in ascending order."""
+    shared = docs.sparkSession.sparkContext.broadcast(last)
 
     def run(batches):
-        own = hasher()
+        own, late = hasher(), shared.value
         for batch in batches:
-            parts = [s[: len(s) - least_overlap(len(s)) + 1] for s in map(own.ngrams, batch.column(0).to_pylist())]
-            keys, n = np.unique(np.concatenate([np.zeros(0, np.uint64), *parts]), return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(_longs(keys)), pa.array(n.astype(np.int32))], names=["h", "n"])
+            sets = map(own.ngrams, batch.column(0).to_pylist())
+            yield _counted([s[~_member(late, s)][: len(s) - least_overlap(len(s)) + 1] for s in sets])
 
-    counts = docs.select("text").mapInArrow(run, "h long, n int").groupBy("h").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") > OFTEN).orderBy(F.desc("n"), "h").limit(OFTEN_KEYS).select("h").toArrow()
-    return np.sort(top.column("h").combine_chunks().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+    return _frequent(docs.select("text").mapInArrow(run, "h long, n int"))
 
 
 def sketched(docs: DataFrame, last: np.ndarray) -> DataFrame:
@@ -325,48 +335,78 @@ def checked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """For (a = centre, b = document): (c, d, n, m, near, delta): the elements that one of them has, and whether they link."""
+    """For (a = centre, b = document): (c, d, n, m, near, fresh, gone): whether they link, and what only one of them has."""
 
     def run(batches):
         for batch in batches:
-            out = {k: [] for k in ("n", "m", "near", "delta")}
+            out = {k: [] for k in ("n", "m", "near", "fresh", "gone")}
             for c, x in zip(batch.column(2), batch.column(3)):
                 c, x = np.frombuffer(c.as_buffer(), np.uint64), np.frombuffer(x.as_buffer(), np.uint64)
-                new, gone = x[~_member(c, x)], c[~_member(x, c)]
+                fresh, gone = x[~_member(c, x)], c[~_member(x, c)]
                 out["n"].append(len(x))
-                out["m"].append(len(new) + len(gone))
-                out["near"].append(links(len(x) - len(new), len(c), len(x)))
-                out["delta"].append(_longs(np.concatenate([new, gone])))
-            kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.list_(pa.int64())]
+                out["m"].append(len(fresh) + len(gone))
+                out["near"].append(links(len(x) - len(fresh), len(c), len(x)))
+                out["fresh"].append(_longs(fresh))
+                out["gone"].append(_longs(gone))
+            longs = pa.list_(pa.int64())
+            kinds = [pa.int64(), pa.int64(), pa.bool_(), longs, longs]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(v, k) for v, k in zip(out.values(), kinds)]], names=["c", "d", *out]
             )
 
-    return _with_sets(members, sets).mapInArrow(run, "c long, d long, n long, m long, near boolean, delta array<long>")
+    return _with_sets(members, sets).mapInArrow(
+        run, "c long, d long, n long, m long, near boolean, fresh array<long>, gone array<long>"
+    )
 
 
 def entries_of(apart: DataFrame) -> DataFrame:
-    """Entries of the elements that differences begin with, the rarest of a centre first.
+    """Entries of the elements that differences begin with: rare ones of a centre first, then what documents lack that
+    the centre has, then what the centre lacks, which is common.
 
-    Elements of one document only match nothing, but take the first places. Linked sets have together at most
-    ``n + 100 n / t`` elements, so their differences differ by at most ``most``: under the first half of that many
-    elements smaller differences are found, under the rest they are looked for.
+    Linked sets have together at most ``n + 100 n / t`` elements, so their differences differ by at most ``most``: under
+    the first half of that many elements smaller differences are found, under the rest they are looked for.
     """
-    elements = apart.select("c", "d", F.explode("delta").alias("x"))
-    shared = elements.groupBy("c", "x").agg(F.count("*").alias("n_x")).where("n_x > 1")
-    own = elements.join(shared, ["c", "x"]).groupBy("c", "d").agg(F.sort_array(F.collect_list(F.struct("n_x", "x"))).alias("e"))
+
+    def keyed(c: int, cell) -> np.ndarray:
+        x = cell.values.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        return _mixed(x ^ _mixed(np.array([c], np.int64).view(np.uint64)))
+
+    def count(batches):
+        for batch in batches:
+            rows = zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2))
+            yield _counted([keyed(c, cell) for c, *cells in rows for cell in cells])
+
+    late = _frequent(apart.select("c", "fresh", "gone").mapInArrow(count, "h long, n int"))
+    shared = apart.sparkSession.sparkContext.broadcast(late)
+
+    def begin(batches):
+        late_ = shared.value
+        for batch in batches:
+            first = []
+            for c, n, fresh, gone in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(5), batch.column(6)):
+                fresh, gone = keyed(c, fresh), keyed(c, gone)
+                f, g = _member(late_, fresh), _member(late_, gone)
+                most = (100 - PERCENT) * (n + 100 * n // PERCENT + 1) // (100 + PERCENT)
+                rare = np.sort(np.concatenate([fresh[~f], gone[~g]]))
+                first.append(_longs(np.concatenate([rare, np.sort(gone[g]), np.sort(fresh[f])])[: most + 1]))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in (1, 2, 3, 4)], pa.array(first, pa.list_(pa.int64()))], names=["d", "n", "m", "g", "e"]
+            )
+
+    columns = apart.select("c", "d", "n", "m", "g", "fresh", "gone")
+    begun = columns.mapInArrow(begin, "d long, n long, m long, g long, e array<long>")
     most = F.expr(f"{100 - PERCENT} * (n + 100 * n div {PERCENT} + 1) div {100 + PERCENT}")
-    placed = apart.drop("delta").join(own, ["c", "d"]).select("*", most.alias("most"), F.posexplode("e").alias("k", "v"))
-    placed = placed.withColumn("pos", F.col("m") - F.size("e") + F.col("k")).where("pos <= most")
-    return placed.select(
-        F.xxhash64("c", "v.x").alias("key"), "d", "n", "m", "pos", (F.col("pos") > F.expr("most div 2")).alias("ask"), "g"
-    )
+    placed = begun.select("d", "n", "m", "g", most.alias("most"), F.posexplode("e").alias("pos", "key"))
+    return placed.select("key", "d", "n", "m", F.col("pos").cast("long").alias("pos"), (F.col("pos") > F.expr("most div 2")).alias("ask"), "g")
 
 
 def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(rows, component): rows (doc_id, n, rep) of every row of ``docs``, and (id, component) of linked representatives."""
     docs = docs.select("doc_id", "text")
-    rows = written(sketched(docs, often(docs)), "ngram-rows")
+    last = often(docs, np.zeros(0, np.uint64))
+    # putting them last lets other frequent elements in; of those left after that, few are not of near copies
+    last = np.union1d(last, often(docs, last))
+    rows = written(sketched(docs, last), "ngram-rows")
     one = rows.where("f1 IS NOT NULL").groupBy("f1", "f2").agg(F.min(F.struct("doc_id", "n", "cold", "hot")).alias("r"))
     one = one.select("f1", "f2", "r.*")
     entry = [F.col("doc_id").alias("d"), "n", F.lit(0).cast("long").alias("m"), F.lit(0).cast("long").alias("pos"), F.lit(False).alias("ask"), F.col("doc_id").alias("g")]
