@@ -133,6 +133,32 @@ def test_audit_sees_what_is_missing(spark):
     assert nn_descent.audit(nodes, half, 0.98) == pytest.approx(10 / 19)
 
 
+def test_rest_is_exact_when_the_descent_misses_its_target(spark, monkeypatch):
+    """A descent that finds nothing, or only what one short run of a forest holds, and blocks smaller than the groups."""
+    rows = vectors()
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string")
+    found = nn_descent.forest_edges
+    monkeypatch.setattr(nn_descent, "descend", lambda graph, nodes, k, n: graph)
+    monkeypatch.setattr(nn_descent, "BLOCK", 16)
+    for share in (0, 3):
+        monkeypatch.setattr(nn_descent, "forest_edges", lambda nodes, forests, k, share=share: found(nodes, forests, k).where(f"pmod(a, 7) < {share} AND pmod(b, 7) < {share}"))
+        recalls = []
+        got = sorted(map(tuple, nn_descent.near_duplicates(df, note=recalls.append).collect()))
+        assert got == brute_force(rows) and recalls[-1] == 1.0
+
+
+def test_audit_goes_on_until_it_has_met_linked_nodes(spark):
+    """One node in 200 has a link and none of the links was found: a sample that meets few of them must not call that whole."""
+    rng = np.random.RandomState(5)
+    base = rng.standard_normal((3000, 16))
+    base[1::400] = base[0::400] * (1 + 0.001 * rng.standard_normal((8, 16)))
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(base)], "vec_id long, embedding array<double>, label int")
+    nodes = nn_descent.units(df).withColumnRenamed("vec_id", "id").withColumn("copies", F.lit(1).cast("long")).persist()
+    linked = [i for k in range(8) for i in (400 * k, 400 * k + 1)]
+    half = nodes.select("id", F.col("id").isin(linked[:4]).cast("long").alias("n"))
+    assert nn_descent.audit(nodes, half, 0.98) == pytest.approx(0.25)
+
+
 MESSAGES = [
     ("c", 0, "ann", "Hello all.\nWhat do you think of the plan?"),
     ("c", 1, "bob", "> What do you   THINK of the plan?\nI like it.\nVery much."),

@@ -5,8 +5,9 @@ ordered by sign bits of random planes and compared within short runs. Then neigh
 node sends its list to a local join that compares all members with each other and offers each the better ones, until
 offers run dry. Edges under the threshold go. A list that is full of links is saturated; it is enlarged to the whole
 component, block against block, which gives every node its exact number of links inside its component without
-writing pairs. What may still be missing are links between components: an audit compares a bounded sample of nodes with
-all others, and while recall is under the target, lists and forests grow and the descent goes on.
+writing pairs. What may still be missing are links between components: an audit compares samples of nodes with
+all others until it has met enough linked ones, and while recall is under the target, lists and forests grow and the
+descent goes on. When that does not reach the target either, all nodes of a label are compared, block against block.
 
 Cosines are double-precision products of unit vectors. Null vectors and labels, zero vectors, and vectors with null or
 non-finite components link with nothing; so do vectors of different lengths. Rows that repeat a vec_id are vectors of
@@ -33,7 +34,10 @@ ROUNDS = 4
 # The descent ends when a round improves less than this share of all list places.
 LEAST_CHANGE = 0.002
 BLOCK = 1024
+# The audit draws so many nodes first, twice as many each time up to the most a pass may hold, until it has met so many linked ones.
 AUDIT = 512
+AUDIT_PASS = 4096
+AUDIT_LINKED = 300
 RECALL = 0.97
 GROWTHS = 3
 
@@ -215,15 +219,73 @@ def links_inside(nodes: DataFrame, found: DataFrame, threshold: float) -> DataFr
     return counts.groupBy("id").agg(F.sum("n").alias("n"))
 
 
+def exact(nodes: DataFrame, found: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Every node's rows of linked nodes (id, n), and (id, component) over all links: all nodes of a label and size are compared.
+
+    Only links between components of ``found`` are written, a block's as one edge per component that takes another's id.
+    """
+    groups = nodes.groupBy("label", "size").agg(F.min("id").alias("g"), F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    placed = nodes.select("label", "size", "id", "copies", "u").join(groups, ["label", "size"]).join(found, "id", "left")
+    placed = placed.withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).cast("int"))
+    placed = placed.withColumn("component", F.coalesce("component", "id")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    dealt = placed.select("g", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), "part", "id", "copies", "component", "u")
+
+    def run(batches):
+        for rows in _streamed(batches, 3, None):
+            i, j = rows[0][1], rows[0][2]
+            parts, ids, copies, own = (np.array([r[c] for r in rows], np.int64) for c in (3, 4, 5, 6))
+            m = _matrix(rows, 7)
+            left, right = np.flatnonzero(parts == i), np.flatnonzero(parts == j)
+            hit = (m[left] @ m[right].T) >= threshold
+            n = np.zeros(len(ids), np.int64)
+            if i == j:
+                np.fill_diagonal(hit, False)
+                n[left] = hit @ copies[right]
+            else:
+                n[left], n[right] = hit @ copies[right], hit.T @ copies[left]
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(n), pa.nulls(len(ids), pa.int64())], names=["id", "n", "b"])
+            # the smallest component id goes round along links between components until it stands still
+            x, y = np.nonzero(hit & (own[left][:, None] != own[right][None]))
+            x, y, now = left[x], right[y], own.copy()
+            while True:
+                before = now.copy()
+                np.minimum.at(now, x, before[y])
+                np.minimum.at(now, y, before[x])
+                if (now == before).all():
+                    break
+            pairs = np.unique(np.stack([own, now])[:, own != now], axis=1)
+            if pairs.size:
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.nulls(pairs.shape[1], pa.int64()), pa.array(pairs[1])], names=["id", "n", "b"])
+
+    order = ["g", "i", "j"]
+    done = written(dealt.repartition(*order).sortWithinPartitions(*order).mapInArrow(run, "id long, n long, b long"), "vector-exact")
+    edges = found.select(F.col("id").alias("a"), F.col("component").alias("b")).union(done.where("b IS NOT NULL").select("id", "b"))
+    counted = written(done.where("b IS NULL").groupBy("id").agg(F.sum("n").alias("n")), "vector-links")
+    return counted, written(components(edges, "vector-components"), "vector-components")
+
+
 def audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
-    """Mean share of their links that a sample of at most AUDIT linked nodes has, against all nodes.
+    """Mean share of their links that sampled linked nodes have, against all nodes; 1 when no node has a link.
 
-    The sample is by hash, so it grows no bias; a node without a link counts as 1 when nothing was missed.
+    Samples are slices by hash, so nothing depends on what the descent found. They go on until AUDIT_LINKED nodes with a
+    true link have been measured or every node has.
     """
-    sample = nodes.orderBy(F.xxhash64("id", F.lit(3))).limit(AUDIT)
+    n, size, low, shares = nodes.count(), AUDIT, 0, []
+    place, whole = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(1 << 40)), 1 << 40
+    while low < whole and n:
+        high = min(whole, low + -(-whole * size // n))
+        shares += _shares(nodes, nodes.where((place >= low) & (place < high)), counted, threshold)
+        if len(shares) >= AUDIT_LINKED:
+            break
+        low, size = high, min(2 * size, AUDIT_PASS)
+    return float(np.mean(shares)) if shares else 1.0
+
+
+def _shares(nodes: DataFrame, sample: DataFrame, counted: DataFrame, threshold: float) -> list[float]:
+    """The share of its links that each linked node of a small ``sample`` has in ``counted``."""
     rows = sample.join(counted, "id", "left").select("id", "label", "size", "u", F.coalesce("n", F.lit(0)).alias("n")).collect()
     if not rows:
-        return 1.0
+        return []
     asked = [(r["id"], r["label"], r["size"], bytes(r["u"])) for r in rows]
     shared = nodes.sparkSession.sparkContext.broadcast(asked)
 
@@ -247,8 +309,8 @@ def audit(nodes: DataFrame, counted: DataFrame, threshold: float) -> float:
 
     true = nodes.select("id", "label", "size", "copies", "u").mapInArrow(run, "id long, t long").groupBy("id").agg(F.sum("t").alias("t"))
     true = {r["id"]: r["t"] for r in true.collect()}
-    shares = [r["n"] / true[r["id"]] for r in rows if true.get(r["id"], 0)]
-    return float(np.mean(shares)) if shares else 1.0
+    shared.unpersist()
+    return [r["n"] / true[r["id"]] for r in rows if true.get(r["id"], 0)]
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, note: Callable[[float], None] = lambda recall: None) -> DataFrame:
@@ -273,6 +335,9 @@ def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD, note: Callabl
         if recall >= RECALL:
             break
         k, forests = 2 * k, range(forests.stop, forests.stop + FORESTS * 2 ** (growth + 1))
+    else:
+        counted, found = exact(nodes, found, threshold)
+        note(1.0)
     named = nodes.select("id", "least", "copies", "label", "size", "u").join(found, "id", "left").join(counted, "id", "left")
     named = named.withColumn("group", F.coalesce("component", "id"))
     smallest = named.groupBy("group").agg(F.min("least").alias("component_id"))
