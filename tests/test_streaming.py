@@ -59,3 +59,15 @@ def test_late_rows_are_set_apart_and_nothing_is_new_twice(spark, tmp_path):
     }
     assert [r.seq for r in spark.read.parquet(out + "/late").collect()] == [4]
     assert sorted(r.seq for r in spark.read.parquet(seen).collect()) == [1, 3, 7]
+
+
+@pytest.mark.parametrize("name", ["stream_change_detection", "stream_only_new", "stream_price_stats", "stream_market_sessions", "late_observation_policy"])
+def test_results_do_not_depend_on_the_size_of_micro_batches(spark, monkeypatch, name):
+    """Each landing has files that overlap in time; with one file a micro-batch, rows come out of order."""
+    from woonvonk.plans import stream_queries
+
+    rows = stream_queries._observations(spark, SF).where("listing_id < 40").localCheckpoint()
+    monkeypatch.setattr(stream_queries, "_observations", lambda spark, sf_dir: rows.repartition(4, "seq"))
+    whole = sorted(map(tuple, JOBS[name](spark, SF).collect()))
+    monkeypatch.setattr(jobs.read_observations, "__defaults__", (1,))
+    assert sorted(map(tuple, JOBS[name](spark, SF).collect())) == whole

@@ -44,7 +44,7 @@ def _table(spark, sf_dir, build: Callable[[DataFrame], DataFrame], open_keys: li
     _land(
         _halves(spark, sf_dir),
         landing,
-        lambda: jobs.write_table(build(jobs.read_observations(spark, landing)), out, mark),
+        lambda: jobs.write_table(build(jobs.read_observations(spark, landing, *([None] if open_keys else []))), out, mark),
     )
     written = spark.read.parquet(out)
     return jobs.with_open(written, spark.read.parquet(landing), build, open_keys) if open_keys else written
@@ -76,7 +76,7 @@ def stream_only_new(spark, sf_dir):
     first, second = _halves(spark, sf_dir)
     second = second.where(~((F.col("listing_id") % 7 == 0) & (F.col("seq") % 2 == 0)))
     late = second.withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 400 DAYS"))
-    _land([first, late], landing, lambda: jobs.only_new(jobs.read_observations(spark, landing), out, mark))
+    _land([first, late], landing, lambda: jobs.only_new(jobs.read_observations(spark, landing, None), out, mark))
     arrived = F.col("observed_at") - F.when(F.col("batch") > 0, F.expr("INTERVAL 400 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
     return spark.read.parquet(out).select("listing_id", "seq", arrived.cast("string").alias("observed_at"))
 
@@ -93,7 +93,7 @@ def stream_only_new(spark, sf_dir):
 def stream_change_detection(spark, sf_dir):
     landing, out, mark = _paths(spark)
     _land(_halves(spark, sf_dir), landing, lambda: jobs.change_detection(jobs.read_observations(spark, landing), out, mark))
-    return spark.read.parquet(f"{out}/changes").select("listing_id", "seq", "change_type")
+    return jobs.repaired_changes(spark, out, spark.read.parquet(landing)).select("listing_id", "seq", "change_type")
 
 
 @query(
@@ -183,7 +183,7 @@ def late_observation_policy(spark, sf_dir):
     _land(
         [rows.where(early & ~withheld), rows.where(~early | withheld)],
         landing,
-        lambda: jobs.split_late(jobs.read_observations(spark, landing), out, mark, F.expr("INTERVAL 7 DAYS")),
+        lambda: jobs.split_late(jobs.read_observations(spark, landing, None), out, mark, F.expr("INTERVAL 7 DAYS")),
     )
     stored = jobs.split_rows(spark, out)
     late = stored.groupBy("listing_id").agg(F.count_if("is_late").alias("late_count"))

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from woonvonk.functions import finance
-from woonvonk.operators.history import change_type
+from woonvonk.operators.history import change_type, snapshot_changes
 from woonvonk.operators.skew import first_per_key, with_previous
 from woonvonk.session import materialise
 
@@ -23,13 +23,16 @@ OBSERVATION_SCHEMA = (
 SCAN_MINUTES = 15
 
 
-def read_observations(spark: SparkSession, path: str, max_bytes: int = 1 << 30) -> DataFrame:
+def read_observations(spark: SparkSession, path: str, max_bytes: int | None = 1 << 30) -> DataFrame:
     """Stream of landed observation files.
 
     ``max_bytes`` bounds a micro-batch, and with it what one listing can bring into one task even when it
-    holds a large share of all rows; a backlog is worked off in several micro-batches.
+    holds a large share of all rows; a backlog is worked off in several micro-batches. Files are in no order of time, so
+    jobs whose result depends on what came in an earlier micro-batch (watermarks, first arrivals, late rows) take None:
+    all that has landed is one micro-batch, whatever its size.
     """
-    return spark.readStream.schema(OBSERVATION_SCHEMA).option("maxBytesPerTrigger", max_bytes).parquet(path)
+    reader = spark.readStream.schema(OBSERVATION_SCHEMA)
+    return (reader if max_bytes is None else reader.option("maxBytesPerTrigger", max_bytes)).parquet(path)
 
 
 def write_table(stream: DataFrame, path: str, checkpoint: str, every: str | None = None, mode: str = "append"):
@@ -74,8 +77,8 @@ def change_detection(stream: DataFrame, path: str, checkpoint: str, every: str |
     """Observations that differ from the one before, with the kind of change, under ``path/changes``.
 
     State is one row per listing and batch that touched it, under ``path/state``: a micro-batch is compared with the newest
-    row of its own listings. Rows at or before that row came late; they are set apart under ``path/late``, and their
-    listings are repaired by building their history again. The look-back spreads a listing that holds most of a batch.
+    row of its own listings. Rows at or before that row came late; they are set apart under ``path/late``, and
+    ``repaired_changes`` builds the changes of their listings again. The look-back spreads a listing that holds most of a batch.
     """
 
     def work(batch: DataFrame, batch_id: int) -> None:
@@ -111,6 +114,17 @@ def change_detection(stream: DataFrame, path: str, checkpoint: str, every: str |
     return each_batch(stream, work, checkpoint, every)
 
 
+def repaired_changes(spark: SparkSession, path: str, landed: DataFrame) -> DataFrame:
+    """(listing_id, observation, change_type): what ``change_detection`` wrote, with the listings that have late rows built again.
+
+    Their changes come from the whole time line in ``landed``, so the result doesn't depend on how rows were cut into batches.
+    """
+    late = materialise(spark.read.parquet(f"{path}/late").select("listing_id").distinct())
+    whole = landed.join(late, "listing_id", "left_semi").select("listing_id", *OBSERVED)
+    again = snapshot_changes(whole, OBSERVED, ["asking_price", "listing_status"]).select("listing_id", *OBSERVED, "change_type")
+    return spark.read.parquet(f"{path}/changes").join(late, "listing_id", "left_anti").select(*again.columns).union(again)
+
+
 def upsert_current(stream: DataFrame, path: str, checkpoint: str, every: str | None = None):
     """Keep the newest observation of each listing.
 
