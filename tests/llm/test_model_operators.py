@@ -231,6 +231,27 @@ def test_surrogates(spark):
     assert surrogates.replaced(df.limit(0)).count() == 0
 
 
+def test_names_have_initials_many_words_and_bare_mentions(spark):
+    rows = [
+        (1, "Mr John Paul Smith came. Smith left, and Paul's hat with him; Smithson stayed."),
+        (2, "Mr J. Smith and Mr J.-P. O'Brien, said O'Brien."),
+        (3, "Before Weber there was Frau Anna Weber, and Weber-Anna said: Anna. Call Weber's."),
+        (4, "Nobody named Smith or Anna here, at 10:30"),
+        (5, "Mr " + "Ab Cd " * 20_000),
+        (6, "Ms Robin Paul, Mr Robin Smith. Robin, Paul."),
+    ]
+    out = surrogates.replaced(spark.createDataFrame(rows, "doc_id long, text string"), "key").collect()
+    got, n = {r.doc_id: r.text for r in out}, {r.doc_id: r.n_entities for r in out}
+    john, paul, smith, smith2, paul2 = re.fullmatch(r"Mr (\S+) (\S+) (\S+) came\. (\S+) left, and (\S+)'s hat with him; Smithson stayed\.", got[1]).groups()
+    assert smith == smith2 and paul == paul2 and len({john, paul, smith}) == 3 and not {john, paul, smith} & {"John", "Paul", "Smith"}
+    first, family, second, obrien, again = re.fullmatch(r"Mr (\p{Lu}\.) (\S+) and Mr (\p{Lu}\.-\p{Lu}\.) (\S+), said (\S+)\.".replace(r"\p{Lu}", "[A-Z]"), got[2]).groups()
+    assert family == smith and obrien == again != "O'Brien" and first != "J." and second[0] == first[0]
+    weber, anna, w2, w3, a2, a3, w4 = re.fullmatch(r"Before (\w+) there was Frau (\w+) (\w+), and (\w+)-(\w+) said: (\w+)\. Call (\w+)'s\.", got[3]).group(1, 2, 3, 4, 5, 6, 7)
+    assert weber == w2 == w3 == w4 != "Weber" and anna == a2 == a3 != "Anna"
+    assert got[4] == rows[3][1] and " Ab" not in got[5] and (n[1], n[2], n[3], n[4]) == (3, 3, 5, 0)
+    assert not re.search("Robin|Paul|Smith", got[6]) and len(got) == len(rows)
+
+
 def test_surrogates_stay_distinct(spark):
     """More names than given names there are, and numbers so short that digests collide."""
     rows = [(i, f"Mr. {n} Maier") for i, n in enumerate(f"N{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120))]

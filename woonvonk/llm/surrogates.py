@@ -3,7 +3,8 @@
 Entities are found by one pattern. Each distinct (kind, value) gets one surrogate, made from a keyed digest of it, so a
 value has the same surrogate wherever it stands (coreference) and nobody without the key can lead it back. Surrogates
 keep form: digits stay digits, letters stay letters of their case, separators stay, cards pass their check digit,
-addresses stay addresses, names keep gender (from the title) and script. Collisions, that is two values with one surrogate
+addresses stay addresses, names keep gender (from the title) and script. A name is found behind a title: initials and
+capitalised words, of which the last is the family name; wherever a text has one of these words alone, it is replaced too. Collisions, that is two values with one surrogate
 or a surrogate that is itself a value of the corpus, are made again from the next digest until none is left, so distinct
 values stay distinct.
 
@@ -14,6 +15,8 @@ entities are returned as they are; repeated rows are treated alike. All other co
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -26,7 +29,13 @@ KEY = "surrogates of the registered query"
 # Titles that tell a gender.
 MALE_TITLES = ["Mr", "Sir", "Herr", "Monsieur", "Señor", "Господин"]
 FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Madame", "Señora", "Госпожа"]
-TITLED = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?"
+# A capitalised word without the ending of a genitive, and initials; possessive, so that long runs need no stack.
+WORD = r"\p{Lu}(?=['’-]?\p{L})\p{L}*+(?:['’-](?!s(?!\p{L}))\p{L}++)*+"
+INITIAL = r"\p{Lu}(?:\.-?\p{Lu})*+\.?"
+TITLED = (
+    rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(MALE_TITLES + FEMALE_TITLES)})\.? "
+    rf"(?:{INITIAL} )*+{WORD}(?: (?:{INITIAL} )*+{WORD})*+"
+)
 
 # Kind and pattern, most specific first: where two could start, the first takes the text.
 KINDS: list[tuple[str, str]] = [
@@ -144,6 +153,16 @@ def surrogate(key: str) -> Column:
     )
 
 
+def other_initials(value: Column, key: str) -> Column:
+    """Initials moved along their alphabet by a keyed step, so none stays and different ones stay different; others count as X."""
+    step = int(hashlib.sha256(f"{key}|initials".encode()).hexdigest(), 16)
+    moved = F.regexp_replace(value, r"[\p{Lu}&&[^A-ZА-Я]]", "X")
+    for letters in ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "АБВГДЕЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ"):
+        by = step % (len(letters) - 1) + 1
+        moved = F.translate(moved, letters, letters[by:] + letters[:by])
+    return moved
+
+
 def assigned(entities: DataFrame, key: str) -> DataFrame:
     """(kind, value, surrogate) for distinct (kind, value), all surrogates distinct and none of them a value."""
     open_ = entities.select("kind", "value", F.lit(0).alias("attempt"))
@@ -174,28 +193,52 @@ def replaced(docs: DataFrame, key: str = KEY, text: str = "text") -> DataFrame:
     )
     hits = written(hits.withColumn("__row", F.monotonically_increasing_id()), "surrogates-hits")
     spots = hits.select("__row", F.posexplode("__found").alias("pos", "found")).withColumn("kind", kind_of(F.col("found")))
-    # a titled name is its given and its family name, so that "Frau Anna Weber" and "Frau Weber" keep one family name
+    # a titled name is its given and its family names, so that "Frau Anna Weber" and "Frau Weber" keep one family name
     found, w = F.col("found"), F.split("found", " ")
-    piece = lambda sub, kind, value, before, after: F.struct(
-        F.lit(sub).alias("sub"), kind.alias("kind"), value.alias("value"), before.alias("before"), F.lit(after).alias("after")
-    )
     given = F.when(found.rlike(rf"^(?:{'|'.join(FEMALE_TITLES)})"), "given_f").otherwise("given_m")
-    title = F.concat(w[0], F.lit(" "))
-    parts = (
-        F.when(F.col("kind") != "name", F.array(piece(0, F.col("kind"), found, F.lit(""), "")))
-        .when(F.size(w) == 2, F.array(piece(1, F.lit("family"), w[1], title, "")))
-        .otherwise(F.array(piece(1, given, w[1], title, " "), piece(2, F.lit("family"), F.get(w, F.lit(2)), F.lit(""), "")))
+    piece = lambda sub, kind, value, before: F.struct(sub.alias("sub"), kind.alias("kind"), value.alias("value"), before.alias("before"))
+    title, last = F.concat(w[0], F.lit(" ")), F.size(w) - 1
+    # nothing that splits the name stands where it would be done for each of its words
+    before = F.transform(
+        F.slice(w, 2, last - 1), lambda x, i: piece(i + 1, F.when(x.rlike(f"^{INITIAL}$"), "initial").otherwise(given), x, F.when(i == 0, title).otherwise(" "))
     )
-    spots = spots.select("__row", "pos", F.inline(parts))
-    entities = written(spots.select("kind", "value").distinct(), "surrogates-entities")
+    named = F.concat(before, F.array(piece(last, F.lit("family"), F.element_at(w, -1), F.when(last == 1, title).otherwise(" "))))
+    parts = F.when(F.col("kind") == "name", named).otherwise(F.array(piece(F.lit(0), F.col("kind"), found, F.lit(""))))
+    spots = written(spots.select("__row", "pos", F.inline(parts)), "surrogates-spots")
+    initial = F.col("kind") == "initial"
+    entities = written(spots.where(~initial).select("kind", "value").distinct(), "surrogates-entities")
     mapping = assigned(entities, key)
-    new = F.struct("pos", "sub", F.concat("before", "surrogate", "after").alias("text"))
-    # a text's own entities: bounded by the text
-    per_row = spots.join(mapping, ["kind", "value"]).groupBy("__row").agg(F.collect_list(new).alias("__new"))
-    between = F.transform("__parts", lambda x, i: F.struct(i.alias("pos"), F.lit(-1).alias("sub"), x.alias("text")))
+    put = spots.where(~initial).join(mapping, ["kind", "value"]).select("__row", "pos", "sub", "kind", "value", "before", "surrogate")
+    put = put.union(spots.where(initial).select("__row", "pos", "sub", "kind", "value", "before", other_initials(F.col("value"), key)))
+    new = F.struct("pos", "sub", F.concat("before", "surrogate").alias("text"))
+    name = F.when(F.col("kind").isin("family", "given_m", "given_f"), F.struct("value", "kind", "surrogate"))
+    # a text's own entities and names: bounded by the text
+    per_row = put.groupBy("__row").agg(F.collect_list(new).alias("__new"), F.array_sort(F.collect_set(name)).alias("__names"))
+    # a word that is both a family and a given name goes as the family name
+    once = F.filter("__names", lambda x, i: (i == 0) | (F.get("__names", i - 1)["value"] != x["value"]))
+    known = F.map_from_entries(F.transform(once, lambda x: F.struct(x["value"], x["surrogate"])))
+    joined_rows = hits.join(per_row, "__row").withColumn("__known", F.when(F.size("__names") > 0, known))
+    bare = rf"(?<![\p{{L}}\p{{N}}]){WORD}(?![\p{{L}}\p{{N}}])"
+
+    def again(word: Column) -> Column:
+        """A bare word, or what hyphens and apostrophes part in it, by the names of its text."""
+        own = F.transform(F.split(word, "(?=['’-])|(?<=['’-])"), lambda x: F.coalesce(F.element_at("__known", x), x))
+        return F.coalesce(F.element_at("__known", word), F.array_join(own, ""))
+
+    words = lambda x: F.regexp_extract_all(x, F.lit(bare), F.lit(0))
+    mended = lambda x: F.array_join(
+        F.zip_with(F.split(x, bare, -1), words(x), lambda gap, word: F.concat(gap, F.coalesce(again(word), F.lit("")))), ""
+    )
+    between = F.transform(
+        "__parts", lambda x, i: F.struct(i.alias("pos"), F.lit(-1).alias("sub"), F.when(F.col("__known").isNull(), x).otherwise(mended(x)).alias("text"))
+    )
+    mentions = F.when(
+        F.col("__known").isNotNull(),
+        F.aggregate(F.transform("__parts", lambda x: F.size(F.filter(words(x), lambda v: again(v) != v))), F.lit(0), lambda a, n: a + n),
+    ).otherwise(0)
     joined = F.array_join(F.transform(F.array_sort(F.concat(between, "__new")), lambda x: x["text"]), "")
-    out = hits.join(per_row, "__row").select(
-        *[joined.alias(text) if c == text else F.col(c) for c in docs.columns], F.size("__found").alias("n_entities")
+    out = joined_rows.select(
+        *[joined.alias(text) if c == text else F.col(c) for c in docs.columns], (F.size("__found") + mentions).alias("n_entities")
     )
     return clean.unionByName(out)
 
