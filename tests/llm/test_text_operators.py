@@ -253,3 +253,16 @@ def test_rules_equal_brute_force(spark):
             without = out.where(F.col("failed_bits").bitwiseAND(rules.mask(policy) & ~bit) == 0).count()
             assert without - kept == only.get(name, 0)
     assert rules.ledger(frame(spark, [])).count() == 0
+
+
+def test_packing_has_the_ids_of_added_tokens(spark):
+    """Texts that hold the string of an added token get the tokenizers library's ids; ranks without such tokens don't."""
+    texts = ["see <|endoftext|> here", "<|endoftext|>", "a<|endoftext|><|endoftext|>b  c", "<|endoftext|", " x <|endoftext|>\n", "none"]
+    library = Tokenizer.from_file(bpe.VOCABULARY)
+    got = {r.doc_id: r for r in packing.pieces(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    own = bpe.Codec(bpe.model_settings(bpe.VOCABULARY))
+    for k, text in enumerate(texts):
+        ids = library.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(own.encode(text), "<u4").tolist() == ids and own.decode(ids).decode() == text
+        assert (got[k].length, got[k].ids_crc32) == (len(ids) + 1, zlib.crc32(np.array([*ids, packing.END], "<u4").tobytes()))
+    assert 50256 not in np.frombuffer(bpe.Codec(bpe.model_settings(bpe.RANKS)).encode(texts[0]), "<u4")

@@ -79,14 +79,20 @@ def merges_of(ranks: dict[bytes, int]) -> list[tuple[bytes, bytes]]:
 
 
 def model_settings(path: str) -> str:
-    """Vocabulary and merges as JSON, from a rank file or from a tokenizers file; a few MB whatever the corpus."""
+    """Vocabulary and merges as JSON, from a rank file or from a tokenizers file; a few MB whatever the corpus.
+
+    A tokenizers file also gives its added tokens, which texts are split at first; a rank file has none.
+    """
     if path.endswith(".json"):
         with open(path, encoding="utf-8") as file:
             whole = json.load(file)
         if (whole.get("pre_tokenizer") or {}).get("type") != "ByteLevel" or whole.get("normalizer"):
             raise ValueError(f"not a plain byte-level tokenizer: {path}")
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in whole["model"]["merges"]]
-        return json.dumps({"vocab": whole["model"]["vocab"], "merges": merges})
+        added = whole.get("added_tokens") or []
+        if any(t.get("single_word") or t.get("lstrip") or t.get("rstrip") for t in added):
+            raise ValueError(f"added tokens that take in what is around them: {path}")
+        return json.dumps({"vocab": whole["model"]["vocab"], "merges": merges, "added": {t["content"]: t["id"] for t in added}})
     ranks = ranks_of(path)
     merges = [(to_characters(a), to_characters(b)) for a, b in merges_of(ranks)]
     return json.dumps({"vocab": {to_characters(t): r for t, r in ranks.items()}, "merges": merges})
@@ -113,11 +119,15 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pieces = _Kept(self._piece)
         self.chunks = _Kept(self._chunk)
-        size = max(given["vocab"].values()) + 1
+        self.added = given.get("added") or {}
+        self.split_added = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.added, key=len, reverse=True)))})").split
+        size = max([*given["vocab"].values(), *self.added.values()]) + 1
         self.bytes_of = [b""] * size
         for token, i in given["vocab"].items():
             if all(c in TO_BYTES for c in token):
                 self.bytes_of[i] = bytes(TO_BYTES[c] for c in token)
+        for token, i in self.added.items():
+            self.bytes_of[i] = token.encode()
         self.digits = [str(i) for i in range(size)]
 
     def _piece(self, piece: str) -> bytes:
@@ -128,6 +138,13 @@ class Codec:
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, as little-endian unsigned 32-bit integers."""
+        for token in self.added:
+            if token in text:
+                # every second part is an added token
+                return b"".join([np.array([self.added[x]], "<u4").tobytes() if k % 2 else self._plain(x) for k, x in enumerate(self.split_added(text))])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> bytes:
         if not text:
             return b""
         if ODD_SPACE.search(text):
