@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, nn_descent, packing, quotes, rules, surrogates, toxicity
+from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, nn_descent, packing, quotes, rules, runs, surrogates, toxicity
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_crf.op1,
@@ -19,6 +19,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_rule_ledger": rules.op8,
     "op9_surrogates": surrogates.op9,
     "op10_toxicity": toxicity.op10,
+    "op11_periodic_runs": runs.op11,
 }
 
 SQL: dict[str, str] = {
