@@ -1,10 +1,10 @@
 """Byte-level BPE: texts to token ids over Arrow batches, with offsets, and back.
 
 Bytes are mapped to printable characters, each pre-token is merged by the tokenizers library's BPE model, and decoding
-reverses the byte table; characters whose bytes are split over tokens come back whole. Words repeat, so a worker keeps
-the ids of the pre-tokens it has met, in tables of bounded size. A text is first cut at single blanks between other
-characters, where no match of the pattern can cross; texts with any other white space next to a blank take the
-pattern as a whole. Both ways give the same ids.
+reverses the byte table; characters whose bytes are split over tokens come back whole. Words repeat, so ids are made once
+per distinct word of a slice of texts, and a worker keeps those it has met, in tables of bounded size that go when another
+operator's tasks start. A text is first cut at single blanks between other characters, where no match of the pattern can
+cross; texts with any other white space next to a blank take the pattern as a whole. Both ways give the same ids.
 
 Null texts count as empty and give no ids. Other columns are left alone.
 """
@@ -14,26 +14,34 @@ from __future__ import annotations
 import base64
 import hashlib
 import json
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 
-from woonvonk.llm.common import table
+from woonvonk.llm.common import kept_in_worker, table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
-# Entries a worker keeps of pre-tokens and of chunks between blanks; beyond it starts afresh.
-KEPT = 600_000
+# Entries of words a worker keeps in each of two generations, and the longest word kept: some 100 MB at most.
+KEPT = 250_000
+KEPT_CHARS = 40
+# Bytes of text that are worked on at a time.
+SLICE_BYTES = 8 << 20
 
-# White space other than blank and line feed, as Unicode has it.
-ODD_SPACE = regex.compile(r"[^\S \n]|\A\s|\s\Z| \s|\s ")
+# Texts with white space other than single blanks and line feeds inside the text, in RE2's notation.
+ODD_SPACE = (
+    r"[\t\x0b-\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+    r"|\A[ \n]|[ \n]\z| [ \n]|\n "
+)
 
 
 def byte_characters() -> list[str]:
@@ -98,17 +106,22 @@ def model_settings(path: str) -> str:
     return json.dumps({"vocab": {to_characters(t): r for t, r in ranks.items()}, "merges": merges})
 
 
-class _Kept(dict):
-    """Ids, as little-endian unsigned 32-bit bytes, of what was met before."""
+class _Kept:
+    """Ids, as little-endian unsigned 32-bit bytes, of what was met before; the older generation goes when the newer is full."""
 
     def __init__(self, make):
-        super().__init__()
-        self.make = make
-
-    def __missing__(self, key):
-        if len(self) >= KEPT:
-            self.clear()
-        found = self[key] = self.make(key)
+        self.make, self.new, self.old = make, {}, {}
+
+    def __getitem__(self, key: str) -> bytes:
+        found = self.new.get(key)
+        if found is None:
+            found = self.old.get(key)
+            if found is None:
+                found = self.make(key)
+            if len(key) <= KEPT_CHARS:
+                if len(self.new) >= KEPT:
+                    self.old, self.new = self.new, {}
+                self.new[key] = found
         return found
 
 
@@ -119,6 +132,8 @@ class Codec:
         self.find = regex.compile(pattern).findall
         self.pieces = _Kept(self._piece)
         self.chunks = _Kept(self._chunk)
+        self.letters_match = pattern == public_tokenizers.PATTERN
+        self.marks = {m: self._piece(m) for m in ",."}
         self.added = given.get("added") or {}
         self.split_added = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.added, key=len, reverse=True)))})").split
         size = max([*given["vocab"].values(), *self.added.values()]) + 1
@@ -131,27 +146,71 @@ class Codec:
         self.digits = [str(i) for i in range(size)]
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model.tokenize(to_characters(piece.encode()))], "<u4").tobytes()
+        return array("I", [t.id for t in self.model.tokenize(to_characters(piece.encode()))]).tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
-        return b"".join([self.pieces[p] for p in self.find(" " + chunk)])
+        """The ids of a word behind a blank; letters are one match of the pattern, and so are a comma or stop after them."""
+        if self.letters_match:
+            if chunk.isalpha():
+                return self._piece(" " + chunk)
+            if chunk[-1:] in self.marks and chunk[:-1].isalpha():
+                return self.chunks[chunk[:-1]] + self.marks[chunk[-1]]
+        return b"".join([self._piece(p) for p in self.find(" " + chunk)])
 
     def encode(self, text: str) -> bytes:
         """All ids of a text, as little-endian unsigned 32-bit integers."""
         for token in self.added:
             if token in text:
                 # every second part is an added token
-                return b"".join([np.array([self.added[x]], "<u4").tobytes() if k % 2 else self._plain(x) for k, x in enumerate(self.split_added(text))])
+                return b"".join([array("I", [self.added[x]]).tobytes() if k % 2 else self._plain(x) for k, x in enumerate(self.split_added(text))])
         return self._plain(text)
 
     def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if ODD_SPACE.search(text):
-            return b"".join([self.pieces[p] for p in self.find(text)])
-        first, *rest = text.split(" ")
-        chunks = self.chunks
-        return b"".join([self.pieces[p] for p in self.find(first)] + [chunks[c] for c in rest])
+        return b"".join([self.pieces[p] for p in self.find(text)])
+
+    def encode_all(self, texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """The ids of all texts (null: empty), slice by slice: (first row, ids, where each row's ids end)."""
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < len(texts):
+            before = ends[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(ends, before + SLICE_BYTES, side="right")))
+            yield start, *self._slice(texts.slice(start, stop - start))
+            start = stop
+
+    def _slice(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        slow = pc.match_substring_regex(texts, ODD_SPACE)
+        for token in self.added:
+            slow = pc.or_(slow, pc.match_substring(texts, token))
+        odd = np.flatnonzero(slow.to_numpy(zero_copy_only=False))
+        ids, ends = self._words(pc.if_else(slow, "", texts) if len(odd) else texts)
+        if len(odd):
+            rows = np.split(ids, ends[:-1])
+            for i in odd.tolist():
+                rows[i] = np.frombuffer(self.encode(texts[i].as_py()), "<u4")
+            ids, ends = np.concatenate(rows), np.cumsum([len(r) for r in rows])
+        return ids, ends
+
+    def _words(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids by way of the distinct words between blanks; the first word of a text has no blank before it."""
+        parts = pc.split_pattern(texts, " ")
+        bounds = parts.offsets.to_numpy()
+        bounds = bounds - bounds[0]
+        words = parts.flatten()
+        first, more = bounds[:-1], words.dictionary_encode()
+        leads = words.take(pa.array(first)).dictionary_encode()
+        code = more.indices.to_numpy().astype(np.int64)
+        code[first] = len(more.dictionary) + leads.indices.to_numpy()
+        used = np.bincount(code, minlength=len(more.dictionary) + len(leads.dictionary))
+        made = [self.chunks[w] if n else b"" for w, n in zip(more.dictionary.to_pylist(), used.tolist())]
+        made += [self._plain(w) for w in leads.dictionary.to_pylist()]
+        size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+        begin = np.cumsum(size) - size
+        each = size[code]
+        ends = np.cumsum(each)
+        at = np.repeat(begin[code] - ends + each, each) + np.arange(ends[-1])
+        return np.frombuffer(b"".join(made), "<u4")[at], ends[bounds[1:] - 1]
 
     def offsets(self, text: str) -> list[tuple[int, int]]:
         """Per token the code points it covers, end exclusive; a token inside a character covers that character."""
@@ -188,15 +247,9 @@ class Codec:
             yield waiting.decode("utf-8", "replace")
 
 
-_CODECS: dict[int, Codec] = {}
-
-
 def codec(settings: str) -> Codec:
-    """One codec per worker process and vocabulary; its tables live on from task to task."""
-    key = hash(settings)
-    if key not in _CODECS:
-        _CODECS[key] = Codec(settings)
-    return _CODECS[key]
+    """One codec per worker process; its tables live on from task to task until another operator's tasks come."""
+    return kept_in_worker(("codec", hash(settings)), lambda: Codec(settings))
 
 
 def texts_of(batch: pa.RecordBatch, name: str = "text") -> Iterator[str]:
@@ -245,11 +298,13 @@ def digests(docs: DataFrame, path: str = RANKS) -> DataFrame:
         own = codec(shared.value)
         for batch in batches:
             counts, ids_hex, back_hex = [], [], []
-            for text in texts_of(batch):
-                ids = np.frombuffer(own.encode(text), "<u4").tolist()
-                counts.append(len(ids))
-                ids_hex.append(hashlib.sha256(" ".join([own.digits[i] for i in ids]).encode()).hexdigest())
-                back_hex.append(hashlib.sha256(own.decode(ids)).hexdigest())
+            for _, ids, ends in own.encode_all(batch.column(1)):
+                all_ids, at = ids.tolist(), 0
+                for end in ends.tolist():
+                    row, at = all_ids[at:end], end
+                    counts.append(len(row))
+                    ids_hex.append(hashlib.sha256(" ".join([own.digits[i] for i in row]).encode()).hexdigest())
+                    back_hex.append(hashlib.sha256(own.decode(row)).hexdigest())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(back_hex, pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

@@ -2,12 +2,31 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Hashable
+from typing import TypeVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from woonvonk.session import scratch_path, shared_folder, ship_package
 
 
+T = TypeVar("T")
+_KEPT: dict[Hashable, object] = {}
+
+
+def kept_in_worker(key: Hashable, make: Callable[[], T]) -> T:
+    """What a Python worker keeps from task to task: one thing at a time.
+
+    Workers outlive stages; what another operator has kept goes before something new is made, so that an executor needs
+    the most that one operator keeps and not the sum over all.
+    """
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = make()
+    return _KEPT[key]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship_package(spark)
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")

@@ -117,14 +117,15 @@ def pieces(docs: DataFrame, path: str = bpe.VOCABULARY, capacity: int = CAPACITY
 
     def run(batches):
         own, task, seen = bpe.codec(shared.value), TaskContext.get().partitionId(), [0] * (capacity + 1)
-        end = np.array([END], "<u4").tobytes()
         for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), bpe.texts_of(batch)):
-                ids = own.encode(text) + end
-                for k, (start, n) in enumerate(cut(len(ids) // 4, capacity)):
-                    rows.append((doc_id, k, start, n, zlib.crc32(ids[4 * start : 4 * (start + n)]), task, seen[n]))
-                    seen[n] += 1
+            rows, doc_ids = [], batch.column(0).to_pylist()
+            for first, ids, ends in own.encode_all(batch.column(1)):
+                at = 0
+                for doc_id, end in zip(doc_ids[first : first + len(ends)], ends.tolist()):
+                    whole, at = np.append(ids[at:end], np.uint32(END)), end
+                    for k, (start, n) in enumerate(cut(len(whole), capacity)):
+                        rows.append((doc_id, k, start, n, zlib.crc32(whole[start : start + n]), task, seen[n]))
+                        seen[n] += 1
             columns = list(zip(*rows)) or [[]] * 7
             kinds = [pa.int64(), pa.int32(), *[pa.int64()] * 5]
             yield pa.RecordBatch.from_arrays(
