@@ -106,6 +106,11 @@ def model_settings(path: str) -> str:
     return json.dumps({"vocab": {to_characters(t): r for t, r in ranks.items()}, "merges": merges})
 
 
+def largest_id(settings: str) -> int:
+    given = json.loads(settings)
+    return max([*given["vocab"].values(), *(given.get("added") or {}).values()])
+
+
 class _Kept:
     """Ids, as little-endian unsigned 32-bit bytes, of what was met before; the older generation goes when the newer is full."""
 
@@ -136,7 +141,7 @@ class Codec:
         self.marks = {m: self._piece(m) for m in ",."}
         self.added = given.get("added") or {}
         self.split_added = regex.compile(f"({'|'.join(map(regex.escape, sorted(self.added, key=len, reverse=True)))})").split
-        size = max([*given["vocab"].values(), *self.added.values()]) + 1
+        size = largest_id(settings) + 1
         self.bytes_of = [b""] * size
         for token, i in given["vocab"].items():
             if all(c in TO_BYTES for c in token):

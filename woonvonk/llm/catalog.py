@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, nn_descent, packing, quotes, rules, runs, surrogates, toxicity
+from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, nn_descent, packing, quotes, rules, runs, surrogates, token_files, toxicity
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_crf.op1,
@@ -20,6 +20,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_surrogates": surrogates.op9,
     "op10_toxicity": toxicity.op10,
     "op11_periodic_runs": runs.op11,
+    "op13_token_files": token_files.op13,
 }
 
 SQL: dict[str, str] = {
