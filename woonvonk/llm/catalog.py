@@ -6,7 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from woonvonk.llm import bpe, html_crf, line_dedup, ngram_join, nn_descent, packing, quotes, rules, runs, surrogates, token_files, toxicity
+from woonvonk.llm import (
+    bag_search, bpe, html_crf, line_dedup, ngram_join, nn_descent, packing, quotes, rules, runs, surrogates, token_files, toxicity,
+)
 
 JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extraction": html_crf.op1,
@@ -20,6 +22,7 @@ JOBS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_surrogates": surrogates.op9,
     "op10_toxicity": toxicity.op10,
     "op11_periodic_runs": runs.op11,
+    "op12_bag_search": bag_search.op12,
     "op13_token_files": token_files.op13,
 }
 
@@ -29,6 +32,7 @@ SQL: dict[str, str] = {
     "op6_line_dedup": line_dedup.OP6_SQL,
     "op7_quotation_linking": quotes.OP7_SQL,
     "op8_rule_ledger": rules.OP8_SQL,
+    "op12_bag_search": bag_search.OP12_SQL,
 }
 
 
