@@ -22,8 +22,8 @@ def _observations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _land(parts: list[DataFrame], landing: str, run: Callable[[], object]) -> None:
     """Land each part and run the stream over what is new."""
-    for part in parts:
-        part.select("listing_id", "source_id", "observed_at", "seq", "asking_price", "listing_status").write.mode("append").parquet(landing)
+    for k, part in enumerate(parts):
+        jobs.land(part, landing, k)
         run().awaitTermination()
 
 
@@ -33,21 +33,30 @@ def _halves(spark, sf_dir) -> list[DataFrame]:
     return [rows.where(F.col("observed_at") < split), rows.where(F.col("observed_at") >= split)]
 
 
+def _mixed(spark, sf_dir) -> list[DataFrame]:
+    """Two landings whose times overlap: every third row, mostly old ones, comes with the second."""
+    rows = _observations(spark, sf_dir)
+    late = (F.col("seq") % 3 == 1) | (F.col("observed_at") >= F.lit(SPLIT).cast("timestamp"))
+    return [rows.where(~late), rows.where(late)]
+
+
 def _paths(spark) -> tuple[str, str, str]:
     base = scratch_path(spark, "stream")
     return f"{base}/landing", f"{base}/table", f"{base}/checkpoint"
 
 
-def _table(spark, sf_dir, build: Callable[[DataFrame], DataFrame], open_keys: list[str] | None = None) -> DataFrame:
-    """Run ``build`` as a stream over both landings and read the table it wrote, with ``open_keys`` closed at the end."""
+def _table(spark, sf_dir, build: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Run ``build`` as a stream over both landings and read the table it wrote."""
     landing, out, mark = _paths(spark)
-    _land(
-        _halves(spark, sf_dir),
-        landing,
-        lambda: jobs.write_table(build(jobs.read_observations(spark, landing, *([None] if open_keys else []))), out, mark),
-    )
-    written = spark.read.parquet(out)
-    return jobs.with_open(written, spark.read.parquet(landing), build, open_keys) if open_keys else written
+    _land(_halves(spark, sf_dir), landing, lambda: jobs.write_table(build(jobs.read_observations(spark, landing)), out, mark))
+    return spark.read.parquet(out)
+
+
+def _partials(spark, sf_dir, build: Callable[[DataFrame], DataFrame]) -> str:
+    """Run ``build`` per micro-batch over both landings; where its parts are."""
+    landing, out, mark = _paths(spark)
+    _land(_mixed(spark, sf_dir), landing, lambda: jobs.partial_counts(jobs.read_observations(spark, landing), build, out, mark))
+    return out
 
 
 @query(
@@ -65,20 +74,15 @@ def stream_ingest(spark, sf_dir):
     "stream_only_new",
     with_views(
         "observations",
-        f"""WITH gone AS (SELECT * FROM observations WHERE NOT (observed_at >= timestamp '{SPLIT}' AND listing_id % 7 = 0 AND seq % 2 = 0))
-        SELECT listing_id, seq, cast(observed_at as varchar) AS observed_at FROM gone
-        QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY observed_at >= timestamp '{SPLIT}', observed_at, seq) = 1""",
+        """SELECT listing_id, seq, cast(observed_at as varchar) AS observed_at, asking_price FROM observations
+        QUALIFY row_number() OVER (PARTITION BY listing_id ORDER BY observed_at, seq) = 1""",
     ),
 )
 def stream_only_new(spark, sf_dir):
-    """The second landing comes a year later in event time than any window would remember."""
+    """The later half lands first, so nearly every listing is corrected by the second landing."""
     landing, out, mark = _paths(spark)
-    first, second = _halves(spark, sf_dir)
-    second = second.where(~((F.col("listing_id") % 7 == 0) & (F.col("seq") % 2 == 0)))
-    late = second.withColumn("observed_at", F.col("observed_at") + F.expr("INTERVAL 400 DAYS"))
-    _land([first, late], landing, lambda: jobs.only_new(jobs.read_observations(spark, landing, None), out, mark))
-    arrived = F.col("observed_at") - F.when(F.col("batch") > 0, F.expr("INTERVAL 400 DAYS")).otherwise(F.expr("INTERVAL 0 DAYS"))
-    return spark.read.parquet(out).select("listing_id", "seq", arrived.cast("string").alias("observed_at"))
+    _land(_halves(spark, sf_dir)[::-1], landing, lambda: jobs.only_new(jobs.read_observations(spark, landing), out, mark))
+    return jobs.first_seen(spark, out).select("listing_id", "seq", F.col("observed_at").cast("string").alias("observed_at"), "asking_price")
 
 
 @query(
@@ -92,8 +96,8 @@ def stream_only_new(spark, sf_dir):
 )
 def stream_change_detection(spark, sf_dir):
     landing, out, mark = _paths(spark)
-    _land(_halves(spark, sf_dir), landing, lambda: jobs.change_detection(jobs.read_observations(spark, landing), out, mark))
-    return jobs.repaired_changes(spark, out, spark.read.parquet(landing)).select("listing_id", "seq", "change_type")
+    _land(_mixed(spark, sf_dir), landing, lambda: jobs.change_detection(jobs.read_observations(spark, landing), out, mark))
+    return jobs.detected_changes(spark, out).select("listing_id", "seq", "change_type")
 
 
 @query(
@@ -119,7 +123,7 @@ def stream_upsert_current(spark, sf_dir):
     ),
 )
 def stream_price_stats(spark, sf_dir):
-    table = _table(spark, sf_dir, lambda s: jobs.price_stats(s, "30 minutes"), ["window_start", "source_id"])
+    table = jobs.price_stats(spark, _partials(spark, sf_dir, lambda rows: jobs.panes(rows, "15 minutes")), "15 minutes")
     return table.select(F.col("window_start").cast("string").alias("window_start"), "source_id", "observation_count", "sold_count", "price_sum")
 
 
@@ -133,7 +137,7 @@ def stream_price_stats(spark, sf_dir):
     ),
 )
 def stream_price_stats_sliding(spark, sf_dir):
-    table = _table(spark, sf_dir, lambda s: jobs.price_stats(s, "30 minutes", "24 hours", "1 hour"), ["window_start", "source_id"])
+    table = jobs.price_stats(spark, _partials(spark, sf_dir, lambda rows: jobs.panes(rows, "1 hour")), "24 hours", "1 hour")
     return table.select(F.col("window_start").cast("string").alias("window_start"), "source_id", "observation_count", "price_sum")
 
 
@@ -148,7 +152,7 @@ def stream_price_stats_sliding(spark, sf_dir):
     ),
 )
 def stream_market_sessions(spark, sf_dir):
-    table = _table(spark, sf_dir, lambda s: jobs.market_sessions(s, "1 hour", "6 hours"), ["listing_id", "session_start"])
+    table = jobs.market_sessions(spark, _partials(spark, sf_dir, lambda rows: jobs.spell_cells(rows, "6 hours")), "6 hours")
     return table.select("listing_id", F.col("session_start").cast("string").alias("session_start"), "observation_count")
 
 
@@ -183,9 +187,9 @@ def late_observation_policy(spark, sf_dir):
     _land(
         [rows.where(early & ~withheld), rows.where(~early | withheld)],
         landing,
-        lambda: jobs.split_late(jobs.read_observations(spark, landing, None), out, mark, F.expr("INTERVAL 7 DAYS")),
+        lambda: jobs.keep_landed(jobs.read_observations(spark, landing, landings=True), out, mark),
     )
-    stored = jobs.split_rows(spark, out)
+    stored = jobs.with_late(spark, out, F.expr("INTERVAL 7 DAYS"))
     late = stored.groupBy("listing_id").agg(F.count_if("is_late").alias("late_count"))
     repaired = history.listing_history(stored, ["observed_at", "seq", "asking_price", "listing_status"])
     return late.join(repaired.select("listing_id", "snapshot_count"), "listing_id")
