@@ -109,7 +109,7 @@ LOOKED_UP_KEYS = [
 
 
 def fan_out(df: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
-    """39 items per property, or those of ``keys``; no shuffle. Items that nobody asks for are not built."""
+    """All 39 items per property, or those that ``keys`` asks for; no shuffle."""
     named = zip([*PUBLIC_KEYS, *LOOKED_UP_KEYS], [*public_items(df), *looked_up_items(df)])
     wanted = [
         F.struct(F.lit(no).alias("item_no"), built.alias("i"))
@@ -128,21 +128,38 @@ def pivot(items: DataFrame, key: str, keys: list[str], order: str = "item_no") -
     return items.where(F.col("enrichment_key").isin(keys)).groupBy(key).agg(*columns)
 
 
-# Names that stand in for each other.
+# Names that stand in for each other; the first that has a value counts.
 ALIASES = {
+    "bag_building_year": ["bag_building_year", "construction_year_bag"],
     "construction_year_bag": ["construction_year_bag", "bag_building_year"],
+    "bag_usage_purpose": ["bag_usage_purpose", "usage_purpose"],
     "usage_purpose": ["usage_purpose", "bag_usage_purpose"],
+    "bag_status": ["bag_status", "status"],
+    "status": ["status", "bag_status"],
+    "bag_official_floor_area_m2": ["bag_official_floor_area_m2", "official_floor_area_m2"],
     "official_floor_area_m2": ["official_floor_area_m2", "bag_official_floor_area_m2"],
+    "bag_retrieval_date": ["bag_retrieval_date", "retrieval_date"],
+    "retrieval_date": ["retrieval_date", "bag_retrieval_date"],
+    "bag_source": ["bag_source", "source"],
+    "source": ["source", "bag_source"],
+    "bag_confidence_score": ["bag_confidence_score", "confidence_score"],
+    "confidence_score": ["confidence_score", "bag_confidence_score"],
+    "bag_quality_flags": ["bag_quality_flags", "quality_flags"],
+    "quality_flags": ["quality_flags", "bag_quality_flags"],
 }
+# The parts of an item that holds both kinds of coordinates.
+COORDINATES = {"bag_coordinates_rd": "$.rd", "bag_coordinates_ll": "$.ll"}
 
 
 def with_aliases(df: DataFrame) -> DataFrame:
-    """Fill each name from the first of its aliases that has a value."""
+    """Fill each name from the first of its aliases that has a value, and take coordinates apart."""
     out = {}
     for name, options in ALIASES.items():
-        present = [F.col(o) for o in options if o in df.columns]
-        if present:
-            out[name] = F.coalesce(*present)
+        present = [o for o in options if o in df.columns]
+        if present and present != [name]:
+            out[name] = F.coalesce(*[F.nullif(F.col(o).cast("string"), F.lit("")) for o in present])
+    if "bag_coordinates" in df.columns:
+        out |= {name: F.get_json_object("bag_coordinates", path) for name, path in COORDINATES.items()}
     return df.withColumns(out)
 
 

@@ -80,8 +80,13 @@ def evidence(steps: list[tuple[Column, int, object]], absent: Column | None = No
     return out.otherwise(_item(0))
 
 
+def _whole(value: str | Column) -> Column:
+    """A number without decimals, halves to even."""
+    return F.bround(value, 0).cast("bigint").cast("string")
+
+
 def _m2(text: str, value: str) -> Column:
-    return F.format_string(f"{text} (%.0f m²)", value)
+    return F.concat(F.lit(f"{text} ("), _whole(value), F.lit(" m²)"))
 
 
 def _of_type(types: list[str]) -> Column:
@@ -162,7 +167,7 @@ def renovation_evidence() -> list[Column]:
             _label_absent(), "energy label",
         ),
         evidence(
-            [(delta <= -15, 28, F.format_string("price per m² %.0f%% below benchmark", F.abs(delta))), (delta <= -5, 14, None)],
+            [(delta <= -15, 28, F.concat(F.lit("price per m² "), _whole(F.abs(delta)), F.lit("% below benchmark"))), (delta <= -5, 14, None)],
             F.col("ppm2").isNull(), "price per m²",
         ),
         evidence([(F.size("renovation_terms") > 0, 18, terms)]),

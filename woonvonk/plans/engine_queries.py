@@ -261,20 +261,75 @@ def sort_findings(spark, sf_dir):
     return _detected(spark, sf_dir).select("listing_id", F.array_join(shown, "|").alias("findings"))
 
 
-@query(
-    "opportunity_missing_data",
-    with_views(
-        "listings",
-        f"""WITH {_plain()}, {SIGNALS_SQL}, {RULES_SQL}
-        SELECT r.listing_id, concat_ws('|', CASE WHEN bedrooms IS NULL THEN 'bedrooms' END, CASE WHEN ppm2 IS NULL THEN 'price per m²' END) AS missing_data,
-          CASE WHEN bedrooms >= 3 OR delta <= -10 THEN concat('Rental potential suggested by ', concat_ws(', ', CASE WHEN bedrooms >= 3 THEN concat(cast(bedrooms as varchar), ' bedrooms') END, CASE WHEN delta <= -10 THEN 'attractive price per m²' END))
-            ELSE 'Rental potential is only weakly supported by the current data.' END AS explanation
-        FROM r WHERE r4 >= 35""",
-    ),
+def _explained(subject: str, notes: list[str], missing: list[tuple[str, str]]) -> str:
+    """Columns for what speaks for an opportunity, and which data it would need."""
+    named = ", ".join(f"CASE WHEN {when} THEN '{name}' END" for when, name in missing)
+    return f"""CASE WHEN coalesce({', '.join(notes)}) IS NOT NULL THEN concat('{subject} potential suggested by ', concat_ws(', ', {', '.join(notes)}))
+        ELSE '{subject} potential is only weakly supported by the current data.' END AS explanation, concat_ws('|', {named}) AS missing_data"""
+
+
+def _whole(value: str) -> str:
+    return f"cast(cast(round_even({value}, 0) as bigint) as varchar)"
+
+
+def _m2(note: str, value: str) -> str:
+    return f"concat('{note} (', {_whole(value)}, ' m²)')"
+
+
+_OUTDOOR = "CASE WHEN plot_size_m2 > 0 AND surface_m2 > 0 THEN outdoor END"
+_NO_PRICE, _NO_YEAR, _NO_LABEL = ("ppm2 IS NULL", "price per m²"), ("building_year IS NULL", "construction year"), ("label = ''", "energy label")
+EXPLAINED = {
+    "Possible Split Opportunity": ("r0", _explained(
+        "Split",
+        [f"CASE WHEN surface_m2 >= 140 THEN {_m2('large living area', 'surface_m2')} WHEN surface_m2 >= 110 THEN {_m2('moderate living area', 'surface_m2')} END",
+         "CASE WHEN bedrooms >= 3 THEN concat(bedrooms, ' bedrooms') END",
+         "CASE WHEN contains(txt, 'twee ingangen') THEN 'multiple entrances referenced in listing text' END"],
+        [("surface_m2 IS NULL", "living area"), ("bedrooms IS NULL", "many bedrooms"), ("txt = ''", "multiple entrances")],
+    )),
+    "Possible Extension Opportunity": ("r1", _explained(
+        "Extension",
+        [f"CASE WHEN plot_size_m2 >= 350 THEN {_m2('large plot', 'plot_size_m2')} WHEN plot_size_m2 >= 200 THEN {_m2('usable plot', 'plot_size_m2')} END",
+         "CASE WHEN detached THEN 'detached property type' WHEN semi_type THEN 'semi-detached property type' END",
+         f"CASE WHEN {_OUTDOOR} >= 200 THEN {_m2('substantial remaining outdoor space', 'outdoor')} WHEN {_OUTDOOR} >= 100 THEN {_m2('remaining outdoor space', 'outdoor')} END"],
+        [("plot_size_m2 IS NULL", "plot size"), ("NOT detached AND NOT semi_type", "detached or semi-detached type"), (f"({_OUTDOOR}) IS NULL", "remaining outdoor space")],
+    )),
+    "Possible Rooftop Extension": ("r2", _explained(
+        "Rooftop extension",
+        ["CASE WHEN contains(txt, 'plat dak') THEN 'flat roof referenced in listing text' END",
+         "CASE WHEN building_year BETWEEN 1950 AND 2005 THEN concat('construction year ', building_year) END",
+         "CASE WHEN contains(txt, 'plat dak') THEN 'roof-related clue in listing text' END"],
+        [("txt = ''", "flat roof"), _NO_YEAR],
+    )),
+    "Renovation Opportunity": ("r3", _explained(
+        "Renovation",
+        ["CASE WHEN building_year <= 1940 THEN concat('old construction year ', building_year) WHEN building_year <= 1970 THEN concat('older construction year ', building_year) END",
+         "CASE WHEN label IN ('g', 'f', 'e') THEN concat('poor energy label ', upper(label)) WHEN label = 'd' THEN 'moderate energy label D' END",
+         f"CASE WHEN delta <= -15 THEN concat('price per m² ', {_whole('abs(delta)')}, '% below benchmark') END",
+         "CASE WHEN contains(txt, 'kluswoning') THEN 'renovation-related wording (kluswoning, te renoveren)' END"],
+        [_NO_YEAR, _NO_LABEL, _NO_PRICE],
+    )),
+    "Rental Opportunity": ("r4", _explained(
+        "Rental",
+        ["CASE WHEN bedrooms >= 3 THEN concat(bedrooms, ' bedrooms') END", "CASE WHEN delta <= -10 THEN 'attractive price per m²' END"],
+        [("bedrooms IS NULL", "bedrooms"), _NO_PRICE],
+    )),
+    "Flip Opportunity": ("r5a + CASE WHEN works >= 20 THEN works ELSE 0 END", _explained(
+        "Flip",
+        ["CASE WHEN delta <= -15 THEN 'below-average price per m²' WHEN delta <= -8 THEN 'slightly below-average price per m²' END",
+         "CASE WHEN contains(txt, 'kluswoning') THEN 'renovation cues in the listing text' END"],
+        [_NO_PRICE, _NO_YEAR, _NO_LABEL],
+    )),
+}
+EXPLAINED_SQL = " UNION ALL ".join(
+    f"SELECT listing_id, '{name}' AS opportunity_type, {texts} FROM r WHERE {score} >= 35" for name, (score, texts) in EXPLAINED.items()
 )
+
+
+@query("opportunity_missing_data", with_views("listings", f"WITH {_plain()}, {SIGNALS_SQL}, {RULES_SQL} {EXPLAINED_SQL}"))
 def opportunity_missing_data(spark, sf_dir):
-    found = opportunity.finding_table(_detected(spark, sf_dir), "listing_id").where("opportunity_type = 'Rental Opportunity'")
-    return found.select("listing_id", F.array_join("missing_data", "|").alias("missing_data"), "explanation")
+    """What speaks for each finding of all six kinds, and which data would tell more."""
+    found = opportunity.finding_table(_detected(spark, sf_dir), "listing_id")
+    return found.select("listing_id", "opportunity_type", "explanation", F.array_join("missing_data", "|").alias("missing_data"))
 
 
 @query(

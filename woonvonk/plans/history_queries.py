@@ -109,13 +109,16 @@ GIVEN = """
     CASE WHEN listing_id % 3 = 0 THEN NULL ELSE asking_price END AS original_asking_price,
     CASE WHEN listing_id % 4 = 0 THEN NULL ELSE asking_price * 0.75 END AS current_asking_price,
     cast('2000-03-04' as date) AS first_seen_date, cast('2000-05-06' as date) AS latest_seen_date
-  FROM listings"""
-# Seven in ten listings have snapshots here; of those, some have no day, price or status in some or all of them.
+  FROM listings
+  UNION ALL
+  SELECT listing_id + 1000000000, CASE listing_id % 3 WHEN 0 THEN 'sold' WHEN 1 THEN '' ELSE NULL END, asking_price, NULL, NULL, NULL
+  FROM listings WHERE listing_id % 4 = 1"""
+# Listings that have snapshots may have no day, price or status in some or all of them; the listings added above have none.
 WATCHED = """
   SELECT listing_id, CASE WHEN listing_id % 10 = 7 OR snapshot_seq % 13 = 0 THEN NULL ELSE observed_at END AS observed_at,
     snapshot_seq, CASE WHEN listing_id % 10 = 6 THEN NULL ELSE asking_price END AS asking_price,
     CASE WHEN snapshot_seq % 5 = 0 THEN NULL ELSE listing_status END AS listing_status, surface_m2
-  FROM snapshots WHERE listing_id % 10 < 8"""
+  FROM snapshots"""
 WITH_LISTINGS_SQL = with_views(
     "listings snapshots",
     f"""

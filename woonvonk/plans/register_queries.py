@@ -104,14 +104,16 @@ def register_confidence(spark, sf_dir):
 
 VALUES = """
   SELECT concat('0', cast(l_partkey * 10 + 7 as varchar(20))) AS address_id, l_partkey AS woz_object_number, cast(l_shipdate as date) AS valuation_date,
-    CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE cast(floor(l_extendedprice) as double) END AS value, l_orderkey * 10 + l_linenumber AS seq FROM lineitem WHERE l_partkey % 5 <> 0"""
+    CASE WHEN l_partkey % 17 = 0 THEN NULL ELSE cast(floor(l_extendedprice) as double) END AS value, l_orderkey * 10 + l_linenumber AS seq FROM lineitem"""
 
 
 def _tax_input(spark, sf_dir):
     from woonvonk.plans.views import read
 
     listings = view(spark, sf_dir, "listings")
-    number = F.concat(F.lit("0"), (F.col("listing_id") * 10 + 7).cast("string"))
+    # every fifth property has an id that the tax register doesn't know
+    last = F.when(F.col("listing_id") % 5 == 0, 8).otherwise(7)
+    number = F.concat(F.lit("0"), (F.col("listing_id") * 10 + last).cast("string"))
     case = F.col("listing_id") % 3
     properties = listings.select(
         F.col("listing_id").alias("property_id"),
@@ -130,7 +132,7 @@ v AS (SELECT address_id, woz_object_number, valuation_date, value FROM v0 QUALIF
 w AS (SELECT woz_object_number AS id, arg_max(value, valuation_date) AS latest, year(max(valuation_date)) AS y, year(min(valuation_date)) AS y0, count(value) AS n FROM v GROUP BY 1),
 tax AS (SELECT l.listing_id AS property_id, w.id AS woz_object_number, w.latest AS latest_woz_value, cast(w.y as int) AS woz_valuation_year, cast(w.y0 as int) AS first_valuation_year, w.n AS value_count,
   CASE WHEN w.latest IS NOT NULL THEN 98 WHEN w.id IS NOT NULL THEN 65 WHEN l.listing_id % 3 <> 2 THEN 5 ELSE 10 END AS woz_confidence
-  FROM listings l LEFT JOIN w ON w.id = l.listing_id AND l.listing_id % 3 <> 2)"""
+  FROM listings l LEFT JOIN w ON w.id = l.listing_id AND l.listing_id % 3 <> 2 AND l.listing_id % 5 <> 0)"""
 
 
 @query("woz_match", with_views("listings", f"WITH {TAX_SQL} SELECT * FROM tax"))
@@ -187,73 +189,146 @@ def area_price_metrics(spark, sf_dir):
 
 # --- enrichments --------------------------------------------------------------------------------
 
+# What the register says beside the match itself, by record number.
+STATUS = "CASE WHEN doc_no % 7 = 0 THEN '' ELSE 'In gebruik' END"
+PLACE = "CASE WHEN doc_no % 4 = 0 THEN NULL ELSE 'Brand#13' END"
 
-def _items(spark, sf_dir, keys=None):
-    measured = _measured(spark, sf_dir).withColumns(
+
+def _whole(spark, sf_dir):
+    """One row per property with a column per public item."""
+    properties, values = _tax_input(spark, sf_dir)
+    taxed = register.tax_values(properties, values).drop("address_id", "identification", "candidate_id", "woz_confidence")
+    measured = register.area_metrics(_matched(spark, sf_dir).join(taxed, "property_id", "left"))
+    known = F.col("doc_no").isNotNull()
+    grid = [(F.col("doc_no") * step).cast("string") for step in (10, 20)]
+    span = F.struct(F.col("first_valuation_year").alias("first_year"), F.col("value_count").alias("values"))
+    return measured.withColumns(
         {
             "bag_id": F.col("object_id"),
             "bag_address_id": F.col("address_id"),
+            "bag_verblijfsobject_id": F.col("object_id"),
+            "bag_nummeraanduiding_id": F.col("address_id"),
+            "bag_pand_id": F.when(F.col("doc_no") % 3 == 0, F.concat(F.lit("P"), F.col("doc_no").cast("string"))),
+            "bag_building_year": F.col("official_year"),
             "bag_usage_purpose": F.col("usage_purpose"),
+            "bag_status": F.expr(STATUS),
             "bag_official_floor_area_m2": F.col("official_area"),
-            "bag_building_year": F.col("official_year"),
+            "bag_coordinates": F.when(known & (F.col("doc_no") % 5 > 0), F.struct(F.concat_ws(" ", *grid).alias("rd"))),
+            "bag_postcode": F.col("doc_postcode"),
+            "bag_municipality": F.when(known, F.expr(PLACE)),
+            "bag_retrieval_date": F.when(known, F.lit("2001-08-01")),
+            "bag_source": F.when(known, F.lit("landed register")),
+            "bag_confidence_score": F.col("confidence_score"),
             "bag_quality_flags": F.col("quality_flags"),
             "funda_living_area_m2": F.col("surface_m2"),
+            "woz_historical_values": F.when(F.col("value_count") > 0, span),
         }
     )
-    return enrichment.fan_out(measured, "property_id", keys)
 
 
-ITEM_SQL = f"""
-e AS (SELECT *, CASE WHEN official_area = 0 THEN 0e0 ELSE official_area END AS oa FROM measured),
-items AS (
-  SELECT property_id, 'bag_id' AS enrichment_key, object_id AS value, object_id IS NOT NULL AS success, confidence_score FROM e
-  UNION ALL SELECT property_id, 'bag_address_id', address_id, address_id IS NOT NULL, confidence_score FROM e
-  UNION ALL SELECT property_id, 'bag_usage_purpose', usage_purpose, usage_purpose IS NOT NULL, confidence_score FROM e
-  UNION ALL SELECT property_id, 'bag_building_year', cast(official_year as varchar), official_year IS NOT NULL, confidence_score FROM e
-  UNION ALL SELECT property_id, 'calculation_area_source', area_source, true, confidence_score FROM e
-  UNION ALL SELECT property_id, 'municipality', m, m IS NOT NULL OR true, CASE WHEN m IS NULL THEN 20 ELSE 80 END FROM (SELECT l.listing_id AS property_id, regexp_extract(concat_ws(', ', l.address, l.city), '([^,]+)$', 1) AS m0, trim(m0) AS m FROM listings l)
-  UNION ALL SELECT listing_id, 'distance_to_station', '1.4', true, 45 FROM listings
-  UNION ALL SELECT listing_id, 'zoning', 'Not yet implemented', true, 0 FROM listings
-  UNION ALL SELECT listing_id, 'monument_status', 'unknown', true, 15 FROM listings)"""
+def _items(spark, sf_dir):
+    return enrichment.fan_out(_whole(spark, sf_dir), "property_id")
+
+
+def _local_price(factor: float) -> str:
+    base = f"coalesce(nullif(asking_price, 0), surface_m2 * {enrichment.finance.FALLBACK_PRICE_PER_M2}e0)"
+    return r2(f"nullif({base}, 0) * {factor}e0")
+
+
+# Key, value, whether the value is a number, and confidence where it isn't that of the match.
+ITEMS = [
+    ("bag_id", "object_id", False, None), ("bag_address_id", "address_id", False, None),
+    ("bag_verblijfsobject_id", "object_id", False, None), ("bag_nummeraanduiding_id", "address_id", False, None),
+    ("bag_pand_id", "CASE WHEN doc_no % 3 = 0 THEN concat('P', doc_no) END", False, None),
+    ("bag_building_year", "official_year", True, None), ("bag_usage_purpose", "usage_purpose", False, None),
+    ("bag_status", f"CASE WHEN doc_no IS NOT NULL THEN {STATUS} ELSE 'In gebruik' END", False, None),
+    ("bag_official_floor_area_m2", "official_area", True, None),
+    ("bag_coordinates", """CASE WHEN doc_no % 5 > 0 THEN concat('{"rd":"', doc_no * 10, ' ', doc_no * 20, '"}') END""", False, None),
+    ("bag_postcode", "doc_postcode", False, None), ("bag_municipality", f"CASE WHEN doc_no IS NOT NULL THEN {PLACE} END", False, None),
+    ("bag_retrieval_date", "CASE WHEN doc_no IS NOT NULL THEN '2001-08-01' END", False, None),
+    ("bag_source", "CASE WHEN doc_no IS NOT NULL THEN 'landed register' END", False, None),
+    ("bag_confidence_score", "confidence_score", True, None), ("bag_quality_flags", "flags", False, None),
+    ("funda_living_area_m2", "surface_m2", True, None), ("living_area_difference_m2", "diff", True, None),
+    ("living_area_difference_percentage", "diff_pct", True, None), ("calculation_area_m2", "area", True, None),
+    ("calculation_area_source", "area_source", False, None),
+    ("asking_price_per_m2", r2("asking_price / nullif(area, 0)"), True, None), ("woz_value_per_m2", r2("latest_woz_value / nullif(area, 0)"), True, None),
+    ("woz_object_number", "woz_object_number", True, None), ("latest_woz_value", "latest_woz_value", True, None),
+    ("woz_valuation_year", "woz_valuation_year", True, None),
+    ("woz_historical_values", """CASE WHEN value_count > 0 THEN concat('{"first_year":', first_valuation_year, ',"values":', value_count, '}') END""", False, None),
+    ("municipality", "town", False, "CASE WHEN town IS NULL THEN 20 ELSE 80 END"),
+    ("postal_code", "NULL", False, "10"), ("distance_to_city_center", "2.6e0", True, "45"), ("distance_to_station", "1.4e0", True, "45"),
+    ("distance_to_supermarket", "0.7e0", True, "45"), ("distance_to_highway", "3.8e0", True, "45"),
+    ("neighborhood_m2_price_average", _local_price(enrichment.finance.NEIGHBOURHOOD_FACTOR), True, "28"),
+    ("street_m2_price_average", _local_price(enrichment.finance.STREET_FACTOR), True, "30"),
+    ("monument_status", "'unknown'", False, "15"), ("land_registry_information", "'Placeholder until Kadaster integration exists'", False, "5"),
+    ("permit_information", "'Not yet implemented'", False, "0"), ("zoning", "'Not yet implemented'", False, "0"),
+]
+NUMBERS = [key for key, _, number, _ in ITEMS if number]
+
+
+def _item_sql(key: str, value: str, number: bool, confidence: str | None) -> str:
+    """A public item without a value, or with a blank one, isn't a success; looked-up items always are."""
+    text, count = ("NULL", f"cast({value} as double)") if number else (f"cast({value} as varchar)", "NULL")
+    fine = "true" if confidence or key == "bag_quality_flags" else f"coalesce(cast({value} as varchar), '') <> ''"
+    return (
+        f"SELECT property_id, '{key}' AS enrichment_key, cast({text} as varchar) AS value, cast({count} as double) AS number, {fine} AS success,"
+        f" cast({confidence or 'confidence_score'} as int) AS confidence_score FROM whole"
+    )
 
-ITEM_KEYS = [
-    "bag_id", "bag_address_id", "bag_usage_purpose", "bag_building_year", "calculation_area_source", "municipality",
-    "distance_to_station", "zoning", "monument_status",
-]
 
+ITEM_SQL = f"""{SCORE_SQL}, {AREA_SQL}, {TAX_SQL.strip()},
+whole AS (SELECT m.*, t.* EXCLUDE (property_id, woz_confidence), b.doc_postcode,
+    CASE WHEN q = '' THEN '[]' ELSE concat('["', replace(q, ',', '","'), '"]') END AS flags,
+    trim(regexp_extract(concat_ws(', ', b.address, b.city), '([^,]+)$', 1)) AS town
+  FROM (SELECT *, CASE WHEN abs(diff_pct) > 10 THEN concat_ws(',', nullif(quality_flags, ''), 'funda_bag_area_difference_gt_10_pct') ELSE quality_flags END AS q FROM measured) m
+  JOIN tax t ON t.property_id = m.property_id
+  JOIN (SELECT p.property_id, p.address, p.city, best.doc_postcode FROM props p LEFT JOIN best ON best.property_id = p.property_id) b ON b.property_id = m.property_id),
+items AS ({" UNION ALL ".join(_item_sql(*i) for i in ITEMS)})"""
 
-@query(
-    "enrichment_fanout",
-    with_views("listings register_docs", f"WITH {SCORE_SQL}, {AREA_SQL}, {ITEM_SQL} SELECT * FROM items"),
-)
+
+@query("enrichment_fanout", with_views("listings register_docs", f"WITH {ITEM_SQL} SELECT * FROM items"))
 def enrichment_fanout(spark, sf_dir):
-    return _items(spark, sf_dir, ITEM_KEYS).select(
-        "property_id", "enrichment_key", "value", "success", "confidence_score"
-    )
+    """All 39 items; numbers are compared as numbers, because engines print them differently."""
+    number = F.col("enrichment_key").isin(NUMBERS)
+    return _items(spark, sf_dir).select(
+        "property_id", "enrichment_key", F.when(~number, F.col("value")).alias("value"),
+        F.when(number, F.col("value").cast("double")).alias("number"), "success", "confidence_score",
+    )
+
+
+# Names a property's columns go by beside the items' own.
+EXTRA = {
+    "construction_year_bag": "bag_building_year", "usage_purpose": "bag_usage_purpose", "status": "bag_status",
+    "official_floor_area_m2": "bag_official_floor_area_m2", "retrieval_date": "bag_retrieval_date", "source": "bag_source",
+    "confidence_score": "bag_confidence_score", "quality_flags": "bag_quality_flags",
+}
+_PIVOTED = {key: f"max(CASE WHEN enrichment_key = '{key}' THEN {'number' if number else 'value'} END)" for key, _, number, _ in ITEMS}
+_PIVOTED |= {name: _PIVOTED[key] if key in NUMBERS else f"nullif({_PIVOTED[key]}, '')" for name, key in EXTRA.items()}
+_PIVOTED |= {
+    "bag_coordinates_rd": "nullif(regexp_extract(max(CASE WHEN enrichment_key = 'bag_coordinates' THEN value END), '\"rd\":\"([^\"]*)\"', 1), '')",
+    "bag_coordinates_ll": "cast(NULL as varchar)",
+}
 
 
 @query(
     "enrichment_pivot",
     with_views(
         "listings register_docs",
-        f"""WITH {SCORE_SQL}, {AREA_SQL}, {ITEM_SQL} SELECT property_id, max(CASE WHEN enrichment_key = 'bag_id' THEN value END) AS bag_id, max(CASE WHEN enrichment_key = 'bag_usage_purpose' THEN value END) AS bag_usage_purpose,
-        max(CASE WHEN enrichment_key = 'bag_building_year' THEN value END) AS bag_building_year, max(CASE WHEN enrichment_key = 'municipality' THEN value END) AS municipality,
-        max(CASE WHEN enrichment_key = 'bag_building_year' THEN value END) AS construction_year_bag, max(CASE WHEN enrichment_key = 'bag_usage_purpose' THEN value END) AS usage_purpose FROM items GROUP BY property_id""",
+        f"WITH {ITEM_SQL} SELECT property_id, {', '.join(f'{sql} AS {name}' for name, sql in _PIVOTED.items())} FROM items GROUP BY property_id",
     ),
 )
 def enrichment_pivot(spark, sf_dir):
-    keys = ["bag_id", "bag_usage_purpose", "bag_building_year", "municipality"]
-    wide = enrichment.pivot(_items(spark, sf_dir, keys), "property_id", keys)
-    return enrichment.with_aliases(wide)
+    """All keys as columns, with the names that stand in for each other filled."""
+    wide = enrichment.with_aliases(enrichment.pivot(_items(spark, sf_dir), "property_id", [key for key, *_ in ITEMS]))
+    numbers = {*NUMBERS, *[name for name, key in EXTRA.items() if key in NUMBERS]}
+    return wide.select(*[F.col(c).cast("double") if c in numbers else F.col(c) for c in wide.columns])
 
 
 @query(
     "enrichment_group_stats",
     with_views(
         "listings register_docs",
-        f"""WITH {SCORE_SQL}, {AREA_SQL} SELECT property_id, cast(39 as bigint) AS item_count, cast(13 + CASE WHEN object_id IS NULL THEN 5 ELSE 0 END + CASE WHEN surface_m2 IS NULL THEN 1 ELSE 0 END + CASE WHEN area IS NULL THEN 1 ELSE 0 END
-          + CASE WHEN diff IS NULL THEN 2 ELSE 0 END + CASE WHEN asking_price / nullif(area, 0) IS NULL THEN 1 ELSE 0 END + CASE WHEN own_woz / nullif(area, 0) IS NULL THEN 1 ELSE 0 END + CASE WHEN own_woz IS NULL THEN 1 ELSE 0 END
-          as bigint) AS error_count FROM measured""",
+        f"WITH {ITEM_SQL} SELECT property_id, count(*) AS item_count, count(CASE WHEN NOT success THEN 1 END) AS error_count FROM items GROUP BY property_id",
     ),
 )
 def enrichment_group_stats(spark, sf_dir):
@@ -262,13 +337,13 @@ def enrichment_group_stats(spark, sf_dir):
 
 @query(
     "append_enrichments",
-    with_views("listings register_docs", f"WITH {SCORE_SQL}, {AREA_SQL}, {ITEM_SQL} SELECT enrichment_key, count(*) AS item_count, count(CASE WHEN success THEN 1 END) AS fine_count FROM items GROUP BY enrichment_key"),
+    with_views("listings register_docs", f"WITH {ITEM_SQL} SELECT enrichment_key, count(*) AS item_count, count(CASE WHEN success THEN 1 END) AS fine_count FROM items GROUP BY enrichment_key"),
 )
 def append_enrichments(spark, sf_dir):
     from woonvonk.session import scratch_path
 
     path = scratch_path(spark, "enrichments")
-    items = _items(spark, sf_dir, ITEM_KEYS)
+    items = _items(spark, sf_dir)
     tables.append_enrichments(items.where("property_id % 2 = 0"), path)
     tables.append_enrichments(items.where("property_id % 2 = 1"), path)
     return spark.read.parquet(path).groupBy("enrichment_key").agg(

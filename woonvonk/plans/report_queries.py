@@ -302,12 +302,20 @@ def selection_summary(spark, sf_dir):
 
 @query(
     "places_in_use",
-    with_views("listings", "SELECT city AS place, min(listing_id) AS place_order FROM listings WHERE city IS NOT NULL AND city IN (SELECT city FROM listings WHERE days_on_market >= 195 AND surface_m2 > 190) GROUP BY city ORDER BY 2"),
+    with_views(
+        "listings",
+        """WITH p AS (SELECT city AS place, min(listing_id) AS place_order FROM listings WHERE city IS NOT NULL GROUP BY city
+          UNION ALL SELECT concat('Dorp ', listing_id % 50), max(listing_id) + 1000000 FROM listings GROUP BY 1)
+        SELECT * FROM p WHERE place IN (SELECT trim(city) FROM listings WHERE trim(city) <> '') ORDER BY place_order""",
+    ),
 )
 def places_in_use(spark, sf_dir):
+    """The reference list also has villages that no listing lies in."""
     listings = view(spark, sf_dir, "listings")
-    places = listings.where("city is not null").groupBy(F.col("city").alias("place")).agg(F.min("listing_id").alias("place_order"))
-    return reports.places_in_use(places, listings.where("days_on_market >= 195 AND surface_m2 > 190"))
+    towns = listings.where("city is not null").groupBy(F.col("city").alias("place")).agg(F.min("listing_id").alias("place_order"))
+    village = F.concat(F.lit("Dorp "), (F.col("listing_id") % 50).cast("string")).alias("place")
+    villages = listings.groupBy(village).agg((F.max("listing_id") + 1_000_000).alias("place_order"))
+    return reports.places_in_use(towns.union(villages), listings)
 
 
 # --- filters ------------------------------------------------------------------------------------

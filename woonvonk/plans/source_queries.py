@@ -327,13 +327,13 @@ def manual_ingest_listings(spark, sf_dir):
     with_views(
         "listings portal_pages",
         """SELECT l.listing_id, CASE WHEN p.kind = 0 THEN cast(p.price as double) WHEN p.kind = 3 THEN cast(replace(p.price_nl, '.', '') as double) ELSE l.asking_price END AS asking_price, coalesce(l.city, CASE WHEN p.kind = 2 THEN l.title ELSE 'Onbekend' END) AS city_if_data
-        FROM listings l JOIN portal_pages p ON p.page_id = l.listing_id""",
+        FROM listings l LEFT JOIN portal_pages p ON p.page_id = l.listing_id""",
     ),
 )
 def refresh_listing_metadata(spark, sf_dir):
     records = pages.merge_extractions(view(spark, sf_dir, "portal_pages").select("page_id", "url", "html"))
     found = records.select(F.col("page_id").alias("listing_id"), "title", "address", "city", "property_type", "asking_price", "surface_m2")
-    stored = view(spark, sf_dir, "listings").join(found.select("listing_id"), "listing_id", "left_semi")
+    stored = view(spark, sf_dir, "listings")
     # "Onbekend" on a page counts as missing, so a listing without a city stays without one.
     merged = pipeline.refresh_metadata(stored, found, "portal")
     return merged.select("listing_id", "asking_price", F.coalesce("city", F.lit("Onbekend")).alias("city_if_data"))
