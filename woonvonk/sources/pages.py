@@ -1,18 +1,17 @@
 """Landed web pages to listing records.
 
-Tags, attributes, structured data and detail lists are column expressions. Only the text of elements that
-are chosen by class or attribute needs a parser, because elements of one name can be nested; that part is a pandas UDF
-around the standard library's parser.
+Tags, attributes, structured data, detail lists and the elements that selectors choose are column expressions over the
+page text, so a page is read where it lies: no shuffle, no Python. A step that is used more than once within one
+expression is bound by ``let``, because Spark works an expression out again at every use.
 """
 
 from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from html.entities import html5
-from html.parser import HTMLParser
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +30,17 @@ TAG = r"(?s)<[^>]*>"
 LD_JSON = r"""(?is)<script\b[^>]*type=["']application/ld\+json["'][^>]*>(.*?)</script\s*>"""
 
 
-def unescape(value: Column) -> Column:
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def unescape(text_: Column) -> Column:
     """Character references as characters, once each; unknown names stay as they are."""
+    return let(text_, lambda value: F.when(value.contains("&"), _unescaped(value)).otherwise(value))
+
+
+def _unescaped(value: Column) -> Column:
     named = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
     old = F.from_json(F.lit(json.dumps(OLD_CODES)), "map<string,string>")
 
@@ -89,6 +97,24 @@ def meta_content(html: str | Column, key: str) -> Column:
     return F.coalesce(by("property"), by("name"))
 
 
+def meta_tags(html: str | Column) -> Column:
+    """All meta tags of a page with their property, name and content, to be kept in a column and asked by ``meta_value``."""
+    tags = F.regexp_extract_all(col(html), F.lit(r"(?is)<meta\b[^>]*>"), F.lit(0))
+    key = lambda tag, name: F.regexp_extract(tag, rf"""(?is)\b{name}=["']([^"']*)["']""", 1)
+    return F.transform(
+        tags, lambda t: F.struct(key(t, "property").alias("property"), key(t, "name").alias("name"), attribute(t, "content").alias("content"))
+    )
+
+
+def meta_value(tags: str | Column, key: str) -> Column:
+    """Content of the first meta tag with that property, else of the first with that name."""
+
+    def by(kind: str) -> Column:
+        return F.get(F.filter(col(tags), lambda t: F.lower(t[kind]) == key), F.lit(0))["content"]
+
+    return F.coalesce(by("property"), by("name"))
+
+
 def link_href(html: str | Column, rel: str) -> Column:
     return attribute(F.regexp_extract(col(html), rf"""(?is)<link\b[^>]*\brel=["']{rel}["'][^>]*>""", 0), "href")
 
@@ -128,9 +154,30 @@ def node_value(node: Column, *paths: str) -> Column:
     return F.coalesce(*[F.nullif(F.get_json_object(node, p), F.lit("")) for p in paths])
 
 
+# Members of structured data that records are made of.
+MEMBERS = [
+    "@type", "name", "headline", "description", "address", "offers", "price", "image", "floorSize", "livingArea", "lotSize", "plotArea",
+    "propertyType", "additionalType", "numberOfBedrooms", "numberOfRooms", "energyLabel", "yearBuilt", "constructionYear",
+    "datePosted", "datePublished", "dateCreated",
+]
+
+
+def parsed_nodes(nodes: Column) -> Column:
+    """Nodes with their MEMBERS as texts: each is read once, whatever many fields are taken from it."""
+    return F.transform(nodes, lambda n: F.from_json(n, ", ".join(f"`{m}` string" for m in MEMBERS)))
+
+
+def _member(node: Column, path: str) -> Column:
+    """The value at a path of a parsed node; what lies deeper is read from the member's own short text."""
+    head, rest = re.match(r"\$(?:\.|\[')([\w@]+)(?:'\])?(.*)$", path).groups()
+    value = node[head]
+    return F.nullif(F.get_json_object(value, "$" + rest) if rest else value, F.lit(""))
+
+
 def first_value(nodes: Column, *paths: str) -> Column:
-    """First non-empty value over the nodes; per node the paths in order."""
-    return F.get(F.filter(F.transform(nodes, lambda n: node_value(n, *paths)), lambda v: v.isNotNull()), F.lit(0))
+    """First non-empty value over ``parsed_nodes``; per node the paths in order."""
+    values = F.transform(nodes, lambda n: F.coalesce(*[_member(n, p) for p in paths]))
+    return F.get(F.filter(values, lambda v: v.isNotNull()), F.lit(0))
 
 
 def node_fields(node: Column) -> Column:
@@ -211,95 +258,91 @@ SELECTORS = {
     "breadcrumb": ["nav.breadcrumb", ".breadcrumb", "[class*='breadcrumb']"],
 }
 SIMPLE = re.compile(r"^([a-z0-9]*)(?:\.([\w-]+))?(?:\[(\w+)(\*?)='([^']*)'\])?$")
+VOID_TAGS = ["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"]
+SILENT = r"(?is)<!--.*?-->|<script\b[^>]*>.*?</script\s*>|<style\b[^>]*>.*?</style\s*>"
 
 
-def _compiled() -> tuple[dict[str, list], list]:
-    """Selectors by the tag they need, and those for any tag: (selector, tag around, class, attribute, partly, value)."""
-    by_tag: dict[str, list] = {}
-    for selector in dict.fromkeys(s for options in SELECTORS.values() for s in options):
-        *around, last = selector.split()
-        tag, name, attribute_, part, value = SIMPLE.match(last).groups()
-        by_tag.setdefault(tag, []).append((selector, around[0] if around else "", name, attribute_, bool(part), value))
-    return by_tag, by_tag.pop("", [])
-
-
-BY_TAG, ANY_TAG = _compiled()
-VOID_TAGS = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-
-
-class _Picker(HTMLParser):
-    """Collects the text of the first element that each selector hits."""
-
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.open: list[tuple[str, list[str]]] = []
-        self.found: dict[str, list[str]] = {}
-        self.silent = 0
-
-    def _hits(self, tag: str, attrs: list[tuple[str, str | None]]) -> list[str]:
-        given = {k: v or "" for k, v in attrs}
-        looked = BY_TAG.get(tag, [])
-        if "class" in given or "itemprop" in given:
-            looked = [*looked, *ANY_TAG]
-        words = given.get("class", "").split()
-        hits = []
-        for selector, around, name, attribute_, part, value in looked:
-            held = given.get(attribute_, "") if attribute_ else ""
-            if (
-                selector not in self.found
-                and (not name or name in words)
-                and (not attribute_ or (value in held if part else value == held))
-                and (not around or any(t == around for t, _ in self.open))
-            ):
-                hits.append(selector)
-        return hits
-
-    def handle_starttag(self, tag, attrs):
-        if tag in ("script", "style"):
-            self.silent += 1
-        hits = self._hits(tag, attrs)
-        for hit in hits:
-            self.found[hit] = []
-        if tag not in VOID_TAGS:
-            self.open.append((tag, hits))
-
-    def handle_endtag(self, tag):
-        if tag in ("script", "style"):
-            self.silent = max(0, self.silent - 1)
-        if any(t == tag for t, _ in self.open):
-            while self.open and self.open.pop()[0] != tag:
-                pass
-
-    def handle_data(self, data):
-        words = " ".join(data.split())
-        if words and not self.silent:
-            for hit in {h for _, hits in self.open for h in hits}:
-                self.found[hit].append(words)
-
-
-def _pick(html: str | None) -> dict[str, str]:
-    picker = _Picker()
-    picker.feed(html or "")
-    picker.close()
-    texts = {s: " ".join(parts) for s, parts in picker.found.items()}
-    return {f: next((texts[s] for s in options if texts.get(s)), "") for f, options in SELECTORS.items()}
+def _from_hit(html: Column, selector: str) -> Column:
+    """The page from the first start tag on that the selector chooses; '' when there is none."""
+    tag, name, attribute_, part, value = SIMPLE.match(selector).groups()
+    held = ""
+    if name:
+        held = rf"""(?=[^>]*\s(?i:class)\s*=\s*(?:"(?:[^"]*\s)?{name}(?:\s[^"]*)?"|'(?:[^']*\s)?{name}(?:\s[^']*)?'|{name}[\s>]))"""
+    elif attribute_:
+        some, other, bare = ('[^"]*', "[^']*", rf"[^\s>\"']*{value}") if part else ("", "", rf"{value}[\s>]")
+        held = rf"""(?=[^>]*\s(?i:{attribute_})\s*=\s*(?:"{some}{value}{some}"|'{other}{value}{other}'|{bare}))"""
+    start = rf"(?s)(<(?i:{tag})(?=[/>\s]){held}.*)" if tag else rf"(?s)(<[a-zA-Z]{held}.*)"
+    found = F.regexp_extract(html, start, 1)
+    # most words don't occur at all, which costs less to see than a pattern to try
+    return F.when(html.contains(value or name), found).otherwise("") if value or name else found
+
+
+def _until_closed(rest: Column) -> Column:
+    """What an element without end tag of its own holds: up to an end tag of something that was open around it."""
+    pieces = F.split(rest, r"(?=<[a-zA-Z/])")
+    empty = F.struct(F.array().cast("array<string>").alias("open"), F.lit(0).alias("n"), F.lit(False).alias("over"))
+
+    def step(seen: Column, piece: Column) -> Column:
+        def one(tag: Column) -> Column:
+            # how many elements an end tag leaves open; none of its name open inside means that it is from outside
+            place = F.size(seen["open"]) - F.array_position(F.reverse(seen["open"]), F.lower(F.substr(tag, F.lit(2))))
+            ends, inside = tag.startswith("/"), F.array_contains(seen["open"], F.lower(F.substr(tag, F.lit(2))))
+            left = (
+                F.when((seen["n"] == 0) | (tag == "") | F.lower(tag).isin(VOID_TAGS), seen["open"])
+                .when(ends & inside, F.slice(seen["open"], F.lit(1), place.cast("int")))
+                .when(ends, seen["open"])
+                .otherwise(F.array_append(seen["open"], F.lower(tag)))
+            )
+            over = ends & ~inside & (seen["n"] > 0)
+            return F.struct(left.alias("open"), (seen["n"] + F.when(over, 0).otherwise(1)).alias("n"), over.alias("over"))
+
+        return F.when(seen["over"], seen).otherwise(let(F.regexp_extract(piece, "^<(/?[a-zA-Z][a-zA-Z0-9-]*)", 1), one))
+
+    return let(pieces, lambda x: F.array_join(F.slice(x, F.lit(1), F.aggregate(x, empty, step)["n"]), ""))
+
+
+def _inside(rest: Column) -> Column:
+    """What the element that ``rest`` starts with holds; elements of its own name inside it open and close in between."""
+
+    def cut(tag: Column) -> Column:
+        pieces = F.split(rest, F.concat(F.lit("(?i)(?=</?"), tag, F.lit(r"[\s/>])")))
+        none = F.struct(F.lit(0).alias("open"), F.lit(0).alias("n"))
+
+        def step(seen: Column, piece: Column) -> Column:
+            on = F.struct((seen["open"] + F.when(piece.startswith("</"), -1).otherwise(1)).alias("open"), (seen["n"] + 1).alias("n"))
+            return F.when((seen["n"] > 0) & (seen["open"] == 0), seen).otherwise(on)
+
+        def inner(parts: Column) -> Column:
+            nested = lambda x: F.when(x["open"] == 0, F.array_join(F.slice(parts, F.lit(1), x["n"] - 1), "")).otherwise(_until_closed(rest))
+            # the common case: the next tag of this name is the one that closes it
+            return F.when(F.get(parts, F.lit(1)).startswith("</"), F.get(parts, F.lit(0))).otherwise(let(F.aggregate(parts, none, step), nested))
+
+        return F.when(tag.isin(VOID_TAGS), "").otherwise(let(pieces, inner))
+
+    return let(F.lower(F.regexp_extract(rest, "^<([a-zA-Z][a-zA-Z0-9-]*)", 1)), cut)
 
 
 def with_picked(pages: DataFrame) -> DataFrame:
-    """Add ``picked_<field>``: the text of the elements that the selectors choose, NULL when there is none.
+    """Add ``picked_<field>``: the text of the first selector whose element has any, NULL when there is none.
 
-    Only the page text goes to Python; the other columns stay where they are.
+    A selector is a tag, a class or an attribute, or "a b" for the first b inside the first a. All hits of a page are one
+    array, so that the plan holds the steps from hit to text once and not per selector.
     """
-    fields = list(SELECTORS)
+    every = list(dict.fromkeys(s for options in SELECTORS.values() for s in options))
+    outer = list(dict.fromkeys(s.split()[0] for s in every if " " in s))
+    held = lambda rest: F.when(rest != "", F.regexp_replace(_inside(rest), "^<[^>]*>", "")).otherwise("")
+    bare = pages.withColumn("_bare", F.regexp_replace("html", SILENT, " "))
+    bare = bare.withColumn("_outer", F.transform(F.array(*[_from_hit(F.col("_bare"), s) for s in outer]), held))
 
-    @F.pandas_udf(", ".join(f"{f} string" for f in fields))
-    def pick(html: pd.Series) -> pd.DataFrame:
-        picked = html.map(_pick)
-        return pd.DataFrame({f: picked.map(lambda p, f=f: p[f] or None) for f in fields})
+    def hit(selector: str) -> Column:
+        *around, last = selector.split()
+        return _from_hit(F.get("_outer", F.lit(outer.index(around[0]))) if around else F.col("_bare"), last)
 
-    return pages.withColumn("_picked", pick("html")).select(
-        *pages.columns, *[F.col(f"_picked.{f}").alias(f"picked_{f}") for f in fields]
-    )
+    text_of = lambda rest: F.when(rest != "", F.nullif(inner_text(_inside(rest)), F.lit("")))
+    found = bare.withColumn("_hits", F.array(*[hit(s) for s in every])).withColumn("_hits", F.transform("_hits", text_of))
+    at = lambda s: F.get("_hits", F.lit(every.index(s)))
+    picked = {f"picked_{f}": F.coalesce(*[at(s) for s in options]) for f, options in SELECTORS.items()}
+    return found.withColumns(picked).drop("_bare", "_outer", "_hits")
 
 
 def looks_like_address(line: Column) -> Column:
@@ -484,15 +527,17 @@ def next_page(html: str | Column, base: str | Column) -> Column:
     return resolve(base, F.coalesce(rel, label))
 
 
-def images(pages: DataFrame) -> DataFrame:
-    """Add ``photos``: share image, page images and structured-data images, resolved, each once."""
+def images(pages: DataFrame, nodes: str | None = None, meta: str | None = None) -> DataFrame:
+    """Add ``photos``: share image, page images and structured-data images, resolved, each once.
+
+    ``nodes`` and ``meta`` name columns of the page's nodes and meta tags where they are there already.
+    """
     tags = F.regexp_extract_all("html", F.lit(r"(?is)(<img\b[^>]*>)"), F.lit(1))
     sources = F.transform(tags, lambda t: F.coalesce(attribute(t, "src"), attribute(t, "data-src")))
-    nodes = ld_nodes(ld_blocks("html"))
-    listed = F.flatten(
-        F.transform(nodes, lambda n: node_fields(n)["images"])
-    )
-    every = F.concat(F.array(meta_content("html", "og:image")), sources, listed)
+    own = F.col(nodes) if nodes else ld_nodes(ld_blocks("html"))
+    listed = F.flatten(F.transform(own, lambda n: node_fields(n)["images"]))
+    shared = meta_value(meta, "og:image") if meta else meta_content("html", "og:image")
+    every = F.concat(F.array(shared), sources, listed)
     kept = F.filter(every, lambda u: u.isNotNull() & ~F.startswith(u, F.lit("data:")))
     return pages.withColumn("photos", F.array_distinct(F.transform(kept, lambda u: resolve("url", u))))
 
@@ -531,7 +576,8 @@ def history_confidence(listed_since, reductions, original) -> Column:
 
 def portal_record(pages: DataFrame) -> DataFrame:
     """Listing record of a portal page: share tags and headings, structured data, then the detail list."""
-    read = images(spread(pages)).withColumns({"_n": ld_nodes(ld_blocks("html")), "_d": details("html")})
+    read = spread(pages).withColumns({"_nodes": ld_nodes(ld_blocks("html")), "_meta": meta_tags("html")})
+    read = images(read, "_nodes", "_meta").withColumns({"_n": parsed_nodes(F.col("_nodes")), "_d": details("html")}).drop("_nodes")
     n, d = F.col("_n"), F.col("_d")
 
     def listed(field: str) -> Column:
@@ -541,12 +587,12 @@ def portal_record(pages: DataFrame) -> DataFrame:
     whole = F.nullif(
         F.concat_ws(" ", street, first_value(n, "$.address.postalCode"), first_value(n, "$.address.addressLocality")), F.lit("")
     )
-    price_text = F.coalesce(first_value(n, "$.price", "$.offers.price", "$.offers[0].price"), listed("price"), meta_content("html", "product:price:amount"))
+    price_text = F.coalesce(first_value(n, "$.price", "$.offers.price", "$.offers[0].price"), listed("price"), meta_value("_meta", "product:price:amount"))
     address = F.coalesce(whole, listed("address"))
     staged = read.withColumn("_price_text", price_text).withColumns(
         {
-            "title": F.coalesce(meta_content("html", "og:title"), element_text("html", "h1"), first_value(n, "$.name", "$.headline")),
-            "description": F.coalesce(meta_content("html", "og:description"), meta_content("html", "description"), listed("description"), first_value(n, "$.description")),
+            "title": F.coalesce(meta_value("_meta", "og:title"), element_text("html", "h1"), first_value(n, "$.name", "$.headline")),
+            "description": F.coalesce(meta_value("_meta", "og:description"), meta_value("_meta", "description"), listed("description"), first_value(n, "$.description")),
             "address": address,
             "city": F.coalesce(first_value(n, "$.address.addressLocality"), text.city_from_tail(address), listed("city")),
             "asking_price": numbers.parse_price("_price_text")["amount"],
@@ -557,7 +603,7 @@ def portal_record(pages: DataFrame) -> DataFrame:
             "bedrooms": first_digits(F.coalesce(listed("bedrooms"), first_value(n, "$.numberOfBedrooms", "$.numberOfRooms"))),
             "energy_label": text.energy_label(F.coalesce(listed("label"), first_value(n, "$.energyLabel"))),
             "construction_year": first_digits(F.coalesce(listed("year"), first_value(n, "$.yearBuilt", "$.constructionYear"))),
-            "broker": F.coalesce(listed("broker"), meta_content("html", "author")),
+            "broker": F.coalesce(listed("broker"), meta_value("_meta", "author")),
             "listed_since": F.coalesce(dates.parse_date(listed("since")), dates.parse_date(first_value(n, "$.datePosted", "$.datePublished"))),
             "price_reduction_count": F.coalesce(first_digits(listed("changes")), F.lit(0)),
             "original_asking_price": numbers.parse_number_nl(listed("original")),
@@ -573,7 +619,7 @@ def portal_record(pages: DataFrame) -> DataFrame:
             "price_per_m2": finance.price_per_m2("asking_price", "living_area"),
             "missing_fields": F.array_compact(F.array(*[F.when(F.col(f).isNull(), F.lit(f)) for f in RECORD_FIELDS])),
         }
-    ).drop("_n", "_d", "_price_text")
+    ).drop("_n", "_d", "_meta", "_price_text")
 
 
 # Success rule and confidences of the generic record, by kind of host.
@@ -586,7 +632,7 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
 
     Hosts are told apart by suffix. ``raw_text`` is the whole visible text, and all list items of some length are features.
     """
-    nodes = ld_nodes(ld_blocks("html"))
+    nodes = F.col("_nodes")
     items = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<li\b[^>]*>(.*?)</li\s*>"), F.lit(1)), inner_text)
     host = text.url_host("url")
 
@@ -605,12 +651,13 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
         ),
         F.lit(""),
     )
-    description = F.coalesce(meta_content("html", "og:description"), meta_content("html", "description"))
-    given = F.coalesce(first_value(nodes, "$.price", "$.offers.price", "$.offers[0].price"), meta_content("html", "product:price:amount"))
-    read = spread(pages).withColumns(
+    description = F.coalesce(meta_value("_meta", "og:description"), meta_value("_meta", "description"))
+    given = F.coalesce(first_value(nodes, "$.price", "$.offers.price", "$.offers[0].price"), meta_value("_meta", "product:price:amount"))
+    kept = spread(pages).withColumns({"_nodes": parsed_nodes(ld_nodes(ld_blocks("html"))), "_meta": meta_tags("html")})
+    read = kept.withColumns(
         {
             "host_kind": kind,
-            "title": F.coalesce(meta_content("html", "og:title"), element_text("html", "title")),
+            "title": F.coalesce(meta_value("_meta", "og:title"), element_text("html", "title")),
             "address": address,
             "description": description,
             "_text": visible_text("html"),
@@ -633,7 +680,7 @@ def generic_record(pages: DataFrame, portal_hosts: list[str], business_hosts: li
             "raw_text": F.coalesce("_text", F.lit("")),
             "broker_search_query": F.when(~F.col("success") & (F.col("host_kind") != "other"), query),
         }
-    ).drop("_text", "_price_text")
+    ).drop("_text", "_price_text", "_nodes", "_meta")
 
 
 # --- cards of a second portal ---------------------------------------------------------------------
@@ -740,7 +787,7 @@ def works_record(pages: DataFrame) -> DataFrame:
     nodes = ld_nodes(ld_blocks("html"))
     listing = F.filter(nodes, lambda n: F.lower(F.get_json_object(n, "$['@type']")) == "realestatelisting")
     boxes = F.transform(F.regexp_extract_all("html", F.lit(LEAF_DIV), F.lit(1)), inner_text)
-    read = images(spread(pages)).withColumns({"_n": listing, "_all": nodes, "_boxes": boxes})
+    read = images(spread(pages)).withColumns({"_n": parsed_nodes(listing), "_all": parsed_nodes(nodes), "_boxes": boxes})
 
     def box(name: str) -> Column:
         return F.get(F.filter("_boxes", lambda b: text.contains_any(F.lower(b), MEASURES[name])), F.lit(0))
