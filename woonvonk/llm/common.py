@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable, Hashable
 from typing import TypeVar
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from woonvonk.session import scratch_path, shared_folder, ship_package
 
 
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = str(16 << 20)
+
 T = TypeVar("T")
 _KEPT: dict[Hashable, object] = {}
 
@@ -23,6 +28,8 @@ def kept_in_worker(key: Hashable, make: Callable[[], T]) -> T:
     """
     if key not in _KEPT:
         _KEPT.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
         _KEPT[key] = make()
     return _KEPT[key]
 
@@ -36,12 +43,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` written once to the shared folder and read again.
 
     This cuts lineage, survives lost executors, and gives the planner true sizes, so that it broadcasts only what it
-    has measured to be small.
+    has measured to be small. Batches that go to Python while it is written are bounded by bytes as well as by rows.
     """
     spark = df.sparkSession
     shared_folder(spark)
     path = scratch_path(spark, label)
-    df.write.parquet(path)
+    before = spark.conf.get(BATCH, None)
+    spark.conf.set(BATCH, BATCH_BYTES)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(BATCH, before) if before is not None else spark.conf.unset(BATCH)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -15,6 +15,7 @@ Labels without value are ignored; of several labels of one id the highest counts
 from __future__ import annotations
 
 import re
+import zlib
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from woonvonk.llm.common import table, written
+from woonvonk.llm.common import kept_in_worker, table, written
 
 SAMPLE = 40_000
 THRESHOLD = 0.3
@@ -32,7 +33,9 @@ MAX_FEATURES = 20_000
 PREFIXES = (4, 5, 6)
 SWAP_WEIGHT = 4.0
 RIDGE = 1e-4
-KEPT = 600_000
+# Words whose features a worker keeps, some 20 MB, and counted features at which a task hands its counts on.
+KEPT = 200_000
+COUNTED = 200_000
 
 # Terms for groups of people whose mention alone says nothing, in the languages of the tables.
 IDENTITY_TERMS = """
@@ -104,7 +107,13 @@ def labelled(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
 
 def _counts(rows: DataFrame) -> DataFrame:
-    """(feature, n, k): sample rows with a feature, and toxic ones among them; counted per task before the shuffle."""
+    """(feature, n, k): sample rows with a feature, and toxic ones among them; added up in tasks before the shuffle."""
+
+    def counted(n: dict[str, int], k: dict[str, int]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array(n, pa.string()), pa.array(n.values(), pa.int64()), pa.array([k.get(f, 0) for f in n], pa.int64())],
+            names=["feature", "n", "k"],
+        )
 
     def run(batches):
         n, k = {}, {}
@@ -114,13 +123,10 @@ def _counts(rows: DataFrame) -> DataFrame:
                     n[f] = n.get(f, 0) + 1
                     if toxic:
                         k[f] = k.get(f, 0) + 1
-        names = list(n)
-        for at in range(0, len(names), 100_000):
-            part = names[at : at + 100_000]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part, pa.string()), pa.array([n[f] for f in part], pa.int64()), pa.array([k.get(f, 0) for f in part], pa.int64())],
-                names=["feature", "n", "k"],
-            )
+                if len(n) >= COUNTED:
+                    yield counted(n, k)
+                    n, k = {}, {}
+        yield counted(n, k)
 
     parts = rows.select("toxic", "text").mapInArrow(run, "feature string, n long, k long")
     return parts.groupBy("feature").agg(F.sum("n").alias("n"), F.sum("k").alias("k"))
@@ -167,19 +173,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, steps: int = 4
     def run(batches):
         for batch in batches:
             out = {"toxic": [], "own": [], "other": []}
-            for doc_id, toxic, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
+            for toxic, text in zip(*(batch.column(i).to_pylist() for i in range(2))):
                 own = words(text)
                 bag = lambda ws: sorted({index[f] for w in ws for f in features(w) if f in index})  # noqa: E731, B023
                 out["toxic"].append(int(bool(toxic)))
                 out["own"].append(bag(own))
-                out["other"].append([bag(x) for x in counterfactuals(own, int(doc_id))])
+                out["other"].append([bag(x) for x in counterfactuals(own, zlib.crc32((text or "").encode()))])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(out["toxic"], pa.int32()), pa.array(out["own"], pa.list_(pa.int32())), pa.array(out["other"], pa.list_(pa.list_(pa.int32())))],
                 names=list(out),
             )
 
     # bounded by ``sample``; rows hold only the chosen features they have
-    found = rows.select("doc_id", "toxic", "text").mapInArrow(run, "toxic int, own array<int>, other array<array<int>>").collect()
+    found = rows.select("toxic", "text").mapInArrow(run, "toxic int, own array<int>, other array<array<int>>").collect()
     if not found:
         return Model(-3.0, {})
     y = np.array([r["toxic"] for r in found], float)
@@ -219,15 +225,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     return docs.withColumn("score", run(F.col("text")))
 
 
-_MODELS: dict[int, Model] = {}
-
-
 def _model(bias: float, weights: dict[str, float]) -> Model:
-    key = hash((bias, tuple(weights.items())))
-    if key not in _MODELS:
-        _MODELS.clear()
-        _MODELS[key] = Model(bias, weights)
-    return _MODELS[key]
+    return kept_in_worker(("toxicity", hash((bias, tuple(weights.items())))), lambda: Model(bias, weights))
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
