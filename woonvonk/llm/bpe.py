@@ -57,6 +57,7 @@ def byte_characters() -> list[str]:
 
 CHARACTERS = byte_characters()
 TO_CHARACTERS = dict(enumerate(CHARACTERS))
+BLANK = CHARACTERS[0x20]
 TO_BYTES = {c: b for b, c in TO_CHARACTERS.items()}
 
 
@@ -150,14 +151,17 @@ class Codec:
             self.bytes_of[i] = token.encode()
         self.digits = [str(i) for i in range(size)]
 
+    def _ids(self, characters: str) -> bytes:
+        return array("I", [t.id for t in self.model.tokenize(characters)]).tobytes()
+
     def _piece(self, piece: str) -> bytes:
-        return array("I", [t.id for t in self.model.tokenize(to_characters(piece.encode()))]).tobytes()
+        return self._ids(to_characters(piece.encode()))
 
     def _chunk(self, chunk: str) -> bytes:
         """The ids of a word behind a blank; letters are one match of the pattern, and so are a comma or stop after them."""
         if self.letters_match:
             if chunk.isalpha():
-                return self._piece(" " + chunk)
+                return self._ids(BLANK + chunk) if chunk.isascii() else self._piece(" " + chunk)
             if chunk[-1:] in self.marks and chunk[:-1].isalpha():
                 return self.chunks[chunk[:-1]] + self.marks[chunk[-1]]
         return b"".join([self._piece(p) for p in self.find(" " + chunk)])
@@ -208,8 +212,8 @@ class Codec:
         code = more.indices.to_numpy().astype(np.int64)
         code[first] = len(more.dictionary) + leads.indices.to_numpy()
         used = np.bincount(code, minlength=len(more.dictionary) + len(leads.dictionary))
-        made = [self.chunks[w] if n else b"" for w, n in zip(more.dictionary.to_pylist(), used.tolist())]
-        made += [self._plain(w) for w in leads.dictionary.to_pylist()]
+        made = [self.chunks[w] if n else b"" for w, n in zip(more.dictionary.to_numpy(zero_copy_only=False), used.tolist())]
+        made += [self._plain(w) for w in leads.dictionary.to_numpy(zero_copy_only=False)]
         size = np.fromiter(map(len, made), np.int64, len(made)) // 4
         begin = np.cumsum(size) - size
         each = size[code]
