@@ -339,3 +339,22 @@ def test_pipeline_of_nothing(spark, pipeline, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{SF}/labels.parquet").limit(0).write.parquet(str(tmp_path / "labels.parquet"))
     assert pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+@pytest.mark.parametrize(
+    "page, texts",
+    [
+        ("<p>the value <math><mi>x</mi><mo>=</mo><mn>2</mn></math> is large</p>", ["the value x=2 is large"]),
+        ("<p>before</p><math><semantics><mi>y</mi><annotation>\\y</annotation></semantics></math><p>after</p>", ["before", "y", "after"]),
+        ("<object data='f'><p>in the object</p></object><p>rest</p>", ["in the object", "rest"]),
+        ("<video><source src='a'>a film of bees</video>", ["a film of bees"]),
+        ("<p>a</p><object><p>b</p><p>c</p>", ["a", "b", "c"]),
+        ("<noscript><p>a</p><p>b</p>", ["a", "b"]),
+        ("<svg><path d='x'><p>b</p><svg><p>c</p>", ["b", "c"]),
+        ("<svg><title>icon</title></svg><p>b</p><script>var x = '<p>no</p>'</script><p>c</p>", ["b", "c"]),
+        ("<template><p>no</p></template><p>b</p><textarea>typed</textarea>", ["b"]),
+    ],
+)
+def test_only_what_is_no_text_is_passed_over(page, texts):
+    """Mathematics stays in its sentence, fallback text reaches the field, an unclosed element takes only its start tag."""
+    assert [b.text for b in html_crf.blocks(page, html_crf.Node("", frozenset()))] == texts

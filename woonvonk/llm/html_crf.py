@@ -28,11 +28,16 @@ from woonvonk.llm.common import table
 TRAINING_PAGES = 600
 SEED = 20
 
-SKIPPED = set("script style title noscript template iframe svg math object audio video canvas textarea".split())
+# Elements whose inside isn't text of the page. Those whose inside isn't even mark-up run to the end of the page when they are
+# never closed, as in a browser; of the others only the start tag is passed over then. What objects, players and the
+# like hold for browsers that can't show them is text, and the field decides about it.
+RAW = set("script style title iframe textarea".split())
+SKIPPED = RAW | set("template svg annotation annotation-xml".split())
 VOID = set("br img hr input meta link area base col embed source track wbr param".split())
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd mark nobr q s samp small span strike strong "
-    "sub sup time tt u var picture map ruby rt rp".split()
+    "sub sup time tt u var picture map ruby rt rp math semantics mrow mi mo mn ms mtext mspace msqrt mroot mfrac msub msup "
+    "msubsup munder mover munderover mmultiscripts mtable mtr mtd mfenced mstyle mpadded mphantom merror menclose".split()
 )
 # A start tag of the key ends an open element of the values.
 ENDS = {
@@ -96,6 +101,7 @@ def blocks(page: str | None, root: Node) -> list[Block]:
     parts: list[str] = []
     links: list[str] = []
     in_link = False
+    unclosed: set[str] = set()  # elements that have no end tag from here on
     at, n = 0, len(page)
 
     def flush():
@@ -149,9 +155,14 @@ def blocks(page: str | None, root: Node) -> list[Block]:
             flush()
             in_link = False
             if tag in SKIPPED:
-                if not attributes.endswith("/") or tag not in ("svg", "math"):
+                if tag not in unclosed and not (tag == "svg" and attributes.endswith("/")):
                     stop = re.compile(rf"</{tag}\s*[^>]*>", re.I).search(page, at)
-                    at = stop.end() if stop else n
+                    if stop:
+                        at = stop.end()
+                    elif tag in RAW:
+                        at = n
+                    else:
+                        unclosed.add(tag)
                 continue
             if stack[-1].tag == "p" or any(x.tag == "p" for x in stack[-3:]):
                 close({"p"}, FENCES)
