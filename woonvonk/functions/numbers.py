@@ -68,7 +68,10 @@ def parse_price(value: str | Column) -> Column:
 def infer_price_status(text: str | Column) -> Column:
     """Price status of running text. Each pattern is tried only where one of its words occurs."""
     plain = strip(col(text))
-    lowered = F.lower(plain)
+    return _price_status(plain, F.lower(plain), euro_amount(text))
+
+
+def _price_status(plain: Column, lowered: Column, amount: Column) -> Column:
 
     def found(words: list[str], pattern: str) -> Column:
         return contains_any(lowered, words) & lowered.rlike(pattern)
@@ -85,7 +88,7 @@ def infer_price_status(text: str | Column) -> Column:
         .when(found(["vanaf", "starting from"], r"\b(vanaf|starting from)\b"), "from_price")
         .when(found(["veiling", "auction"], r"\b(veiling|auction)\b"), "auction")
         .when(found(["tot", "t/m"], r"\b(tot|t/m|tot en met)\b") | plain.contains(" - "), "range")
-        .when(euro_amount(text).isNotNull(), "known")
+        .when(amount.isNotNull(), "known")
         .otherwise("unknown")
     )
 
@@ -96,9 +99,16 @@ def euro_amount(text: str | Column) -> Column:
 
 
 def with_inferred_price(df: DataFrame, text: str) -> DataFrame:
-    """Add ``asking_price``, ``asking_price_status`` and ``asking_price_text`` read from running text."""
-    amount = F.when(F.col("asking_price_status").isin("from_price", "auction", "known"), euro_amount(text))
-    shown = F.when(F.col("asking_price_status") != "unknown", strip(col(text)))
-    return df.withColumn("asking_price_status", infer_price_status(text)).withColumns(
-        {"asking_price": amount, "asking_price_text": shown}
-    )
+    """Add ``asking_price``, ``asking_price_status`` and ``asking_price_text`` read from running text.
+
+    What several steps need is kept in columns, so that a text is stripped, lowered and searched for an amount once.
+    """
+    kept = df.withColumns({"_plain": strip(col(text)), "_amount": euro_amount(text)}).withColumn("_lowered", F.lower("_plain"))
+    status = kept.withColumn("asking_price_status", _price_status(F.col("_plain"), F.col("_lowered"), F.col("_amount")))
+    known = F.col("asking_price_status")
+    return status.withColumns(
+        {
+            "asking_price": F.when(known.isin("from_price", "auction", "known"), F.col("_amount")),
+            "asking_price_text": F.when(known != "unknown", F.col("_plain")),
+        }
+    ).drop("_plain", "_amount", "_lowered")
