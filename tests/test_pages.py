@@ -72,3 +72,40 @@ def test_upsert_keeps_stored_rows_without_key(spark):
     incoming = spark.createDataFrame([(4, None, "x"), (5, "k", "y"), (6, "n", "z")], "id int, key string, v string")
     got = matching.upsert(current, incoming, F.col("key"), ["id"], keep_first=["id"]).collect()
     assert sorted(map(tuple, got), key=repr) == sorted([(1, None, "a"), (2, None, "b"), (3, "k", "y"), (6, "n", "z")], key=repr)
+
+
+@pytest.mark.parametrize(
+    "html, field, shown",
+    [
+        ("<div class='price'>a<div>b</div>c</div>d", "price", "a b c"),
+        ("<DIV CLASS='x price y'>1 <br> 2</DIV>", "price", "1 2"),
+        ("<p class=intro>one<p>two</p>", "description", "one two"),  # never closed, so it goes on
+        ("<div><section class='my-address'>s1 <p>s2</div> no", "address", "s1 s2"),  # closed by what is around it
+        ("<section class='my-address'><section>s1</section> tail</section> no", "address", "s1 tail"),
+        ("<h1></h1><h2>H2</h2>", "heading", "H2"),
+        ("<h1>o</h1><h3 class='single__title'>T</h3>", "heading", "T"),
+        ("<script><h1>no</h1></script><h1>caf&eacute;&nbsp;x</h1>", "heading", "café x"),
+        ("<img class='price'><span class='asking-price'>5</span>", "price", "5"),
+        ("<article><div><p>in</p></div></article><p>out</p>", "description", "in"),
+        ("<p>out</p>", "description", None),
+        ('<div itemprop="price" content="3">3 <b>k.k.</b></div>', "price", "3 k.k."),
+        ("<nav class='breadcrumb'><a>x</a> &gt; <a>y</a></nav>", "breadcrumb", "x > y"),
+        ("<div class='city'>unclosed <b>x", "city", "unclosed x"),
+        ("<div class='pricey'>1</div>", "price", "1"),
+        ("<div class='cityhall-x'><p class='city'>Zwolle</p></div>", "city", "Zwolle"),
+        (None, "city", None),
+    ],
+)
+def test_elements_that_selectors_choose(spark, html, field, shown):
+    df = spark.createDataFrame([(1, html)], "page_id int, html string")
+    assert pages.with_picked(df).first()[f"picked_{field}"] == shown
+
+
+def test_structured_data_is_read_once_per_node(spark):
+    """Members that are objects, lists or numbers are read as get_json_object reads them."""
+    node = '{"@type": "House", "name": "N", "price": 250000.50, "offers": [{"price": 3.10}], "floorSize": {"value": "88,5 m2"}, "address": "plain"}'
+    df = spark.createDataFrame([(node,), ("{}",), ('{"address": {"streetAddress": "S 1"}, "floorSize": 70}',)], "n string")
+    nodes = pages.parsed_nodes(F.array("n"))
+    for path in ("$['@type']", "$.name", "$.price", "$.offers.price", "$.offers[0].price", "$.floorSize.value", "$.floorSize", "$.address.streetAddress"):
+        once = df.select(pages.first_value(nodes, path).alias("v"), pages.node_value(F.col("n"), path).alias("w")).collect()
+        assert [r.v for r in once] == [r.w for r in once], path

@@ -6,9 +6,10 @@ import random
 from collections import defaultdict
 from statistics import median
 
+import pytest
 from pyspark.sql import functions as F
 
-from woonvonk.operators import history, matching
+from woonvonk.operators import benchmarks, history, matching, skew
 from woonvonk.operators.skew import group_median, top_n_per_key, value_ranks, with_previous
 
 ORDER = ["observed_at", "seq"]
@@ -195,3 +196,17 @@ def test_ranks_of_the_null_group(spark):
     df = spark.createDataFrame([(None, float(i % 7)) for i in range(50)] + [("a", float(i)) for i in range(30)], "city string, price double")
     plain, sliced = (sorted(map(repr, value_ranks(df, ["city"], "price", window_rows=w).collect())) for w in (10**6, 0))
     assert plain == sliced and any("city=None" in r for r in plain)
+
+
+@pytest.mark.parametrize("window_rows", [10**6, 3])
+def test_measures_from_one_table_equal_separate_ones(spark, monkeypatch, window_rows):
+    """NULL prices and areas, cities without any price, repeated rows; with plain windows and with chained ranges."""
+    rows = [(i, f"c{i % 4}" if i % 9 else None, None if i % 5 == 0 or i % 4 == 3 else 1000.0 * (i % 7), None if i % 6 == 0 else 10.0 + i % 3) for i in range(120)]
+    df = spark.createDataFrame(rows + rows[:7], "id long, city string, asking_price double, surface_m2 double")
+    base = benchmarks.with_ppm2(df).withColumn("city_key", benchmarks.city_key())
+    apart = benchmarks.with_percentile(benchmarks.join_city_benchmarks(base), "city_key", "price_per_m2", "share")
+    ranks = skew.ranks_of
+    monkeypatch.setattr(benchmarks, "ranks_of", lambda counts, keys, value: ranks(counts, keys, value, window_rows))
+    once = benchmarks.with_city_measures(base, "share")
+    key = lambda d: sorted(map(repr, d.select(*sorted(d.columns)).collect()))
+    assert sorted(once.columns) == sorted(apart.columns) and key(once) == key(apart)

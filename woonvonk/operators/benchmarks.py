@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from woonvonk.functions.casts import strip
 from woonvonk.functions import finance
-from woonvonk.operators.skew import medians_from_ranks, percentile_from_top, top_n_per_key, value_ranks
+from woonvonk.operators.skew import measure_counts, medians_from_ranks, percentile_from_top, ranks_of, top_n_per_key, value_ranks
 from woonvonk.session import broadcast_if_small
 
 
@@ -47,6 +47,27 @@ def join_city_benchmarks(df: DataFrame, key: str = "city_key") -> DataFrame:
     return df.join(broadcast_if_small(city_benchmarks(df, key)), key, "left")
 
 
+def with_city_measures(df: DataFrame, percentile: str, key: str = "city_key") -> DataFrame:
+    """The benchmarks of the row's city and, as ``percentile``, the share of its rows with a higher price per m².
+
+    Averages, medians and ranks all come from one table of distinct values with counts, so the listings are read once
+    before they are joined back; expects ``price_per_m2``.
+    """
+    counts = measure_counts(df, [key], ["asking_price", "price_per_m2"])
+    of = lambda measure, x: F.sum(F.when(F.col("measure") == measure, x))
+    total = of("price_per_m2", F.col("value").cast("decimal(20,2)") * F.col("n").cast("decimal(18,0)")).cast("double")
+    averages = counts.groupBy(key).agg(
+        F.try_divide(total, of("price_per_m2", F.col("n"))).alias("avg_price_per_m2"),
+        of("rows", F.col("n")).alias("listing_count"),
+        F.coalesce(of("asking_price", F.col("n")), F.lit(0)).alias("priced_count"),
+    )
+    ranks = ranks_of(counts.where(F.col("measure") != "rows"), [key, "measure"], "value")
+    medians = medians_from_ranks(ranks.where("measure = 'asking_price'"), [key], "value", "median_asking_price")
+    shares = ranks.where("measure = 'price_per_m2'").select(key, F.col("value").alias("price_per_m2"), percentile_from_top().alias(percentile))
+    joined = df.join(broadcast_if_small(averages.join(medians, key, "left")), key, "left")
+    return joined.join(broadcast_if_small(shares), [key, "price_per_m2"], "left")
+
+
 def with_percentile(df: DataFrame, key: str, value: str, name: str) -> DataFrame:
     """Add ``100 - 100 * share of rows at or below`` within the group; NULL stays NULL."""
     ranks = value_ranks(df, [key], value).withColumn(name, percentile_from_top()).select(key, value, name)

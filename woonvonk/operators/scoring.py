@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from woonvonk.functions import bands, finance
 from woonvonk.functions.casts import clamp_score, clamped, col, strip, to_int
-from woonvonk.operators.benchmarks import city_benchmarks, city_key, join_city_benchmarks, with_percentile, with_ppm2
+from woonvonk.operators.benchmarks import city_benchmarks, city_key, with_city_measures, with_ppm2
 from woonvonk.session import broadcast_if_small
 
 # Label groups.
@@ -287,11 +287,11 @@ def with_market_discount(df: DataFrame, market: str = "neighborhood_m2_price_ave
 def score_deal_rows(rows: DataFrame) -> DataFrame:
     """Score every row against the rows of its city.
 
-    The rows given are the peer set. City averages and medians are aggregates joined back; the share of
-    cheaper rows comes from exact ranks per city. A given ``investment_score`` is kept within 0..100.
+    The rows given are the peer set. City averages, medians and the share of cheaper rows come from one table of distinct
+    values per city that is joined back. A given ``investment_score`` is kept within 0..100.
     """
     base = with_ppm2(rows).withColumn("city_key", city_key())
-    placed = with_market_discount(join_city_benchmarks(base))
+    placed = with_market_discount(with_city_measures(base, "price_per_m2_percentile"))
     compared = placed.withColumns(
         {
             "city_avg_price_per_m2": F.round("avg_price_per_m2", 2),
@@ -300,11 +300,10 @@ def score_deal_rows(rows: DataFrame) -> DataFrame:
             ),
         }
     )
-    ranked = with_percentile(compared, "city_key", "price_per_m2", "price_per_m2_percentile")
     own = quick_investment_score()
     if "investment_score" in rows.columns:
         own = F.coalesce(clamped(to_int("investment_score"), 0, 100), own)
-    potentials = ranked.withColumns(
+    potentials = compared.withColumns(
         {
             "investment_score": own,
             "split_potential": F.least(split_potential(), F.lit(100)),
