@@ -341,6 +341,38 @@ def test_pipeline_of_nothing(spark, pipeline, tmp_path):
     assert pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_with_nulls_repeats_and_clashing_columns(spark, pipeline, tmp_path):
+    """Null texts are empty, null ids stay, repeated rows stay together, other columns come through."""
+    from woonvonk.llm import bpe
+    from woonvonk.llm.common import written
+
+    given = spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000").limit(60)
+    kinds = "doc_id long, text string, lang string, source string, n_chars long"
+    odd = [(None, "a text of some words without id", "en", "s", 31), (None, None, None, None, None), (9_001, None, "en", "s", None), (9_002, "", "en", "s", 0)]
+    odd += [(9_003, "one and the same row given twice over", "en", "s", 37)] * 2 + [(9_004, "word " * 20_000, "en", "s", 100_000)]
+    docs = given.select("doc_id", "text", "lang", "source", "n_chars").union(spark.createDataFrame(odd, kinds))
+    docs = docs.withColumns({c: F.lit(c) for c in ("score", "key", "n", "length", "task", "piece", "component_id", "h", "value")})
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.read.parquet(f"{SF}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in pipeline.STAGES[:-1]:
+        after = written(stage(spark, now, str(tmp_path)), "test-stage")
+        assert after.columns == docs.columns, name
+        rows = after.collect()
+        assert all(r.score == "score" and r.key == "key" and r.n_chars in (None, len(r.text or "")) for r in rows), name
+        assert sum(r.doc_id is None for r in rows) == 2 and sum(r.doc_id == 9_003 for r in rows) == 2, name
+        assert {9_001, 9_002, 9_004} <= {r.doc_id for r in rows}, name
+        now = after
+    own = bpe.Codec(bpe.model_settings(bpe.VOCABULARY))
+    pieces = pipeline.STAGES[-1][1](spark, now, str(tmp_path)).collect()
+    assert sum(r.length for r in pieces) == sum(len(own.encode(r.text or "")) // 4 + 1 for r in now.collect())
+    filled = {}
+    for r in sorted(pieces, key=lambda r: (r.sequence_id, r.offset)):
+        assert filled.get(r.sequence_id, 0) == r.offset
+        filled[r.sequence_id] = r.offset + r.length
+    assert max(filled.values()) <= 2048
+
+
 @pytest.mark.parametrize(
     "page, texts",
     [
