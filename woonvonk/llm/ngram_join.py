@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from woonvonk.llm.common import components, table, written
+from woonvonk.llm.common import components, kept_in_worker, table, written
 from woonvonk.session import broadcast_if_small
 
 N = 5
@@ -37,9 +37,11 @@ OFTEN_KEYS = 200_000
 # Pairs that a column may have, in either order, before its documents are put as differences instead; columns of
 # differences may have more, because nearly all of their pairs fall at once.
 COLUMN_PAIRS = 16_384
-DIFFERENCE_PAIRS = 1 << 20
-# Rows of one column that a task holds to find that out.
+DIFFERENCE_PAIRS = 1 << 23
+# Rows of one column that a task holds to find that out, and pairs it looks at in one go.
 COLUMN_ROWS = 100_000
+BLOCK_PAIRS = 1 << 18
+# Columns that are still full after so many differences are multiplied whole, pair by pair, and only what fits goes on.
 LEVELS = 6
 
 _BASE = 0x9E3779B97F4A7C15
@@ -104,13 +106,8 @@ class Hasher:
         return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
-_HASHER: list[Hasher] = []
-
-
 def hasher() -> Hasher:
-    if not _HASHER:
-        _HASHER.append(Hasher())
-    return _HASHER[0]
+    return kept_in_worker("hasher", Hasher)
 
 
 def least_overlap(n: int, percent: int = PERCENT) -> int:
@@ -192,21 +189,21 @@ def sketched(docs: DataFrame, last: np.ndarray) -> DataFrame:
     )
 
 
-def product(entries: DataFrame, column_pairs: int) -> DataFrame:
+def product(entries: DataFrame, column_pairs: int | None) -> DataFrame:
     """Multiply columns ``key`` of entries: rows (key null, a, b, na, nb, common) for pairs, (key, a, na) for full columns.
 
     ``d`` is the document, ``n`` its set's size; for differences ``m`` is their size, ``pos`` the element's place in them,
     ``ask`` whether the entry only looks for smaller differences (at the top m and pos are 0). Documents of one ``g`` are
     known to be connected and make no pairs. Entries of one column come together in one block, in order; a block
-    holds one column at a time and at most COLUMN_ROWS of it.
+    holds one column at a time and at most COLUMN_ROWS of it. A column that would make more than ``column_pairs`` is full;
+    with None only one of more than COLUMN_ROWS is.
     """
 
-    def pairs_of(d, n, m, pos, ask, g):
-        order = np.lexsort((d, m))
-        d, n, m, pos, ask, g = (x[order] for x in (d, n, m, pos, ask, g))
-        a, b = np.triu_indices(len(d), 1)
+    def pairs_of(rows: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """Of the pairs of rows (a, b), with a before b and no mere question, those that can still link."""
+        _, d, n, m, pos, _, g = rows
         low, high = np.minimum(n[a], n[b]), np.maximum(n[a], n[b])
-        fit = ~ask[a] & (g[a] != g[b]) & (100 * low >= PERCENT * high) & (d[a] != d[b])
+        fit = (g[a] != g[b]) & (100 * low >= PERCENT * high) & (d[a] != d[b])
         # |x - y| is at most (100 - t) / (100 + t) of both sizes together, and at least the differences' difference
         most = (100 - PERCENT) * (n[a] + n[b])
         fit &= (100 + PERCENT) * (m[b] - m[a]) <= most
@@ -217,26 +214,41 @@ def product(entries: DataFrame, column_pairs: int) -> DataFrame:
         a, b = np.where(swap, b, a), np.where(swap, a, b)
         return np.stack([d[a], d[b], n[a], n[b]])
 
+    def between(rows: np.ndarray, left: np.ndarray, right: np.ndarray):
+        """Pairs of places left x right with the left one first, some at a time."""
+        step = max(1, BLOCK_PAIRS // max(1, len(right)))
+        for k in range(0, len(left), step):
+            some = left[k : k + step]
+            a, b = np.repeat(some, len(right)), np.tile(right, len(some))
+            yield pairs_of(rows, a[b > a], b[b > a])
+
     def run(batches):
         kept: list[np.ndarray] = []  # rows of the column that has not ended
         full = None  # the key of a column that has turned out to be too full
 
         def ended(rows: np.ndarray):
-            """Pairs of a whole column, or None when there would be too many."""
-            if rows.shape[1] < 2:
+            """Pairs of a whole column, or None when there would be too many.
+
+            Rows that only ask meet rows that don't, so a column of nothing but questions has no pairs at all.
+            """
+            told = rows[5] == 0
+            if rows.shape[1] < 2 or not told.any():
                 return np.zeros((4, 0), np.int64)
-            _, d, n, m, pos, ask, g = rows
-            sizes = np.unique(g, return_counts=True)[1]
-            if rows.shape[1] ** 2 - int((sizes**2).sum()) > column_pairs and rows.shape[1] > 2:
+            groups, group = np.unique(rows[6], return_inverse=True)
+            group = group.reshape(-1)
+            sizes, telling = np.bincount(group), np.bincount(group[told], minlength=len(groups))
+            many = int(told.sum()) * rows.shape[1] - int((sizes * telling).sum())
+            if column_pairs is not None and many > column_pairs and rows.shape[1] > 2:
                 return None
-            if len(sizes) == 1 or rows.shape[1] <= 2 * column_pairs**0.5:
-                return pairs_of(d, n, m, pos, ask.astype(bool), g) if len(sizes) > 1 else np.zeros((4, 0), np.int64)
-            # nearly all are of one group: only the others are held against all
-            most = np.unique(g)[np.argmax(sizes)]
-            rest, many = np.flatnonzero(g != most), np.flatnonzero(g == most)
-            parts = [np.concatenate([rest, many[k : k + len(rest) + 64]]) for k in range(0, len(many), len(rest) + 64)]
-            found = np.concatenate([pairs_of(d[x], n[x], m[x], pos[x], ask[x].astype(bool), g[x]) for x in parts], axis=1)
-            return np.unique(found, axis=1)
+            if len(groups) == 1:
+                return np.zeros((4, 0), np.int64)
+            rows = rows[:, np.lexsort((rows[1], rows[3]))]
+            told = rows[5] == 0
+            # the largest group makes no pairs within itself
+            most = rows[6] == groups[np.argmax(sizes)]
+            every, rest = np.arange(rows.shape[1]), np.flatnonzero(~most)
+            found = [*between(rows, np.flatnonzero(told & ~most), every), *between(rows, np.flatnonzero(told & most), rest)]
+            return np.concatenate([np.zeros((4, 0), np.int64), *found], axis=1)
 
         def out(pairs: list[np.ndarray], lists: list[np.ndarray]):
             both = np.concatenate([np.zeros((4, 0), np.int64), *pairs], axis=1)
@@ -285,16 +297,23 @@ def product(entries: DataFrame, column_pairs: int) -> DataFrame:
                 elif got.shape[1]:
                     pairs.append(got)
             if kept and kept[0].shape[1] > COLUMN_ROWS:
-                full = int(kept[0][0, 0])
-                lists.append(kept[0])
-                kept = []
+                part, told = kept[0], kept[0][5] == 0
+                # those that tell come first; once they are all there, questions can be answered and let go
+                got = None if told.all() else ended(part)
+                if got is None:
+                    full = int(part[0, 0])
+                    lists.append(part)
+                    kept = []
+                else:
+                    pairs.append(got)
+                    kept = [part[:, told]] if told.any() else []
             yield from out(pairs, lists)
 
         for batch in batches:
             yield from work(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(7)]), False)
         yield from work(np.zeros((7, 0), np.int64), True)
 
-    dealt = entries.select("key", "d", "n", "m", "pos", "ask", "g").repartition("key").sortWithinPartitions("key")
+    dealt = entries.select("key", "d", "n", "m", "pos", "ask", "g").repartition("key").sortWithinPartitions("key", "ask")
     return dealt.mapInArrow(run, "key long, a long, b long, na long, nb long, common long")
 
 
@@ -434,13 +453,6 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     edges, done, level = written(checked(pairs, sets), "ngram-links"), pairs, 0
     while lists.limit(1).count():
         level += 1
-        if level > LEVELS:
-            # columns that stay full after so many differences: all their pairs, each once
-            again = lists.join(lists.select("key", F.col("d").alias("e")), "key").where("d < e")
-            again = again.select(F.col("d").alias("a"), F.col("e").alias("b")).distinct()
-            pairs = written(again.join(done, ["a", "b"], "left_anti"), "ngram-candidates")
-            edges = edges.union(written(checked(pairs, sets), "ngram-links"))
-            break
         # columns whose documents are all connected by now are done
         known = components(edges, "ngram-components")
         lists = lists.join(known, F.col("d") == F.col("id"), "left").select("key", "d", F.coalesce("component", "d").alias("g"))
@@ -457,7 +469,7 @@ def similar(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges = edges.union(apart.where("near").select(F.col("c").alias("a"), F.col("d").alias("b")))
         groups = members.select(F.col("a").alias("c"), F.col("b").alias("d"), "g", "cg")
         apart = apart.join(groups, ["c", "d"]).withColumn("g", F.when(F.col("near"), F.col("cg")).otherwise(F.col("g"))).drop("cg", "near")
-        found = written(product(entries_of(apart), DIFFERENCE_PAIRS), "ngram-pairs")
+        found = written(product(entries_of(apart), DIFFERENCE_PAIRS if level <= LEVELS else None), "ngram-pairs")
         pairs = written(found.where("key IS NULL").select("a", "b").distinct().join(done, ["a", "b"], "left_anti"), "ngram-candidates")
         done = done.union(pairs)
         edges = edges.union(written(checked(pairs, sets), "ngram-links"))
