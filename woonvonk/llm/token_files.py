@@ -5,8 +5,8 @@ frames of its documents one after the other, the index (doc_id, where its frame
 that says where the index starts. A reader needs the footer, the index and one frame to get at one document; a file
 whose digest isn't that of the dictionary at hand is refused.
 
-The dictionary is trained on the id arrays of a bounded sample of documents (``SAMPLE_ROWS``, those with the smallest hash of
-doc_id, none longer than ``SAMPLE_CHARS``); it changes the size of the files, never what is read from them. All documents are
+The dictionary is trained on the id arrays of a bounded sample of documents (about ``SAMPLE_ROWS``, those with the smallest
+hashes, none longer than ``SAMPLE_CHARS``); it changes the size of the files, never what is read from them. All documents are
 encoded and compressed where they are read; only the frames are dealt by ranges of (doc_id, order of arrival), so
 documents lie in ascending doc_id order over files and ranges are even whatever doc_id holds. A task writes files under names
 of its own, and the manifest, written by Spark, names those of the tasks that count; what a lost executor leaves behind
@@ -85,8 +85,8 @@ class FileWriter:
         self.n_ids += n_ids
         self.rows.append((doc_id or 0, doc_id is not None, self.size, self.n_ids))
 
-    def full(self) -> bool:
-        return self.size >= FILE_BYTES or len(self.rows) >= FILE_DOCS
+    def full(self, docs: int) -> bool:
+        return self.size >= FILE_BYTES or len(self.rows) >= docs
 
     def close(self) -> tuple[str, int, int, int]:
         self.out.write(np.array(self.rows, INDEX).tobytes())
@@ -155,7 +155,7 @@ class TokenFiles:
 
 
 def _sample(docs: DataFrame, settings, width: int) -> list[bytes]:
-    """Id arrays of the sample; at most SAMPLE_ROWS times SAMPLE_CHARS reach the driver."""
+    """Id arrays of the sample; at most twice SAMPLE_ROWS of SAMPLE_CHARS reach the driver."""
 
     def run(batches):
         own = bpe.codec(settings.value)
@@ -164,12 +164,14 @@ def _sample(docs: DataFrame, settings, width: int) -> list[bytes]:
                 rows = [r.astype(f"<u{width}").tobytes() for r in np.split(ids, ends[:-1])]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["ids"])
 
-    short = docs.where(F.length("text").between(1, SAMPLE_CHARS)).select("text", F.xxhash64("doc_id").alias("h"))
-    chosen = short.orderBy("h", "text").limit(SAMPLE_ROWS).select("text")
+    # in expectation SAMPLE_ROWS of all rows, wherever they are; no task gets more than a few times that
+    share = int((1 << 31) * min(1.0, SAMPLE_ROWS / max(1, docs.count())))
+    h = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 31))
+    chosen = docs.where(F.length("text").between(1, SAMPLE_CHARS) & (h < share)).limit(2 * SAMPLE_ROWS).select("text")
     return [bytes(r[0]) for r in chosen.mapInArrow(run, "ids binary").collect()]
 
 
-def write(docs: DataFrame, folder: str, path: str = bpe.VOCABULARY, end: int = END) -> TokenFiles:
+def write(docs: DataFrame, folder: str, path: str = bpe.VOCABULARY, end: int = END, file_docs: int = FILE_DOCS) -> TokenFiles:
     """Write the ids of every row of ``docs`` (doc_id, text), closed by ``end``, as files in ``folder``."""
     spark = docs.sparkSession
     raw = bpe.model_settings(path)
@@ -216,7 +218,7 @@ def write(docs: DataFrame, folder: str, path: str = bpe.VOCABULARY, end: int = E
             for doc_id, frame, n in zip(batch.column(0).to_pylist(), batch.column(4), batch.column(3).to_pylist()):
                 file = file or FileWriter(folder, shared.value, width)
                 file.add(doc_id, frame.as_buffer(), n)
-                if file.full():
+                if file.full(file_docs):
                     done.append((shard, part, *file.close()))
                     part, file = part + 1, None
         if file:
