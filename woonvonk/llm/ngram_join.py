@@ -41,6 +41,8 @@ DIFFERENCE_PAIRS = 1 << 23
 # Rows of one column that a task holds to find that out, and pairs it looks at in one go.
 COLUMN_ROWS = 100_000
 BLOCK_PAIRS = 1 << 18
+# Columns of so few rows, which most are, have no more than some thousand pairs.
+FEW_ROWS = 64
 # Columns that are still full after so many differences are multiplied whole, pair by pair, and only what fits goes on.
 LEVELS = 6
 
@@ -222,6 +224,13 @@ def product(entries: DataFrame, column_pairs: int | None) -> DataFrame:
             a, b = np.repeat(some, len(right)), np.tile(right, len(some))
             yield pairs_of(rows, a[b > a], b[b > a])
 
+    triangles: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def triangle(n: int) -> tuple[np.ndarray, np.ndarray]:
+        if n not in triangles:
+            triangles[n] = np.triu_indices(n, 1)
+        return triangles[n]
+
     def run(batches):
         kept: list[np.ndarray] = []  # rows of the column that has not ended
         full = None  # the key of a column that has turned out to be too full
@@ -234,6 +243,11 @@ def product(entries: DataFrame, column_pairs: int | None) -> DataFrame:
             told = rows[5] == 0
             if rows.shape[1] < 2 or not told.any():
                 return np.zeros((4, 0), np.int64)
+            if rows.shape[1] <= FEW_ROWS and (column_pairs is None or rows.shape[1] ** 2 <= column_pairs):
+                rows = rows[:, np.lexsort((rows[1], rows[3]))]
+                a, b = triangle(rows.shape[1])
+                some = rows[5][a] == 0
+                return pairs_of(rows, a, b) if some.all() else pairs_of(rows, a[some], b[some])
             groups, group = np.unique(rows[6], return_inverse=True)
             group = group.reshape(-1)
             sizes, telling = np.bincount(group), np.bincount(group[told], minlength=len(groups))
