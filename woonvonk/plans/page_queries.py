@@ -106,9 +106,7 @@ def extract_open_graph(spark, sf_dir):
 )
 def extract_html_fallback(spark, sf_dir):
     base = view(spark, sf_dir, "portal_pages").select("page_id", "url", "html", "kind")
-    read_pages = pages.extract_html_fallback(base)
-    picked = pages.with_picked(base.select("page_id", "html")).select("page_id", F.col("picked_address"))
-    return read_pages.join(picked, "page_id").select(
+    return pages.extract_html_fallback(base, keep=("picked_address",)).select(
         "page_id", F.col("page_heading").alias("heading"), "picked_address", F.col("page_asking_price").alias("asking_price"), F.col("page_surface_m2").alias("surface_m2"), F.col("page_description").alias("description")
     )
 
