@@ -31,3 +31,7 @@ def test_listings_are_dealt_over_the_cores(spark, name):
 
 def test_html_fallback_picks_a_page_once(spark):
     assert plan(spark, "extract_html_fallback").count("Relation [") == 1
+
+
+def test_analysis_permits_parse_a_document_once(spark):
+    assert plan(spark, "explode_analysis_permits").count("from_json(") <= 1
