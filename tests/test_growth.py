@@ -35,3 +35,7 @@ def test_html_fallback_picks_a_page_once(spark):
 
 def test_analysis_permits_parse_a_document_once(spark):
     assert plan(spark, "explode_analysis_permits").count("from_json(") <= 1
+
+
+def test_jsonld_reads_a_path_once(spark):
+    assert plan(spark, "extract_jsonld").count("get_json_object(") <= 16
