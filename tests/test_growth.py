@@ -39,3 +39,7 @@ def test_analysis_permits_parse_a_document_once(spark):
 
 def test_jsonld_reads_a_path_once(spark):
     assert plan(spark, "extract_jsonld").count("get_json_object(") <= 16
+
+
+def test_analysis_tables_parse_a_document_once_each(spark):
+    assert plan(spark, "explode_analysis").count("from_json(") <= 5
