@@ -43,3 +43,9 @@ def test_jsonld_reads_a_path_once(spark):
 
 def test_analysis_tables_parse_a_document_once_each(spark):
     assert plan(spark, "explode_analysis").count("from_json(") <= 5
+
+
+@pytest.mark.parametrize("name", ["factor_contributions", "weighted_score"])
+def test_factor_rows_make_no_texts(spark, name):
+    text = plan(spark, name)
+    assert "format_string(" not in text and "array_sort(" not in text

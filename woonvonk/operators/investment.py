@@ -314,10 +314,14 @@ def _explanation() -> Column:
 
 
 def factor_table(evaluated: DataFrame, key: str) -> DataFrame:
-    """Long form: one row per property and factor."""
-    return evaluated.select(key, F.explode("factors").alias("f")).select(
-        key, F.col("f.key").alias("factor"), "f.score", (-F.col("f.drag")).alias("contribution")
-    )
+    """Long form: one row per property and factor.
+
+    Made of the score and weight columns: the sorted ``factors`` hold texts that nobody asks for here. The outer form
+    keeps Spark from working the scores out a second time to filter empty arrays.
+    """
+    names = [c.removesuffix("_score") for c in evaluated.columns if c.endswith("_score") and f"w_{c.removesuffix('_score')}" in evaluated.columns]
+    rows = F.array(*[F.struct(F.lit(n).alias("factor"), F.col(f"{n}_score").alias("score"), F.col(f"w_{n}").alias("weight")) for n in names])
+    return evaluated.select(key, F.inline_outer(rows)).select(key, "factor", "score", contribution(F.col("score"), F.col("weight")).alias("contribution"))
 
 
 def weighted_score(factor_rows: DataFrame, key: str) -> DataFrame:
