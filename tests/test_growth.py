@@ -49,3 +49,7 @@ def test_analysis_tables_parse_a_document_once_each(spark):
 def test_factor_rows_make_no_texts(spark, name):
     text = plan(spark, name)
     assert "format_string(" not in text and "array_sort(" not in text
+
+
+def test_cards_are_searched_once(spark):
+    assert plan(spark, "listing_cards").count("regexp_extract_all(html") + plan(spark, "listing_cards").count("size(transform(") <= 1
