@@ -53,3 +53,12 @@ def test_factor_rows_make_no_texts(spark, name):
 
 def test_cards_are_searched_once(spark):
     assert plan(spark, "listing_cards").count("regexp_extract_all(html") + plan(spark, "listing_cards").count("size(transform(") <= 1
+
+def test_both_batches_of_enrichments_come_from_one_matching(spark, monkeypatch):
+    from woonvonk.sources import tables
+
+    batches = []
+    real = tables.append_enrichments
+    monkeypatch.setattr(tables, "append_enrichments", lambda items, path: batches.append(items.inputFiles()) or real(items, path))
+    found = catalog.jobs()["append_enrichments"](spark, SF)
+    assert batches == [[], []] and found.count() == 39

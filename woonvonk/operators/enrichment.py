@@ -109,14 +109,17 @@ LOOKED_UP_KEYS = [
 
 
 def fan_out(df: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame:
-    """All 39 items per property, or those that ``keys`` asks for; no shuffle."""
+    """All 39 items per property, or those that ``keys`` asks for; no shuffle.
+
+    The outer form keeps Spark from building the items a second time to filter empty arrays.
+    """
     named = zip([*PUBLIC_KEYS, *LOOKED_UP_KEYS], [*public_items(df), *looked_up_items(df)])
     wanted = [
         F.struct(F.lit(no).alias("item_no"), built.alias("i"))
         for no, (name, built) in enumerate(named)
         if keys is None or name in keys
     ]
-    return df.select(key, F.explode(F.array(*wanted)).alias("e")).select(key, "e.item_no", "e.i.*")
+    return df.select(key, F.explode_outer(F.array(*wanted)).alias("e")).select(key, "e.item_no", "e.i.*")
 
 
 def pivot(items: DataFrame, key: str, keys: list[str], order: str = "item_no") -> DataFrame:

@@ -340,10 +340,12 @@ def enrichment_group_stats(spark, sf_dir):
     with_views("listings register_docs", f"WITH {ITEM_SQL} SELECT enrichment_key, count(*) AS item_count, count(CASE WHEN success THEN 1 END) AS fine_count FROM items GROUP BY enrichment_key"),
 )
 def append_enrichments(spark, sf_dir):
-    from woonvonk.session import scratch_path
+    from woonvonk.session import materialise, scratch_path
 
     path = scratch_path(spark, "enrichments")
-    items = _items(spark, sf_dir)
+    # matched once for both batches: one row per property, which is little beside the records it is made of
+    kept = materialise(_whole(spark, sf_dir))
+    items = enrichment.fan_out(kept, "property_id")
     tables.append_enrichments(items.where("property_id % 2 = 0"), path)
     tables.append_enrichments(items.where("property_id % 2 = 1"), path)
     return spark.read.parquet(path).groupBy("enrichment_key").agg(
