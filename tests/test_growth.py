@@ -45,6 +45,10 @@ def test_analysis_tables_parse_a_document_once_each(spark):
     assert plan(spark, "explode_analysis").count("from_json(") <= 5
 
 
+def test_analysis_tables_share_one_parse(spark):
+    assert plan(spark, "explode_analysis").count("from_json(") == 0  # it reads the documents parsed before
+
+
 @pytest.mark.parametrize("name", ["factor_contributions", "weighted_score"])
 def test_factor_rows_make_no_texts(spark, name):
     text = plan(spark, name)
@@ -54,6 +58,14 @@ def test_factor_rows_make_no_texts(spark, name):
 def test_cards_are_searched_once(spark):
     assert plan(spark, "listing_cards").count("regexp_extract_all(html") + plan(spark, "listing_cards").count("size(transform(") <= 1
 
+
+def test_merged_pages_decode_each_text_once(spark):
+    # one table of character references per step that decodes: share tags, picked elements, postcode, lines, title
+    text = plan(spark, "merge_extractions")
+    assert text.count("CounterClockwiseContourIntegral") <= 10
+    assert text.count("regexp_extract_all(html") <= 2
+
+
 def test_both_batches_of_enrichments_come_from_one_matching(spark, monkeypatch):
     from woonvonk.sources import tables
 
