@@ -747,8 +747,9 @@ def comps_summary(spark, sf_dir):
     ),
 )
 def comps_valuation(spark, sf_dir):
-    comps, subjects = _comps(spark, sf_dir)
-    summary = benchmarks.comps_summary(comps).withColumn("median_price_per_m2", F.round("median_price_per_m2", 2))
+    subjects = view(spark, sf_dir, "listings").withColumnRenamed("listing_id", "subject_id")
+    medians = benchmarks.comps_medians(benchmarks.priced_comps(view(spark, sf_dir, "comps")))
+    summary = medians.withColumn("median_price_per_m2", F.round("median_price_per_m2", 2))
     return benchmarks.comps_valuation(summary, subjects).select("subject_id", "estimated_value", "suggested_bid", "margin_pct")
 
 
