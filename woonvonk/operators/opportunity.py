@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from woonvonk.functions.casts import strip
+from woonvonk.functions.casts import let, strip
 from woonvonk.functions import bands, finance
 from woonvonk.functions.text import contains_any, matched_terms, normalize_type, squash
 from woonvonk.operators import investment
@@ -199,10 +199,14 @@ def flip_evidence() -> list[Column]:
             [(delta <= -15, 36, "below-average price per m²"), (delta <= -8, 24, "slightly below-average price per m²")],
             F.col("ppm2").isNull(), "price per m²",
         ),
-        F.struct(
-            F.when(works >= FLIP_WORKS_FROM, works).otherwise(0).alias("points"),
-            F.when(worded, "renovation cues in the listing text").alias("note"),
-            F.when(year.isNull(), "construction year").alias("missing"),
+        # worked out once; a step of this kind also makes Spark split the code of all evidence into methods that the JVM compiles
+        let(
+            works,
+            lambda points: F.struct(
+                F.when(points >= FLIP_WORKS_FROM, points).otherwise(0).alias("points"),
+                F.when(worded, "renovation cues in the listing text").alias("note"),
+                F.when(year.isNull(), "construction year").alias("missing"),
+            ),
         ),
         evidence([], _label_absent(), "energy label"),
         _of_type(RENTAL_TYPES),
