@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
 
 from woonvonk.plans import catalog
@@ -74,3 +76,30 @@ def test_both_batches_of_enrichments_come_from_one_matching(spark, monkeypatch):
     monkeypatch.setattr(tables, "append_enrichments", lambda items, path: batches.append(items.inputFiles()) or real(items, path))
     found = catalog.jobs()["append_enrichments"](spark, SF)
     assert batches == [[], []] and found.count() == 39
+
+
+def test_groups_of_ordinary_size_are_ranked_by_one_window(spark):
+    from woonvonk.operators.skew import value_ranks
+
+    df = spark.range(200).selectExpr("id % 20 AS k", "cast(id AS double) AS v")
+    ranks = value_ranks(df, ["k"], "v", window_rows=50)  # more values than that in all, ten in a group
+    assert "percentile_approx" not in ranks._jdf.queryExecution().optimizedPlan().toString()
+    mixed = df.union(spark.range(300).selectExpr("NULL AS k", "cast(id % 60 AS double) AS v"))
+    small, plain = (sorted(map(repr, value_ranks(mixed, ["k"], "v", window_rows=w).collect())) for w in (50, 10**6))
+    assert small == plain
+
+
+def test_valuation_reads_no_subjects_for_its_medians(spark):
+    assert plan(spark, "comps_valuation").count("Join ") == 1
+
+
+@pytest.mark.parametrize("name", ["enrichment_group_stats", "enrichment_pivot", "opportunity_rules", "opportunity_missing_data", "opportunity_rollup"])
+def test_generated_methods_are_short_enough_for_the_jvm_to_compile(spark, name):
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        planned = catalog.jobs()[name](spark, SF)._jdf.queryExecution().executedPlan()
+        code = getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package").codegenString(planned)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000

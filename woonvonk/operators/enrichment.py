@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from woonvonk.functions import finance
-from woonvonk.functions.casts import clamped, text_or_null
+from woonvonk.functions.casts import clamped, let, text_or_null
 from woonvonk.functions.text import last_comma_part, postcode_token
 from woonvonk.operators.columns import is_monument
 
@@ -123,12 +123,20 @@ def fan_out(df: DataFrame, key: str, keys: list[str] | None = None) -> DataFrame
 
 
 def pivot(items: DataFrame, key: str, keys: list[str], order: str = "item_no") -> DataFrame:
-    """Items back to one row per property: the newest item of each key, as a mergeable aggregate."""
-    columns = [
-        F.max_by(F.when(F.col("enrichment_key") == k, F.col("value")), F.when(F.col("enrichment_key") == k, F.col(order))).alias(k)
-        for k in keys
-    ]
-    return items.where(F.col("enrichment_key").isin(keys)).groupBy(key).agg(*columns)
+    """Items back to one row per property: the newest item of each key.
+
+    Both steps are mergeable: the newest value per property and key, then a map with at most one entry per key, so
+    that a row is compared with its own key's newest and not with every key's.
+    """
+    newest = items.where(F.col("enrichment_key").isin(keys)).groupBy(key, "enrichment_key").agg(F.max_by("value", order).alias("value"))
+    held = newest.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("enrichment_key", "value"))).alias("_held"))
+
+    def value(name: str) -> Column:
+        return F.try_element_at("_held", F.lit(name))
+
+    # with a ``let`` among them the columns become short methods instead of one that the JVM doesn't compile
+    first, *others = keys
+    return held.select(key, let(value(first), lambda v: v).alias(first), *[value(k).alias(k) for k in others])
 
 
 # Names that stand in for each other; the first that has a value counts.

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from woonvonk.functions import finance
-from woonvonk.functions.casts import clamp_score, strip, text_or_null
+from woonvonk.functions.casts import clamp_score, let, strip, text_or_null
 from woonvonk.functions.text import LOOSE_POSTCODE, compact_postcode, normalize_identifier, register_address, squash
 from woonvonk.operators.scoring import points, total
 from woonvonk.operators.skew import first_per_key
@@ -19,12 +19,31 @@ AREA_GAP_FLAG = "funda_bag_area_difference_gt_10_pct"
 WOZ_WITH_VALUE, WOZ_WITHOUT_VALUE, WOZ_NO_RECORD, WOZ_NO_CANDIDATE = 98, 65, 5, 10
 
 
+def _tidy(name: str) -> Column:
+    """Nothing to strip or squash: seen in far less time than a pattern takes to rewrite the text."""
+    value = F.col(name)
+    edges = value.startswith(" ") | value.endswith(" ")
+    return ~(edges | value.contains("  ") | value.rlike("[^ -~]"))
+
+
 def _text(name: str) -> Column:
-    return F.coalesce(F.lower(squash(name)), F.lit(""))
+    return F.coalesce(F.lower(F.when(_tidy(name), F.col(name)).otherwise(squash(name))), F.lit(""))
 
 
 def _code(name: str) -> Column:
-    return F.upper(strip(F.coalesce(name, F.lit(""))))
+    return F.when(F.col(name) == "", "").otherwise(F.upper(strip(F.coalesce(name, F.lit("")))))
+
+
+def _postcode(name: str) -> Column:
+    value = F.col(name)
+    plain = F.concat(F.substring(value, 1, 4), F.upper(F.substring(value, 6, 2)))
+    return F.when(value.rlike(r"^[0-9]{4} [A-Za-z]{2}\z"), plain).otherwise(compact_postcode(name, LOOSE_POSTCODE))
+
+
+def _identifier(name: str) -> Column:
+    value = F.col(name).cast("string")
+    plain = F.ltrim(value, F.lit("0"))
+    return F.when(value.rlike(r"^0*[1-9][0-9]*\z"), plain).otherwise(normalize_identifier(name))
 
 
 def _same(expected: Column, found: Column) -> Column:
@@ -60,19 +79,22 @@ def _prepared_properties(properties: DataFrame) -> DataFrame:
 
 
 def _prepared_records(records: DataFrame) -> DataFrame:
-    """The same on the record side, once per record."""
-    usage = text_or_null("usage_purpose")
+    """The same on the record side, once per record.
+
+    Spark splits the code of a list of columns with a ``let`` in it into short methods. Without, it makes one method of
+    the list and what lies around it, which is too long for the JVM to compile.
+    """
     return records.withColumns(
         {
             "_r_type": _text("doc_type"),
-            "_r_postcode": compact_postcode("doc_postcode", LOOSE_POSTCODE),
+            "_r_postcode": _postcode("doc_postcode"),
             "_r_letter": _code("doc_letter"),
             "_r_addition": _code("doc_addition"),
             "_r_street": _text("doc_street"),
             "_r_city": _text("doc_city"),
-            "_r_address_id": normalize_identifier("address_id"),
-            "_r_object_id": normalize_identifier("object_id"),
-            "_r_home": F.when(usage.isNotNull(), residential(usage)),
+            "_r_address_id": _identifier("address_id"),
+            "_r_object_id": _identifier("object_id"),
+            "_r_home": let(text_or_null("usage_purpose"), lambda usage: F.when(usage.isNotNull(), residential(usage))),
         }
     )
 
