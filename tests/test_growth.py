@@ -103,3 +103,24 @@ def test_generated_methods_are_short_enough_for_the_jvm_to_compile(spark, name):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", before)
     assert max(map(int, re.findall(r"maxMethodCodeSize:(\d+)", code))) <= 8000
+
+
+def test_pivot_looks_at_one_key_per_row(spark):
+    assert plan(spark, "enrichment_pivot").count("max_by(") <= 2  # the best record and the newest value
+
+
+def test_tidy_records_read_like_untidy_ones(spark):
+    from pyspark.sql import functions as F
+
+    from woonvonk.functions.text import LOOSE_POSTCODE, compact_postcode, normalize_identifier, squash
+    from woonvonk.operators import register
+
+    odd = [None, "", " ", "a  b", " a", "b ", "Dorps Straat", "a\tb", "caf\u00e9\u00a0x", "1234 ab", "1234 AB ", "1234\tab", "01234 abc", "0012", "000", "12\n", "-12", "a1"]
+    df = spark.createDataFrame([(v,) for v in odd], "v string")
+    pairs = [
+        (register._text("v"), F.coalesce(F.lower(squash("v")), F.lit(""))),
+        (register._postcode("v"), compact_postcode("v", LOOSE_POSTCODE)),
+        (register._identifier("v"), normalize_identifier("v")),
+    ]
+    for fast, plain in pairs:
+        assert df.where(~fast.eqNullSafe(plain)).count() == 0
