@@ -124,3 +124,28 @@ def test_tidy_records_read_like_untidy_ones(spark):
     ]
     for fast, plain in pairs:
         assert df.where(~fast.eqNullSafe(plain)).count() == 0
+
+
+def test_deal_rows_look_at_snapshots_once(spark):
+    text = plan(spark, "deal_rows")
+    assert text.count("Relation [l_") == 1  # three when counts, steps and the oldest day had a pass each
+    assert text.index("Join Inner") < text.index("array_join(")  # prices are put into words per listing, not per candidate
+
+
+def test_listing_counts_as_often_as_it_has_candidates(spark):
+    from pyspark.sql import functions as F
+
+    from woonvonk.operators import deals, reports, scoring
+    from woonvonk.plans.history_queries import ORDER
+
+    listings, sources, snapshots = (view(spark, SF, n) for n in ("listings", "sources", "snapshots"))
+    named = view(spark, SF, "candidates").withColumn("listing_id", F.expr("CASE WHEN candidate_id % 7 = 0 THEN 3 WHEN candidate_id % 11 = 0 THEN -5 WHEN candidate_id % 13 <> 0 THEN listing_id END"))
+    odd = named.withColumn("investment_score", F.expr("CASE WHEN candidate_id % 5 > 0 THEN investment_score * 2 - 40 END"))
+    got = deals.deal_rows(odd, listings, sources, snapshots.where("false"), ORDER, F.lit("2001-08-01").cast("date"), 25)
+    rows = reports.build_rows(reports.candidates_with_listing(odd, listings, sources)).withColumnsRenamed({**deals.NAMES, "opportunity_score": "deal_score"})
+    rows = rows.withColumn("price_reduction_count", F.coalesce("price_reduction_count", F.lit(0)))
+    expected = scoring.score_deal_rows(rows)
+    shared = sorted(expected.columns)
+    assert set(shared) <= set(got.columns)
+    old, new = (sorted(map(repr, df.select(shared).collect())) for df in (expected, got))
+    assert old == new and any("listing_id=-5" in r for r in old) and len(old) == odd.where("listing_id IS NOT NULL").count()

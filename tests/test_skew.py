@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 from collections import defaultdict
+from datetime import datetime
 from statistics import median
 
 import pytest
@@ -210,3 +211,31 @@ def test_measures_from_one_table_equal_separate_ones(spark, monkeypatch, window_
     once = benchmarks.with_city_measures(base, "share")
     key = lambda d: sorted(map(repr, d.select(*sorted(d.columns)).collect()))
     assert sorted(once.columns) == sorted(apart.columns) and key(once) == key(apart)
+
+
+@pytest.mark.parametrize("hot_rows", [10**6, 40, 0])
+def test_price_history_agrees_with_its_parts(spark, hot_rows):
+    draw = random.Random(5)
+    days = [datetime(2001, 3, day, 12) for day in (1, 2, 2, 9, 30)]
+    rows = []
+    for k in [None, 1, 2, 3, 4, 5]:
+        for _ in range({1: 90, 2: 45, 3: 1}.get(k, 20)):
+            price = draw.choice([None, -5.0, 0.0, 100.0, 100.0, 100.004, 200.0, 300.0, 250.5])
+            rows.append((k, draw.choice([None, *days]), draw.randrange(40), price, draw.choice(["active", "sold"])))
+    schema = "listing_id long, observed_at timestamp, snapshot_seq long, asking_price double, listing_status string"
+    snapshots = spark.createDataFrame(rows, schema)
+    current = spark.createDataFrame([(1, 200.0), (2, None), (4, 100.0), (9, 1.0)], "listing_id long, current_price double")
+    order = ["observed_at", "snapshot_seq", "asking_price", "listing_status"]
+    counts = {r[0]: r.reduction_count for r in history.price_change_counts(snapshots, order).collect()}
+    steps: dict = {}
+    for r in sorted(history.previous_prices(snapshots, current, order).where("listing_id IS NOT NULL").collect(), key=lambda r: (r.listing_id, r.step_no)):
+        steps.setdefault(r.listing_id, []).append(r.price)
+    oldest = {}
+    for k, at, *_ in rows:
+        if at is not None and k is not None:
+            oldest[k] = min(at.date(), oldest.get(k, at.date()))
+    found = {r.listing_id: r for r in history.price_history(snapshots, current, order, 4, hot_rows=hot_rows).collect()}
+    assert set(found) == {1, 2, 3, 4, 5}
+    for k, r in found.items():
+        assert (r.reduction_count, r.oldest, r.earlier) == (counts[k], oldest.get(k), steps.get(k, [])[-4:])
+    assert any(len(s) > 4 for s in steps.values())

@@ -9,6 +9,11 @@ from woonvonk.functions import bands, finance
 from woonvonk.operators import history, reports, scoring
 from woonvonk.operators.skew import HOT_ROWS
 
+NAMES = {
+    "plaats": "city", "vraagprijs": "asking_price", "woonoppervlak": "surface_m2", "perceel": "plot_size_m2", "slaapkamers": "bedrooms",
+    "energielabel": "energy_label", "bouwjaar": "construction_year",
+}
+
 
 def deal_rows(
     candidates: DataFrame,
@@ -22,35 +27,28 @@ def deal_rows(
 ) -> DataFrame:
     """Scored deal rows. The candidates given are the peer set for city averages and percentiles.
 
-    Snapshots are looked at once for all listings. Earlier prices are shown for the newest
-    ``shown_prices`` steps; counts and days cover the whole history.
+    What depends on the listing alone is worked out once per listing, which counts as often as it has candidates, and
+    then joined to them. Earlier prices are shown for the newest ``shown_prices`` steps; counts and days cover the
+    whole history.
     """
-    rows = reports.build_rows(reports.candidates_with_listing(candidates, listings, sources))
-    counts = history.price_change_counts(snapshots, order, hot_rows=hot_rows)
+    given = candidates.where(F.col("listing_id").isNotNull())
+    peers = given.groupBy("listing_id").agg(F.count(F.lit(1)).alias("_peers"))
+    fields = [c.alias(NAMES.get(n, n)) for n, c in reports.listing_fields().items()]
+    listed = reports.candidates_with_listing(peers, listings, sources).select("listing_id", "_peers", *fields)
+    placed = scoring.with_city_peers(listed, weight="_peers")
     current = listings.select("listing_id", F.col("asking_price").alias("current_price"))
-    steps = history.previous_prices(snapshots, current, order, hot_rows=hot_rows)
-    shown = reports.newest_children(steps.withColumn("step", F.col("step_no")), "listing_id", ["step_no"], shown_prices, "steps", ["step", "price"])
-    oldest = snapshots.groupBy("listing_id").agg(F.to_date(F.min("observed_at")).alias("_oldest"))
-    since = F.datediff(reference, F.col("_oldest"))
-    path = F.transform(F.array_sort(F.transform("steps", lambda s: F.struct(s["step"].alias("step"), s["price"].alias("price")))), lambda s: s["price"])
-    joined = (
-        rows.join(counts.select("listing_id", "reduction_count"), "listing_id", "left")
-        .join(shown, "listing_id", "left")
-        .join(oldest, "listing_id", "left")
-    )
-    woz = finance.woz_difference("vraagprijs", "latest_woz_value")
-    built = joined.withColumns(
+    past = history.price_history(snapshots, current, order, shown_prices, hot_rows=hot_rows)
+    since = F.datediff(reference, F.col("oldest"))
+    woz = finance.woz_difference("asking_price", "latest_woz_value")
+    built = placed.join(past, "listing_id", "left").withColumns(
         {
-            "vorige_vraagprijzen": F.coalesce(bands.price_path(path), F.lit("Onbekend")),
+            "vorige_vraagprijzen": F.coalesce(bands.price_path(F.col("earlier")), F.lit("Onbekend")),
             "price_reduction_count": F.coalesce(F.col("price_reduction_count"), F.col("reduction_count").cast("int"), F.lit(0)),
             "days_on_market": F.coalesce(F.col("days_on_market"), F.when(since >= 0, since)),
-            "deal_score": F.col("opportunity_score"),
             "asking_price_minus_woz_value": woz["difference_eur"],
             "asking_price_vs_woz_percentage": woz["difference_pct"],
         }
     )
-    named = {
-        "plaats": "city", "vraagprijs": "asking_price", "woonoppervlak": "surface_m2", "perceel": "plot_size_m2", "slaapkamers": "bedrooms",
-        "energielabel": "energy_label", "bouwjaar": "construction_year",
-    }
-    return scoring.score_deal_rows(built.drop("steps", "_oldest", "reduction_count", "opportunity_score").withColumnsRenamed(named))
+    known = scoring.with_potentials(built).drop("_peers", "earlier", "oldest", "reduction_count")
+    own = given.select("candidate_id", "listing_id", "investment_score", F.col("hidden_value_score").alias("deal_score"), "detected_at")
+    return scoring.with_overall_score(own.join(known, "listing_id"))

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from woonvonk.functions.casts import strip, to_double, to_int
 from woonvonk.functions.text import normalize_status
-from woonvonk.operators.skew import HOT_ROWS, first_per_key, hot_keys, null_safe_join, with_previous
+from woonvonk.operators.skew import HOT_ROWS, first_per_key, hot_keys, null_safe_join, top_n_per_key, with_previous
+from woonvonk.session import broadcast_if_small
 
 # Statuses that end a spell, and how far back a relisting counts.
 OFF_MARKET = ["withdrawn", "sold"]
@@ -224,6 +225,71 @@ def previous_prices(
     )
 
 
+def price_history(
+    snapshots: DataFrame, current: DataFrame, order: list[str], shown: int, key: str = "listing_id", hot_rows: int = HOT_ROWS
+) -> DataFrame:
+    """One row per listing with snapshots: ``reduction_count`` as in ``price_change_counts``, the day of its oldest
+    snapshot (``oldest``) and the newest ``shown`` of its ``previous_prices`` as an array, oldest first (``earlier``).
+
+    Snapshots are dealt and sorted once, and all windows use that order. Listings above ``hot_rows`` go through the
+    functions named, which spread one listing over tasks. A NULL key is no listing.
+    """
+    keyed = snapshots.where(F.col(key).isNotNull())
+    hot = hot_keys(keyed, key, hot_rows)
+    if hot.isEmpty():
+        return _sorted_price_history(keyed, current, order, shown, key)
+    few = broadcast_if_small(hot)
+    ordinary, large = keyed.join(few, key, "left_anti"), keyed.join(few, key, "left_semi")
+    counts = price_change_counts(large, order, key, hot_rows).select(key, "reduction_count")
+    oldest = large.groupBy(key).agg(F.to_date(F.min("observed_at")).alias("oldest"))
+    steps = previous_prices(large, current, order, key, hot_rows)
+    newest = top_n_per_key(steps, [key], [F.col("step_no").desc()], shown)
+    listed = newest.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("step_no", "price"))).alias("steps"))
+    joined = counts.join(oldest, key, "left").join(listed, key, "left")
+    earlier = F.coalesce(F.col("steps.price"), F.array().cast("array<double>")).alias("earlier")
+    spread = joined.select(key, "reduction_count", "oldest", earlier)
+    return _sorted_price_history(ordinary, current, order, shown, key).unionByName(spread)
+
+
+def _sorted_price_history(snapshots: DataFrame, current: DataFrame, order: list[str], shown: int, key: str) -> DataFrame:
+    """``price_history`` of listings whose snapshots fit one task each."""
+    line = Window.partitionBy(key).orderBy(*order)
+    back = line.rowsBetween(Window.unboundedPreceding, -1)
+    upto = line.rowsBetween(Window.unboundedPreceding, 0)
+    whole = line.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    # dealt by listing like the snapshots, a task's current prices are looked up without sorting for it
+    priced = snapshots.select(key, *order).join(current.select(key, "current_price").hint("shuffle_hash"), key, "left")
+    price = F.when(F.col("asking_price") > 0, F.round("asking_price", 2))
+    differs = F.col("current_price").isNull() | (F.abs(price - F.col("current_price")) > PRICE_TOLERANCE)
+    valued = priced.select(key, *order, price.alias("_price"), F.when(differs, price).alias("_counted"))
+    looked = valued.select(
+        "*",
+        F.last("asking_price", ignorenulls=True).over(back).alias("_known"),
+        F.last("_counted", ignorenulls=True).over(back).alias("_before"),
+        F.count("_price").over(upto).alias("_no"),
+        F.count("_price").over(whole).alias("_prices"),
+        F.count(F.lit(1)).over(upto).alias("_row"),
+        F.count(F.lit(1)).over(whole).alias("_rows"),
+        F.min("observed_at").over(whole).alias("_oldest"),
+    )
+    changed = F.col("_before").isNull() | (F.abs(F.col("_before") - F.col("_counted")) > PRICE_TOLERANCE)
+    kept = F.when(F.col("_counted").isNotNull() & (F.col("_no") < F.col("_prices")) & changed, F.col("_counted"))
+    fell = F.when(F.col("asking_price") < F.col("_known"), 1)
+    marked = looked.select(
+        key, *order, "_oldest", (F.col("_row") == F.col("_rows")).alias("_last"), kept.alias("_step"), fell.alias("_fell")
+    )
+    numbered = marked.select(
+        "*",
+        F.count("_step").over(upto).alias("_no"),
+        F.count("_step").over(whole).alias("_steps"),
+        F.count("_fell").over(whole).alias("reduction_count"),
+    )
+    newest = F.when(F.col("_steps") - F.col("_no") < shown, F.col("_step")).alias("_step")
+    bounded = numbered.select(key, *order, "_oldest", "_last", "reduction_count", newest).where(F.col("_last") | F.col("_step").isNotNull())
+    listed = bounded.withColumn("earlier", F.collect_list("_step").over(whole))
+    return listed.where("_last").select(key, "reduction_count", F.to_date("_oldest").alias("oldest"), "earlier")
+
+
 def relisting(snapshots: DataFrame, order: list[str], key: str = "listing_id", window_days: int = RELIST_WINDOW_DAYS) -> DataFrame:
     """Back on the market soon after being sold or withdrawn."""
     status = normalize_status("listing_status")

@@ -222,29 +222,36 @@ def places_in_use(places: DataFrame, rows: DataFrame) -> DataFrame:
     return places.join(used, "place", "left_semi").orderBy("place_order")
 
 
+def listing_fields() -> dict[str, Column]:
+    """What a report row takes from the listing and its source, defaults filled in."""
+    return {
+        "adres": F.coalesce(text_or_null("address"), F.lit("Onbekend")),
+        "plaats": F.coalesce(text_or_null("city"), F.lit("Onbekend")),
+        "vraagprijs": F.col("asking_price"),
+        "asking_price_status": F.coalesce("asking_price_status", F.lit("unknown")),
+        "woonoppervlak": F.col("surface_m2"),
+        "perceel": F.col("plot_size_m2"),
+        "slaapkamers": F.col("bedrooms"),
+        "energielabel": F.coalesce(text_or_null("energy_label"), F.lit("Onbekend")),
+        "bouwjaar": F.col("construction_year"),
+        "permit_history_count": F.coalesce("permit_history_count", F.lit(0)),
+        "days_on_market": F.col("days_on_market"),
+        "price_reduction_count": F.col("price_reduction_count"),
+        "bron": F.coalesce(text_or_null("source_name"), F.lit("Onbekend")),
+        "source_url": F.coalesce("source_url", F.lit("")),
+        "neighborhood_m2_price_average": F.col("neighborhood_m2_price_average"),
+        "latest_woz_value": F.col("latest_woz_value"),
+    }
+
+
 def build_rows(candidates: DataFrame) -> DataFrame:
     """Flat report row per candidate with its listing, defaults filled in."""
     return candidates.select(
         "candidate_id",
         "listing_id",
-        F.coalesce(text_or_null("address"), F.lit("Onbekend")).alias("adres"),
-        F.coalesce(text_or_null("city"), F.lit("Onbekend")).alias("plaats"),
-        F.col("asking_price").alias("vraagprijs"),
-        F.coalesce("asking_price_status", F.lit("unknown")).alias("asking_price_status"),
-        F.col("surface_m2").alias("woonoppervlak"),
-        F.col("plot_size_m2").alias("perceel"),
-        F.col("bedrooms").alias("slaapkamers"),
-        F.coalesce(text_or_null("energy_label"), F.lit("Onbekend")).alias("energielabel"),
-        F.col("construction_year").alias("bouwjaar"),
-        F.coalesce("permit_history_count", F.lit(0)).alias("permit_history_count"),
-        "days_on_market",
-        "price_reduction_count",
+        *[c.alias(n) for n, c in listing_fields().items()],
         "investment_score",
         F.col("hidden_value_score").alias("opportunity_score"),
-        F.coalesce(text_or_null("source_name"), F.lit("Onbekend")).alias("bron"),
-        F.coalesce("source_url", F.lit("")).alias("source_url"),
-        "neighborhood_m2_price_average",
-        "latest_woz_value",
         "detected_at",
     ).where(F.col("listing_id").isNotNull())
 

@@ -288,11 +288,16 @@ def score_deal_rows(rows: DataFrame) -> DataFrame:
     """Score every row against the rows of its city.
 
     The rows given are the peer set. City averages, medians and the share of cheaper rows come from one table of distinct
-    values per city that is joined back. A given ``investment_score`` is kept within 0..100.
+    values per city that is joined back.
     """
+    return with_overall_score(with_potentials(with_city_peers(rows)))
+
+
+def with_city_peers(rows: DataFrame, weight: str | None = None) -> DataFrame:
+    """Price per m² of every row and where it stands in its city. A row counts ``weight`` times."""
     base = with_ppm2(rows).withColumn("city_key", city_key())
-    placed = with_market_discount(with_city_measures(base, "price_per_m2_percentile"))
-    compared = placed.withColumns(
+    placed = with_market_discount(with_city_measures(base, "price_per_m2_percentile", weight=weight))
+    return placed.withColumns(
         {
             "city_avg_price_per_m2": F.round("avg_price_per_m2", 2),
             "difference_vs_city_avg_pct": F.round(
@@ -300,19 +305,29 @@ def score_deal_rows(rows: DataFrame) -> DataFrame:
             ),
         }
     )
-    own = quick_investment_score()
-    if "investment_score" in rows.columns:
-        own = F.coalesce(clamped(to_int("investment_score"), 0, 100), own)
-    potentials = compared.withColumns(
+
+
+def with_potentials(placed: DataFrame) -> DataFrame:
+    """The potentials and the score of a row for which none is given; expects the columns of ``with_city_peers``."""
+    return placed.withColumns(
         {
-            "investment_score": own,
+            "_quick_score": quick_investment_score(),
             "split_potential": F.least(split_potential(), F.lit(100)),
             "vertical_extension_potential": F.least(vertical_potential(), F.lit(100)),
             "rental_potential": F.least(rental_potential(), F.lit(100)),
             "renovation_potential": F.least(renovation_potential(), F.lit(100)),
         }
     )
-    parts = potentials.withColumn(
+
+
+def with_overall_score(rows: DataFrame) -> DataFrame:
+    """Opportunity and overall score of rows with potentials. A given ``investment_score`` is kept within 0..100."""
+    own = F.col("_quick_score")
+    if "investment_score" in rows.columns:
+        given = F.col("investment_score")
+        whole = dict(rows.dtypes)["investment_score"] in ("tinyint", "smallint", "int")
+        own = F.coalesce(clamped(given.cast("int") if whole else to_int(given), 0, 100), own)
+    parts = rows.withColumn("investment_score", own).drop("_quick_score").withColumn(
         "opportunity_components", F.struct(*[c.alias(n) for n, c in opportunity_components().items()])
     )
     weighted = total(*[F.col(f"opportunity_components.{n}") * w for n, w in OPPORTUNITY_WEIGHTS.items()])
