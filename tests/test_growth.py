@@ -149,3 +149,20 @@ def test_listing_counts_as_often_as_it_has_candidates(spark):
     assert set(shared) <= set(got.columns)
     old, new = (sorted(map(repr, df.select(shared).collect())) for df in (expected, got))
     assert old == new and any("listing_id=-5" in r for r in old) and len(old) == odd.where("listing_id IS NOT NULL").count()
+
+
+@pytest.fixture
+def parts(spark, tmp_path):
+    """A folder with a table of parts: one comes twice, one has no key, one nothing but its key."""
+    rows = [(k, f"part {k}", f"Brand#{k % 5}", "ECONOMY", 1 + k % 50, 900.0 + k) for k in range(1, 121)]
+    rows += [(7, "part 7", "Brand#2", "ECONOMY", 8, 907.0), (None, "no key", "Brand#1", "SMALL", 4, 900.0), (500, None, None, None, None, None)]
+    shape = "p_partkey bigint, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"
+    spark.createDataFrame(rows, shape).coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    return str(tmp_path)
+
+
+def test_source_texts_are_not_sent_to_every_task(spark, parts):
+    found = catalog.jobs()["analysis_validation"](spark, parts)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    ids = [r.listing_id for r in found.collect()]
+    assert sorted(ids) == sorted([*range(1, 121), 7, 7, 7, 500])  # a key that comes twice meets its two texts
