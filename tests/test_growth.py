@@ -166,3 +166,17 @@ def test_source_texts_are_not_sent_to_every_task(spark, parts):
     assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
     ids = [r.listing_id for r in found.collect()]
     assert sorted(ids) == sorted([*range(1, 121), 7, 7, 7, 500])  # a key that comes twice meets its two texts
+
+
+def test_analysis_gives_the_rows_of_its_five_tables(spark, parts):
+    from collections import Counter
+
+    found = catalog.jobs()["explode_analysis"](spark, parts).collect()
+    rows = [r for r in found if r.row_count is None]
+    counts = {r.table_name: r.row_count for r in found if r.row_count is not None}
+    assert counts == Counter(r.table_name for r in rows) and len(counts) == 5
+    permits = Counter((r.listing_id, r.is_active) for r in rows if r.table_name == "permits")
+    assert permits[6, True] == 1 and permits[6, False] == 0 and permits[2, False] == 1 and permits[7, False] == 0
+    labels = {(r.label, r.is_current) for r in rows if r.table_name == "energy_labels" and r.listing_id == 3}
+    assert labels == {("G", False), ("C", True)}
+    assert [r.title for r in rows if r.table_name == "properties" and r.listing_id == 7] == ["part 7"] * 4

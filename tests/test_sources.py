@@ -83,6 +83,56 @@ def test_analysis_documents(spark):
     assert got[4].error.startswith("missing fields: analysis_confidence_score, assumptions")
 
 
+def _parsed(spark, *extracted):
+    """Valid analyses with the given extracted data, one per id."""
+    body = {k: [] for k in documents.REQUIRED_KEYS} | {"investment_score": 70, "analysis_confidence_score": 50, "property_summary": "kort", "recommendation": "koop", "risks": ["vocht"]}
+    body |= {"score_breakdown": {p: 5 for p in documents.SCORE_PARTS}}
+    rows = [(i, json.dumps(body | {"extracted_data": data}), "") for i, data in extracted]
+    return documents.validate_analyses(spark.createDataFrame(rows, "id int, body string, source_text string")).where("error is null")
+
+
+def test_analysis_tables_have_all_that_a_document_says(spark):
+    sale = {"transaction_date": "2000-05-01", "transaction_type": "sale", "transaction_price": 5.5, "source_url": "https://a.example", "notes": "n"}
+    permit = {"reference_number": "R", "status": "granted", "authority": "Breda", "investment_relevance": "hoog"}
+    data = {"country": "NL", "surface_m2": 84, "days_on_market": "veel", "listed_since": "2001-02-03", "previous_transactions": [sale], "active_permits": [permit]}
+    found = {n: t.first() for n, t in documents.explode_analyses(_parsed(spark, (1, data)), "id").items()}
+    home, analysis = found["properties"], found["analyses"]
+    assert (home.country, home.surface_m2, home.days_on_market, str(home.listed_since)) == ("NL", 84.0, None, "2001-02-03")
+    assert (home.listing_status, home.price_reduction_count, home.listing_history_confidence) == ("unknown", 0, "unknown")
+    assert (analysis.property_summary, analysis.analysis_confidence_score, analysis.risks, analysis.strengths) == ("kort", 50, '["vocht"]', "[]")
+    assert json.loads(analysis.score_breakdown) == {p: 5 for p in documents.SCORE_PARTS}
+    assert (found["transactions"].price_status, found["transactions"].source_url, found["transactions"].notes) == ("unknown", "https://a.example", "n")
+    assert (found["permits"].authority, found["permits"].confidence, found["permits"].affects_investment_case) == ("Breda", "unknown", False)
+    assert found["energy_labels"] is None
+
+
+def test_analysis_gives_a_permit_once(spark):
+    def permit(no, status, day="1999-03-02"):
+        return {"reference_number": no, "application_date": day, "status": status}
+
+    data = {
+        "permits_last_10_years": [permit("A", "granted"), permit("A", "pending"), permit("B", "granted"), permit(None, "lapsed", None), permit("A", "granted", "geen datum"), None],
+        "active_permits": [permit("B", "pending"), permit("B", "granted"), permit("C", "pending")],
+    }
+    parsed = _parsed(spark, (1, data), (2, {"active_permits": [permit("A", "pending")]}), (3, {}))
+    once = documents.explode_analyses(parsed, "id", distinct_permits=True)["permits"].collect()
+    got = sorted((r.id, str(r.reference_number), str(r.application_date), r.status, r.is_active) for r in once)
+    assert got == [
+        (1, "A", "1999-03-02", "granted", False), (1, "A", "None", "granted", False), (1, "B", "1999-03-02", "pending", True), (1, "C", "1999-03-02", "pending", True),
+        (1, "None", "None", "lapsed", False), (2, "A", "1999-03-02", "pending", True),
+    ]
+    assert documents.explode_analyses(parsed, "id")["permits"].count() == 10
+
+
+def test_arriving_label_retires_the_stored_ones(spark):
+    shape = "id int, label string, raw_value string, source string, is_current boolean"
+    stored = spark.createDataFrame([(1, "G", "G", "r", True), (1, "H", "H", "r", False), (2, "F", "F", "r", True), (2, "Z", "Z", "r", False), (3, "E", "E", "r", False), (5, "D", "D", "r", False)], shape)
+    arriving = documents.explode_analyses(_parsed(spark, (1, {"energy_label": "A"}), (1, {"energy_label": "B"}), (3, {"energy_label": " C "}), (4, {"energy_label": "A"}), (4, {"energy_label": "A"}), (2, {"energy_label": " "})), "id")
+    got = documents.current_labels(stored, arriving["energy_labels"], "id").collect()
+    assert sorted((r.id, r.raw_value) for r in got if r.is_current) == [(1, "B"), (2, "F"), (3, " C "), (4, "A")]
+    assert len(got) == 11 and {r.label for r in got if r.id == 3} == {"E", "C"}
+
+
 def test_newest_report(spark, tmp_path):
     path = str(tmp_path / "runs")
     shape = "source string, run_id string, status string, properties array<struct<record_index:bigint,property:struct<listing_id:string>>>"
